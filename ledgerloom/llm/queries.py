@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ledgerloom.llm.byte_bpe import op7_byte_bpe
 from ledgerloom.llm.quality_qda import op10_quality_qda
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op7_byte_bpe,
         op10_quality_qda,
     )
 }
