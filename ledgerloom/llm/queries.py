@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from ledgerloom.llm.byte_bpe import op7_byte_bpe
+from ledgerloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from ledgerloom.llm.quality_qda import op10_quality_qda
 
 QUERIES = {
     f.__name__: f
     for f in (
         op7_byte_bpe,
+        op8_decontamination,
         op10_quality_qda,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": OP8_SQL,
+}
