@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm.byte_bpe import op7_byte_bpe
 from ledgerloom.llm.decontaminate import OP8_SQL, op8_decontamination
+from ledgerloom.llm.jaccard_join import OP9_SQL, op9_ngram_jaccard_join
 from ledgerloom.llm.quality_qda import op10_quality_qda
 
 QUERIES = {
@@ -11,10 +12,12 @@ QUERIES = {
     for f in (
         op7_byte_bpe,
         op8_decontamination,
+        op9_ngram_jaccard_join,
         op10_quality_qda,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": OP8_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
 }
