@@ -10,6 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.byte_bpe import tokens_stage
+from ledgerloom.llm.decontaminate import decontamination_stage
+from ledgerloom.llm.jaccard_join import near_duplicates_stage
+from ledgerloom.llm.pii_surrogates import pii_stage
 from ledgerloom.llm.quality_qda import quality_stage
 from ledgerloom.plans.scratch import written
 
@@ -17,6 +21,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
+    ("near duplicates", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("surrogates for personal data", pii_stage),
+    ("byte-level BPE", tokens_stage),
 ]
 
 ORACLE_SQL = None  # SQL cannot express the stages; they are tested against brute force
