@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerloom.llm.byte_bpe import op7_byte_bpe
 from ledgerloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from ledgerloom.llm.jaccard_join import OP9_SQL, op9_ngram_jaccard_join
+from ledgerloom.llm.order_minhash import op2_order_minhash
 from ledgerloom.llm.pii_surrogates import op1_pii_surrogates
 from ledgerloom.llm.quality_qda import op10_quality_qda
 
@@ -12,6 +13,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii_surrogates,
+        op2_order_minhash,
         op7_byte_bpe,
         op8_decontamination,
         op9_ngram_jaccard_join,
