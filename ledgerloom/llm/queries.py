@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm.byte_bpe import op7_byte_bpe
+from ledgerloom.llm.chat_prefixes import OP4_SQL, op4_prefix_targets
 from ledgerloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from ledgerloom.llm.jaccard_join import OP9_SQL, op9_ngram_jaccard_join
 from ledgerloom.llm.order_minhash import op2_order_minhash
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op1_pii_surrogates,
         op2_order_minhash,
+        op4_prefix_targets,
         op7_byte_bpe,
         op8_decontamination,
         op9_ngram_jaccard_join,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_prefix_targets": OP4_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
 }
