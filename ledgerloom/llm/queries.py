@@ -9,6 +9,7 @@ from ledgerloom.llm.jaccard_join import OP9_SQL, op9_ngram_jaccard_join
 from ledgerloom.llm.order_minhash import op2_order_minhash
 from ledgerloom.llm.pii_surrogates import op1_pii_surrogates
 from ledgerloom.llm.quality_qda import op10_quality_qda
+from ledgerloom.llm.url_templates import OP5_SQL, op5_path_templates
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +17,7 @@ QUERIES = {
         op1_pii_surrogates,
         op2_order_minhash,
         op4_prefix_targets,
+        op5_path_templates,
         op7_byte_bpe,
         op8_decontamination,
         op9_ngram_jaccard_join,
@@ -25,6 +27,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_prefix_targets": OP4_SQL,
+    "op5_path_templates": OP5_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
 }
