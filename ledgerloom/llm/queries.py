@@ -6,6 +6,7 @@ from ledgerloom.llm.byte_bpe import op7_byte_bpe
 from ledgerloom.llm.chat_prefixes import OP4_SQL, op4_prefix_targets
 from ledgerloom.llm.decontaminate import OP8_SQL, op8_decontamination
 from ledgerloom.llm.jaccard_join import OP9_SQL, op9_ngram_jaccard_join
+from ledgerloom.llm.license_scan import OP3_SQL, op3_license_scan
 from ledgerloom.llm.order_minhash import op2_order_minhash
 from ledgerloom.llm.pii_surrogates import op1_pii_surrogates
 from ledgerloom.llm.quality_qda import op10_quality_qda
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_pii_surrogates,
         op2_order_minhash,
+        op3_license_scan,
         op4_prefix_targets,
         op5_path_templates,
         op7_byte_bpe,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": OP3_SQL,
     "op4_prefix_targets": OP4_SQL,
     "op5_path_templates": OP5_SQL,
     "op8_decontamination": OP8_SQL,
