@@ -10,6 +10,7 @@ from ledgerloom.llm.license_scan import OP3_SQL, op3_license_scan
 from ledgerloom.llm.order_minhash import op2_order_minhash
 from ledgerloom.llm.pii_surrogates import op1_pii_surrogates
 from ledgerloom.llm.quality_qda import op10_quality_qda
+from ledgerloom.llm.toxicity import op6_toxicity
 from ledgerloom.llm.url_templates import OP5_SQL, op5_path_templates
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
         op3_license_scan,
         op4_prefix_targets,
         op5_path_templates,
+        op6_toxicity,
         op7_byte_bpe,
         op8_decontamination,
         op9_ngram_jaccard_join,
