@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
-from ledgerloom.operators import integrity, projection, quality, reports, sessions, views
+from ledgerloom.operators import integrity, parse, projection, quality, reports, sessions, views
 from ledgerloom.plans.adapter import CORRELATION, DUCK, RISK, RULES, audit_rows, contexts, deletes, evidence
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,3 +374,64 @@ def decode_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.when(k == 1, "READ %%4424").when(k == 2, "DELETE DELETE_CHILD").when(k == 4, "UNDELETE_X")
     mask = F.when(k == 0, 0x10000 + 1).when(k == 3, 0x10002).cast("long")
     return audit_rows(spark, sf_dir).select("event_id", C.delete_permission(listed, mask).alias("permission"))
+
+
+def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows written as event XML and parsed again."""
+    xml = audit_rows(spark, sf_dir).select("record_ordinal", parse.event_xml(F.col("outcome")).alias("raw_xml"))
+    return parse.parse_events(xml)
+
+
+@query("""SELECT record_ordinal, occurred_ts AS event_ts, computer_name, record_ordinal AS record_id, CASE outcome WHEN 'delete_fact' THEN 'sysmon_delete' WHEN 'process_context' THEN 'sysmon_process'
+  WHEN 'security_evidence' THEN 'security_4663' ELSE 'unsupported' END AS source, CASE WHEN outcome = 'error' THEN 'unsupported_event' END AS parse_error FROM audit""")
+def parse_event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_rows(spark, sf_dir).select("record_ordinal", "event_ts", "computer_name", "record_id", "source", "parse_error")
+
+
+@query("""SELECT record_ordinal AS record_id, occurred_ts, full_path, process_id, process_path, process_guid, user_name, true AS archive_expected FROM audit WHERE outcome = 'delete_fact'""")
+def normalize_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse.to_delete_events(parsed_rows(spark, sf_dir))
+    return rows.select("record_id", "occurred_ts", "full_path", "process_id", "process_path", "process_guid", "user_name", "archive_expected")
+
+
+@query("""SELECT record_ordinal AS record_id, occurred_ts, process_id, process_path, process_guid, user_name, command_line FROM audit WHERE outcome = 'process_context'""")
+def normalize_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse.to_process_contexts(parsed_rows(spark, sf_dir))
+    return rows.select("record_id", "occurred_ts", "process_id", "process_path", "process_guid", "user_name", "command_line")
+
+
+@query("""SELECT record_ordinal AS record_id, occurred_ts, full_path, process_id, process_path, user_name, user_sid, delete_permission FROM audit
+  WHERE outcome = 'security_evidence' AND delete_permission <> 'not_observed'""")
+def normalize_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse.to_security_evidence(parsed_rows(spark, sf_dir))
+    return rows.select("record_id", "occurred_ts", "full_path", "process_id", "process_path", "user_name", "user_sid", "delete_permission")
+
+
+@query("""SELECT record_ordinal, CASE WHEN outcome = 'process_context' AND process_guid IS NULL THEN 'error' WHEN outcome = 'error' THEN 'ignored'
+    WHEN outcome = 'security_evidence' AND delete_permission = 'not_observed' THEN 'ignored' ELSE 'succeeded' END AS outcome,
+  CASE WHEN outcome = 'process_context' AND process_guid IS NULL THEN 'process_not_projectable' WHEN outcome = 'error' THEN 'unsupported_event'
+    WHEN outcome = 'security_evidence' AND delete_permission = 'not_observed' THEN 'no_delete_evidence' END AS diagnostic FROM audit""")
+def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse.mark_unprojectable(parse.import_outcomes(parsed_rows(spark, sf_dir)))
+    return rows.select("record_ordinal", "outcome", "diagnostic")
+
+
+@query("SELECT page_id, 'malformed_or_other' AS kind FROM pages")
+def parse_foreign_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages are no events: every one is refused, none breaks the job."""
+    rows = parse.parse_events(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "html")
+    return rows.select("page_id", F.when(F.col("parse_error").isNotNull(), "malformed_or_other").otherwise("event").alias("kind"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 100) AS preview, length(text) AS characters, length(text) > 100 AS truncated FROM documents""")
+def preview_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return views.xml_preview(docs, "text", 100)
+
+
+def received_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live sessions folded in received order; tested against a walk in plain Python."""
+    return sessions.sessionize_received(deletes(spark, sf_dir), RULES, RISK)
+
+
+QUERIES["received_sessions"] = received_sessions
