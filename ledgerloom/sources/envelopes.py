@@ -15,7 +15,7 @@ SCANNED = "file string, record_number long, raw_xml string, state string, diagno
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, name, size, modification time and SHA-256 of every file under a path."""
+    """Path, name, size, modification time and SHA-256 of every file under a path; Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),

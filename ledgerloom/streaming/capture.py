@@ -75,7 +75,8 @@ def capture_counters(records: DataFrame) -> DataFrame:
 
 def dedupe_stream(records: DataFrame, time: str = "occurred_ts", delay: str = "10 minutes") -> DataFrame:
     """Drops repeated deliveries of an evidence id within the delay."""
-    return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(["live_evidence_id"])
+    timed = records.withColumn("event_time", F.col(time).cast("timestamp")).withWatermark("event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(["live_evidence_id"]).drop("event_time")
 
 
 def split_late(records: DataFrame, stops: DataFrame) -> DataFrame:
@@ -112,8 +113,8 @@ def stream_correlate(deletes: DataFrame, processes: DataFrame, options: Correlat
     """
     seconds = options.window_us / 1e6
     keys = ["computer", "pid", "ts"]
-    d = deletes.select(F.lower("computer_name").alias("computer"), F.col("process_id").alias("pid"), F.col("occurred_ts").alias("ts"), F.col("raw_event_id").alias("d_id"), F.col("process_guid").alias("d_guid"))
-    p = processes.select(F.lower("computer_name").alias("p_computer"), F.col("process_id").alias("p_pid"), F.col("occurred_ts").alias("p_ts"), F.col("raw_event_id").alias("p_id"), F.col("process_guid").alias("p_guid"))
+    d = deletes.select(F.lower("computer_name").alias("computer"), F.col("process_id").alias("pid"), F.col("occurred_ts").cast("timestamp").alias("ts"), F.col("raw_event_id").alias("d_id"), F.col("process_guid").alias("d_guid"))
+    p = processes.select(F.lower("computer_name").alias("p_computer"), F.col("process_id").alias("p_pid"), F.col("occurred_ts").cast("timestamp").alias("p_ts"), F.col("raw_event_id").alias("p_id"), F.col("process_guid").alias("p_guid"))
     d, p = d.withWatermark("ts", GRACE), p.withWatermark("p_ts", GRACE)
     near = F.expr(f"p_ts BETWEEN ts - INTERVAL {seconds:.6f} SECONDS AND ts + INTERVAL {seconds:.6f} SECONDS")
     pairs = d.join(p, (F.col("computer") == F.col("p_computer")) & (F.col("pid") == F.col("p_pid")) & near)
