@@ -52,25 +52,47 @@ SECRET_NAME = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)?"
 
 
+def _by_first_letter(names: list[str]) -> str:
+    """Alternatives that share their first letter are tried only where it stands."""
+    first = sorted({n[0] for n in names})
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(n[1:] for n in names if n[0] == c)})" for c in first) + ")"
+
+
+def person_pattern() -> str:
+    """The regular expression for persons: a title or a given name, then surnames."""
+    given = _by_first_letter([n for names in GIVEN_NAMES.values() for n in names])
+    return (
+        r"(?=[A-ZÀ-ÞЀ-Я])(?<![\p{L}\p{M}])"
+        rf"(?:{_by_first_letter(TITLES)}\.? (?:{given} )?{_NAME}(?: {_NAME})?|{given}(?: {_NAME}){{1,2}})"
+    )
+
+
 def mention_pattern() -> str:
-    """The regular expression that finds every mention."""
-    given = "|".join(n for names in GIVEN_NAMES.values() for n in names)
-    return "|".join((
-        rf"(?<![\p{{L}}\p{{N}}]){SECRET_NAME}[A-Za-z0-9+/_\-]{{8,}}",
-        r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    """The regular expression that finds every mention; a look at one character rules most places out."""
+    numbers = "|".join((
         r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"(?<![\d-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])",
         r"(?<!\d)\d{13,19}(?!\d)",
         r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)",
         r"\+\d{8,15}(?!\d)",
         r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
         r"(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?![\d.-])",
-        rf"(?<![\p{{L}}\p{{M}}])(?:(?:{'|'.join(TITLES)})\.? )(?:(?:{given}) )?{_NAME}(?: {_NAME})?",
-        rf"(?<![\p{{L}}\p{{M}}])(?:{given})(?: {_NAME}){{1,2}}",
     ))
+    return "|".join((
+        rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){SECRET_NAME}[A-Za-z0-9+/_\-]{{8,}}",
+        r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+        rf"(?=[0-9(+])(?:{numbers})",
+        r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        person_pattern(),
+    ))
+
+
+def _searched(text: Column, search: Callable[[str], Column]) -> Column:
+    """``search(pattern)``; only persons are sought in a text without the characters that all other mentions hold."""
+    others = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]")
+    return F.when(others, search(mention_pattern())).otherwise(search(person_pattern()))
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -299,7 +321,8 @@ def assign_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` (with doc_id and text) with surrogates in ``text``, and the columns n_entities and entity_kinds."""
-    found = F.regexp_extract_all("text", F.lit(mention_pattern()), F.lit(0))
+    text = F.col("text")
+    found = _searched(text, lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     # explode_outer: for explode, the optimizer would search every text a second time in a filter on the array's size
     mentions = docs.select("doc_id", F.explode_outer(F.array_distinct(found)).alias("m")).where("m is not null")
     of = written(mentions.select("doc_id", F.explode(entities_of(F.col("m"))).alias("e")).select("doc_id", "e.*"), "mentions")
@@ -318,12 +341,12 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         docs = docs.join(side, docs["doc_id"].eqNullSafe(side["redrawn_in"]), "left")
     else:
         docs = docs.withColumn("attempts", F.lit(None).cast("map<string,int>"))
-    pieces = F.split("text", mention_pattern(), -1)
+    pieces = _searched(text, lambda pattern: F.split(text, pattern, -1))
     parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("attempts"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     n = F.coalesce(F.size("mentions"), F.lit(0))
     return docs.withColumn("mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
         *kept,
-        F.when(n > 0, F.array_join(parts(F.col("mentions")), "")).otherwise(F.col("text")).alias("text"),
+        F.when(n > 0, F.array_join(parts(F.col("mentions")), "")).otherwise(text).alias("text"),
         n.alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("mentions", kind_of))), ",").alias("entity_kinds"),
     )
