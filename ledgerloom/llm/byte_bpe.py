@@ -33,7 +33,8 @@ from ledgerloom.llm import inputs, wordgrams
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHED_CHARS = 4_000_000
-MAX_TOKENS = 1_000_000
+MAX_CHARS = 400_000
+MAX_TOKENS = 300_000
 _UNKNOWN = "�".encode()
 
 
@@ -49,8 +50,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class ByteTable:
+    """The bytes of every id: what decoding needs of a vocabulary."""
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        self.size = max(ranks.values()) + 1
+        tokens = [_UNKNOWN] * (self.size + 1)  # the last stands for any id outside
+        for t, r in ranks.items():
+            tokens[r] = t
+        self.lengths = np.array([len(t) for t in tokens])
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes one after the other, and where each token's begin (one more at the end)."""
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        counts = self.lengths[ids]
+        return self.bytes[_ranges(self.starts[ids], counts)], np.concatenate(([0], np.cumsum(counts)))
+
+    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per token the characters it has bytes of: first, and one after the last.
+
+        Tokens that share a character both cover it.
+        """
+        data, begins = self.decode(ids)
+        character = np.cumsum((data & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)
+        return character[begins[:-1]] - 1, character[begins[1:] - 1]
+
+
 class Codec:
-    """A vocabulary with its library tokenizer, byte table and cache of encoded matches."""
+    """A vocabulary with its library tokenizer and a cache of encoded matches."""
 
     def __init__(self, path: str) -> None:
         ranks = read_ranks(path)
@@ -63,16 +93,8 @@ class Codec:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        self.tokenizer = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges))
+        self.tokenizer = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        size = max(ranks.values()) + 1
-        tokens = [_UNKNOWN] * (size + 1)  # the last stands for any id outside
-        for t, r in ranks.items():
-            tokens[r] = t
-        self.size = size
-        self.lengths = np.array([len(t) for t in tokens])
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -107,21 +129,6 @@ class Codec:
         begins = ends[np.concatenate(([0], np.cumsum([len(x) for x in found])))]
         return self.ids[_ranges(self.id_starts[which], counts)], begins
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes one after the other, and where each token's begin (one more at the end)."""
-        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
-        counts = self.lengths[ids]
-        return self.bytes[_ranges(self.starts[ids], counts)], np.concatenate(([0], np.cumsum(counts)))
-
-    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token the characters it has bytes of: first, and one after the last.
-
-        Tokens that share a character both cover it.
-        """
-        data, begins = self.decode(ids)
-        character = np.cumsum((data & 0xC0) != 0x80) if len(data) else np.zeros(0, np.int64)
-        return character[begins[:-1]] - 1, character[begins[1:] - 1]
-
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its count, one range after the other."""
@@ -136,6 +143,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@cache
+def byte_table(path: str) -> ByteTable:
+    """One byte table per worker process and vocabulary; a worker that only decodes has no more than this."""
+    return ByteTable(path)
+
+
 def _slim(df: DataFrame, keep: Sequence[str], *names: str) -> DataFrame:
     return df.select(*(c for c in keep if c not in names), *names)
 
@@ -152,11 +165,11 @@ def encode(df: DataFrame, keep: Sequence[str], text: str = "text", path: str | N
         own = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in wordgrams.slices(texts):
+            for a, b in wordgrams.slices(texts, MAX_CHARS):
                 ids, begins = own.encode(texts[a:b])
                 lists = [ids]
                 if offsets:
-                    edge = [own.offsets(ids[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
+                    edge = [byte_table(path).offsets(ids[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
                     lists += [np.concatenate([e[k] for e in edge]) for k in (0, 1)]
                 arrays = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x, pa.int32())) for x in lists]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *arrays], names=schema.names)
@@ -172,7 +185,7 @@ def decode(df: DataFrame, keep: Sequence[str], ids: str = "ids", path: str | Non
     own_ids = ids in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = byte_table(path)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             counts = np.asarray(column.value_lengths().fill_null(0))
