@@ -85,3 +85,13 @@ def payload_hash(columns: Sequence[Column]) -> Column:
         F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c.cast("string")).cast("long")), 8, "0")), F.encode(c.cast("string"), "UTF-8")), F.unhex(F.lit("FFFFFFFF"))
     )
     return F.sha2(F.concat(*map(field, columns)), 256)
+
+
+def chain_raw_events(raw: DataFrame) -> DataFrame:
+    """Raw events chained per import: content is the raw id, XML digest and place, joined by U+001F.
+
+    ``raw`` has import_session_id, record_number, raw_event_id and xml_sha256. Imports are
+    chained on their own; ``output_manifest`` gives their heads.
+    """
+    payload = F.concat_ws("\u001f", "raw_event_id", "xml_sha256", F.col("record_number").cast("string"))
+    return build_chain(raw, "import_session_id", "record_number", payload)

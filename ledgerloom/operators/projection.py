@@ -76,3 +76,33 @@ def projection_high_water(runs: DataFrame) -> DataFrame:
     """Per capture the most records that a completed run considered; 0 if none was completed."""
     done = F.max(F.when(F.col("completed"), F.col("considered")))
     return runs.groupBy("live_session_id").agg(F.coalesce(done, F.lit(0)).cast("long").alias("high_water"))
+
+
+def project_session(records: DataFrame, completions: DataFrame, projected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, run rows): what is not projected yet of each capture that is complete.
+
+    A capture is refused (its run says why, and none of its rows is returned) if it has no
+    completion, if its completion states another number of records than is stored, or if
+    stored rows are not an exact beginning of what its records give. Running again appends
+    nothing.
+    """
+    stored = records.groupBy("live_session_id").agg(F.count("*").alias("stored"), F.count_if(F.col("outcome").isin(*PROJECTABLE)).alias("considered"))
+    rows = canonical_rows(records)
+    if projected is None:
+        projected = rows.limit(0)
+    old = projected.select("live_session_id", "projected_sequence", F.col("projected_id").alias("old_id"), F.col("payload_hash").alias("old_hash"))
+    both = old.join(rows, ["live_session_id", "projected_sequence"], "left")
+    same = F.coalesce((F.col("old_id") == F.col("projected_id")) & (F.col("old_hash") == F.col("payload_hash")), F.lit(False))
+    kept = both.groupBy("live_session_id").agg(F.count("*").alias("already"), F.max("projected_sequence").alias("last"), F.count_if(~same).alias("different"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    state = stored.join(completions.select("live_session_id", "persisted"), "live_session_id", "left").join(kept, "live_session_id", "left")
+    refusal = (
+        F.when(F.col("persisted").isNull(), "incomplete_capture").when(F.col("persisted") != F.col("stored"), "ledger_mismatch")
+        .when((zero("different") > 0) | (zero("already") != zero("last")), "stored_rows_are_no_prefix")
+    )
+    runs = state.select(
+        "live_session_id", "considered", zero("already").alias("already"), refusal.alias("refusal"),
+        F.when(refusal.isNull(), F.col("considered") - zero("already")).otherwise(0).alias("appended"), refusal.isNull().alias("completed"),
+    )
+    accepted = runs.where("completed").select("live_session_id", "already")
+    return rows.join(accepted, "live_session_id").where(F.col("projected_sequence") > F.col("already")).drop("already"), runs

@@ -140,3 +140,16 @@ def audit_view(deletes: DataFrame, sessions: DataFrame, event_assessments: DataF
 def session_diagnostics(df: DataFrame, session: str, limit: int = 256) -> DataFrame:
     """The first diagnostics of one capture, by time and id."""
     return df.where(F.col("live_session_id") == session).orderBy("occurred_ts", "diagnostic_id").limit(limit)
+
+
+def filter_capture_sessions(df: DataFrame, state: str | None = None, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """Captures (of ``capture_sessions``) by state and start."""
+    if state not in (None, "stopped", "error", "incomplete"):
+        raise ValueError(f"unknown state {state}")
+    ok = F.lit(True) if state is None else F.col("state") == state
+    return df.where(ok & time_range(F.col("started_ts"), begin, end))
+
+
+def diagnostics_with_file(diagnostics: DataFrame, imports: DataFrame) -> DataFrame:
+    """Diagnostics with the name of the file they are about."""
+    return diagnostics.join(imports.select("import_session_id", "source_path"), "import_session_id")

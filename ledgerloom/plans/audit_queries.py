@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
-from ledgerloom.operators import integrity, parse, projection, quality, reports, sessions, views
+from ledgerloom.operators import analysis, integrity, mart, parse, projection, quality, reports, sessions, views
 from ledgerloom.plans.adapter import CORRELATION, DUCK, RISK, RULES, audit_rows, contexts, deletes, evidence
+from ledgerloom.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,3 +436,147 @@ def received_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["received_sessions"] = received_sessions
+
+
+@query(""", h AS (SELECT live_session_id AS chain, received_sequence AS n, sha256(raw_event_id || '|' || outcome || '|' || full_path) AS content_hash FROM audit)
+, c AS (SELECT chain, n, sha256(concat_ws(chr(10), '1', repeat('0', 64), content_hash)) AS entry_hash FROM h WHERE n = 1
+  UNION ALL SELECT h.chain, h.n, sha256(concat_ws(chr(10), '1', c.entry_hash, h.content_hash)) FROM c JOIN h ON h.chain = c.chain AND h.n = c.n + 1)
+SELECT chain, count(*) AS entries, arg_min(entry_hash, n) AS first_hash, arg_max(entry_hash, n) AS last_hash FROM c GROUP BY chain""")
+def chain_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.output_manifest(chain_build(spark, sf_dir))
+
+
+@query(_PAIRS + """, k AS (SELECT did, 'p' || tier AS kind, delta, ord, pid FROM pm WHERE tier IN (1, 3) UNION ALL SELECT did, 's', delta, ord, pid FROM sm)
+SELECT did AS d_id, kind, delta, ord AS ordinal, pid AS partner FROM k QUALIFY row_number() OVER (PARTITION BY did, kind ORDER BY delta, ord) <= 2""")
+def trim_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest candidates of each kind for every delete."""
+    d, p = K._side(deletes(spark, sf_dir), "d"), K._side(contexts(spark, sf_dir), "p")
+    row = lambda pairs, kind, s: pairs.select("d_id", F.lit(kind).alias("kind"), F.abs(F.col("d_us") - F.col(f"{s}_us")).alias("delta"), F.col(f"{s}_ord").alias("ordinal"), F.col(f"{s}_id").alias("partner"))
+    by_guid = d.join(p.drop("pid", "path"), ["computer", "guid"])
+    by_path = K._within(d, p, ["computer", "path"], "p", W)
+    permitted = K._side(evidence(spark, sf_dir).where("delete_permission <> 'not_observed'"), "s", "full_path")
+    by_object = K._within(K._side(deletes(spark, sf_dir), "d", "full_path"), permitted, ["computer", "path"], "s", W)
+    return K.trim_candidates(row(by_guid, "p3", "p").union(row(by_path, "p1", "p")).union(row(by_object, "s", "s")), 2)
+
+
+@query(_PAIRS + """SELECT c.raw_event_id, a.live_session_id || ':' || a.received_sequence AS process_evidence_id, b.live_session_id || ':' || b.received_sequence AS security_evidence_id
+FROM correlated AS c LEFT JOIN audit AS a ON a.raw_event_id = c.process_raw_id LEFT JOIN audit AS b ON b.raw_event_id = c.security_raw_id""")
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = audit_rows(spark, sf_dir).select("raw_event_id", F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string")).alias("live_evidence_id"))
+    return K.attach_evidence_ids(correlated(spark, sf_dir), ids).select("raw_event_id", "process_evidence_id", "security_evidence_id")
+
+
+@query("""SELECT raw_event_id, CASE WHEN event_id % 7 = 0 THEN 'missing_source' WHEN event_id % 7 = 1 THEN 'changed_source' ELSE 'ok' END AS source_state FROM audit WHERE outcome <> 'error'""")
+def projection_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the source records is gone and a seventh changed."""
+    records = audit_rows(spark, sf_dir)
+    now = records.where("event_id % 7 <> 0").withColumn("raw_event_id", F.when(F.col("event_id") % 7 == 1, "other").otherwise(F.col("raw_event_id")))
+    return projection.join_projection_source(projection.canonical_rows(records), now).select("raw_event_id", "source_state")
+
+
+@query("SELECT live_session_id, count(*) + 1 AS persisted, count(*) AS stored FROM audit WHERE live_session_id LIKE '%2' GROUP BY 1")
+def ledger_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of captures whose name ends in 2 state one record too many."""
+    records = audit_rows(spark, sf_dir)
+    n = F.count("*") + F.when(F.col("live_session_id").endswith("2"), 1).otherwise(0)
+    return projection.ledger_check(records.groupBy("live_session_id").agg(n.alias("persisted")), records)
+
+
+@query("SELECT live_session_id, coalesce(max(received_sequence) FILTER (event_type = 'view'), 0) AS high_water FROM audit GROUP BY 1")
+def projection_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record stands for a run; those of views were completed."""
+    runs = audit_rows(spark, sf_dir).select("live_session_id", (F.col("event_type") == "view").alias("completed"), F.col("received_sequence").alias("considered"))
+    return projection.projection_high_water(runs)
+
+
+@query("""SELECT live_session_id, considered, already, refusal, CASE WHEN refusal IS NULL THEN considered - already ELSE 0 END AS appended, refusal IS NULL AS completed FROM (
+  SELECT live_session_id, count(*) FILTER (outcome <> 'error') AS considered,
+    count(*) FILTER (outcome <> 'error' AND received_sequence <= 100 AND live_session_id LIKE '%0') AS already,
+    CASE WHEN live_session_id LIKE '%1' THEN 'incomplete_capture' WHEN live_session_id LIKE '%2' THEN 'ledger_mismatch' END AS refusal FROM audit GROUP BY 1)""")
+def project_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of an incremental projection: some captures are incomplete or miscounted, one has its beginning projected."""
+    records = audit_rows(spark, sf_dir)
+    n = F.count("*") + F.when(F.col("live_session_id").endswith("2"), 1).otherwise(0)
+    done = records.where("live_session_id NOT LIKE '%1'").groupBy("live_session_id").agg(n.alias("persisted"))
+    before = projection.canonical_rows(records).where("received_sequence <= 100 AND live_session_id LIKE '%0'")
+    return projection.project_session(records, done, before)[1]
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit_rows(spark, sf_dir)
+    return rows.where("outcome = 'error' OR delete_permission = 'delete'").select(
+        "import_session_id", "live_session_id", "occurred_ts", F.col("raw_event_id").alias("diagnostic_id"), F.when(F.col("outcome") == "error", "error").otherwise("warning").alias("severity"),
+        F.col("event_type").alias("code"), F.col("full_path").alias("message"),
+    )
+
+
+_DIAGNOSTICS = """, g AS (SELECT import_session_id, live_session_id, occurred_ts, raw_event_id AS diagnostic_id, CASE WHEN outcome = 'error' THEN 'error' ELSE 'warning' END AS severity,
+  event_type AS code, full_path AS message FROM audit WHERE outcome = 'error' OR delete_permission = 'delete')
+"""
+
+
+@query(_DIAGNOSTICS + "SELECT diagnostic_id, severity, code, '/in/' || import_session_id || '.xml' AS source_path FROM g WHERE severity = 'warning' AND (contains(code, 'f1') OR contains(lower(message), 'f1')) AND occurred_ts >= TIMESTAMP '2020-01-01'")
+def filter_import_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.filter_diagnostics(_diagnostics(spark, sf_dir), "warning", "2020-01-01 00:00:00", None, "F1")
+    imports = audit_rows(spark, sf_dir).select("import_session_id").distinct().withColumn("source_path", F.concat(F.lit("/in/"), "import_session_id", F.lit(".xml")))
+    return views.diagnostics_with_file(found, imports).select("diagnostic_id", "severity", "code", "source_path")
+
+
+@query(_DIAGNOSTICS + "SELECT diagnostic_id, occurred_ts, severity FROM g WHERE live_session_id = 'live-0' ORDER BY occurred_ts, diagnostic_id LIMIT 256")
+def first_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.session_diagnostics(_diagnostics(spark, sf_dir), "live-0").select("diagnostic_id", "occurred_ts", "severity")
+
+
+@query(_DIAGNOSTICS + "SELECT DISTINCT import_session_id AS record_number, severity, code, message FROM g")
+def distinct_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of the diagnostics with themselves, equal ones once."""
+    part = _diagnostics(spark, sf_dir).select(F.col("import_session_id").alias("record_number"), F.lit("parse").alias("stage"), "severity", "code", "message", F.col("diagnostic_id").alias("ordinal"))
+    return quality.collect_diagnostics(part, part).select("record_number", "severity", "code", "message")
+
+
+@query("""SELECT import_session_id, 'partial_failure' AS status, started_ts FROM (SELECT import_session_id, min(occurred_ts) AS started_ts, count(*) FILTER (outcome = 'error') AS e FROM audit GROUP BY 1)
+WHERE e > 0 AND contains(import_session_id, 'imp-0')""")
+def filter_import_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit_rows(spark, sf_dir)
+    starts = rows.groupBy("import_session_id").agg(F.min("occurred_ts").alias("started_ts"), F.first("import_session_id").alias("source_path"))
+    history = reports.import_totals(rows).join(starts, "import_session_id")
+    return views.filter_imports(history, "partial_failure", source="IMP-0").select("import_session_id", "status", "started_ts")
+
+
+@query("SELECT live_session_id, min(occurred_ts) AS started_ts FROM audit WHERE live_session_id LIKE '%3' GROUP BY 1")
+def filter_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.filter_capture_sessions(capture_overview(spark, sf_dir), "incomplete").select("live_session_id", "started_ts")
+
+
+@query("""SELECT live_session_id, count(*) AS received, count(*) FILTER (outcome = 'delete_fact') AS delete_fact, count(*) FILTER (outcome = 'process_context') AS process_context,
+  count(*) FILTER (outcome = 'security_evidence') AS security_evidence, count(*) FILTER (outcome = 'ignored') AS ignored, count(*) FILTER (outcome = 'error') AS error FROM audit GROUP BY 1""")
+def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.capture_counters(audit_rows(spark, sf_dir))
+
+
+@query(_PAIRS + "SELECT raw_event_id, method, confidence, CASE confidence WHEN 'none' THEN 0 WHEN 'low' THEN 25 WHEN 'medium' THEN 75 ELSE 100 END AS score FROM correlated")
+def mart_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = mart.build_audit_mart(deletes(spark, sf_dir), correlated(spark, sf_dir), assessed(spark, sf_dir))
+    return tables["event_correlations"].select("raw_event_id", "method", "confidence", "score")
+
+
+@query(_SESSIONS + """SELECT session_id, 'delete_session' AS subject_kind, risk, CASE WHEN rule_code LIKE 'burst_%' THEN CASE risk WHEN 'critical' THEN 'burst_100_in_10s' ELSE 'burst_30_in_10s' END ELSE rule_code END AS rule_code,
+  '{"originalRuleCode":"' || rule_code || '"}' AS details_json, sha256(concat_ws(chr(31), 'assessment', raw_event_id)) AS assessment_id FROM a""")
+def mart_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mart.build_audit_mart(deletes(spark, sf_dir), deletes(spark, sf_dir).withColumns({c: F.lit(None) for c in ("method", "confidence", "delta_ms", "process_raw_id", "security_raw_id", "identity_enriched")}).withColumn("reasons", F.array()), assessed(spark, sf_dir))["risk_assessments"]
+
+
+@query("""SELECT least(count(*), 5000) AS records, count(*) FILTER (outcome = 'delete_fact') AS deletes, count(*) FILTER (outcome = 'process_context') AS processes,
+  count(*) FILTER (outcome = 'security_evidence') AS evidence, count(*) FILTER (outcome = 'error') AS unparsable, count(*) > 5000 AS truncated
+FROM audit WHERE live_session_id = 'live-0'""")
+def capture_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of one capture's analysis; by its nature it is about one capture and at most 5000 records of it."""
+    return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[1]
+
+
+def capture_analysis_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes of one capture with their match and received-order session."""
+    return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[0]
+
+
+QUERIES["capture_analysis_deletes"] = capture_analysis_deletes
