@@ -19,7 +19,8 @@ redrawn entities are joined with their attempts; that table is broadcast if it h
 Edge cases: a null text stays null; a text without mentions is returned as it is; rows may
 repeat, have null ids, or share ids; mentions do not overlap and are found from the left;
 other columns pass through (``text`` is replaced; ``n_entities`` and ``entity_kinds`` are
-added in place of any of these names). An empty table gives no rows.
+added in place of any of these names; ``_attempts``, ``_mentions`` and ``_redrawn_in`` are
+dropped). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def mention_pattern() -> str:
     return "|".join((
         rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){SECRET_NAME}[A-Za-z0-9+/_\-]{{8,}}",
         r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,8}",
         rf"(?=[0-9(+])(?:{numbers})",
         r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         person_pattern(),
@@ -330,25 +331,26 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     by_doc = written(
         of.distinct()
         .join(redrawn, ["kind", "norm"])
-        .groupBy(F.col("doc_id").alias("redrawn_in"))
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "norm"), "attempt"))).alias("attempts")),
+        .groupBy(F.col("doc_id").alias("_redrawn_in"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "norm"), "attempt"))).alias("_attempts")),
         "attempts",
     )
-    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds")]
+    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds", "_attempts", "_mentions", "_redrawn_in")]
+    docs = docs.select(*kept, "text")
     rows = by_doc.count()
     if rows:
         side = F.broadcast(by_doc) if rows <= BROADCAST_ROWS else by_doc
-        docs = docs.join(side, docs["doc_id"].eqNullSafe(side["redrawn_in"]), "left")
+        docs = docs.join(side, docs["doc_id"].eqNullSafe(side["_redrawn_in"]), "left")
     else:
-        docs = docs.withColumn("attempts", F.lit(None).cast("map<string,int>"))
+        docs = docs.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
     pieces = _searched(text, lambda pattern: F.split(text, pattern, -1))
-    parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("attempts"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    n = F.coalesce(F.size("mentions"), F.lit(0))
-    return docs.withColumn("mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
+    parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("_attempts"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    n = F.coalesce(F.size("_mentions"), F.lit(0))
+    return docs.withColumn("_mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
         *kept,
-        F.when(n > 0, F.array_join(parts(F.col("mentions")), "")).otherwise(text).alias("text"),
+        F.when(n > 0, F.array_join(parts(F.col("_mentions")), "")).otherwise(text).alias("text"),
         n.alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("mentions", kind_of))), ",").alias("entity_kinds"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_mentions", kind_of))), ",").alias("entity_kinds"),
     )
 
 

@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Broadcast, sample_rows: int =
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = written(docs.join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample")  # so many ids at most
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample")  # so many ids at most
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None

@@ -126,7 +126,7 @@ def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def judge(urls: DataFrame, rules=RULES, limits: Limits = Limits()) -> DataFrame:
     """``urls`` (with url and bad) with the columns host, path, rule, verdict, template and purity."""
     host, path = host_and_path(F.col("url"))
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "purity", "shape", "bad")]
+    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "purity", "shape", "bad", "template_verdict")]
     parts = urls.select(*kept, host.alias("host"), path.alias("path"), "bad").withColumn("shape", F.regexp_replace("path", r"[0-9]+", "*"))
     verdicts = written(template_verdicts(parts.select("host", "shape", "bad"), limits), "verdicts")
     side = F.broadcast(verdicts) if verdicts.count() <= BROADCAST_ROWS else verdicts
