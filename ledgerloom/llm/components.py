@@ -8,16 +8,23 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.scratch import written
 
 
+#: A node's neighbours are dealt out to so many tasks.
+SALTS = 16
+
+
 def _star(edges: DataFrame, least: DataFrame, keep: str) -> DataFrame:
-    return edges.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    """Each edge's far end with the least node that its near end knows."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["u", "salt"]).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u long, v long); a component is its least node.
 
     Alternates the large-star and small-star steps: each node hands its neighbours the
-    least node it knows. A step is one aggregation with map-side minima and one join that
-    Spark may split where a node has very many neighbours; each round is written, so that
+    least node it knows. A step is one aggregation with map-side minima and one join,
+    salted because a node may have very many neighbours; each round is written, so that
     no lineage grows. The number of rounds grows with the logarithm of a component's size.
     Loops and repeated edges do no harm; nodes without an edge to another are not returned.
     """
