@@ -137,9 +137,14 @@ def _given_cycle(key: str) -> dict[str, str]:
     return out
 
 
+def _literals(values: list[str]) -> str:
+    """Names as SQL literals; they hold no quotes."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def _surnames(m: Column) -> Column:
     """The surnames of a person's mention: its words but for a title and given names."""
-    fixed = F.array(*(F.lit(n) for names in GIVEN_NAMES.values() for n in names), *(F.lit(t) for t in TITLES))
+    fixed = F.expr(f"array({_literals([*(n for names in GIVEN_NAMES.values() for n in names), *TITLES])})")
     return F.filter(F.split(m, " "), lambda w: ~F.array_contains(fixed, F.regexp_replace(w, r"\.$", "")))
 
 
@@ -226,30 +231,32 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate's normal form."""
     extra = F.greatest(attempt - (LENGTHEN_FROM - 1), F.lit(0))
 
+    skip = (
+        F.when(kind.isin("access_key", "iban"), 4).when(kind == "card", 1).when((kind == "phone") & norm.startswith("+"), 2).otherwise(0)
+    )
+    hexadecimal = (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+    shape = F.when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(norm)
+
     def draw(h: Column) -> Column:
-        local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-        label, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
-        longer = F.array_join(F.transform(F.sequence(F.lit(0), extra), lambda i: _pick(ALPHABETS[0], _number(h, i))), "")
-        mail = F.concat(
-            _same_shape(local, h),
-            F.when(extra > 0, longer).otherwise(""),
-            F.lit("@"),
-            let(_hexes(key, F.lit("domain"), domain, F.lit(0)), lambda d: _same_shape(label, d)),
-            F.lit(".example."),
-            F.when(top.isin("com", "net", "org"), top).otherwise("org"),
-        )
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i) % 254 + 1).cast("string")), ".")
-        return (
-            F.when(kind == "email", mail)
-            .when(kind == "ipv4", octets)
-            .when(kind == "secret", _same_shape(norm, h, hexadecimal=norm.rlike("^[0-9a-f]+$")))
-            .when(kind == "access_key", _same_shape(norm, h, 4))
-            .when(kind == "iban", _iban(_same_shape(norm, h, 4)))
-            .when(kind == "card", _luhn(norm, _same_shape(norm, h, 1)))
-            .when(kind == "phone", _same_shape(norm, h, F.when(norm.startswith("+"), 2).otherwise(0)))
-            .when(kind == "surname", _invented(norm, h, 3 + F.when(extra > 0, extra).otherwise(0)))
-            .otherwise(_same_shape(norm, h))
-        )
+
+        def finish(drawn: Column) -> Column:
+            domain = F.substring_index(norm, "@", -1)
+            label, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
+            longer = F.array_join(F.transform(F.sequence(F.lit(0), extra), lambda i: _pick(ALPHABETS[0], _number(h, i))), "")
+            mail = F.concat(
+                drawn,
+                F.when(extra > 0, longer).otherwise(""),
+                F.lit("@"),
+                let(_hexes(key, F.lit("domain"), domain, F.lit(0)), lambda d: _same_shape(label, d)),
+                F.lit(".example."),
+                F.when(top.isin("com", "net", "org"), top).otherwise("org"),
+            )
+            return F.when(kind == "email", mail).when(kind == "iban", _iban(drawn)).when(kind == "card", _luhn(norm, drawn)).otherwise(drawn)
+
+        surname = _invented(norm, h, 3 + F.when(extra > 0, extra).otherwise(0))
+        shaped = let(_same_shape(shape, h, skip, hexadecimal), finish)
+        return F.when(kind == "ipv4", octets).when(kind == "surname", surname).otherwise(shaped)
 
     return let(_hexes(key, kind, norm, attempt), draw)
 
@@ -278,7 +285,7 @@ def render(key: str, m: Column, attempts: Column) -> Column:
         attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("\u001f", kind, norm)), F.lit(0))
         return surrogate(key, kind, norm, attempt)
 
-    cycle = F.create_map(*(F.lit(x) for pair in _given_cycle(key).items() for x in pair))
+    cycle = F.expr(f"map({_literals([x for pair in _given_cycle(key).items() for x in pair])})")
 
     def word(w: Column) -> Column:
         given = F.try_element_at(cycle, w)
