@@ -34,6 +34,7 @@ from ledgerloom.llm import inputs, wordgrams
 RANKS = "byte_bpe_50k.tiktoken"
 CACHED_CHARS = 4_000_000
 MAX_CHARS = 400_000
+PIECE_ROWS = 500
 MAX_TOKENS = 300_000
 _UNKNOWN = "�".encode()
 
@@ -95,9 +96,9 @@ class Codec:
         ]
         self.tokenizer = Tokenizer(models.BPE(vocab={spell[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.cached_chars = 0
         self.ids = np.zeros(0, np.int32)
@@ -106,7 +107,7 @@ class Codec:
     def _learn(self, matches: list[str]) -> None:
         """Put the matches that are not cached into the cache; empty it first if it is full."""
         if self.cached_chars > CACHED_CHARS:
-            self._forget()
+            self.forget()
         new = list(set(matches) - self.at.keys())
         if not new:
             return
@@ -149,34 +150,89 @@ def byte_table(path: str) -> ByteTable:
     return ByteTable(path)
 
 
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin (one more at the end)."""
+        found = [self.pattern.findall(t) for t in texts]
+        matches = [m for x in found for m in x]
+        self._learn(matches)
+        which = np.fromiter(map(self.at.__getitem__, matches), np.int64, len(matches))
+        counts = self.id_counts[which]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        begins = ends[np.concatenate(([0], np.cumsum([len(x) for x in found])))]
+        return self.ids[_ranges(self.id_starts[which], counts)], begins
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one range after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - counts), counts) + np.arange(total)
+
+
+@cache
+def codec(path: str) -> Codec:
+    """One codec per worker process and vocabulary."""
+    return Codec(path)
+
+
+@cache
+def byte_table(path: str) -> ByteTable:
+    """One byte table per worker process and vocabulary; a worker that only decodes has no more than this."""
+    return ByteTable(path)
+
+
 def _slim(df: DataFrame, keep: Sequence[str], *names: str) -> DataFrame:
     return df.select(*(c for c in keep if c not in names), *names)
 
 
-def encode(df: DataFrame, keep: Sequence[str], text: str = "text", path: str | None = None, offsets: bool = False) -> DataFrame:
-    """``keep`` and the ids of ``text``; with ``offsets`` also the characters of each token, from ``start`` up to ``end``."""
+def encode(
+    df: DataFrame, keep: Sequence[str], text: str = "text", path: str | None = None, offsets: bool = False, decoded: bool = False
+) -> DataFrame:
+    """``keep`` and the ids of ``text``.
+
+    With ``offsets`` also the characters of each token, from ``start`` up to ``end``; with
+    ``decoded`` also the bytes that the ids decode to, by the same byte table as ``decode``
+    but without a second pass through Python.
+    """
     path = path or public_tokenizers.path(RANKS)
-    keep = [c for c in keep if c not in (text, "ids", "start", "end")]
-    kept = df.select(*keep)
+    keep = [c for c in keep if c not in (text, "ids", "start", "end", "decoded")]
     ints = T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType(kept.schema.fields + [T.StructField(n, ints) for n in (["ids", "start", "end"] if offsets else ["ids"])])
+    added = ["ids", *["start", "end"] * offsets]
+    fields = [T.StructField(n, ints) for n in added] + [T.StructField("decoded", T.BinaryType())] * decoded
+    schema = T.StructType(df.select(*keep).schema.fields + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own, table = codec(path), byte_table(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in wordgrams.slices(texts, MAX_CHARS):
-                ids, begins = own.encode(texts[a:b])
+            for a, texts in _pieces(batch):
+                ids, begins = own.encode(texts)
                 lists = [ids]
                 if offsets:
-                    edge = [byte_table(path).offsets(ids[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
+                    edge = [table.offsets(ids[i:j]) for i, j in zip(begins[:-1], begins[1:], strict=True)]
                     lists += [np.concatenate([e[k] for e in edge]) for k in (0, 1)]
                 arrays = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x, pa.int32())) for x in lists]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], *arrays], names=schema.names)
+                if decoded:
+                    data, at = table.decode(ids)
+                    arrays.append(_binary(data, at[begins]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, len(texts)).columns[:-1], *arrays], names=schema.names)
+        own.forget()  # an idle worker need not hold what it has seen
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """The texts in a batch's last column, so many rows at a time as have ``MAX_CHARS`` characters, with the first row's number."""
+    column = batch.column(batch.num_columns - 1)
+    for first in range(0, len(column), PIECE_ROWS):
+        texts = [t or "" for t in column.slice(first, PIECE_ROWS).to_pylist()]
+        for a, b in wordgrams.slices(texts, MAX_CHARS):
+            yield first + a, texts[a:b]
+
+
+def _binary(data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)])
+
+
 def decode(df: DataFrame, keep: Sequence[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """``keep`` (which may hold ``ids``) and the bytes that the ids stand for, as ``decoded``."""
     path = path or public_tokenizers.path(RANKS)
@@ -194,8 +250,7 @@ def decode(df: DataFrame, keep: Sequence[str], ids: str = "ids", path: str | Non
                 b = a + max(1, int(np.searchsorted(np.cumsum(counts[a:]), MAX_TOKENS, "right")))
                 part = column.slice(a, b - a)
                 data, begins = own.decode(part.flatten().fill_null(-1).to_numpy(zero_copy_only=False))
-                rows = begins[np.concatenate(([0], np.cumsum(counts[a:b])))].astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(rows), pa.py_buffer(data)])
+                decoded = _binary(data, begins[np.concatenate(([0], np.cumsum(counts[a:b])))])
                 if part.null_count:
                     decoded = pa.compute.if_else(part.is_valid(), decoded, None)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(keep)], decoded], names=schema.names)
@@ -208,7 +263,7 @@ def decode(df: DataFrame, keep: Sequence[str], ids: str = "ids", path: str | Non
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     docs = inputs.table(spark, sf_dir, "documents")
-    both = decode(encode(docs, ["doc_id"]), ["doc_id", "ids"])
+    both = encode(docs, ["doc_id"], decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -219,5 +274,5 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the bytes that they decode to."""
-    both = decode(encode(docs, ["doc_id"]), ["doc_id", "ids"])
+    both = encode(docs, ["doc_id"], decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

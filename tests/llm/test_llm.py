@@ -336,6 +336,8 @@ def test_bpe_equals_the_ranks_and_decodes(spark):
     both = byte_bpe.decode(byte_bpe.encode(docs(spark, list(enumerate(texts))), ["doc_id"], offsets=True), ["doc_id", "ids"])
     for row in both.collect():
         assert row.ids == other.encode_ordinary(texts[row.doc_id] or "") and bytes(row.decoded) == (texts[row.doc_id] or "").encode()
+    once = byte_bpe.encode(docs(spark, list(enumerate(texts))), ["doc_id"], decoded=True)
+    assert sorted((x.doc_id, x.ids, bytes(x.decoded)) for x in once.collect()) == sorted((x.doc_id, x.ids, bytes(x.decoded)) for x in both.collect())
     marked = byte_bpe.encode(docs(spark, [(1, "é漢😀")]), ["doc_id"], offsets=True).first()
     assert marked.start[0] == 0 and marked.end[-1] == 3 and all(a < b for a, b in zip(marked.start, marked.end, strict=True))
     odd = spark.createDataFrame([(1, None), (2, [-1, 10**6, None, 64])], "doc_id long, ids array<int>")
@@ -429,6 +431,41 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 141)} | {i: 1 for i in range(1, 60)}
 
 
+# --- edges --------------------------------------------------------------------------------------------------------------
+
+
+CLASHING = ["label", "mentions", "attempts", "ids", "decoded", "host", "template", "score", "known", "rep", "component", "text_", "count", "e", "m", "n", "u", "v"]
+
+
+def edge_docs(spark):
+    """Nulls, ties, repeats, very long texts, and columns with names that operators use themselves."""
+    extra = [(9, "a@b." + "c." * 50_000 + "x " + "9" * 100_000 + " AKIA" * 10_000), (10, "é" * 200_000)]
+    df = docs(spark, EDGES + extra).withColumns({c: F.lit("clash") for c in CLASHING})
+    return df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_operators_take_edges(spark, empty):
+    df = edge_docs(spark)
+    df = df.limit(0) if empty else df
+    n = 0 if empty else len(EDGES) + 2
+    out = pii_surrogates.replace_entities(df)
+    assert out.count() == n and {*CLASHING} < {*out.columns}
+    assert license_scan.scan(df).count() == n
+    assert order_minhash.edited_fingerprints(df).count() == n
+    assert byte_bpe.decode(byte_bpe.encode(df, df.columns), ["doc_id", "ids", "label"]).count() == n
+    assert decontaminate.contained_items(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert jaccard_join.near_duplicates(df).count() == n
+    labels = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, label int")
+    model = spark.sparkContext.broadcast(toxicity.character_model(df))
+    weights = toxicity.fit(df, labels, model)
+    assert df.select(toxicity.score_column(spark, model, weights)).count() == n and (weights is None) == empty
+    pages = df.select("*", F.col("text").alias("url"), F.lit(1).alias("bad"))
+    assert url_templates.judge(pages).count() == n
+    talk = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "*")
+    assert chat_prefixes.digests(talk).agg(F.sum("n_turns")).first()[0] == (None if empty else n)
+
+
 # --- all ----------------------------------------------------------------------------------------------------------------
 
 
