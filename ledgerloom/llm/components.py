@@ -16,6 +16,7 @@ def _star(edges: DataFrame, least: DataFrame, keep: str) -> DataFrame:
     """Each edge's far end with the least node that its near end knows."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    every = every.hint("merge")  # Spark would judge its size before the salts multiply it, and might broadcast it
     return salted.join(every, ["u", "salt"]).where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
