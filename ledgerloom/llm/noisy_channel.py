@@ -1,11 +1,13 @@
 """Restoring words from leetspeak, spacing and repetition: Viterbi over a character lattice.
 
-A *suspect* is a token that holds look-alike characters among letters, a run of single
-characters set apart by spaces, dots, dashes or underscores, or a letter three times or
-more in a row. Each of its characters gives one step of a lattice: the letters that it may
-stand for, each with a cost, and within a run of three or more equal characters the
-choice to drop it. The cheapest path under a trigram character model, from the word's start to
-its end, is the restored word.
+A *suspect* is a token in which a look-alike character touches a letter, a run of single
+characters (letters and look-alikes, at least one a letter) set apart by one or more spaces,
+dots, dashes or underscores, or a letter three times or more in a row. Each of its characters
+gives one step of a lattice: the letters that it may stand for, each with a cost, and within
+a run of three or more equal characters the choice to drop it. The cheapest path under a
+trigram character model, from the word's start to its end, is the restored word. As signs
+around a word may be punctuation or letters, a token is read from each of its leading signs
+on, up to each of its trailing ones, and a spaced one also without any sign.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 SWAP_COST, DROP_COST, LONGEST = 1.0, 0.5, 48
+SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
 _SEPARATED = re.compile(r"[ .\-_]")
+_SIGNED = re.compile(f"[{re.escape(SIGNS)}]")
 
 
 def codes(text: str) -> np.ndarray:
@@ -68,8 +72,30 @@ class CharacterModel:
             text = _SEPARATED.sub("", text)
         if len(text) > LONGEST:  # no word: a long token is read in pieces
             return "".join(self.restore(text[i : i + LONGEST]) for i in range(0, len(text), LONGEST))
+        return self._endings(text, len(text)).pop()
+
+    def readings(self, token: str) -> set[str]:
+        """The cheapest readings of a token with and without the signs around it."""
+        text = token.lower()
+        texts = {text}
+        if _SEPARATED.search(text):
+            text = _SEPARATED.sub("", text)
+            texts = {text, _SIGNED.sub("", text)}
+        out: set[str] = set()
+        for text in texts - {""}:
+            first, last = len(text) - len(text.lstrip(SIGNS)), len(text.rstrip(SIGNS))
+            if len(text) > LONGEST:  # no word: read in pieces
+                out |= {self.restore(text), self.restore(text[first:last])}
+            else:
+                for a in range(min(first, last) + 1):
+                    out |= self._endings(text[a:], max(last - a, 1))
+        return out
+
+    def _endings(self, text: str, least: int) -> set[str]:
+        """The cheapest readings of the text's beginnings of ``least`` characters or more."""
         # state: the last two letters -> (cost, path); the number of states is bounded by the look-alikes' letters
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        out = set() if text else {""}
         for i, c in enumerate(text):
             options = [(AT[c], c, 0.0)] if AT.get(c) else []
             options += [(AT[x], x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
@@ -85,7 +111,9 @@ class CharacterModel:
                     if (a, b) not in after or new < after[a, b][0]:
                         after[a, b] = (new, path)
             states = after
-        return min((cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in states.items())[1]
+            if i + 1 >= least:
+                out.add(min((cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in states.items())[1])
+        return out
 
 
 @cache
@@ -118,22 +146,37 @@ def _suspects(joined: str, sizes: list[int]) -> Iterable[tuple[int, str]]:
     look = _look_table()[np.minimum(points, len(_look_table()) - 1)]
     hit = np.zeros(len(points), bool)
     hit[:-1] = look[:-1] & letter[1:]
+    hit[1:] |= look[1:] & letter[:-1]
     hit[:-2] |= letter[:-2] & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
     begin, end = _runs(letter | look)
     which = np.unique(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1)
-    spans = [(begin[which], end[which])]
-    alone = letter.copy()  # letters without a letter beside them
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    at = np.flatnonzero(alone)
-    if len(at) > 2:
-        between = points[np.minimum(at[:-1] + 1, len(points) - 1)]
-        tied = (np.diff(at) == 2) & ((between == 32) | (between == 46) | (between == 45) | (between == 95))
-        first, last = _runs(tied)
-        long = last - first >= 2
-        spans.append((at[first[long]], at[last[long]] + 1))
+    spans = [(begin[which], end[which]), _spaced(points, letter, begin, end)]
     begins = np.cumsum([0, *sizes])
     for first, last in spans:
         for x, y, d in zip(first.tolist(), last.tolist(), (np.searchsorted(begins, first, "right") - 1).tolist(), strict=True):
-            if token := joined[x:y].rstrip("!|+*(¡"):
-                yield d, token
+            yield d, joined[x:y]
+
+
+def _spaced(points: np.ndarray, letter: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of three or more single characters (with signs beside them, or signs alone) begin and end.
+
+    Wider gaps may part words: a run is also cut at the gaps wider than each width that occurs in it.
+    """
+    total = lambda x: np.concatenate(([0], np.cumsum(x)))
+    letters = total(letter)
+    signs = total(~(letter | ((points >= 48) & (points <= 57))))
+    gaps = total((points == 32) | (points == 46) | (points == 45) | (points == 95))
+    single = (end - begin) - (signs[end] - signs[begin]) <= 1
+    width = begin[1:] - end[:-1]
+    tied = single[:-1] & single[1:] & (gaps[begin[1:]] - gaps[end[:-1]] == width)
+    found = []
+    for first, last in zip(*_runs(tied), strict=True):
+        if last - first < 2 or letters[end[last]] == letters[begin[first]]:
+            continue
+        own = width[first:last]
+        for most in np.unique(own):
+            for a, b in zip(*_runs(own <= most), strict=True):
+                if b - a >= 2 and letters[end[first + b]] > letters[begin[first + a]]:
+                    found.append((begin[first + a], end[first + b]))
+    found = sorted(set(found))
+    return np.array([x for x, _ in found], np.int64), np.array([y for _, y in found], np.int64)

@@ -65,19 +65,20 @@ def character_model(docs: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
-def words_of(texts: list[str], model: CharacterModel, known: dict[str, str]) -> Iterator[set[str]]:
+def words_of(texts: list[str], model: CharacterModel, known: dict[str, set[str]]) -> Iterator[set[str]]:
     """The distinct words of each text in lower case, written or restored; ``known`` keeps what was restored before."""
     if len(known) > CACHED_WORDS:
         known.clear()
     for text, tokens in zip(texts, suspects(texts), strict=True):
         words = set(_WORDS.findall(text.lower()))
         for token in tokens:
-            word = known.get(token)
-            if word is None:
-                word = known[token] = model.restore(token)
-            words.add(word)
-            if _JOINED.search(token):  # the first or last letter may have been a word of its own
-                words.update((word[1:], word[:-1]))
+            read = known.get(token)
+            if read is None:
+                read = model.readings(token)
+                if _JOINED.search(token):  # the first or last letter may have been a word of its own
+                    read |= {x for w in read for x in (w[1:], w[:-1], w[1:-1])}
+                known[token] = read
+            words |= read
         words.discard("")
         yield words
 
@@ -114,7 +115,7 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + tops @ self.curve[1:], -40, 40)))
 
 
-def _tops(model: Broadcast, weights: Broadcast, texts: list[str], known: dict[str, str]) -> np.ndarray:
+def _tops(model: Broadcast, weights: Broadcast, texts: list[str], known: dict[str, set[str]]) -> np.ndarray:
     out = [weights.value.top(w) for a, b in wordgrams.slices(texts) for w in words_of(texts[a:b], model.value, known)]
     return np.array(out, float).reshape(len(texts), 2)
 
@@ -184,7 +185,7 @@ def score_column(spark: SparkSession, model: Broadcast, weights: Weights | None,
     sent = spark.sparkContext.broadcast(weights)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, str] = {}
+        known: dict[str, set[str]] = {}
         for column in batches:
             yield pa.array(sent.value.score(_tops(model, sent, _texts(column), known)))
 

@@ -292,6 +292,19 @@ def test_disguised_words_are_restored():
     assert noisy_channel.suspects(["plain words only, no. 2 here", "", "a b"]) == [[], [], []]
 
 
+def test_combined_disguises_are_restored():
+    r = random.Random(10)
+    clean = [" ".join(r.choice(["the", "idiot", "loser", "stupid", "moron", "hate", "reads", "nothing", "trash"]) for _ in range(200)) for _ in range(5)]
+    model = noisy_channel.CharacterModel(noisy_channel.trigram_counts(clean))
+    tokens = {
+        "idio7": "idiot", "idio+": "idiot", "idio+!!": "idiot", "hat3": "hate", "(1d10t)": "idiot", "1d10t!": "idiot", "1 d 1 0 t": "idiot", "m 0 r o n": "moron",
+        "s.t.u.p.1.d": "stupid", "i  d  i  o  t": "idiot", "i - d - 1 - 0 - t": "idiot", "(l.0.s.3.r!": "loser", "t r @ $ h": "trash", "t h e  m 0 r o n": "moron",
+    }
+    for token, word in tokens.items():
+        assert word in next(toxicity.words_of([f"so {token}, he"], model, {})), token
+    assert noisy_channel.suspects(["1 2 3 4 5", "in 3 of 10 - no", "1.2.3"]) == [[], [], []]
+
+
 def brute_restore(model, token):
     """All readings of a token without repeats, by enumeration."""
     best = {"": (0.0, 0, 0)}
