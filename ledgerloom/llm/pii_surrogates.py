@@ -93,6 +93,7 @@ def mention_pattern() -> str:
 def _searched(text: Column, search: Callable[[str], Column]) -> Column:
     """``search(pattern)``; only persons are sought in a text without the characters that all other mentions hold."""
     others = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike("[0-9]")
+    others = others | text.contains("AKIA") | text.contains("ASIA")  # access keys need no digit
     return F.when(others, search(mention_pattern())).otherwise(search(person_pattern()))
 
 
