@@ -7,7 +7,9 @@ the item and their likeness is high (above 0.19 at a containment of 0.8), howeve
 document is. A window and an item are candidates if they agree in any of ``FUNCTIONS``
 minimum hashes (missed at that likeness with a chance near one in a million). Candidates
 are verified over the whole document: the share of the item's distinct shingles that the
-document has. The minima of a larger class come from those of the smaller one.
+document has. The minima of a larger class come from those of the smaller one. Items of at
+most ``EXACT`` distinct shingles, half the smallest class, would be less alike; their
+shingles are looked up one by one, which misses nothing.
 
 Items reach the tasks as a broadcast of at most ``BLOCK_ITEMS`` items with at most
 ``BLOCK_SHINGLES`` shingles; a larger benchmark is a stated query set that is searched in
@@ -38,6 +40,7 @@ CONTAINMENT = 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_SHINGLES = 2_000_000
 SMALLEST = 16
+EXACT = SMALLEST // 2
 FOUND = "doc_id long, item_id long, item_shingles int, shared int, containment double"
 
 
@@ -54,6 +57,12 @@ class Items:
         #: By number of words, items too short for a shingle of k words.
         self.short = {n: np.flatnonzero(counts == n) for n in range(1, k) if (counts == n).any()}
         sizes = np.array([len(s) for s in self.shingles])
+        few = long[sizes[long] <= EXACT]
+        flat = np.concatenate([self.shingles[i] for i in few]) if len(few) else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        #: The shingles of items of at most ``EXACT`` in order, and whose each is.
+        self.few = flat[order], np.repeat(few, sizes[few])[order]
+        long = long[sizes[long] > EXACT]
         self.classes: list[tuple[int, np.ndarray]] = []  # size, items
         size, least = SMALLEST, 0
         while len(long) and least < sizes[long].max():
@@ -88,6 +97,7 @@ class Items:
         word, word_begins = wordgrams.words(texts)
         shingle, begins = wordgrams.shingles(word, word_begins, self.k)
         pairs = set(self._candidates(shingle, begins)) if len(shingle) else set()
+        yield from self._looked_up(shingle, begins, least)
         for n, members in self.short.items():
             run, at = wordgrams.shingles(word, word_begins, n)
             for i in members:
@@ -103,6 +113,23 @@ class Items:
             if shared >= least * len(item) - 1e-9:
                 yield d, i, len(item), shared
 
+    def _looked_up(self, shingle: np.ndarray, begins: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+        """As ``search``, for the items of at most ``EXACT`` shingles."""
+        keys, owners = self.few
+        if not len(keys):
+            return
+        left = np.searchsorted(keys, shingle, "left")
+        hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == shingle)
+        doc = np.searchsorted(begins, hit, "right") - 1
+        doc, left = np.divmod(np.unique(doc * len(keys) + left[hit]), len(keys))  # a document's distinct shingles
+        counts = np.searchsorted(keys, keys[left], "right") - left
+        at = np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        pair, shared = np.unique(np.repeat(doc, counts) * len(self.ids) + owners[at], return_counts=True)
+        for d, i, m in zip(*np.divmod(pair, len(self.ids)), shared, strict=True):
+            n = len(self.shingles[i])
+            if m >= least * n - 1e-9:
+                yield int(d), int(i), n, int(m)
+
     def _candidates(self, shingle: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
         counts = np.diff(begins)
         docs = np.flatnonzero(counts)

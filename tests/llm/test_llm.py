@@ -401,6 +401,19 @@ def test_containment_equals_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in out} == want
 
 
+@pytest.mark.parametrize("n_words", [5, 6, 8, 12, 13])
+def test_short_items_in_long_documents_are_found(n_words):
+    r = random.Random(16)
+    texts = [" ".join(f"{'xyzw'[j % 4]}{i}q{j}" for j in range(n_words)) for i in range(300)] + ["a a a a a a a"]
+    items = decontaminate.Items(list(range(301)), texts, 5)
+    filler = [f"w{i}" for i in range(5000)]
+    for part in range(0, 301, 43):
+        body = [" ".join([*r.choices(filler, k=200), t, *r.choices(filler, k=200)]) for t in texts[part : part + 43]]
+        got = set(items.search([" ".join(body), "", body[0]], decontaminate.CONTAINMENT))
+        want = [(i, len(items.shingles[i])) for i in range(part, min(part + 43, 301))]
+        assert got == {(0, i, n, n) for i, n in want} | {(2, part, want[0][1], want[0][1])}
+
+
 def test_benchmarks_are_searched_in_blocks(spark, monkeypatch):
     _, texts = planted(14, 30)
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
