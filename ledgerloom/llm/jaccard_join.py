@@ -1,7 +1,8 @@
 """Near-duplicate join: MinHash LSH forest over word shingles, verified exactly.
 
 1. Every text becomes its set of five-word shingles. Texts with equal sets are one class
-   of copies, represented by the least id; only representatives go on.
+   of copies, represented by a number of its own, as a doc_id may stand for several sets;
+   only representatives go on, each with the text of one row (its id and the text's hash).
 2. Each of ``TREES`` trees of the forest orders the signatures as paths of ``DEPTH``
    levels, a byte of a minimum hash per level, packed into one long: sorted, these are a
    prefix trie, and a shorter prefix is a shift to the right. Two texts are matched where
@@ -13,7 +14,7 @@
    likeness of their sets, in blocks of about ``BLOCK`` against ``BLOCK`` texts (fewer if
    they are long: about ``BLOCK_SHINGLES`` shingles a block). A block pair is a task's group, so a component of any size is split, and no pair of it is left
    out; only counts and ties to a block's least id leave the task, not the pairs.
-5. Classes are the components of the verified links.
+5. Classes are the components of the verified links, named by their least doc_id.
 
 Edge cases: null and empty texts, and texts without words, have no shingles; they are
 linked to nothing, not even to each other. Texts of one to four words have one shingle.
@@ -43,7 +44,8 @@ RECALL = 0.99999
 BLOCK = 1500
 BLOCK_SHINGLES = 400_000
 SEED = 9
-SIGNATURE = "doc_id long, set_hi long, set_lo long, n_shingles int, paths array<long>"
+SIGNATURE = "doc_id long, text_hash long, set_hi long, set_lo long, n_shingles int, paths array<long>"
+TEXT_HASH = "xxhash64(text) AS text_hash"
 VERIFIED = "rep long, hub long, links long"
 
 
@@ -64,7 +66,7 @@ def _sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = wordgrams.SHINGLE_WORDS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, set_hi, set_lo, n_shingles, paths) per row of ``docs`` (doc_id, text): 128 bits that name the set, and its tree paths."""
+    """(doc_id, text_hash, set_hi, set_lo, n_shingles, paths) per row of ``docs`` (doc_id, text): 128 bits that name the set, and its tree paths."""
     functions = wordgrams.hash_functions(trees * depth, SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,11 +90,11 @@ def signatures(docs: DataFrame, k: int = wordgrams.SHINGLE_WORDS, trees: int = T
                 lists = pa.ListArray.from_arrays(
                     np.arange(len(sets) + 1, dtype=np.int32) * trees, paths.ravel().view(np.int64)
                 )
-                columns = [batch.column(0).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in name)]
+                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in name)]
                 columns += [pa.array(sizes, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_hi", "set_lo", "n_shingles", "paths"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "set_hi", "set_lo", "n_shingles", "paths"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.expr(TEXT_HASH)).mapInArrow(run, SIGNATURE)
 
 
 def candidate_ties(representatives: DataFrame, threshold: float) -> DataFrame:
@@ -156,6 +158,11 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, k: int = wordgr
     ``class_id`` is the least id that links lead to; ``n_links`` counts the other rows
     whose likeness reaches the threshold, copies included.
     """
+    return _judged(docs, threshold, k).drop("text_hash")
+
+
+def _judged(docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> DataFrame:
+    """``near_duplicates`` with the text's hash, which tells the texts of a repeated id apart."""
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, k), "signatures")
     key = ["set_hi", "set_lo"]
@@ -163,18 +170,20 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, k: int = wordgr
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy(*key)
         .agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths")
-        ),
+            F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"),
+            F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"),
+        )
+        .select(F.monotonically_increasing_id().alias("rep"), "least.*", *key, "copies", "n_shingles", "paths"),
         "representatives",
     )
     grouped = components(candidate_ties(reps, threshold))
-    known = grouped.join(reps.select(F.col("rep").alias("node"), "copies", "n_shingles"), "node")
+    known = grouped.join(reps.select(F.col("rep").alias("node"), "doc_id", "text_hash", "copies", "n_shingles"), "node")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     sizes = known.groupBy("component").agg(blocks.alias("blocks"))
     members = known.join(sizes, "component").select(
-        "component", F.col("node").alias("rep"), "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        "component", F.col("node").alias("rep"), "doc_id", "text_hash", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     )
-    texts = members.join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    texts = members.join(docs.select("doc_id", "text", F.expr(TEXT_HASH)), ["doc_id", "text_hash"])
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", "rep", "copies", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
@@ -182,23 +191,25 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, k: int = wordgr
         pairs.groupBy("component", "i", "j").applyInPandas(lambda part: _verify(part, threshold, k), VERIFIED), "verified"
     )
     classes = components(verified.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    named = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id"), "rep")
+    named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("rep", "class_id")
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = (
-        reps.select("rep", "copies", *key)
+        reps.select("rep", "doc_id", "copies", *key)
         .join(counts, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(named, "rep", "left")
         .where("copies > 1 or links > 0")
         .select(
             *key,
-            F.coalesce("component", "rep").alias("class_id"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
     alone = F.coalesce("n_links", F.lit(0)).cast("long")
     return (
-        signed.select("doc_id", *key, F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), 1).alias("known"))
+        signed.select("doc_id", "text_hash", *key, F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), 1).alias("known"))
         .join(linked.withColumn("known", F.lit(1)), [*key, "known"], "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), alone.alias("n_links"))
+        .select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), alone.alias("n_links"))
     )
 
 
@@ -209,8 +220,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class, the one that names it; rows with a null id stay."""
-    others = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    others = _judged(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct()
+    kept = docs.join(others, (F.col("doc_id") == F.col("other_id")) & (F.xxhash64("text") == F.col("other_hash")), "left_anti")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()  # of the ids alone
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 

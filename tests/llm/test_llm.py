@@ -465,6 +465,18 @@ def test_near_duplicates_take_edges(spark):
     assert sorted(x.doc_id or -1 for x in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_repeated_ids_are_judged_by_their_own_sets(spark, monkeypatch):
+    r = random.Random(17)
+    a, b, c = prose(r, 60), prose(r, 60), prose(r, 60)
+    near = lambda t: t + " " + prose(r, 1)
+    rows = [(5, a), (5, b), (9, near(b)), (7, near(a)), (7, c), (3, near(c)), (5, b)]
+    for own in (rows, rows[::-1]):
+        got = sorted(map(tuple, jaccard_join.near_duplicates(docs(spark, own)).collect()))
+        assert got == sorted([(5, 5, 1), (5, 5, 2), (5, 5, 2), (9, 5, 2), (7, 5, 1), (7, 3, 1), (3, 3, 1)])
+    kept = jaccard_join.near_duplicates_stage(spark, docs(spark, [*rows, (11, c), (11, "some words of its own")]), "")
+    assert sorted(map(tuple, kept.collect())) == sorted([(3, rows[5][1]), (5, a), (5, b), (11, "some words of its own")])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
