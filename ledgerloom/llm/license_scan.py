@@ -9,6 +9,15 @@ A text in which none of the templates' signature words occurs is not cut up at a
 likeness of t needs more than ``t / (2 - t)`` of a template's pairs, so one word from each
 of the pairs beyond that share must occur.
 
+Besides, every window of consecutive words of the text, across its lines and paragraphs, is
+compared with the templates and with the full texts of some licences. Only windows that
+begin and end with a template's pair, and whose first pair does not return, can be the best
+ones; they are walked where the text holds the share of the template's pairs that it needs. A
+match within a longer one that another template fits better (a licence's clauses within a
+licence with more of them) is left out; the best of the others names the licence.
+Lines, paragraphs and texts are the parts counted as matches; where none of them matches,
+the separate stretches of matching windows are counted.
+
 Edge cases: a null text is empty; parts of less than two words match nothing; of equally
 good templates the least name wins. Every row of the input gives one row, whatever repeats.
 """
@@ -23,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import inputs
-from ledgerloom.llm.license_templates import TEMPLATES
+from ledgerloom.llm.license_templates import FULL_TEXTS, TEMPLATES
 
 DICE = 0.8
 SCANNED = "doc_id long, license string, dice double, n_matches int"
@@ -55,6 +64,74 @@ class Templates:
         #: A word that contains another one of them need not be looked for.
         self.signature = [w for w in signature if not any(v != w and v in w for v in signature)]
 
+        #: Which templates have a pair.
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for i, (_, _, own) in enumerate(self.all):
+            for p in own:
+                self.having.setdefault(p, []).append(i)
+
+    def windows(self, text: str) -> tuple[str | None, float | None, int]:
+        """As ``scan``, over all windows of words; the count is that of separate stretches of matching windows."""
+        low = text.translate(_LOWER)
+        if not any(w in low for w in self.signature):
+            return None, None, 0
+        words = _WORD.findall(low)
+        own = list(zip(words, words[1:], strict=False))
+        tops, matching = self.top_windows(own)
+
+        def outdone(i: int) -> bool:
+            """Whether the match is but a piece of a longer one that another template fits better."""
+            d, a, b = tops[i]
+            return any(
+                x <= a and b <= y and (x, y) != (a, b) and dice(frozenset(own[x:y]), self.all[i][2]) < e
+                for j, (e, x, y) in tops.items()
+                if j != i
+            )
+
+        left = [i for i in tops if not outdone(i)] or list(tops)
+        best = min(((-tops[i][0], self.all[i][1]) for i in left), default=None)
+        stretches, reach = 0, -1
+        for begin, end in sorted(matching):
+            stretches += begin > reach
+            reach = max(reach, end)
+        return (best[1], -best[0], stretches) if best else (None, None, 0)
+
+    def top_windows(self, own: list[tuple[str, str]]) -> tuple[dict[int, tuple[float, int, int]], list[tuple[int, int]]]:
+        """Each template's likest window of the pairs (likeness, begin, end), and all matching windows that begin at different places."""
+        hits: dict[int, list[int]] = {}
+        for at, p in enumerate(own):
+            for i in self.having.get(p, ()):
+                hits.setdefault(i, []).append(at)
+        tops: dict[int, tuple[float, int, int]] = {}
+        matching: list[tuple[int, int]] = []
+        for i, places in hits.items():
+            size, _, template = self.all[i]
+            small, large = size * self.least / (2 - self.least) - 1e-9, size * (2 - self.least) / self.least + 1e-9
+            if len(places) < small or len({own[at] for at in places}) < small:
+                continue
+            for begin in places:
+                seen: set[tuple[str, str]] = set()
+                shared, end = 0, 0
+                for at in range(begin, len(own)):
+                    p = own[at]
+                    if p in seen:
+                        if p == own[begin]:  # from the next pair on, the window holds the same
+                            break
+                        continue
+                    seen.add(p)
+                    if len(seen) > large:
+                        break
+                    if p in template:
+                        shared += 1
+                        d = 2 * shared / (len(seen) + size)
+                        if d >= self.least:
+                            end = at + 1
+                            if i not in tops or d > tops[i][0]:
+                                tops[i] = d, begin, end
+                if end:
+                    matching.append((begin, end))
+        return tops, matching
+
     def scan(self, text: str) -> tuple[str | None, float | None, int]:
         """Best template, its likeness, and how many parts match any template."""
         low = text.translate(_LOWER)
@@ -74,13 +151,23 @@ class Templates:
         return (best[1], -best[0], matches) if best else (None, None, 0)
 
 
-def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, least: float = DICE) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    templates: Mapping[str, Sequence[str]] = TEMPLATES,
+    least: float = DICE,
+    full_texts: Mapping[str, Sequence[str]] = FULL_TEXTS,
+) -> DataFrame:
     """(doc_id, license, dice, n_matches) per row of ``docs`` (doc_id, text); license and dice are null if nothing matches."""
     own = Templates(templates, least)
+    longer = Templates({n: (*templates.get(n, ()), *full_texts.get(n, ())) for n in {**templates, **full_texts}}, least)
+
+    def both(text: str) -> tuple[str | None, float | None, int]:
+        license, likeness, stretches = longer.windows(text)  # a part that matches is or holds such a window
+        return license, likeness, own.scan(text)[2] or stretches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [own.scan(t or "") for t in batch.column(1).to_pylist()]
+            found = [both(t or "") for t in batch.column(1).to_pylist()]
             names, scores, counts = zip(*found, strict=True) if found else ((), (), ())
             columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "dice", "n_matches"])

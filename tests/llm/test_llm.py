@@ -187,6 +187,28 @@ def test_license_pruning_loses_nothing():
         assert (got[1] or 0) == (best[0] if best[0] >= license_scan.DICE else 0)
 
 
+def test_licenses_across_paragraphs_and_within_lines(spark):
+    r = random.Random(18)
+    full = license_scan.FULL_TEXTS["BSD-3-Clause"][0]
+    bsd = re.sub(r" ([123]\.) |\n(?=THIS)", lambda m: f"\n\n{m[1] or ''} ", full)
+    line = "This paper and its figures are released under the MIT License. See the file for more, it is long and holds other words as well."
+    rows = [(1, bsd), (2, f"{prose(r, 300)}\n\n{bsd}\n\n{prose(r, 300)}"), (3, line), (4, f"{line}\n" * 2), (5, prose(r, 50)), (6, "rights reserved " * 20_000), (7, None)]
+    out = {x.doc_id: (x.license, x.dice and round(x.dice, 2), x.n_matches) for x in license_scan.scan(docs(spark, rows)).collect()}
+    assert out[1] == out[2] == ("BSD-3-Clause", 1.0, 1) and out[3] == ("MIT", 1.0, 1) and out[4] == ("MIT", 1.0, 2) and out[5] == out[7] == (None, None, 0)
+
+
+def test_license_windows_lose_nothing():
+    r = random.Random(19)
+    own = license_scan.Templates({"A": ("a b c a d b e a c",), "B": ("b a b c e",), "C": ("c d",)}, license_scan.DICE)
+    for _ in range(200):
+        text = " ".join(r.choice("abcde") for _ in range(r.randint(0, 25)))
+        w = text.split()
+        every = [license_scan.pairs(" ".join(w[i:j])) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        best = {n: max((license_scan.dice(p, t) for p in every), default=0) for _, n, t in own.all}
+        tops, _ = own.top_windows(list(zip(w, w[1:], strict=False)))
+        assert {own.all[i][1]: d for i, (d, *_) in tops.items()} == {n: d for n, d in best.items() if d >= own.least}
+
+
 # --- op4 ---------------------------------------------------------------------------------------------------------------
 
 
