@@ -10,7 +10,10 @@ counted (urls, labelled ones, bad ones) and a child becomes the wildcard ``*`` i
   parent's smoothed share (statistically similar branches merge; a child without labels
   gives no reason to be kept apart).
 
-Segments from the ``max_depth``-th on are one, ``**``. A template is blocked if its purity,
+With ``whole`` the tree is walked to its real depth; below ``max_depth`` levels a path that
+is the only one left under its template takes its other segments at once, so the number of
+levels, each a few jobs, is that of the deepest fork. Without ``whole``, as in the SQL,
+segments from the ``max_depth``-th on are one, ``**``. A template is blocked if its purity,
 the share of good labels smoothed by ``strength`` labels at the overall share, is below
 ``purity``. Only counts per distinct host and path shape are shuffled from level to level;
 they come from one aggregation with map-side sums, so a host with most of the urls is as
@@ -47,6 +50,7 @@ class Limits:
     z: float = 2.0
     strength: float = 5.0
     purity: float = 0.5
+    whole: bool = False
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,11 +74,27 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return (rule, verdict) if rule is not None else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def _segments(shape: Column, depth: int) -> Column:
-    """The segments after the leading slash; those from the ``depth``-th on are one."""
-    parts = F.split(F.regexp_replace(shape, "^/", ""), "/", -1)
-    cut = F.concat(F.slice(parts, 1, depth - 1), F.array(F.lit("**")))
-    return F.when(shape == "", F.array().cast("array<string>")).when(F.size(parts) > depth, cut).otherwise(parts)
+def _segments(shape: Column) -> Column:
+    """The segments after the leading slash."""
+    return F.when(shape == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(shape, "^/", ""), "/", -1))
+
+
+def _cut(tree: DataFrame, limits: Limits) -> DataFrame:
+    """``tree`` with the segments from the ``max_depth``-th on as one."""
+    cut = F.concat(F.slice("segments", 1, limits.max_depth - 1), F.array(F.lit("**")))
+    return tree.withColumn("segments", F.when(F.size("segments") > limits.max_depth, cut).otherwise(F.col("segments")))
+
+
+def _without_forks(tree: DataFrame, level: int) -> DataFrame:
+    """``tree`` with the segments from ``level`` on taken over where no other path is left under the template."""
+    more = F.size("segments") > level
+    alone = tree.where(more).groupBy("host", "template").agg(F.count("*").alias("paths")).where("paths = 1")
+    done = more & F.col("paths").isNotNull()
+    rest = F.array_join(F.slice(F.col("segments"), F.lit(level + 1), F.size("segments")), "/")
+    return tree.join(alone, ["host", "template"], "left").select(
+        "host", "shape", "n", "labelled", "bad", F.when(done, F.slice("segments", 1, level)).otherwise(F.col("segments")).alias("segments"),
+        F.when(done, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template")).alias("template"),
+    )
 
 
 def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -88,11 +108,17 @@ def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
     tree = written(
         urls.groupBy("host", "shape")
         .agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .select("*", _segments(F.col("shape"), limits.max_depth).alias("segments"), F.lit("").alias("template")),
+        .select("*", _segments(F.col("shape")).alias("segments"), F.lit("").alias("template")),
         "paths",
     )
     levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(levels):
+    if not limits.whole:
+        tree, levels = _cut(tree, limits), min(levels, limits.max_depth)
+    level = -1
+    while (level := level + 1) < levels:
+        if level >= limits.max_depth:
+            tree = written(_without_forks(tree, level), "paths")
+            levels = tree.agg(F.max(F.size("segments"))).first()[0]
         here = tree.withColumn("segment", F.get("segments", F.lit(level)))
         child = (
             here.where("segment is not null")
@@ -123,7 +149,7 @@ def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-def judge(urls: DataFrame, rules=RULES, limits: Limits = Limits()) -> DataFrame:
+def judge(urls: DataFrame, rules=RULES, limits: Limits = Limits(whole=True)) -> DataFrame:
     """``urls`` (with url and bad) with the columns host, path, rule, verdict, template and purity."""
     host, path = host_and_path(F.col("url"))
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "purity", "shape", "bad", "template_verdict")]

@@ -291,6 +291,22 @@ def test_templates_equal_brute_force(spark):
     assert {v[1] < 0.5 for v in got.values()} == {True, False}
 
 
+def test_deep_branches_are_told_apart(spark):
+    r = random.Random(20)
+    tails = {"spam": 1, "docs": 0}
+    rows = [(f"http://h.net/a/b/c/d/e/{t}/x/{i}", bad if r.random() < 0.9 else None) for t, bad in tails.items() for i in range(60)]
+    rows += [(f"http://h.net/a/b/c/d/f/{t}/{i}/deep/er", None) for t in ("p", "q") for i in range(3)]
+    df = spark.createDataFrame([(i, u, bad) for i, (u, bad) in enumerate(rows)], "page_id int, url string, bad int")
+    out = {x.page_id: x for x in url_templates.judge(df).collect()}
+    assert {(x.template, x.verdict) for i, x in out.items() if i < 60} == {("/a/b/c/d/*/spam/x/*", "block")}
+    assert {(x.template, x.verdict) for i, x in out.items() if 60 <= i < 120} == {("/a/b/c/d/*/docs/x/*", "allow")}
+    assert len(out) == len(rows) and {x.template for i, x in out.items() if i >= 120} == {"/a/b/c/d/*/*/*/deep/er"}
+    deep = [(h, "/" + "/".join(r.choice("ab") for _ in range(r.randint(1, 9))) + r.choice(["", "", "/c/c/c"]), r.choice([0, 1, 1])) for h in ("h1", "h2") for _ in range(300)]
+    got = url_templates.template_verdicts(spark.createDataFrame(deep, "host string, shape string, bad int"), url_templates.Limits(whole=True)).collect()
+    want = brute_templates(deep, url_templates.Limits(max_depth=12))
+    assert {(x.host, x.shape): (x.template, round(x.purity, 9)) for x in got} == want and max(len(s.split("/")) for _, s in want) > 8
+
+
 def test_hosts_paths_and_rules(spark):
     urls = ["HTTP://A.Example.ORG/es/x?q#f", "https://example.org/en/12", "http://other.com/fr/1", "http://x.com?/de/", "no url", None, "http://de.com/de/", "http://notexample.org/es/", "ftp://org/"]
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id int, url string, bad int")
