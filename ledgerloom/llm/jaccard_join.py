@@ -6,8 +6,9 @@
 2. Each of ``TREES`` trees of the forest orders the signatures as paths of ``DEPTH``
    levels, a byte of a minimum hash per level, packed into one long: sorted, these are a
    prefix trie, and a shorter prefix is a shift to the right. Two texts are matched where
-   their paths agree in a prefix. From the full depth on the prefix is shortened level by
-   level until a pair at the threshold is found with ``RECALL`` or better.
+   their paths agree in a prefix, the longest at which a pair at the threshold is found
+   with ``RECALL`` or better. The threshold alone decides its length, for all texts alike:
+   at 0.8 the forest comes to fixed banding, ``TREES`` bands of 6 levels.
 3. Texts under a prefix are tied to its least id (never to each other in pairs), and the
    connected components of these ties hold every pair that shares a prefix.
 4. Within a component all pairs of representatives are verified by the exact Jaccard
