@@ -224,13 +224,23 @@ def test_chat_round_trip_and_examples(spark):
         assert got[c].n_turns == len(turns) and got[c].loss_chars == len(loss)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    turns = chat_prefixes.format_turns(df)
-    whole = {(x.conv_id, x.target): x for x in chat_prefixes.materialize(turns).collect()}
-    short = chat_prefixes.prefix_examples(turns).collect()
-    assert len(whole) == len(short) == sum(1 for x in rows if x[2] == "assistant")
-    for x in short:
-        text = whole[x.conv_id, x.target].text
-        assert text[x.context_chars :] == x.chunk and len(text[: x.context_chars].split("\n</turn>\n")) - 1 == x.context_turns
+    shorter = chat_prefixes.prefix_examples(chat_prefixes.format_conversations(df)).withColumn("turns", chat_prefixes.read_turns(F.col("text")))
+    reply = chat_prefixes.masked_text(F.col("text"), F.col("loss_start"), F.col("loss_end"))
+    examples = shorter.withColumn("reply", reply).withColumn("counted", chat_prefixes.count_turns(F.col("text"))).collect()
+    assert len(examples) == sum(1 for x in rows if x[2] == "assistant")
+    for x in examples:  # every turn before the target is its context, and only the target is trainable
+        turns = [(role or "", text or "") for i, _, role, text in rows if i == x.conv_id][: x.target]
+        assert [tuple(t) for t in x.turns] == turns and x.counted == x.target and turns[-1] == ("assistant", x.reply)
+
+
+def test_chat_ties_and_rows_without_a_conversation(spark):
+    rows = [(1, 0, "assistant", "###"), (1, 0, "assistant", "Z"), (1, None, None, "x"), (None, 0, "user", "p"), (None, 0, "assistant", "q"), (None, 0, "assistant", "q"), (2, 1, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("lone", "n", "chunk", "formatted", "turns", "t", "target")})
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((x.conv_id or 0, x.turns_sha256, x.loss_sha256, x.n_examples) for x in chat_prefixes.digests(df).collect())
+    want = [(1, sha("\nx\nassistant\n###\nassistant\nZ\n"), sha("###Z"), 2), (0, sha("user\np\n"), sha(""), 0), (2, sha("user\n\n"), sha(""), 0)] + [(0, sha("assistant\nq\n"), sha("q"), 1)] * 2
+    assert got == sorted(want)
+    assert chat_prefixes.digests(df.limit(0)).count() == 0
 
 
 # --- op5 ---------------------------------------------------------------------------------------------------------------
