@@ -3,18 +3,26 @@
 1. Every text becomes its set of five-word shingles. Texts with equal sets are one class
    of copies, represented by a number of its own, as a doc_id may stand for several sets;
    only representatives go on, each with the text of one row (its id and the text's hash).
-2. Each of ``TREES`` trees of the forest orders the signatures as paths of ``DEPTH``
-   levels, a byte of a minimum hash per level, packed into one long: sorted, these are a
-   prefix trie, and a shorter prefix is a shift to the right. Two texts are matched where
-   their paths agree in a prefix, the longest at which a pair at the threshold is found
-   with ``RECALL`` or better. The threshold alone decides its length, for all texts alike:
-   at 0.8 the forest comes to fixed banding, ``TREES`` bands of 6 levels.
-3. Texts under a prefix are tied to its least id (never to each other in pairs), and the
-   connected components of these ties hold every pair that shares a prefix.
-4. Within a component all pairs of representatives are verified by the exact Jaccard
-   likeness of their sets, in blocks of about ``BLOCK`` against ``BLOCK`` texts (fewer if
-   they are long: about ``BLOCK_SHINGLES`` shingles a block). A block pair is a task's group, so a component of any size is split, and no pair of it is left
-   out; only counts and ties to a block's least id leave the task, not the pairs.
+   A set so small that no other set can reach the threshold with it is left out.
+2. Each of ``TREES`` trees of the forest orders the signatures as paths of ``DEPTH`` levels,
+   a byte of a minimum hash per level, packed into one long. All paths are sorted once, over
+   ranges of (tree, path, representative), so that a prefix with very many texts is spread
+   over ranges too. Sorted, they are prefix tries: the bytes that neighbours have in common
+   are the depth of the node where they part. A text is tied to the first text of its node
+   (never to each other in pairs) and ranges are tied at their ends.
+3. Prefixes are shortened from ``DEPTH`` until, at the threshold, ``RECALL`` of the pairs
+   share one in some tree (at 0.8: 6 levels), and from there text by text: a verified link
+   whose prefixes all end at the last level shows that the level before had missed it, so
+   the text's recall is measured by the share of its links that a longer prefix had found.
+   Texts below ``MEASURED`` shorten their prefixes by a level, down to ``SHORTEST``, and the
+   components that this joins are verified anew.
+4. The connected components of the ties hold every pair that shares a prefix. Within a
+   component all pairs are verified by the exact Jaccard likeness of their sets (64-bit
+   shingle hashes), in blocks of about ``BLOCK`` against ``BLOCK`` sets. Linked sets' sizes
+   differ by at most the factor 1 / threshold, so blocks are cut by size classes of that
+   factor and only equal and neighbouring classes are compared. A block pair is a task's
+   group, so a component of any size is split, and no pair of it is left out; only counts
+   and ties to a block's least id leave the task, not the pairs.
 5. Classes are the components of the verified links, named by their least doc_id.
 
 Edge cases: null and empty texts, and texts without words, have no shingles; they are
@@ -26,12 +34,14 @@ An empty table gives no rows; of the input only the id and text columns are read
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import inputs, wordgrams
@@ -41,13 +51,15 @@ from ledgerloom.plans.scratch import written
 JACCARD = 0.8
 TREES = 40
 DEPTH = 8
-RECALL = 0.99999
-BLOCK = 1500
-BLOCK_SHINGLES = 400_000
+RECALL, MEASURED = 0.99999, 0.999
+SHORTEST = 5
+BLOCK = 400
+BLOCK_SHINGLES = 200_000
 SEED = 9
 SIGNATURE = "doc_id long, text_hash long, set_hi long, set_lo long, n_shingles int, paths array<long>"
 TEXT_HASH = "xxhash64(text) AS text_hash"
-VERIFIED = "rep long, hub long, links long"
+TIE = "u long, v long, tree int, path long, depth int, edge int, last boolean"
+VERIFIED = "rep long, hub long, links long, shallow long"
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -98,14 +110,74 @@ def signatures(docs: DataFrame, k: int = wordgrams.SHINGLE_WORDS, trees: int = T
     return docs.select(F.col("doc_id").cast("long"), "text", F.expr(TEXT_HASH)).mapInArrow(run, SIGNATURE)
 
 
-def candidate_ties(representatives: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) from each text to the least id under each prefix that it shares with another."""
-    drop = 8 * (DEPTH - prefix_depth(threshold))
-    under = representatives.select("rep", F.posexplode("paths").alias("tree", "path")).select(
-        "rep", F.xxhash64("tree", F.shiftrightunsigned("path", drop)).alias("prefix")
-    )
-    hubs = under.groupBy("prefix").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    return under.join(hubs, "prefix").where("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+def _depth(tree: np.ndarray, path: np.ndarray, shortest: int) -> np.ndarray:
+    """How many bytes each path shares with the one before it in its tree; less than ``shortest`` counts as 0, the first's is 0."""
+    out = np.zeros(len(path), np.int32)
+    differ = (path[1:] ^ path[:-1]).view(np.uint64)
+    for d in range(shortest, DEPTH + 1):
+        out[1:][differ < np.uint64(1 << 8 * (DEPTH - d))] = d
+    out[1:][tree[1:] != tree[:-1]] = 0
+    return out
+
+
+def trie_ties(representatives: DataFrame, base: int, shortest: int) -> DataFrame:
+    """(u, v, tree, path, depth): per text and tree its tie to the node it lies under.
+
+    Up to the ``base`` depth u is tied to the first text of its node of that depth in the
+    range, and deeper nodes are within it; where neighbours part at a depth from
+    ``shortest`` to below ``base`` they are tied to each other. Ranges are tied at their ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge, before, head = TaskContext.get().partitionId(), None, None
+        names = [c.split()[0] for c in TIE.split(", ")]
+
+        def ends(row: tuple, last: bool) -> pa.RecordBatch:
+            rep, tree, path = row
+            return pa.RecordBatch.from_pylist(
+                [{"u": rep, "v": None, "tree": tree, "path": path, "depth": None, "edge": edge, "last": last}], schema=schema
+            )
+
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("tree", pa.int32()), ("path", pa.int64()), ("depth", pa.int32()), ("edge", pa.int32()), ("last", pa.bool_())])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, path, rep = (batch.column(i).to_numpy() for i in range(3))
+            if before is None:
+                yield ends((int(rep[0]), int(tree[0]), int(path[0])), False)
+                before, head = (rep[:1], tree[:1], path[:1]), rep[0]
+            rep, tree, path = (np.concatenate(x) for x in zip(before, (rep, tree, path), strict=True))
+            depth = _depth(tree, path, shortest)
+            at = np.arange(len(rep))
+            opens = depth < base
+            opens[0] = False
+            first = np.maximum.accumulate(np.where(opens, at, 0))
+            heads = np.where(first == 0, head, rep[first])
+            use = depth > 0
+            v = np.where(opens, np.concatenate((rep[:1], rep[:-1])), heads)
+            use &= v != rep
+            n = int(use.sum())
+            if n:
+                columns = [pa.array(rep[use]), pa.array(v[use]), pa.array(tree[use], pa.int32()), pa.array(path[use]), pa.array(np.minimum(depth[use], base), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_())], names=names)
+            before, head = (rep[-1:], tree[-1:], path[-1:]), heads[-1]
+        if before is not None:
+            yield ends((int(before[0][0]), int(before[1][0]), int(before[2][0])), True)
+
+    paths = representatives.select("rep", F.posexplode("paths").alias("tree", "path")).select("tree", "path", "rep")
+    ordered = paths.repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
+    found = written(ordered.mapInArrow(run, TIE), "ties")
+    # two rows for each range: the end of one and the begin of the next
+    order = Window.orderBy("edge", "last")
+    ends = found.where("edge IS NOT NULL").select("*", *(F.lag(c).over(order).alias(f"p_{c}") for c in ("u", "tree", "path")))
+    differ = F.col("path").bitwiseXOR(F.col("p_path"))
+    depth = sum((F.when(F.shiftrightunsigned(differ, 8 * (DEPTH - d)) == 0, 1).otherwise(0) for d in range(1, DEPTH + 1)), F.lit(0))
+    joined = ends.where("NOT last AND tree = p_tree").select("u", F.col("p_u").alias("v"), "tree", "path", F.least(depth, F.lit(base)).alias("depth"))
+    return found.where("edge IS NULL").select("u", "v", "tree", "path", "depth").unionByName(joined.where(F.col("depth") >= shortest))
+
+
+def _node(tree: str, path: str, depth: int) -> Column:
+    return F.xxhash64(tree, F.shiftrightunsigned(path, 8 * (DEPTH - depth)))
 
 
 def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,14 +196,15 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) ->
         yield i, np.flatnonzero(shared >= threshold * (len(own) + sizes - shared) - 1e-9)
 
 
-def _verify(part: pd.DataFrame, threshold: float, k: int) -> pd.DataFrame:
-    """A block pair: per text its links across the pair and the least id that it is linked with here."""
-    part = part.drop_duplicates("rep").sort_values("rep", ignore_index=True)
+def _verify(part: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
+    """A block pair: per text its links across the pair, those that prefixes longer than ``depth`` miss, and the least id it is linked with here."""
+    part = part.sort_values("rep", ignore_index=True)
     rep, copies, side = part["rep"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy()
     one, other = part["i"].iloc[0], part["j"].iloc[0]
-    sets = _sets(part["text"].fillna("").tolist(), k)
+    sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+    prefixes = np.array(part["paths"].tolist(), np.int64).reshape(len(part), -1) >> np.int64(max(8 * (DEPTH - depth - 1), 0))
     a, b = np.flatnonzero(side == one), np.flatnonzero(side == other)
-    links, parent = np.zeros(len(part), np.int64), np.arange(len(part))
+    links, shallow, parent = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), np.arange(len(part))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -143,14 +216,62 @@ def _verify(part: pd.DataFrame, threshold: float, k: int) -> pd.DataFrame:
         for x, found in _links([sets[x] for x in a], [sets[y] for y in b], threshold):
             x, found = a[x], b[found]
             found = found[found != x]
+            missed = ~(prefixes[found] == prefixes[x]).any(1) if depth < DEPTH else np.zeros(len(found), bool)
             links[x] += copies[found].sum()
+            shallow[x] += copies[found[missed]].sum()
             if one != other:
                 links[found] += copies[x]
+                shallow[found[missed]] += copies[x]
             for y in found:
                 p, q = root(x), root(y)
                 parent[max(p, q)] = min(p, q)
     hub = rep[[root(x) for x in range(len(part))]]
-    return pd.DataFrame({"rep": rep, "hub": hub, "links": links})[(links > 0) | (hub != rep)]
+    return pd.DataFrame({"rep": rep, "hub": hub, "links": links, "shallow": shallow})[(links > 0) | (hub != rep)]
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, shingles): the set of each representative, its hashes in order as bytes; ``texts`` is (rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in wordgrams.slices(texts):
+                sets = [s.tobytes() for s in _sets(texts[a:b], k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
+
+
+def _blocks(known: DataFrame, threshold: float) -> DataFrame:
+    """(component, rep, block, others): the block of each member of ``known`` (component, node, n_shingles) and all blocks to compare it with."""
+    # sizes of linked sets differ by less than this factor, so their classes by one at most
+    factor = math.log(1 / threshold * (1 + 1e-6))
+    members = known.select("component", F.col("node").alias("rep"), "n_shingles", F.floor(F.log("n_shingles") / factor).cast("int").alias("size"))
+    count = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("component", "size").agg(count.alias("blocks"))
+    # a component has at most some tens of size classes
+    maps = sizes.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"))
+    label = lambda size, number: size.cast("long") * (1 << 32) + number
+    own = F.coalesce(F.element_at("blocks", F.col("size")), F.lit(1))
+    numbers = lambda size: F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", size), F.lit(0))), lambda n: F.when(n < F.coalesce(F.try_element_at("blocks", size), F.lit(0)), label(size, n))
+    )
+    others = F.filter(F.concat(*(numbers(F.col("size") + i) for i in (-1, 0, 1))), lambda x: x.isNotNull())
+    return members.join(maps, "component").select(
+        "component", "rep", label(F.col("size"), F.pmod(F.xxhash64("rep"), own)).alias("block"), others.alias("others")
+    )
+
+
+def _verified(known: DataFrame, docs: DataFrame, threshold: float, k: int, depth: int) -> DataFrame:
+    """``VERIFIED`` rows of the components in ``known`` (component, node, doc_id, text_hash, copies, n_shingles, paths)."""
+    wanted = known.select(F.col("node").alias("rep"), "doc_id", "text_hash", "copies", "paths")
+    texts = wanted.select("rep", "doc_id", "text_hash").join(docs.select("doc_id", "text", F.expr(TEXT_HASH)), ["doc_id", "text_hash"])
+    sets = _shingle_sets(texts, k).groupBy("rep").agg(F.first("shingles").alias("shingles"))  # rows may repeat
+    members = _blocks(known, threshold).join(wanted.select("rep", "copies", "paths"), "rep").join(sets, "rep")
+    pairs = members.withColumn("other", F.explode("others")).select(
+        "component", "rep", "copies", "block", "shingles", "paths", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    return written(pairs.groupBy("component", "i", "j").applyInPandas(lambda part: _verify(part, threshold, depth), VERIFIED), "verified")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> DataFrame:
@@ -162,35 +283,57 @@ def near_duplicates(docs: DataFrame, threshold: float = JACCARD, k: int = wordgr
     return _judged(docs, threshold, k).drop("text_hash")
 
 
-def _judged(docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> DataFrame:
-    """``near_duplicates`` with the text's hash, which tells the texts of a repeated id apart."""
-    docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, k), "signatures")
-    key = ["set_hi", "set_lo"]
-    reps = written(
+def representatives(signed: DataFrame, threshold: float) -> DataFrame:
+    """A row per distinct set of ``signatures`` rows: its number, one of its rows, and how many rows it stands for."""
+    return (
         signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy(*key)
+        .groupBy("set_hi", "set_lo")
         .agg(
             F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count("*").alias("copies"),
             F.first("n_shingles").alias("n_shingles"), F.first("paths").alias("paths"),
         )
-        .select(F.monotonically_increasing_id().alias("rep"), "least.*", *key, "copies", "n_shingles", "paths"),
-        "representatives",
-    )
-    grouped = components(candidate_ties(reps, threshold))
-    known = grouped.join(reps.select(F.col("rep").alias("node"), "doc_id", "text_hash", "copies", "n_shingles"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = known.groupBy("component").agg(blocks.alias("blocks"))
-    members = known.join(sizes, "component").select(
-        "component", F.col("node").alias("rep"), "doc_id", "text_hash", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    )
-    texts = members.join(docs.select("doc_id", "text", F.expr(TEXT_HASH)), ["doc_id", "text_hash"])
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", "rep", "copies", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    verified = written(
-        pairs.groupBy("component", "i", "j").applyInPandas(lambda part: _verify(part, threshold, k), VERIFIED), "verified"
+        .select(F.monotonically_increasing_id().alias("rep"), "least.*", "set_hi", "set_lo", "copies", "n_shingles", "paths")
     )
+
+
+def forest_links(reps: DataFrame, docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``VERIFIED`` rows of all linked representatives, and per step (depth, links, links that longer prefixes miss), each link counted from both sides."""
+    depth = prefix_depth(threshold)
+    shortest = min(depth, SHORTEST)
+    # the likest other set has one shingle more
+    searched = reps.where(F.col("n_shingles") >= threshold * (F.col("n_shingles") + 1) - 1e-9)
+    ties = trie_ties(searched, depth, shortest)
+    about = reps.select(F.col("rep").alias("node"), "doc_id", "text_hash", "copies", "n_shingles", "paths")
+    used = ties.where(F.col("depth") >= depth).select("u", "v")
+    found = _verified(components(used).join(about, "node"), docs, threshold, k, depth)
+    steps = []
+    while True:
+        texts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("shallow").alias("shallow"))
+        active = written(texts.where((F.col("shallow") > (1 - MEASURED) * F.col("links")) & F.lit(depth > shortest)).select("rep"), "active")
+        total = texts.agg(F.sum("links"), F.sum("shallow")).first()
+        steps.append((depth, total[0] or 0, total[1] or 0))
+        if not active.limit(1).count():
+            return found, steps
+        depth -= 1
+        nodes = active.join(reps, "rep").select(F.posexplode("paths").alias("tree", "path")).select(_node("tree", "path", depth).alias("at")).distinct()
+        low = ties.where(F.col("depth").between(depth, prefix_depth(threshold) - 1)).withColumn("at", _node("tree", "path", depth))
+        more = written(low.join(nodes, "at", "left_semi").select("u", "v"), "more")
+        # what these ties join, with the classes and candidates that it had been in
+        grouped = components(used.unionAll(more))
+        changed = grouped.join(more.select(F.col("u").alias("node")).unionAll(more.select(F.col("v").alias("node"))).distinct(), "node").select("component").distinct()
+        known = written(grouped.join(changed, "component").join(about, "node"), "changed")
+        again = _verified(known, docs, threshold, k, depth)
+        found = written(found.join(known.select(F.col("node").alias("rep")), "rep", "left_anti").select(*again.columns).unionAll(again), "verified")
+        used = used.unionAll(more)
+
+
+def _judged(docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> DataFrame:
+    """``near_duplicates`` with the text's hash, which tells the texts of a repeated id apart."""
+    docs = docs.select("doc_id", "text")
+    signed = written(signatures(docs, k), "signatures")
+    key = ["set_hi", "set_lo"]
+    reps = written(representatives(signed, threshold), "representatives")
+    verified, _ = forest_links(reps, docs, threshold, k)
     classes = components(verified.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     named = classes.withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id"), "rep")
     named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("class_id")), "component").select("rep", "class_id")
