@@ -80,6 +80,13 @@ def event_data_map(pairs: Column) -> Column:
     return F.map_from_entries(first)
 
 
+def event_data_warnings(pairs: Column) -> Column:
+    """What ``event_data_map`` leaves out of an array of (name, value), in order: ``blank_name``, or ``duplicate_name:`` and the name in lower case."""
+    names = F.transform(pairs, lambda p: F.lower(null_if_blank(p["name"])))
+    warning = lambda n, i: F.when(n.isNull(), "blank_name").when(F.array_position(names, n) <= i, F.concat(F.lit("duplicate_name:"), n))
+    return F.filter(F.transform(names, warning), lambda w: w.isNotNull())
+
+
 def delete_permission(access_list: Column, access_mask: Column) -> Column:
     """delete, delete_child, delete_and_delete_child or not_observed, from the mask's bits or the list's tokens."""
     listed = F.coalesce(access_list, F.lit(""))

@@ -1,17 +1,22 @@
 """The process and the security evidence behind each delete: a ladder of nearest-in-time joins.
 
-Joins within a window are equi-joins on the keys and a time bucket as wide as the window,
-for which each delete is put into three buckets; the nearest partner is an aggregation
-with partial minima, ties going to the earlier record. Neither needs a nested loop.
+Matches within a window are equi-joins on the keys and a time bucket as wide as the window,
+for which each delete is put into three buckets. The match by GUID knows no window, so it
+makes no pairs: both sides are sorted into one order, in which each delete sees the nearest
+process before and after it. All candidates meet in one aggregation with partial minima,
+which carries the partner's fields along; ties go to the earlier record.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import micros, missing_fields, normalize_path
-from ledgerloom.options import CorrelationOptions
+from ledgerloom.operators.ordering import nearest
+from ledgerloom.options import HOUR, CorrelationOptions
 
 #: Fields that a process or evidence may fill, with their names in reasons, in order.
 PROCESS_FIELDS = {
@@ -37,7 +42,7 @@ def _same_user(a: str, b: str) -> Column:
     return F.coalesce(F.when(sids[0].isNotNull() & sids[1].isNotNull(), sids[0] == sids[1]).otherwise(names), F.lit(False))
 
 
-def _side(df: DataFrame, prefix: str, object_path: str | None = None) -> DataFrame:
+def _side(df: DataFrame, prefix: str, object_path: str | None = None, fields: Sequence[str] = ()) -> DataFrame:
     optional = lambda name, kind: F.col(name) if name in df.columns else F.lit(None).cast(kind)
     return df.select(
         F.col("raw_event_id").alias(f"{prefix}_id"),
@@ -49,14 +54,23 @@ def _side(df: DataFrame, prefix: str, object_path: str | None = None) -> DataFra
         _path_key(F.col(object_path or "process_path")).alias("path"),
         F.col("user_name").alias(f"{prefix}_user"),
         F.col("user_sid").alias(f"{prefix}_sid"),
+        *([F.struct(*fields).alias(f"{prefix}_fields")] if fields else []),
     )
 
 
-def _nearest(pairs: DataFrame, prefix: str, name: str) -> DataFrame:
-    """(d_id, name: struct of partner id and distance) for the nearest partner of each delete."""
-    delta = F.abs(F.col("d_us") - F.col(f"{prefix}_us"))
-    best = F.min_by(F.struct(F.col(f"{prefix}_id").alias("id"), delta.alias("delta")), F.struct(delta, F.col(f"{prefix}_ord")))
-    return pairs.groupBy("d_id").agg(best.alias(name))
+def _candidates(pairs: DataFrame, prefix: str, kind: str, tier: Column | int) -> DataFrame:
+    """(d_id, kind, tier, delta, ordinal, partner, fields) of pairs; the partner's fields if the side carries them."""
+    fields = [F.col(f"{prefix}_fields").alias("fields")] if f"{prefix}_fields" in pairs.columns else []
+    return pairs.select(
+        "d_id", F.lit(kind).alias("kind"), (F.lit(tier) if isinstance(tier, int) else tier).alias("tier"),
+        F.abs(F.col("d_us") - F.col(f"{prefix}_us")).alias("delta"), F.col(f"{prefix}_ord").alias("ordinal"), F.col(f"{prefix}_id").alias("partner"), *fields,
+    )
+
+
+def _nearest(candidates: DataFrame, name: str) -> DataFrame:
+    """(d_id, name: struct of partner id and distance) for the nearest candidate of each delete."""
+    best = F.min_by(F.struct(F.col("partner").alias("id"), "delta"), F.struct("delta", "ordinal"))
+    return candidates.groupBy("d_id").agg(best.alias(name))
 
 
 def _within(d: DataFrame, other: DataFrame, keys: list[str], prefix: str, window_us: int) -> DataFrame:
@@ -69,10 +83,38 @@ def _within(d: DataFrame, other: DataFrame, keys: list[str], prefix: str, window
     return pairs.where(F.abs(F.col("d_us") - F.col(f"{prefix}_us")) <= window_us)
 
 
+def guid_candidates(d: DataFrame, p: DataFrame) -> DataFrame:
+    """The nearest process of the same computer and GUID, at any distance; one row a delete."""
+    fields = ["p_fields"] if "p_fields" in p.columns else []
+    partner = F.struct("p_id", "p_us", "p_ord", *fields)
+    sides = nearest(d.where("guid IS NOT NULL").select("computer", "guid", "d_id", "d_us"), p, ["computer", "guid"], ("d_us", "p_us"), partner, "p_ord", HOUR * 24)
+    delta = lambda x: F.struct(F.abs(F.col("d_us") - x["p_us"]).alias("delta"), x["p_ord"].alias("ordinal"))
+    earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (delta(F.col("before")) <= delta(F.col("after"))))
+    found = sides.select("d_id", "d_us", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("p")).where("p IS NOT NULL")
+    return _candidates(found.select("d_id", "d_us", "p.*"), "p", "process", 3)
+
+
+def pid_candidates(d: DataFrame, p: DataFrame, window_us: int) -> DataFrame:
+    """Same computer, process id and known user within the window, unless the id was started anew by then."""
+    pairs = _within(d, with_next_start(p), ["computer", "pid"], "p", window_us)
+    alive = F.col("next_start").isNull() | (F.col("next_start") > F.col("d_us"))
+    return _candidates(pairs.where(_same_user("d", "p") & alive), "p", "process", 2)
+
+
+def path_candidates(d: DataFrame, p: DataFrame, window_us: int) -> DataFrame:
+    """Same computer and process path within the window: a hint only."""
+    return _candidates(_within(d, p, ["computer", "path"], "p", window_us), "p", "process", 1)
+
+
+def security_candidates(d: DataFrame, s: DataFrame, window_us: int) -> DataFrame:
+    """Same computer and object within the window: reliable (2) if process and user agree, else a hint (1)."""
+    pairs = _within(d, s.withColumn("s_pid", F.col("pid")), ["computer", "path"], "s", window_us)
+    reliable = F.coalesce(_same_user("d", "s") & (F.col("pid") == F.col("s_pid")), F.lit(False))
+    return _candidates(pairs, "s", "security", F.when(reliable, 2).otherwise(1))
+
+
 def match_process_guid(deletes: DataFrame, processes: DataFrame) -> DataFrame:
-    """Same computer and GUID, at any distance."""
-    pairs = _side(deletes, "d").join(_side(processes, "p").drop("pid", "path"), ["computer", "guid"])
-    return _nearest(pairs, "p", "by_guid")
+    return _nearest(guid_candidates(_side(deletes, "d"), _side(processes, "p")), "by_guid")
 
 
 def with_next_start(side: DataFrame) -> DataFrame:
@@ -82,36 +124,30 @@ def with_next_start(side: DataFrame) -> DataFrame:
 
 
 def match_process_pid(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions) -> DataFrame:
-    """Same computer, process id and known user within the window, unless the id was started anew by then."""
-    pairs = _within(_side(deletes, "d"), with_next_start(_side(processes, "p")), ["computer", "pid"], "p", options.window_us)
-    alive = F.col("next_start").isNull() | (F.col("next_start") > F.col("d_us"))
-    return _nearest(pairs.where(_same_user("d", "p") & alive), "p", "by_pid")
+    return _nearest(pid_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us), "by_pid")
 
 
 def match_process_path(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions) -> DataFrame:
-    """Same computer and process path within the window: a hint only."""
-    return _nearest(_within(_side(deletes, "d"), _side(processes, "p"), ["computer", "path"], "p", options.window_us), "p", "by_path")
+    return _nearest(path_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us), "by_path")
+
+
+def permitted(evidence: DataFrame) -> DataFrame:
+    return evidence.where("delete_permission <> 'not_observed'")
 
 
 def match_security(deletes: DataFrame, evidence: DataFrame, options: CorrelationOptions) -> DataFrame:
-    """Evidence of a delete permission on the same object within the window, reliable if process and user agree."""
-    permitted = evidence.where("delete_permission <> 'not_observed'")
-    d = _side(deletes, "d", "full_path")
-    other = _side(permitted, "s", "full_path").withColumn("s_pid", F.col("pid"))
-    pairs = _within(d, other, ["computer", "path"], "s", options.window_us)
-    reliable = _same_user("d", "s") & (F.col("pid") == F.col("s_pid"))
-    delta = F.abs(F.col("d_us") - F.col("s_us"))
-    value = F.struct(F.col("s_id").alias("id"), delta.alias("delta"))
-    order = F.struct(delta, F.col("s_ord"))
-    return pairs.groupBy("d_id").agg(
-        F.min_by(F.when(reliable, value), F.when(reliable, order)).alias("reliable"), F.min_by(value, order).alias("hint")
-    )
+    """(d_id, reliable, hint): the nearest evidence of each kind."""
+    found = security_candidates(_side(deletes, "d", "full_path"), _side(permitted(evidence), "s", "full_path"), options.window_us)
+    value, order = F.struct(F.col("partner").alias("id"), "delta"), F.struct("delta", "ordinal")
+    reliable = F.col("tier") == 2
+    return found.groupBy("d_id").agg(F.min_by(F.when(reliable, value), F.when(reliable, order)).alias("reliable"), F.min_by(value, order).alias("hint"))
 
 
-def trim_candidates(pairs: DataFrame, keep: int = 512) -> DataFrame:
-    """Of (d_id, kind, delta, ordinal, ...) the ``keep`` nearest per delete and kind."""
-    nearest = Window.partitionBy("d_id", "kind").orderBy("delta", "ordinal")
-    return pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= keep).drop("place")
+def trim_candidates(pairs: DataFrame, keep: int = 512, limit_us: int | None = None) -> DataFrame:
+    """Of (d_id, kind, delta, ordinal, ...) the ``keep`` nearest per delete and kind, none farther than ``limit_us``."""
+    near = pairs if limit_us is None else pairs.where(F.col("delta") <= limit_us)
+    order = Window.partitionBy("d_id", "kind").orderBy("delta", "ordinal")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).drop("place")
 
 
 def _merged(own: Column, candidate: Column, use: Column, name: str) -> tuple[Column, Column]:
@@ -124,38 +160,39 @@ def _merged(own: Column, candidate: Column, use: Column, name: str) -> tuple[Col
 
 
 def correlate(
-    deletes: DataFrame, processes: DataFrame, evidence: DataFrame, options: CorrelationOptions = CorrelationOptions()
+    deletes: DataFrame, processes: DataFrame, evidence: DataFrame, options: CorrelationOptions = CorrelationOptions(), allowed: DataFrame | None = None
 ) -> DataFrame:
-    """Each delete with its best match, both matched ids, merged fields, reasons and what is still missing."""
+    """Each delete with its best match, both matched ids, merged fields, reasons and what is still missing.
+
+    With ``allowed`` (d_id, partner) no other partners count, as in the analysis of a live
+    capture; it holds the nearest ones, so the nearest of a GUID is among them or none is.
+    """
     present = [f for f in PROCESS_FIELDS if f in processes.columns]
     own = deletes
     for f in present:
         if f not in own.columns:
             own = own.withColumn(f, F.lit(None).cast(processes.schema[f].dataType))
-    matches = (
-        own.withColumn("d_id", F.col("raw_event_id"))
-        .join(match_process_guid(deletes, processes), "d_id", "left")
-        .join(match_process_pid(deletes, processes, options), "d_id", "left")
-        .join(match_process_path(deletes, processes, options), "d_id", "left")
-        .join(match_security(deletes, evidence, options), "d_id", "left")
-        .withColumns(
-            {
-                "process": F.coalesce("by_guid", "by_pid", "by_path"),
-                "process_rank": F.when(F.col("by_guid").isNotNull(), 3).when(F.col("by_pid").isNotNull(), 2).when(F.col("by_path").isNotNull(), 1),
-                "security": F.coalesce("reliable", "hint"),
-                "security_rank": F.when(F.col("reliable").isNotNull(), 2).when(F.col("hint").isNotNull(), 1),
-            }
-        )
-    )
-    p = processes.select(F.col("raw_event_id").alias("process_raw_id"), *(F.col(f).alias(f"p_{f}") for f in present))
-    s = evidence.select(
-        F.col("raw_event_id").alias("security_raw_id"), F.col("delete_permission").alias("s_permission"), *(F.col(f).alias(f"s_{f}") for f in SECURITY_FIELDS)
-    )
-    joined = (
-        matches.withColumns({"process_raw_id": F.col("process.id"), "security_raw_id": F.col("security.id")})
-        .join(p, "process_raw_id", "left")
-        .join(s, "security_raw_id", "left")
+    window = options.window_us
+    d, p = _side(deletes, "d"), _side(processes, "p", fields=present)
+    s = _side(permitted(evidence), "s", "full_path", [*SECURITY_FIELDS, "delete_permission"])
+    of_process = guid_candidates(d, p).unionByName(pid_candidates(d, p, window)).unionByName(path_candidates(d, p, window))
+    of_security = security_candidates(_side(deletes, "d", "full_path"), s, window)
+    absent = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
+    union = of_process.withColumnRenamed("fields", "p_fields").withColumn("s_fields", absent(of_security, "fields")).unionByName(
+        of_security.withColumnRenamed("fields", "s_fields").withColumn("p_fields", absent(of_process, "fields"))
     )
+    if allowed is not None:
+        union = union.join(allowed, ["d_id", "partner"], "left_semi")
+    order = F.struct(-F.col("tier"), "delta", "ordinal")
+    best = lambda kind, fields: F.min_by(F.struct(F.col("partner").alias("id"), "delta", "tier", F.col(fields).alias("fields")), F.when(F.col("kind") == kind, order))
+    matches = union.groupBy("d_id").agg(best("process", "p_fields").alias("process"), best("security", "s_fields").alias("security"))
+    joined = own.join(matches.withColumnRenamed("d_id", "raw_event_id"), "raw_event_id", "left").withColumns(
+        {
+            "process_raw_id": F.col("process.id"), "security_raw_id": F.col("security.id"), "process_rank": F.col("process.tier"), "security_rank": F.col("security.tier"),
+            **{f"p_{f}": F.col(f"process.fields.{f}") for f in present}, **{f"s_{f}": F.col(f"security.fields.{f}") for f in SECURITY_FIELDS},
+            "s_permission": F.col("security.fields.delete_permission"),
+        }
+    )
     by_process, by_security = F.coalesce(F.col("process_rank") >= 2, F.lit(False)), F.coalesce(F.col("security_rank") == 2, F.lit(False))
     values = {f: F.col(f) for f in present}
     reasons: list[Column] = []

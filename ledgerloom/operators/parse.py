@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import delete_permission, event_data_map, event_source, missing_fields, null_if_blank, parse_int64, parse_pid
+from ledgerloom.functions.columns import delete_permission, event_data_map, event_data_warnings, event_source, missing_fields, null_if_blank, parse_int64, parse_pid
 
 MAX_CHARACTERS = 4 * 1024 * 1024
 SCHEMA = (
@@ -21,7 +21,7 @@ def utc_timestamp(text: Column) -> Column:
 
 
 def parse_events(df: DataFrame, column: str = "raw_xml") -> DataFrame:
-    """Adds the event's header fields, its data as a map with names in lower case, its source and ``parse_error``.
+    """Adds the event's header fields, its data as a map with names in lower case, its source, ``warnings`` and ``parse_error``.
 
     Errors, the first that holds: too_large, document_type, malformed_xml, missing_system,
     missing_event_id, invalid_event_id, invalid_timestamp, unsupported_event. The time is the data
@@ -34,7 +34,7 @@ def parse_events(df: DataFrame, column: str = "raw_xml") -> DataFrame:
     pairs = F.transform(F.coalesce(F.col("event.EventData.Data"), F.array()), lambda d: F.struct(d["_Name"].alias("name"), d["_VALUE"].alias("value")))
     # explode_outer of one element: a filter on what is parsed must not be pushed below it, or each text would be parsed for every field anew
     parsed = df.select("*", F.explode_outer(F.array(event)).alias("event"))
-    parsed = parsed.select("*", F.explode_outer(F.array(event_data_map(pairs))).alias("data")).withColumns(
+    parsed = parsed.select("*", F.explode_outer(F.array(event_data_map(pairs))).alias("data"), event_data_warnings(pairs).alias("warnings")).withColumns(
         {
             "provider": F.col("event.System.Provider._Name"),
             "event_id_text": null_if_blank(F.col("event.System.EventID")),
@@ -124,7 +124,7 @@ def event_xml(outcome: Column) -> Column:
         F.lit("<Event><System><Provider Name=\""), F.when(security, "Microsoft-Windows-Security-Auditing").otherwise("Microsoft-Windows-Sysmon"),
         F.lit('"/><EventID>'), F.when(security, "4663").when(process, "1").when(outcome == "delete_fact", "23").otherwise("99"),
         F.lit('</EventID><TimeCreated SystemTime="'), F.date_format("occurred_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z"/><EventRecordID>'),
-        F.col("record_ordinal").cast("string"), F.lit("</EventRecordID><Channel>c</Channel><Computer>"), F.col("computer_name"), F.lit("</Computer></System><EventData>"),
+        F.col("record_ordinal").cast("string"), F.lit("</EventRecordID><Channel>"), F.when(security, "s").otherwise("c"), F.lit("</Channel><Computer>"), F.col("computer_name"), F.lit("</Computer></System><EventData>"),
         F.when(security, F.concat(
             data("ObjectName", path), data("ProcessName", F.col("process_path")), data("SubjectUserName", F.col("user_name")), data("SubjectUserSid", F.col("user_sid")),
             data("AccessMask", mask), data("ProcessId", F.concat(F.lit("0x"), F.lower(F.hex("process_id")))),

@@ -1,67 +1,212 @@
-"""Projecting captured records into a canonical table, and its ledger checks."""
+"""Projecting captured records into a canonical table, and verifying what was projected.
+
+Captured records have live_session_id, received_sequence, live_evidence_id,
+event_record_id, provider_name, channel_name, machine_name, time_created_ts, observed_ts,
+raw_xml, raw_xml_sha256, parser_raw_event_id, parsed_event_id and outcome. A projected row
+has the canonical ``FIELDS`` with ``missing``, its identities, digests and place in the
+capture's chain. The text of an entry and its order are fixed, so anyone can recompute it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import stable_id
-from ledgerloom.operators.integrity import payload_hash
+from ledgerloom.functions.columns import GENESIS, delete_permission, missing_fields, null_if_blank, parse_int64, parse_pid
+from ledgerloom.operators.integrity import encoded, fold_hashes, payload_hash
+from ledgerloom.operators.ordering import before, numbered
+from ledgerloom.operators.parse import parse_events
+
+#: Outcomes that are projected and the source that each stands for; fixed values.
+SOURCES = {"delete_fact": "sysmon_delete", "process_context": "sysmon_process", "security_evidence": "security_4663"}
+PROJECTABLE = tuple(SOURCES)
+#: Names of the encodings that are hashed, and the order of the fields; fixed values.
+PAYLOAD_V1, ENTRY_V1, EPOCH_V1 = "live-projection-payload-v1", "live-projection-entry-v1", "live-channel-epoch-v1"
+FIELDS = (
+    "source", "event_record_id", "provider_name", "channel_name", "machine_name", "event_ts", "observed_ts", "parser_raw_event_id", "parsed_event_id", "full_path",
+    "object_kind", "process_id", "process_path", "process_guid", "command_line", "parent_process_id", "parent_process_path", "parent_process_guid", "user_name",
+    "user_sid", "delete_permission", "archive_expected",
+)
+SEEN = ["live_session_id", "live_evidence_id", "received_sequence"]
+
+
+def _instant(c: str) -> Column:
+    """A UTC time with seven digits of a second, as it is hashed."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0+00:00'")
+
+
+def evidence_id() -> Column:
+    return F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string"))
 
-PROJECTABLE = ("delete_fact", "process_context", "security_evidence")
-PAYLOAD = ("raw_event_id", "outcome", "occurred_ts", "computer_name", "process_id", "process_guid", "process_path", "full_path", "user_name", "user_sid")
+
+def epoch_id(session: str = "live_session_id", channel: str = "channel_name", machine: str = "machine_name") -> Column:
+    """A capture's span on a channel of a machine; a machine that is not known is not the one without a name."""
+    return F.concat(F.lit("live-epoch:"), F.upper(F.sha2(encoded(F.lit(EPOCH_V1), F.col(session), F.col(channel), F.col(machine)), 256)))
 
 
 def dense_sequence(records: DataFrame) -> DataFrame:
     """Projectable records numbered without gaps per capture, in received order."""
-    order = Window.partitionBy("live_session_id").orderBy("received_sequence")
-    return records.where(F.col("outcome").isin(*PROJECTABLE)).withColumn("projected_sequence", F.row_number().over(order).cast("long"))
+    return numbered(records.where(F.col("outcome").isin(*PROJECTABLE)), ["live_session_id"], "received_sequence", "projected_sequence")
+
+
+def canonicalize(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Captured records parsed anew: ``failure`` (null if there is none), the canonical fields, ids and digests, and the columns in ``keep``.
+
+    Failures, the first that holds: live_evidence_identity_mismatch, source_digest_mismatch,
+    source_outcome_not_projectable, source_reparse_failed, source_parser_identity_mismatch,
+    source_classification_mismatch. Records that fail keep their identities only. A delete,
+    a process and a security record each fill the fields that such a record has.
+    """
+    mine = records.select(*SEEN, *keep, "event_record_id", "provider_name", "channel_name", "machine_name", F.col("time_created_ts").alias("event_time"), "observed_ts", "parser_raw_event_id", "parsed_event_id", F.col("outcome").alias("stated"), "raw_xml", "raw_xml_sha256")
+    own = {c: f"own_{c}" for c in ("provider_name", "channel_name", "machine_name")}
+    parsed = parse_events(mine.withColumnsRenamed(own))
+    source = F.lit(None).cast("string")
+    for outcome, name in SOURCES.items():
+        source = F.when(F.col("stated") == outcome, name).otherwise(source)
+    field = lambda name: null_if_blank(F.col("data")[name])
+    number = lambda name: parse_pid(F.col("data")[name])
+    is_delete, is_process, is_security = (F.col("stated") == o for o in PROJECTABLE)
+    permission = delete_permission(F.col("data")["accesslist"], parse_int64(F.col("data")["accessmask"]))
+    failure = (
+        F.when(~F.col("live_evidence_id").eqNullSafe(evidence_id()), "live_evidence_identity_mismatch")
+        .when(~F.col("raw_xml_sha256").eqNullSafe(F.sha2("raw_xml", 256)), "source_digest_mismatch")
+        .when(source.isNull(), "source_outcome_not_projectable")
+        .when(F.col("parse_error").isNotNull(), "source_reparse_failed")
+        .when(~(F.col("parser_raw_event_id").eqNullSafe(F.col("xml_sha256")) & F.col("parsed_event_id").eqNullSafe(F.col("event_id"))), "source_parser_identity_mismatch")
+        .when((F.col("source") != source) | (is_security & (permission == "not_observed")), "source_classification_mismatch")
+    )
+    values = {
+        "full_path": F.when(is_delete, field("targetfilename")).when(is_security, field("objectname")),
+        "object_kind": F.when(is_delete, "unknown"),
+        "process_id": number("processid"),
+        "process_path": F.when(is_security, field("processname")).otherwise(field("image")),
+        "process_guid": F.when(~is_security, field("processguid")),
+        "command_line": F.when(is_process, field("commandline")),
+        "parent_process_id": F.when(is_process, number("parentprocessid")),
+        "parent_process_path": F.when(is_process, field("parentimage")),
+        "parent_process_guid": F.when(is_process, field("parentprocessguid")),
+        "user_name": F.when(is_security, field("subjectusername")).otherwise(field("user")),
+        "user_sid": F.when(is_security, field("subjectusersid")),
+        "delete_permission": F.when(is_security, permission).when(is_delete, "not_observed"),
+        "archive_expected": F.when(is_delete, F.col("event_id") == 23),
+    }
+    # explode_outer of one element keeps what follows from parsing each text for every field anew
+    rows = parsed.select(
+        *SEEN, *keep, "event_record_id", *(F.col(o).alias(c) for c, o in own.items()), F.col("event_time").alias("event_ts"), "observed_ts", "parser_raw_event_id", "parsed_event_id", "raw_xml_sha256", "stated",
+        F.explode_outer(F.array(F.struct(failure.alias("failure"), source.alias("source"), *(v.alias(n) for n, v in values.items())))).alias("c"),
+    ).select("*", "c.*").drop("c")
+    names = lambda **fields: missing_fields({n: F.col(c) if c else F.lit(None) for n, c in fields.items()})
+    shared = {"processId": "process_id", "processPath": "process_path"}
+    missing = (
+        F.when(F.col("stated") == "delete_fact", names(fullPath="full_path", **shared, processGuid="process_guid", commandLine=None, parentProcess=None, userName="user_name", userSid=None, deletePermission=None))
+        .when(F.col("stated") == "process_context", names(processId="process_id", processGuid="process_guid", processPath="process_path", commandLine="command_line", parentProcessId="parent_process_id", parentProcessPath="parent_process_path", parentProcessGuid="parent_process_guid", userName="user_name", userSid=None))
+        .otherwise(names(objectPath="full_path", **shared, userName="user_name", userSid="user_sid"))
+    )
+    text = {"event_ts": _instant("event_ts"), "observed_ts": _instant("observed_ts")}
+    hashed = [F.lit(PAYLOAD_V1), *(text.get(c, F.col(c)) for c in FIELDS)]
+    return rows.withColumn("missing", F.array_sort(missing)).select(
+        *SEEN, *keep, "failure", *FIELDS, "missing", "raw_xml_sha256", payload_hash(hashed, F.col("missing")).alias("payload_hash"), epoch_id().alias("epoch_id"),
+        F.concat(F.lit("live-projection:"), "live_evidence_id").alias("projected_id"),
+    )
+
+
+def entry(previous: str, evidence: str, epoch: str, sequence: int, xml_sha256: str, payload: str) -> str:
+    """The hash of a projected entry behind ``previous``; hashes are encoded in capitals."""
+    data = b"".join(len(b).to_bytes(4, "big") + b for b in (x.encode() for x in (ENTRY_V1, previous.upper(), evidence, epoch, str(sequence), xml_sha256.upper(), payload.upper())))
+    return hashlib.sha256(data).hexdigest()
 
 
-def channel_epochs(records: DataFrame) -> DataFrame:
-    """Per capture, outcome channel and computer (null is its own) the first sequence and opening time."""
-    return records.groupBy("live_session_id", "outcome", "computer_name").agg(
-        F.min("received_sequence").alias("first_sequence"), F.min_by("occurred_ts", "received_sequence").alias("opened_ts"), F.count("*").alias("records")
-    ).withColumn("epoch_id", stable_id("live_session_id", "outcome", "computer_name"))
+def chained(rows: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """Canonical rows with previous_hash (null for a capture's first) and entry_hash; with ``tails`` (live_session_id, entry_hash) chains go on."""
+    parts = ["live_evidence_id", "epoch_id", "projected_sequence", "raw_xml_sha256", "payload_hash"]
+    folded = fold_hashes(rows, "live_session_id", "projected_sequence", parts, entry, tails)
+    return folded.withColumn("previous_hash", F.when(F.col("projected_sequence") > 1, F.col("previous_hash")))
 
 
 def canonical_rows(records: DataFrame) -> DataFrame:
-    """The projected rows with ids and payload hashes."""
-    evidence = F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string"))
-    columns = [F.date_format("occurred_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if c == "occurred_ts" else F.col(c) for c in PAYLOAD]
-    return dense_sequence(records).select(
-        "live_session_id", "received_sequence", "projected_sequence", evidence.alias("live_evidence_id"),
-        F.concat(F.lit("live-projection:"), evidence).alias("projected_id"), *PAYLOAD, payload_hash(columns).alias("payload_hash"),
-    )
+    """The rows that the projectable records give, numbered without gaps."""
+    return canonicalize(dense_sequence(records), ["projected_sequence"])
+
+
+def channel_epochs(rows: DataFrame) -> DataFrame:
+    """Per capture, channel and machine (null is its own) the first record's sequence, provider and time, and the number of records."""
+    opened = F.coalesce("event_ts", "observed_ts")
+    return rows.groupBy("live_session_id", "channel_name", "machine_name").agg(
+        F.min("received_sequence").alias("first_sequence"), F.min_by("provider_name", "received_sequence").alias("provider_name"),
+        F.min_by(opened, "received_sequence").alias("opened_ts"), F.count("*").alias("records"),
+    ).withColumn("epoch_id", epoch_id())
 
 
 def join_projection_source(projected: DataFrame, records: DataFrame) -> DataFrame:
-    """Projected rows with whether their source record is there and still has the same id."""
-    source = records.select("live_session_id", "received_sequence", F.col("raw_event_id").alias("source_raw_id"))
-    return projected.join(source, ["live_session_id", "received_sequence"], "left").withColumn(
-        "source_state", F.when(F.col("source_raw_id").isNull(), "missing_source").when(F.col("source_raw_id") != F.col("raw_event_id"), "changed_source").otherwise("ok")
-    )
+    """Projected rows with whether their source record is there and still has the same XML."""
+    source = records.select("live_evidence_id", F.col("raw_xml_sha256").alias("source_sha256"))
+    state = F.when(F.col("source_sha256").isNull(), "missing_source").when(F.col("source_sha256") != F.col("raw_xml_sha256"), "changed_source").otherwise("ok")
+    return projected.join(source, "live_evidence_id", "left").withColumn("source_state", state)
+
 
+def verify_continuity(projected: DataFrame, records: DataFrame, epochs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(live_session_id, verified, first_break, evidence, reason): per capture the first place where what is stored does not follow from its records.
 
-def verify_continuity(projected: DataFrame, records: DataFrame) -> DataFrame:
-    """(live_session_id, rows, expected, first_break, reason): the first projected row that does not follow from its source."""
-    fresh = canonical_rows(records).select("live_session_id", "received_sequence", F.col("payload_hash").alias("fresh_hash"))
-    order = Window.partitionBy("live_session_id").orderBy("projected_sequence")
-    rows = join_projection_source(projected, records).join(fresh, ["live_session_id", "received_sequence"], "left")
+    Reasons per row, the first that holds: sequence_not_dense, missing_source,
+    source_identity_mismatch, a failure of ``canonicalize``, identity_mismatch,
+    payload_mismatch, digest_mismatch, previous_hash_mismatch, entry_hash_mismatch,
+    epoch_missing, epoch_identity_mismatch, epoch_first_record_mismatch. For a capture without
+    such a row: tail_cut (a completed run had considered more rows) and orphan_epoch. All rows
+    are judged in parallel; the least place is the one that a walk would stop at.
+    """
+    key = ["live_session_id"]
+    fresh = canonicalize(records)
+    names = [c for c in fresh.columns if c not in ("live_evidence_id",)]
+    fresh = fresh.select("live_evidence_id", *(F.col(c).alias(f"c_{c}") for c in names), F.lit(True).alias("found"))
+    placed = before(numbered(projected, key, "projected_sequence", "place"), key, "place", "entry_hash", "before")
+    firsts = placed.groupBy(*key, "epoch_id").agg(F.min("place").alias("epoch_place"))
+    known = epochs.select(
+        "live_session_id", "epoch_id", F.struct(F.col("channel_name").alias("channel"), F.col("machine_name").alias("machine"), F.col("provider_name").alias("provider"), "first_sequence", "opened_ts").alias("epoch")
+    )
+    rows = placed.join(fresh, "live_evidence_id", "left").join(firsts, [*key, "epoch_id"]).join(known, [*key, "epoch_id"], "left")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    equal = same("missing", "c_missing")
+    for c in FIELDS:
+        equal = equal & same(c, f"c_{c}")
+    previous = F.when(F.col("place") > 1, F.col("before"))
+    capital = lambda c: F.upper(c)
+    fields = (F.lit(ENTRY_V1), capital(F.coalesce("before", F.lit(GENESIS))), F.col("live_evidence_id"), F.col("epoch_id"), F.col("place"), capital("c_raw_xml_sha256"), capital("c_payload_hash"))
+    opened = F.coalesce("c_event_ts", "c_observed_ts")
+    first_record = (
+        F.col("epoch.provider").eqNullSafe(F.col("c_provider_name")) & (F.col("epoch.first_sequence") == F.col("c_received_sequence")) & F.col("epoch.opened_ts").eqNullSafe(opened)
+    )
     reason = (
-        F.when(F.col("projected_sequence") != F.row_number().over(order), "sequence_not_dense")
-        .when(F.col("source_state") != "ok", F.col("source_state"))
-        .when(F.coalesce(F.col("payload_hash") != F.col("fresh_hash"), F.lit(True)), "payload_mismatch")
+        F.when(F.col("projected_sequence") != F.col("place"), "sequence_not_dense")
+        .when(F.col("found").isNull(), "missing_source")
+        .when(~(same("live_session_id", "c_live_session_id") & same("received_sequence", "c_received_sequence")), "source_identity_mismatch")
+        .when(F.col("c_failure").isNotNull(), F.col("c_failure"))
+        .when(~(same("projected_id", "c_projected_id") & same("epoch_id", "c_epoch_id")), "identity_mismatch")
+        .when(~equal, "payload_mismatch")
+        .when(~(same("payload_hash", "c_payload_hash") & same("raw_xml_sha256", "c_raw_xml_sha256")), "digest_mismatch")
+        .when(~F.col("previous_hash").eqNullSafe(previous), "previous_hash_mismatch")
+        .when(~F.col("entry_hash").eqNullSafe(F.sha2(encoded(*fields), 256)), "entry_hash_mismatch")
+        .when(F.col("epoch").isNull(), "epoch_missing")
+        .when(~(F.col("epoch.channel").eqNullSafe(F.col("c_channel_name")) & F.col("epoch.machine").eqNullSafe(F.col("c_machine_name"))), "epoch_identity_mismatch")
+        .when((F.col("place") == F.col("epoch_place")) & ~first_record, "epoch_first_record_mismatch")
+    )
+    bad = F.when(F.col("reason").isNotNull(), F.col("place"))
+    judged = rows.withColumn("reason", reason).groupBy(*key).agg(
+        F.count("*").alias("rows"), F.min(bad).alias("first_bad"), F.min_by(F.struct("live_evidence_id", "reason"), bad).alias("at"), F.max_by("live_evidence_id", "place").alias("last_id")
     )
-    judged = rows.withColumn("reason", reason).groupBy("live_session_id").agg(
-        F.count("*").alias("rows"),
-        F.min(F.when(F.col("reason").isNotNull(), F.col("projected_sequence"))).alias("first_break"),
-        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("projected_sequence"))).alias("reason"),
+    orphans = epochs.join(projected.select(*key, "epoch_id").distinct(), [*key, "epoch_id"], "left_anti").groupBy(*key).agg(F.count("*").alias("orphans"))
+    every = records.select(*key).unionAll(projected.select(*key)).unionAll(epochs.select(*key)).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    state = every.join(judged, key, "left").join(orphans, key, "left").join(projection_high_water(runs), key, "left").withColumns(
+        {"rows": zero("rows"), "orphans": zero("orphans"), "high_water": zero("high_water")}
     )
-    expected = records.groupBy("live_session_id").agg(F.count_if(F.col("outcome").isin(*PROJECTABLE)).alias("expected"))
-    return expected.join(judged, "live_session_id", "left").select(
-        "live_session_id", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "expected", "first_break",
-        F.coalesce("reason", F.when(F.coalesce("rows", F.lit(0)) < F.col("expected"), "tail_missing")).alias("reason"),
+    whole = F.when(F.col("high_water") > F.col("rows"), "tail_cut").when(F.col("orphans") > 0, "orphan_epoch")
+    first = F.coalesce("first_bad", F.when(whole.isNotNull(), F.col("rows") + 1))
+    return state.select(
+        *key, F.coalesce(F.col("first_bad") - 1, F.col("rows")).alias("verified"), first.alias("first_break"),
+        F.when(F.col("first_bad").isNotNull(), F.col("at.live_evidence_id")).when(whole.isNotNull(), F.col("last_id")).alias("evidence"), F.coalesce("at.reason", whole).alias("reason"),
     )
 
 
@@ -82,22 +227,25 @@ def project_session(records: DataFrame, completions: DataFrame, projected: DataF
     """(rows to append, run rows): what is not projected yet of each capture that is complete.
 
     A capture is refused (its run says why, and none of its rows is returned) if it has no
-    completion, if its completion states another number of records than is stored, or if
-    stored rows are not an exact beginning of what its records give. Running again appends
-    nothing.
+    completion, if its completion states another number of records than is stored, if one of
+    its records fails (see ``canonicalize``; the first failure is named), or if stored rows
+    are not an exact beginning of what its records give. Running again appends nothing; the
+    rows that are appended go on with the stored chain.
     """
     stored = records.groupBy("live_session_id").agg(F.count("*").alias("stored"), F.count_if(F.col("outcome").isin(*PROJECTABLE)).alias("considered"))
     rows = canonical_rows(records)
     if projected is None:
-        projected = rows.limit(0)
+        projected = chained(rows.limit(0).drop("failure"))
     old = projected.select("live_session_id", "projected_sequence", F.col("projected_id").alias("old_id"), F.col("payload_hash").alias("old_hash"))
-    both = old.join(rows, ["live_session_id", "projected_sequence"], "left")
+    both = old.join(rows.select("live_session_id", "projected_sequence", "projected_id", "payload_hash"), ["live_session_id", "projected_sequence"], "left")
     same = F.coalesce((F.col("old_id") == F.col("projected_id")) & (F.col("old_hash") == F.col("payload_hash")), F.lit(False))
     kept = both.groupBy("live_session_id").agg(F.count("*").alias("already"), F.max("projected_sequence").alias("last"), F.count_if(~same).alias("different"))
+    failed = F.when(F.col("failure").isNotNull(), F.col("received_sequence"))
+    failures = rows.groupBy("live_session_id").agg(F.min_by("failure", failed).alias("failure"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    state = stored.join(completions.select("live_session_id", "persisted"), "live_session_id", "left").join(kept, "live_session_id", "left")
+    state = stored.join(completions.select("live_session_id", "persisted"), "live_session_id", "left").join(kept, "live_session_id", "left").join(failures, "live_session_id", "left")
     refusal = (
-        F.when(F.col("persisted").isNull(), "incomplete_capture").when(F.col("persisted") != F.col("stored"), "ledger_mismatch")
+        F.when(F.col("persisted").isNull(), "incomplete_capture").when(F.col("persisted") != F.col("stored"), "ledger_mismatch").when(F.col("failure").isNotNull(), F.col("failure"))
         .when((zero("different") > 0) | (zero("already") != zero("last")), "stored_rows_are_no_prefix")
     )
     runs = state.select(
@@ -105,4 +253,6 @@ def project_session(records: DataFrame, completions: DataFrame, projected: DataF
         F.when(refusal.isNull(), F.col("considered") - zero("already")).otherwise(0).alias("appended"), refusal.isNull().alias("completed"),
     )
     accepted = runs.where("completed").select("live_session_id", "already")
-    return rows.join(accepted, "live_session_id").where(F.col("projected_sequence") > F.col("already")).drop("already"), runs
+    fresh = rows.drop("failure").join(accepted, "live_session_id").where(F.col("projected_sequence") > F.col("already")).drop("already")
+    tails = projected.groupBy("live_session_id").agg(F.max_by("entry_hash", "projected_sequence").alias("entry_hash"))
+    return chained(fresh, tails.join(accepted.select("live_session_id"), "live_session_id", "left_semi")), runs

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +72,8 @@ def session_summary(assessed: DataFrame) -> DataFrame:
     """A row per session: when it opened and ended, its items, and its largest risk."""
     return assessed.groupBy("session_id", "import_session_id", "process_identity", "user_identity").agg(
         F.min_by("scope", F.struct("us", "record_ordinal")).alias("scope"),
+        F.min_by("process_guid", F.struct("us", "record_ordinal")).alias("process_guid"),
+        F.min_by("process_id", F.struct("us", "record_ordinal")).alias("process_id"),
         F.min("occurred_ts").alias("opened_ts"),
         F.max("occurred_ts").alias("last_ts"),
         F.count_distinct("raw_event_id").alias("items"),
@@ -110,22 +113,42 @@ def top_risk_paths(assessed: DataFrame, n: int = 10) -> DataFrame:
 FOLDED = "live_session_id string, raw_event_id string, received_sequence long, fold_session long, fold_count long, opened_us long, last_us long"
 
 
-def fold_received(rows: pd.DataFrame, window_us: int) -> pd.DataFrame:
-    """One key's rows in received order, each put into a session (see ``sessionize_received``)."""
-    sessions: list[dict] = []
-    out = []
-    for r in rows.sort_values("received_sequence").itertuples():
-        near = [s for s in sessions if abs(r.us - s["last"]) <= window_us and r.us >= s["opened"] - window_us]
-        if near:
-            s = max(near, key=lambda s: (s["last"], -s["no"]))
-        else:
-            s = {"no": len(sessions), "opened": r.us, "last": r.us, "ids": set()}
-            sessions.append(s)
-        if r.raw_event_id not in s["ids"]:
-            s["ids"].add(r.raw_event_id)
-            s["last"] = max(s["last"], r.us)
-        out.append((r.live_session_id, r.raw_event_id, r.received_sequence, s["no"], len(s["ids"]), s["opened"], s["last"]))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
+class ReceivedFold:
+    """The sessions of one key, to which rows are added as received (see ``sessionize_received``)."""
+
+    def __init__(self, window_us: int, next_no: int = 0, sessions: Sequence[tuple] = ()) -> None:
+        self.window, self.next_no = window_us, next_no
+        #: By number: opening, last event, ids.
+        self.sessions: dict[int, list] = {no: [opened, last, set(ids)] for no, opened, last, ids in sessions}
+        #: (last event, -number) in order.
+        self.lasts = sorted((s[1], -no) for no, s in self.sessions.items())
+
+    def add(self, us: int, raw_event_id: str) -> tuple[int, int, int, int]:
+        """The row's session, its count, opening and last event so far."""
+        no = None
+        begin, end = bisect_left(self.lasts, (us - self.window, -(1 << 62))), bisect_right(self.lasts, (us + self.window, 1))
+        for last, minus in reversed(self.lasts[begin:end]):
+            if us >= self.sessions[-minus][0] - self.window:
+                no = -minus
+                break
+        if no is None:
+            no = self.next_no
+            self.next_no += 1
+            self.sessions[no] = [us, us, set()]
+            insort(self.lasts, (us, -no))
+        own = self.sessions[no]
+        if raw_event_id not in own[2]:
+            own[2].add(raw_event_id)
+            if us > own[1]:
+                del self.lasts[bisect_left(self.lasts, (own[1], -no))]
+                own[1] = us
+                insort(self.lasts, (us, -no))
+        return no, len(own[2]), own[0], own[1]
+
+    def forget_before(self, us: int) -> None:
+        """Drop the sessions whose last event is earlier."""
+        while self.lasts and self.lasts[0][0] < us:
+            del self.sessions[-self.lasts.pop(0)[1]]
 
 
 def sessionize_received(deletes: DataFrame, rules: Sequence[ProtectedRule] = (), options: RiskOptions = RiskOptions()) -> DataFrame:
@@ -134,9 +157,22 @@ def sessionize_received(deletes: DataFrame, rules: Sequence[ProtectedRule] = (),
     A row joins the session with the latest last event whose distance is within the window,
     unless it is earlier than the opening by more than the window; the last event never
     moves back and a repeated id adds nothing. The order decides, so each key (live session,
-    process, user, scope) is folded on its own; a key is one process's deletes under one
-    folder in one capture.
+    process, user, scope) is folded on its own; a task streams through its sorted rows and
+    holds the sessions of one key, not its rows.
     """
-    keyed = with_session_key(deletes, rules).select("live_session_id", *KEY, "raw_event_id", "received_sequence", "us")
+    keys = ["live_session_id", *KEY]
+    keyed = with_session_key(deletes, rules).select(*keys, "raw_event_id", "received_sequence", "us")
+    ordered = keyed.repartition(*keys).sortWithinPartitions(*keys, "received_sequence")
     window = options.window_us
-    return keyed.groupBy("live_session_id", *KEY).applyInPandas(lambda rows: fold_received(rows, window), FOLDED)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, ReceivedFold(window)
+        for batch in batches:
+            out = []
+            for *key, raw_event_id, sequence, us in batch.itertuples(index=False):
+                if key != now:
+                    now, own = key, ReceivedFold(window)
+                out.append((key[0], raw_event_id, sequence, *own.add(us, raw_event_id)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return ordered.mapInPandas(fold, FOLDED)

@@ -12,6 +12,7 @@ from ledgerloom.functions.columns import contains_ci, time_range
 from ledgerloom.operators.sessions import RISKS, risk_rank
 
 MAX_PAGE = 200
+OUTCOMES = ("delete_fact", "process_context", "security_evidence", "ignored", "error")
 PREVIEW = 262_144
 
 
@@ -53,10 +54,10 @@ def filter_events(df: DataFrame, q: EventQuery) -> DataFrame:
 
 
 def filter_sessions(df: DataFrame, q: EventQuery) -> DataFrame:
-    """Sessions by risk, last event, scope and process identity."""
+    """Sessions by risk, last event, scope and process (identity or GUID contains, or the id equals)."""
     return df.where(
         _risk(q.risk, "max_risk") & time_range(F.col("last_ts"), q.begin, q.end) & contains_ci(F.col("scope"), q.path)
-        & contains_ci(F.col("process_identity"), q.process)
+        & _process(q.process, "process_identity", "process_guid")
     )
 
 
@@ -74,22 +75,53 @@ def filter_diagnostics(df: DataFrame, severity: str | None = None, begin: str |
     return df.where(level & time_range(F.col("occurred_ts"), begin, end) & (contains_ci(F.col("code"), text) | contains_ci(F.col("message"), text)))
 
 
-def filter_capture_records(
-    df: DataFrame, session: str | None = None, outcome: str | None = None, first: int | None = None, last: int | None = None,
-    computer: str | None = None, path: str | None = None, process: str | None = None, errors_only: bool = False,
-) -> DataFrame:
-    """Captured records by session, outcome, sequence range and texts; ``errors_only`` also returns ignored ones with an error code."""
+@dataclass(frozen=True)
+class CaptureQuery:
+    """Optional conditions on the records of a capture."""
+
+    session: str | None = None
+    begin: str | None = None
+    end: str | None = None
+    outcome: str | None = None
+    provider: str | None = None
+    channel: str | None = None
+    event_id: int | None = None
+    record_id: int | None = None
+    error_code: str | None = None
+    errors_only: bool = False
+    first: int | None = None
+    last: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.outcome is not None and self.outcome not in OUTCOMES:
+            raise ValueError(f"unknown outcome {self.outcome}")
+        if self.first is not None and self.last is not None and self.first > self.last:
+            raise ValueError("the smallest sequence must not exceed the largest")
+
+
+def filter_capture_records(df: DataFrame, q: CaptureQuery) -> DataFrame:
+    """Captured records by capture, observed time, outcome, texts, ids and received sequence.
+
+    ``errors_only`` finds errors, and whatever else bears an error code, such as ignored
+    records of unsupported events.
+    """
     ok = F.lit(True)
-    for condition, column in ((session, "live_session_id"), (outcome, "outcome")):
-        if condition is not None:
-            ok = ok & (F.col(column) == condition)
-    if first is not None:
-        ok = ok & (F.col("received_sequence") >= first)
-    if last is not None:
-        ok = ok & (F.col("received_sequence") <= last)
-    if errors_only:
-        ok = ok & F.col("error_code").isNotNull()
-    return df.where(ok & contains_ci(F.col("computer_name"), computer) & contains_ci(F.col("full_path"), path) & _process(process, "process_path", "process_guid"))
+    equal = ((q.session, "live_session_id"), (q.outcome, "outcome"), (q.event_id, "parsed_event_id"), (q.record_id, "event_record_id"))
+    for wanted, column in equal:
+        if wanted is not None:
+            ok = ok & (F.col(column) == wanted)
+    for wanted, column in ((q.provider, "provider_name"), (q.channel, "channel_name"), (q.error_code, "error_code")):
+        if (wanted or "").strip():
+            ok = ok & contains_ci(F.col(column), wanted)
+    if q.begin is not None or q.end is not None:
+        ok = ok & time_range(F.col("observed_ts"), q.begin, q.end)
+    if q.first is not None:
+        ok = ok & (F.col("received_sequence") >= q.first)
+    if q.last is not None:
+        ok = ok & (F.col("received_sequence") <= q.last)
+    if q.errors_only:
+        ok = ok & ((F.col("outcome") == "error") | F.col("error_code").isNotNull())
+    return df.where(ok)
 
 
 def filter_projected(df: DataFrame, session: str | None = None, source: str | None = None, path: str | None = None, process: str | None = None) -> DataFrame:
@@ -129,10 +161,14 @@ def capture_sessions(starts: DataFrame, completions: DataFrame, records: DataFra
     )
 
 
-def audit_view(deletes: DataFrame, sessions: DataFrame, event_assessments: DataFrame) -> DataFrame:
-    """Deletes with the risk to show: the top assessment of the event, else its session's, else the initial one."""
+def audit_view(deletes: DataFrame, raw: DataFrame, sessions: DataFrame, event_assessments: DataFrame) -> DataFrame:
+    """Deletes with their raw event and session, and the risk to show.
+
+    That is the top assessment of the event by risk and time, else its session's, else the
+    initial one. A delete whose raw event or session is not stored is not shown.
+    """
     top = event_assessments.groupBy("raw_event_id").agg(F.max_by("event_risk", F.struct(risk_rank(F.col("event_risk")), "assessed_ts")).alias("event_risk"))
-    return deletes.join(sessions, "session_id", "left").join(top, "raw_event_id", "left").withColumn(
+    return deletes.join(raw, "raw_event_id").join(sessions, "session_id").join(top, "raw_event_id", "left").withColumn(
         "shown_risk", F.coalesce("event_risk", "max_risk", "initial_risk")
     )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.operators.parse import event_xml
 from ledgerloom.options import HOUR, CorrelationOptions, ProtectedRule, RiskOptions
 
 #: The events are minutes apart, so the windows are scaled up and the counts down.
@@ -55,3 +57,47 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_rows(spark, sf_dir).where("outcome = 'security_evidence'")
+
+
+#: Captures of 50 records each, with the event's XML; the machine is not always reported.
+CAPTURE = 50
+_CAPTURES = f"""
+SELECT record_ordinal, CAST(floor(event_id / {CAPTURE}.0) AS BIGINT) AS session_no, 'cap-' || CAST(CAST(floor(event_id / {CAPTURE}.0) AS BIGINT) AS STRING) AS live_session_id,
+  event_id % {CAPTURE} + 1 AS received_sequence,
+  'cap-' || CAST(CAST(floor(event_id / {CAPTURE}.0) AS BIGINT) AS STRING) || ':' || CAST(event_id % {CAPTURE} + 1 AS STRING) AS live_evidence_id,
+  record_ordinal AS event_record_id, CASE WHEN outcome = 'security_evidence' THEN 'Microsoft-Windows-Security-Auditing' ELSE 'Microsoft-Windows-Sysmon' END AS provider_name,
+  CASE WHEN outcome = 'security_evidence' THEN 's' ELSE 'c' END AS channel_name, CASE WHEN event_id % 11 = 0 THEN NULL ELSE computer_name END AS machine_name,
+  occurred_ts AS time_created_ts, occurred_ts + INTERVAL '1' SECOND AS observed_ts, raw_xml, xml_sha256 AS raw_xml_sha256, xml_sha256 AS parser_raw_event_id,
+  CASE outcome WHEN 'delete_fact' THEN 23 WHEN 'process_context' THEN 1 WHEN 'security_evidence' THEN 4663 ELSE 99 END AS parsed_event_id,
+  CASE WHEN outcome = 'error' OR outcome = 'security_evidence' AND delete_permission = 'not_observed' THEN 'ignored' ELSE outcome END AS outcome,
+  CASE WHEN outcome = 'error' THEN 'parse_unsupportedevent' END AS error_code
+FROM WRITTEN
+"""
+
+
+def _duck_xml() -> str:
+    """``event_xml`` for DuckDB."""
+    data = lambda name, c: f"coalesce('<Data Name=\"{name}\">' || {c} || '</Data>', '')"
+    security = " || ".join((
+        data("ObjectName", "full_path"), data("ProcessName", "process_path"), data("SubjectUserName", "user_name"), data("SubjectUserSid", "user_sid"),
+        data("AccessMask", "CASE delete_permission WHEN 'delete' THEN '0x10000' WHEN 'delete_child' THEN '0x40' END"), data("ProcessId", "'0x' || printf('%x', process_id)"),
+    ))
+    other = " || ".join((
+        data("UtcTime", "strftime(occurred_ts, '%Y-%m-%d %H:%M:%S.%f')"), data("TargetFilename", "full_path"), data("Image", "process_path"), data("User", "user_name"),
+        data("ProcessId", "process_id"), data("ProcessGuid", "process_guid"), data("CommandLine", "command_line"),
+    ))
+    return (
+        "'<Event><System><Provider Name=\"' || CASE outcome WHEN 'security_evidence' THEN 'Microsoft-Windows-Security-Auditing' ELSE 'Microsoft-Windows-Sysmon' END || '\"/><EventID>' || "
+        "CASE outcome WHEN 'security_evidence' THEN '4663' WHEN 'process_context' THEN '1' WHEN 'delete_fact' THEN '23' ELSE '99' END || '</EventID><TimeCreated SystemTime=\"' || "
+        "strftime(occurred_ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"/><EventRecordID>' || record_ordinal || '</EventRecordID><Channel>' || CASE outcome WHEN 'security_evidence' THEN 's' ELSE 'c' END "
+        f"|| '</Channel><Computer>' || computer_name || '</Computer></System><EventData>' || CASE outcome WHEN 'security_evidence' THEN {security} ELSE {other} END || '</EventData></Event>'"
+    )
+
+
+DUCK_CAPTURES = f", written AS (SELECT *, sha256(raw_xml) AS xml_sha256 FROM (SELECT *, {_duck_xml()} AS raw_xml FROM audit)), cap AS ({_CAPTURES.replace('WRITTEN', 'written')})"
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows as records of captures."""
+    xml = audit_rows(spark, sf_dir).withColumn("raw_xml", event_xml(F.col("outcome"))).withColumn("xml_sha256", F.sha2("raw_xml", 256))
+    return spark.sql(_CAPTURES.replace("WRITTEN", "{written}"), written=xml)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
-from ledgerloom.operators import analysis, integrity, mart, parse, projection, quality, reports, sessions, views
-from ledgerloom.plans.adapter import CORRELATION, DUCK, RISK, RULES, audit_rows, contexts, deletes, evidence
+from ledgerloom.operators import analysis, integrity, mart, ordering, parse, projection, quality, reports, sessions, views
+from ledgerloom.plans.adapter import CAPTURE, CORRELATION, DUCK, DUCK_CAPTURES, RISK, RULES, audit_rows, captures, contexts, deletes, evidence
+from ledgerloom.plans.scratch import written
+from ledgerloom.sources import envelopes, sinks
 from ledgerloom.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +50,8 @@ _SESSIONS = f""", d AS (SELECT *, epoch_us(occurred_ts) AS us,
     CASE WHEN protected THEN 'protected_root' WHEN running_count >= {RISK.critical} THEN 'burst_{RISK.critical}_in_window'
       WHEN running_count >= {RISK.warning} THEN 'burst_{RISK.warning}_in_window' ELSE 'single_delete' END AS rule_code,
     CASE WHEN protected OR running_count >= {RISK.critical} THEN 3 WHEN running_count >= {RISK.warning} THEN 2 ELSE 1 END AS risk_rank FROM s)
-, summary AS (SELECT session_id, import_session_id, process_identity, user_identity, arg_min(scope, (us, record_ordinal)) AS scope, min(occurred_ts) AS opened_ts,
+, summary AS (SELECT session_id, import_session_id, process_identity, user_identity, arg_min(scope, (us, record_ordinal)) AS scope,
+    first(process_guid ORDER BY us, record_ordinal) AS process_guid, first(process_id ORDER BY us, record_ordinal) AS process_id, min(occurred_ts) AS opened_ts,
     max(occurred_ts) AS last_ts, count(DISTINCT raw_event_id) AS items, CAST(sum(CAST(protected AS BIGINT)) AS BIGINT) AS protected_items, arg_max(risk, risk_rank) AS max_risk
     FROM a GROUP BY session_id, import_session_id, process_identity, user_identity)
 """
@@ -168,11 +172,16 @@ def report_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.confidence_counts(correlated(spark, sf_dir))
 
 
-@query("""SELECT import_session_id, count(*) AS records, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'ignored') AS ignored,
-  count(*) FILTER (outcome NOT IN ('error', 'ignored')) AS succeeded, CASE WHEN count(*) FILTER (outcome = 'error') = count(*) THEN 'failed'
-  WHEN count(*) FILTER (outcome = 'error') > 0 THEN 'partial_failure' ELSE 'completed' END AS status FROM audit GROUP BY import_session_id""")
+@query("""SELECT import_session_id, records, errors, ignored, succeeded, CASE WHEN fatal OR errors = records THEN 'failed' WHEN errors > 0 OR import_session_id LIKE '%2' THEN 'partial_failure' ELSE 'completed' END AS status
+FROM (SELECT import_session_id, count(*) AS records, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'ignored') AS ignored,
+  count(*) FILTER (outcome NOT IN ('error', 'ignored')) AS succeeded, import_session_id LIKE '%1' AS fatal FROM audit WHERE import_session_id NOT LIKE '%3' OR outcome <> 'error' GROUP BY import_session_id)
+UNION ALL SELECT 'imp-none', 0, 0, 0, 0, 'failed'""")
 def report_import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.import_totals(audit_rows(spark, sf_dir))
+    """Imports that end in 1 met a fatal error and those in 2 lost a sink; one failed before its first record."""
+    rows = audit_rows(spark, sf_dir).where("import_session_id NOT LIKE '%3' OR outcome <> 'error'")
+    one = rows.select("import_session_id", F.when(F.col("import_session_id").endswith("1"), "fatal").when(F.col("import_session_id").endswith("2"), "sink_failed").alias("event"))
+    none = spark.range(1).select(F.lit("imp-none").alias("import_session_id"), F.lit("fatal").alias("event"))
+    return reports.import_totals(rows, one.where("event IS NOT NULL").distinct().unionByName(none))
 
 
 @query("SELECT import_session_id, event_type, count(*) AS n FROM audit GROUP BY ALL")
@@ -181,12 +190,30 @@ def report_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SESSIONS + """SELECT (SELECT count(DISTINCT import_session_id) FROM audit) AS imports, (SELECT count(*) FROM d) AS delete_events,
-  (SELECT count(*) FROM audit WHERE outcome = 'error') AS error_records,
+  (SELECT count(*) FROM audit WHERE delete_permission = 'delete') AS warning_diagnostics, (SELECT count(*) FROM audit WHERE outcome = 'error') AS error_diagnostics,
   (SELECT max(m) FROM (SELECT min(occurred_ts) AS m FROM audit GROUP BY import_session_id)) AS last_import_start,
   (SELECT count(*) FROM summary) AS sessions, (SELECT count(*) FROM summary WHERE max_risk = 'warning') AS warning_sessions,
   (SELECT count(*) FROM summary WHERE max_risk = 'critical') AS critical_sessions""")
 def report_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.dashboard(audit_rows(spark, sf_dir), sessions.session_summary(assessed(spark, sf_dir)))
+    imports = audit_rows(spark, sf_dir).groupBy("import_session_id").agg(F.min("occurred_ts").alias("started_ts"))
+    return reports.dashboard(imports, sessions.session_summary(assessed(spark, sf_dir)), deletes(spark, sf_dir), _diagnostics(spark, sf_dir))
+
+
+@query(_SESSIONS + _PAIRS.replace(", d AS (SELECT *, epoch_us", ", dd AS (SELECT *, epoch_us").replace("FROM d JOIN", "FROM dd AS d JOIN").replace("FROM d LEFT JOIN", "FROM dd AS d LEFT JOIN") + """
+, graded AS (SELECT import_session_id, session_id, max(risk_rank) AS rank FROM a GROUP BY ALL), imports AS (SELECT DISTINCT import_session_id FROM audit)
+SELECT import_session_id, 'parsed_success' AS item, NULL AS key, count(*) FILTER (outcome <> 'error') AS n FROM audit GROUP BY 1
+UNION ALL SELECT import_session_id, 'parsed_failure', NULL, count(*) FILTER (outcome = 'error') FROM audit GROUP BY 1
+UNION ALL SELECT import_session_id, 'event_id', event_id % 7, count(*) FROM audit GROUP BY 1, 3
+UNION ALL SELECT import_session_id, 'delete_facts', NULL, count(*) FILTER (outcome = 'delete_fact') FROM audit GROUP BY 1
+UNION ALL SELECT i.import_session_id, 'confidence', x.c, count(c.raw_event_id) FROM imports AS i CROSS JOIN (VALUES ('none'), ('low'), ('medium'), ('high')) AS x(c)
+  LEFT JOIN (correlated AS c JOIN audit AS t ON t.raw_event_id = c.raw_event_id) ON c.confidence = x.c AND t.import_session_id = i.import_session_id GROUP BY 1, 3
+UNION ALL SELECT i.import_session_id, 'sessions', x.r, count(g.session_id) FROM imports AS i CROSS JOIN (VALUES ('warning', 2), ('critical', 3)) AS x(r, k)
+  LEFT JOIN graded AS g ON g.rank = x.k AND g.import_session_id = i.import_session_id GROUP BY 1, 3""")
+def report_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of every import; an event's number stands for its event id."""
+    rows = audit_rows(spark, sf_dir).withColumn("event_id", F.col("event_id") % 7)
+    found = correlated(spark, sf_dir).join(rows.select("raw_event_id", "import_session_id"), "raw_event_id")
+    return reports.import_report(rows, found, assessed(spark, sf_dir))
 
 
 @query(_SESSIONS + """SELECT raw_event_id, occurred_ts, full_path, risk FROM a WHERE risk = 'critical' AND contains(lower(full_path), 'f3.t')
@@ -196,25 +223,31 @@ def filter_delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.filter_events(assessed(spark, sf_dir), q).select("raw_event_id", "occurred_ts", "full_path", "risk")
 
 
-@query(_SESSIONS + "SELECT session_id, scope, last_ts, max_risk FROM summary WHERE max_risk = 'warning' AND contains(lower(process_identity), 'guid:') AND contains(lower(scope), 'lab')")
+@query(_SESSIONS + """SELECT session_id, scope, last_ts, max_risk FROM summary WHERE max_risk = 'informational' AND contains(lower(scope), 'lab')
+  AND (CAST(process_id AS VARCHAR) = '1003' OR contains(lower(process_identity), '1003') OR coalesce(contains(lower(process_guid), '1003'), false))""")
 def filter_delete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = views.EventQuery(risk="warning", path="LAB", process="GUID:")
+    q = views.EventQuery(risk="informational", path="LAB", process="1003")
     return views.filter_sessions(sessions.session_summary(assessed(spark, sf_dir)), q).select("session_id", "scope", "last_ts", "max_risk")
 
 
-_CAPTURE = """, r AS (SELECT *, CASE WHEN outcome = 'error' THEN 'parse_error' WHEN delete_permission = 'not_observed' AND outcome = 'security_evidence' THEN 'no_evidence' END AS error_code FROM audit)
-"""
-
-
-def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("outcome") == "error", "parse_error").when((F.col("delete_permission") == "not_observed") & (F.col("outcome") == "security_evidence"), "no_evidence")
-    return audit_rows(spark, sf_dir).withColumn("error_code", code)
-
-
-@query(_CAPTURE + """SELECT live_session_id, received_sequence, error_code FROM r WHERE error_code IS NOT NULL AND received_sequence BETWEEN 100 AND 1500 AND contains(lower(computer_name), 'lab-1')""")
+@query(DUCK_CAPTURES + """SELECT live_evidence_id, outcome, error_code FROM cap WHERE (outcome = 'error' OR error_code IS NOT NULL) AND received_sequence BETWEEN 5 AND 45 AND contains(lower(provider_name), 'sysmon')""")
 def filter_capture_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = views.filter_capture_records(captured(spark, sf_dir), first=100, last=1500, computer="lab-1", errors_only=True)
-    return found.select("live_session_id", "received_sequence", "error_code")
+    """Errors of captures, and ignored records that bear a code."""
+    q = views.CaptureQuery(first=5, last=45, provider=" SYSMON", errors_only=True)
+    return views.filter_capture_records(captures(spark, sf_dir), q).select("live_evidence_id", "outcome", "error_code")
+
+
+@query(DUCK_CAPTURES + """SELECT live_evidence_id, observed_ts FROM cap WHERE outcome = 'delete_fact' AND parsed_event_id = 23 AND channel_name = 'c' AND observed_ts >= TIMESTAMP '2024-01-10' AND observed_ts < TIMESTAMP '2024-03-01'
+UNION ALL SELECT live_evidence_id, observed_ts FROM cap WHERE event_record_id = 77
+UNION ALL SELECT live_evidence_id, observed_ts FROM cap WHERE live_session_id = 'cap-3' AND contains(error_code, 'unsupported')""")
+def filter_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by outcome, event, channel and time; by their record id; and those of one capture by their code."""
+    rows = captures(spark, sf_dir)
+    queries = (
+        views.CaptureQuery(outcome="delete_fact", event_id=23, channel="C", begin="2024-01-10 00:00:00", end="2024-03-01 00:00:00"),
+        views.CaptureQuery(record_id=77), views.CaptureQuery(session="cap-3", error_code="UNSUPPORTED"),
+    )
+    return reduce(DataFrame.unionAll, (views.filter_capture_records(rows, q).select("live_evidence_id", "observed_ts") for q in queries))
 
 
 @query("SELECT raw_event_id, command_line FROM audit WHERE outcome = 'process_context' AND contains(lower(command_line), 'run 1')")
@@ -243,14 +276,16 @@ def capture_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.capture_sessions(starts, done, records).withColumn("uncommitted", F.col("uncommitted").cast("int"))
 
 
-@query(_SESSIONS + """SELECT a.raw_event_id, a.session_id, CASE WHEN a.record_ordinal % 50 = 0 THEN 'critical' ELSE x.max_risk END AS shown_risk FROM a JOIN summary AS x USING (session_id)""")
+@query(_SESSIONS + """SELECT a.raw_event_id, a.session_id, CASE WHEN a.record_ordinal % 50 = 0 THEN 'critical' ELSE x.max_risk END AS shown_risk FROM a JOIN summary AS x USING (session_id)
+  WHERE a.record_ordinal % 13 <> 0 AND x.items < 5""")
 def view_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes with the risk to show; every fiftieth record has assessments of its own."""
+    """Deletes with the risk to show; every fiftieth record has assessments of its own, every 13th no raw event, and large sessions are not stored."""
     rows = assessed(spark, sf_dir)
     own = rows.where("record_ordinal % 50 = 0").select("raw_event_id", F.explode(F.array(F.lit("warning"), F.lit("critical"))).alias("event_risk"), F.col("occurred_ts").alias("assessed_ts"))
-    summary = sessions.session_summary(rows).select("session_id", "max_risk")
+    summary = sessions.session_summary(rows).where("items < 5").select("session_id", "max_risk")
+    raw = audit_rows(spark, sf_dir).where("record_ordinal % 13 <> 0").select("raw_event_id", F.col("event_type").alias("raw_type"))
     facts = rows.select("raw_event_id", "session_id", F.lit("informational").alias("initial_risk"))
-    return views.audit_view(facts, summary, own).select("raw_event_id", "session_id", "shown_risk")
+    return views.audit_view(facts, raw, summary, own).select("raw_event_id", "session_id", "shown_risk")
 
 
 @query("SELECT raw_event_id, live_session_id, received_sequence, row_number() OVER (PARTITION BY live_session_id ORDER BY received_sequence) AS projected_sequence FROM audit WHERE outcome <> 'error'")
@@ -258,19 +293,94 @@ def project_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.dense_sequence(audit_rows(spark, sf_dir)).select("raw_event_id", "live_session_id", "received_sequence", "projected_sequence")
 
 
-@query("""SELECT live_session_id, outcome, computer_name, min(received_sequence) AS first_sequence, arg_min(occurred_ts, received_sequence) AS opened_ts, count(*) AS records,
-  sha256(concat_ws(chr(31), live_session_id, outcome, computer_name)) AS epoch_id FROM audit GROUP BY ALL""")
+def _blob(*fields: str) -> str:
+    """DuckDB for ``integrity.encoded``."""
+    return " || ".join(f"coalesce(unhex(printf('%08x', strlen(CAST({f} AS VARCHAR)))) || encode(CAST({f} AS VARCHAR)), unhex('ffffffff'))" for f in fields)
+
+
+def _absent(*names: tuple[str, str]) -> str:
+    return " || ".join(f"CASE WHEN {c} THEN {_blob(chr(39) + 'missing:' + n + chr(39))} ELSE ''::BLOB END" for n, c in names)
+
+
+_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00'"
+_CANONICAL = DUCK_CAPTURES + f""", x AS (SELECT cap.*, audit.full_path AS path, audit.process_id, audit.process_path, audit.process_guid AS guid, audit.command_line, audit.user_name, audit.user_sid AS sid, audit.delete_permission AS permission
+    FROM cap JOIN audit USING (record_ordinal) WHERE cap.outcome <> 'ignored')
+, y AS (SELECT *, row_number() OVER (PARTITION BY live_session_id ORDER BY received_sequence) AS projected_sequence, outcome = 'delete_fact' AS del, outcome = 'process_context' AS pro, outcome = 'security_evidence' AS sec,
+    'live-epoch:' || upper(sha256({_blob("'live-channel-epoch-v1'", "live_session_id", "channel_name", "machine_name")})) AS epoch_id,
+    CASE outcome WHEN 'delete_fact' THEN 'sysmon_delete' WHEN 'process_context' THEN 'sysmon_process' ELSE 'security_4663' END AS source FROM x)
+, z AS (SELECT *, CASE WHEN NOT pro THEN path END AS full_path, CASE WHEN NOT sec THEN guid END AS process_guid, CASE WHEN pro THEN command_line END AS command, CASE WHEN sec THEN sid END AS user_sid,
+    CASE WHEN sec THEN permission WHEN del THEN 'not_observed' END AS delete_permission, CASE WHEN del THEN 'true' END AS archived FROM y)
+, canon AS (SELECT *, sha256({_blob("'live-projection-payload-v1'", "source", "event_record_id", "provider_name", "channel_name", "machine_name", _TIME.format("time_created_ts"), _TIME.format("observed_ts"),
+    "parser_raw_event_id", "parsed_event_id", "full_path", "CASE WHEN del THEN 'unknown' END", "process_id", "process_path", "process_guid", "command", "NULL", "NULL", "NULL", "user_name", "user_sid", "delete_permission", "archived")}
+    || {_absent(("commandLine", "del"), ("deletePermission", "del"), ("parentProcess", "del"), ("parentProcessGuid", "pro"), ("parentProcessId", "pro"), ("parentProcessPath", "pro"), ("processGuid", "NOT sec AND guid IS NULL"), ("userSid", "NOT sec OR sid IS NULL"))})
+    AS payload_hash FROM z)
+"""
+
+
+@query(_CANONICAL + f""", c AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256({_blob("'live-projection-entry-v1'", "repeat('0', 64)", "live_evidence_id", "epoch_id", "projected_sequence", "upper(raw_xml_sha256)", "upper(payload_hash)")}) AS entry_hash
+    FROM canon WHERE projected_sequence = 1
+  UNION ALL SELECT n.*, c.entry_hash, sha256({_blob("'live-projection-entry-v1'", "upper(c.entry_hash)", "n.live_evidence_id", "n.epoch_id", "n.projected_sequence", "upper(n.raw_xml_sha256)", "upper(n.payload_hash)")})
+    FROM c JOIN canon AS n ON n.live_session_id = c.live_session_id AND n.projected_sequence = c.projected_sequence + 1)
+SELECT live_evidence_id, projected_sequence, source, full_path, process_id, process_guid, user_sid, epoch_id, payload_hash, previous_hash, entry_hash FROM c""")
+def project_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical rows of all captures with their digests, epochs and chain."""
+    rows = projection.chained(projection.canonical_rows(captures(spark, sf_dir)).drop("failure"))
+    return rows.select("live_evidence_id", "projected_sequence", "source", "full_path", "process_id", "process_guid", "user_sid", "epoch_id", "payload_hash", "previous_hash", "entry_hash")
+
+
+@query(DUCK_CAPTURES + """SELECT live_evidence_id, CASE WHEN k = 1 THEN 'live_evidence_identity_mismatch' WHEN k = 2 THEN 'source_digest_mismatch' WHEN k = 3 OR outcome = 'ignored' THEN 'source_outcome_not_projectable'
+  WHEN k = 4 THEN 'source_reparse_failed' WHEN k = 5 THEN 'source_parser_identity_mismatch' WHEN k = 6 THEN 'source_classification_mismatch' END AS failure
+FROM (SELECT CASE WHEN record_ordinal % 8 = 1 THEN 'x' ELSE '' END || live_evidence_id AS live_evidence_id, outcome, record_ordinal % 8 AS k FROM cap)""")
+def canonical_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured records of which six in eight are damaged, each in another way."""
+    k = F.col("record_ordinal") % 8
+    swapped = F.when(F.col("outcome") == "delete_fact", "process_context").when(F.col("outcome") == "ignored", "ignored").otherwise("delete_fact")
+    rows = captures(spark, sf_dir).withColumns(
+        {
+            "live_evidence_id": F.concat(F.when(k == 1, "x").otherwise(""), "live_evidence_id"), "outcome": F.when(k == 3, "ignored").when(k == 6, swapped).otherwise(F.col("outcome")),
+            "raw_xml": F.when(k == 4, "<Event>").otherwise(F.col("raw_xml")), "parsed_event_id": F.when(k == 5, 7).otherwise(F.col("parsed_event_id")),
+        }
+    ).withColumn("raw_xml_sha256", F.when(k == 2, "0" * 64).otherwise(F.sha2("raw_xml", 256)))
+    return projection.canonicalize(rows).select("live_evidence_id", "failure")
+
+
+@query(_CANONICAL + """SELECT live_session_id, channel_name, machine_name, min(received_sequence) AS first_sequence, arg_min(provider_name, received_sequence) AS provider_name,
+  arg_min(time_created_ts, received_sequence) AS opened_ts, count(*) AS records, any_value(epoch_id) AS epoch_id FROM canon GROUP BY live_session_id, channel_name, machine_name""")
 def project_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.channel_epochs(audit_rows(spark, sf_dir))
+    return projection.channel_epochs(projection.canonical_rows(captures(spark, sf_dir)))
 
 
-@query("""SELECT live_session_id, count(*) FILTER (outcome <> 'error' AND received_sequence <> 5) AS rows, count(*) FILTER (outcome <> 'error') AS expected,
-  min(received_sequence) FILTER (received_sequence = -1) AS first_break, CAST(NULL AS VARCHAR) AS reason FROM audit WHERE false GROUP BY 1
-UNION ALL SELECT live_session_id, count(*), count(*), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM audit WHERE outcome <> 'error' GROUP BY 1""")
+@query(_CANONICAL + f""", n AS (SELECT live_session_id, any_value(session_no) % 16 AS k, count(*) AS n, min(projected_sequence) FILTER (epoch_id = third) AS epoch_place
+    FROM (SELECT *, first_value(epoch_id) OVER (PARTITION BY live_session_id ORDER BY abs(projected_sequence - 3)) AS third FROM canon) GROUP BY live_session_id)
+, b AS (SELECT live_session_id, n - CASE WHEN k = 13 THEN 2 WHEN k = 1 THEN 1 ELSE 0 END AS n, [NULL, 'sequence_not_dense', 'missing_source', 'source_identity_mismatch', 'source_digest_mismatch', 'identity_mismatch', 'payload_mismatch', 'digest_mismatch',
+    'previous_hash_mismatch', 'entry_hash_mismatch', 'epoch_missing', 'epoch_identity_mismatch', 'epoch_first_record_mismatch', 'tail_cut', 'orphan_epoch', NULL][k + 1] AS reason,
+    CASE WHEN k BETWEEN 1 AND 9 THEN 3 WHEN k = 10 THEN epoch_place WHEN k IN (11, 12) THEN 1 WHEN k = 13 THEN n - 1 WHEN k = 14 THEN n + 1 END AS first_break FROM n WHERE n > {CAPTURE // 2})
+SELECT live_session_id, CASE WHEN first_break IS NULL THEN n ELSE first_break - 1 END AS verified, first_break, reason FROM b""")
 def verify_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An untouched projection verifies: no break in any capture."""
-    records = audit_rows(spark, sf_dir)
-    return projection.verify_continuity(projection.canonical_rows(records), records)
+    """Projections of captures, of which 14 in 16 are broken after they were stored, each in another way."""
+    rows = captures(spark, sf_dir)
+    stored = written(projection.chained(projection.canonical_rows(rows).drop("failure")), "projected")
+    large = stored.groupBy("live_session_id").agg(F.count("*").alias("n")).where(F.col("n") > CAPTURE // 2)
+    stored = stored.join(large, "live_session_id")
+    epochs = projection.channel_epochs(stored).drop("records")
+    k, third = F.regexp_extract("live_session_id", "[0-9]+", 0).cast("long") % 16, F.col("projected_sequence") == 3
+    source = rows.join(large.select("live_session_id"), "live_session_id", "left_semi").join(stored.where(third).select("live_evidence_id", F.lit(True).alias("third")), "live_evidence_id", "left")
+    source = source.where(~((k == 2) & F.coalesce("third", F.lit(False)))).withColumn("raw_xml_sha256", F.when((k == 4) & F.col("third"), "0" * 64).otherwise(F.col("raw_xml_sha256"))).drop("third")
+    at = lambda kind, c, value: F.when((k == kind) & third, value).otherwise(F.col(c))
+    gone = (k == 1) & third | (k == 13) & (F.col("projected_sequence") > F.col("n") - 2)
+    damaged = stored.where(~gone).withColumns(
+        {
+            "received_sequence": at(3, "received_sequence", 99), "projected_id": at(5, "projected_id", "x"), "process_path": at(6, "process_path", "x"), "payload_hash": at(7, "payload_hash", "0" * 64),
+            "previous_hash": at(8, "previous_hash", "0" * 64), "entry_hash": at(9, "entry_hash", "0" * 64),
+        }
+    ).drop("n")
+    lost = stored.where((k == 10) & third).select("live_session_id", "epoch_id")
+    kept = epochs.join(lost, ["live_session_id", "epoch_id"], "left_anti").withColumns(
+        {"channel_name": F.when(k == 11, "zz").otherwise(F.col("channel_name")), "provider_name": F.when(k == 12, "zz").otherwise(F.col("provider_name"))}
+    )
+    more = large.where(k == 14).select("live_session_id", F.lit("e").alias("channel_name"), F.lit(None).cast("string").alias("machine_name"), F.lit(1).cast("long").alias("first_sequence"), F.lit("p").alias("provider_name"), F.lit(None).cast("timestamp_ntz").alias("opened_ts"), F.lit("live-epoch:0").alias("epoch_id"))
+    runs = large.select("live_session_id", F.lit(True).alias("completed"), (F.col("n") - F.when(k == 1, 1).otherwise(0)).alias("considered"))
+    return projection.verify_continuity(damaged, source, kept.unionByName(more), runs).drop("evidence")
 
 
 @query(""", h AS (SELECT live_session_id AS chain, received_sequence AS n, sha256(raw_event_id || '|' || outcome || '|' || full_path) AS content_hash FROM audit)
@@ -283,14 +393,20 @@ def chain_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.build_chain(audit_rows(spark, sf_dir), "live_session_id", "received_sequence", payload)
 
 
-@query("""SELECT live_session_id AS chain, count(*) AS entries, max(received_sequence) FILTER (received_sequence = 7) AS first_bad,
-  CASE WHEN max(received_sequence) >= 7 THEN 'content_hash_mismatch' END AS reason FROM audit GROUP BY 1""")
+@query(""", n AS (SELECT live_session_id AS chain, CAST(replace(live_session_id, 'live-', '') AS BIGINT) % 9 AS k, count(*) AS n FROM audit GROUP BY ALL)
+SELECT chain, n - CASE WHEN k = 7 AND n >= 7 THEN 1 ELSE 0 END AS entries, CASE WHEN k = 8 OR n < 7 THEN NULL WHEN k = 7 THEN CASE WHEN n > 7 THEN 8 END ELSE 7 END AS first_bad,
+  CASE WHEN k = 8 OR n < 7 OR k = 7 AND n = 7 THEN NULL ELSE ['content_hash_mismatch', 'missing_or_invalid_chain_field', 'unsupported_version', 'invalid_hash_encoding', 'previous_hash_mismatch', 'entry_hash_mismatch', 'invalid_json', 'previous_hash_mismatch'][k + 1] END AS reason FROM n""")
 def chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of which the seventh record was altered after it was chained."""
-    chained = chain_build(spark, sf_dir)
-    path = F.when(F.col("received_sequence") == 7, "altered").otherwise(F.col("full_path"))
-    rows = audit_rows(spark, sf_dir).select(F.col("live_session_id").alias("chain"), F.col("received_sequence").alias("n"), F.concat_ws("|", "raw_event_id", "outcome", path).alias("payload"))
-    return integrity.verify_chain(chained.join(rows, ["chain", "n"]), F.col("payload"))
+    """Chains written as JSON lines, of which the seventh was damaged in eight ways in turn: altered, its version lacking or another, a hash that is none, other hashes, no JSON, removed."""
+    kind, seventh = F.regexp_extract("chain", "[0-9]+", 0).cast("int") % 9, F.col("n") == 7
+    at = lambda k, c, value: F.when((kind == k) & seventh, value).otherwise(F.col(c))
+    payload = F.concat_ws("|", "raw_event_id", "outcome", "full_path")
+    rows = audit_rows(spark, sf_dir).withColumn("payload", payload)
+    chained = integrity.build_chain(rows, "live_session_id", "received_sequence", F.col("payload"), ["payload"]).where(~((kind == 7) & seventh))
+    fields = {"payload": at(0, "payload", "altered"), "previous_hash": F.when((kind == 4) & seventh, "0" * 64).otherwise(at(3, "previous_hash", "zz")), "entry_hash": at(5, "entry_hash", "0" * 64), "version": F.when((kind == 1) & seventh, None).otherwise(at(2, "version", "2"))}
+    line = F.to_json(F.struct("content_hash", "n", *(c.alias(n) for n, c in fields.items())))
+    lines = chained.select("chain", "n", F.when((kind == 6) & seventh, "{broken").otherwise(line).alias("value"))
+    return integrity.verify_chain(integrity.read_lines(lines), F.col("payload"))
 
 
 @query("""SELECT raw_event_id, CASE WHEN event_id % 3 = 0 THEN raw_event_id WHEN event_id % 3 = 1 THEN 'kept-' || event_id ELSE raw_event_id END AS kept_id,
@@ -315,10 +431,15 @@ def diagnostics_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cap_diagnostics(rows)[1]
 
 
-@query("SELECT * FROM (VALUES ('known outcome', (SELECT count(*) FROM audit WHERE outcome = 'error')), ('guid present', (SELECT count(*) FROM audit WHERE process_guid IS NULL)), ('unique raw_event_id', 0)) AS v(rule, violations)")
+@query("""SELECT * FROM (VALUES ('known outcome', (SELECT count(*) FROM audit WHERE outcome = 'error')), ('guid present', (SELECT count(*) FROM audit WHERE process_guid IS NULL)),
+  ('digest', (SELECT count(*) FROM audit WHERE event_id % 3 = 0)), ('sum', (SELECT count(*) FROM audit WHERE event_id % 5 = 0)), ('unique computer_name,process_id', (SELECT count(*) FROM (SELECT 1 FROM audit GROUP BY computer_name, process_id HAVING count(*) > 1)))) AS v(rule, violations)""")
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"known outcome": F.col("outcome").isin(*projection.PROJECTABLE), "guid present": F.col("process_guid").isNotNull()}
-    return quality.check_contract(audit_rows(spark, sf_dir), rules, ["raw_event_id"])
+    """How many rows break each rule: known values, presence, digests, sums and unique keys."""
+    rules = {"known outcome": F.col("outcome").isin(*projection.PROJECTABLE), "guid present": F.col("process_guid").isNotNull(), "digest": quality.is_digest("digest"), "sum": quality.adds_up("total", "one", "two")}
+    rows = audit_rows(spark, sf_dir).withColumns(
+        {"digest": F.when(F.col("event_id") % 3 == 0, "ABC").otherwise(F.sha2("raw_event_id", 256)), "one": F.col("event_id"), "two": F.lit(1), "total": F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)}
+    )
+    return quality.check_contract(rows, rules, ["computer_name", "process_id"])
 
 
 @query("""SELECT raw_event_id FROM audit AS a WHERE outcome = 'delete_fact' AND NOT EXISTS (SELECT 1 FROM audit AS b WHERE b.raw_event_id = a.raw_event_id AND b.import_session_id = 'imp-0')""")
@@ -446,17 +567,14 @@ def chain_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.output_manifest(chain_build(spark, sf_dir))
 
 
-@query(_PAIRS + """, k AS (SELECT did, 'p' || tier AS kind, delta, ord, pid FROM pm WHERE tier IN (1, 3) UNION ALL SELECT did, 's', delta, ord, pid FROM sm)
-SELECT did AS d_id, kind, delta, ord AS ordinal, pid AS partner FROM k QUALIFY row_number() OVER (PARTITION BY did, kind ORDER BY delta, ord) <= 2""")
+@query(_PAIRS + f""", k AS (SELECT d.raw_event_id AS d_id, 'process' AS kind, abs(d.us - p.us) AS delta, p.record_ordinal AS ordinal, p.raw_event_id AS partner FROM d JOIN p ON p.us BETWEEN d.us - {W} AND d.us + {W}
+  UNION ALL SELECT d.raw_event_id, 'security', abs(d.us - e.us), e.record_ordinal, e.raw_event_id FROM d JOIN e ON e.us BETWEEN d.us - {W} AND d.us + {W})
+SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY d_id, kind ORDER BY delta, ordinal) <= 2""")
 def trim_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two nearest candidates of each kind for every delete."""
-    d, p = K._side(deletes(spark, sf_dir), "d"), K._side(contexts(spark, sf_dir), "p")
-    row = lambda pairs, kind, s: pairs.select("d_id", F.lit(kind).alias("kind"), F.abs(F.col("d_us") - F.col(f"{s}_us")).alias("delta"), F.col(f"{s}_ord").alias("ordinal"), F.col(f"{s}_id").alias("partner"))
-    by_guid = d.join(p.drop("pid", "path"), ["computer", "guid"])
-    by_path = K._within(d, p, ["computer", "path"], "p", W)
-    permitted = K._side(evidence(spark, sf_dir).where("delete_permission <> 'not_observed'"), "s", "full_path")
-    by_object = K._within(K._side(deletes(spark, sf_dir), "d", "full_path"), permitted, ["computer", "path"], "s", W)
-    return K.trim_candidates(row(by_guid, "p3", "p").union(row(by_path, "p1", "p")).union(row(by_object, "s", "s")), 2)
+    """The two nearest candidates of each kind for every delete, none farther than the limit."""
+    d = deletes(spark, sf_dir)
+    near = analysis.near_candidates(d, contexts(spark, sf_dir), "process", W, 2)
+    return near.unionByName(analysis.near_candidates(d, K.permitted(evidence(spark, sf_dir)), "security", W, 2))
 
 
 @query(_PAIRS + """SELECT c.raw_event_id, a.live_session_id || ':' || a.received_sequence AS process_evidence_id, b.live_session_id || ':' || b.received_sequence AS security_evidence_id
@@ -466,12 +584,12 @@ def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.attach_evidence_ids(correlated(spark, sf_dir), ids).select("raw_event_id", "process_evidence_id", "security_evidence_id")
 
 
-@query("""SELECT raw_event_id, CASE WHEN event_id % 7 = 0 THEN 'missing_source' WHEN event_id % 7 = 1 THEN 'changed_source' ELSE 'ok' END AS source_state FROM audit WHERE outcome <> 'error'""")
+@query(DUCK_CAPTURES + """SELECT live_evidence_id, CASE WHEN record_ordinal % 7 = 0 THEN 'missing_source' WHEN record_ordinal % 7 = 1 THEN 'changed_source' ELSE 'ok' END AS source_state FROM cap WHERE outcome <> 'ignored'""")
 def projection_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seventh of the source records is gone and a seventh changed."""
-    records = audit_rows(spark, sf_dir)
-    now = records.where("event_id % 7 <> 0").withColumn("raw_event_id", F.when(F.col("event_id") % 7 == 1, "other").otherwise(F.col("raw_event_id")))
-    return projection.join_projection_source(projection.canonical_rows(records), now).select("raw_event_id", "source_state")
+    records = captures(spark, sf_dir)
+    now = records.where("record_ordinal % 7 <> 0").withColumn("raw_xml_sha256", F.when(F.col("record_ordinal") % 7 == 1, "other").otherwise(F.col("raw_xml_sha256")))
+    return projection.join_projection_source(projection.canonical_rows(records), now).select("live_evidence_id", "source_state")
 
 
 @query("SELECT live_session_id, count(*) + 1 AS persisted, count(*) AS stored FROM audit WHERE live_session_id LIKE '%2' GROUP BY 1")
@@ -489,17 +607,20 @@ def projection_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.projection_high_water(runs)
 
 
-@query("""SELECT live_session_id, considered, already, refusal, CASE WHEN refusal IS NULL THEN considered - already ELSE 0 END AS appended, refusal IS NULL AS completed FROM (
-  SELECT live_session_id, count(*) FILTER (outcome <> 'error') AS considered,
-    count(*) FILTER (outcome <> 'error' AND received_sequence <= 100 AND live_session_id LIKE '%0') AS already,
-    CASE WHEN live_session_id LIKE '%1' THEN 'incomplete_capture' WHEN live_session_id LIKE '%2' THEN 'ledger_mismatch' END AS refusal FROM audit GROUP BY 1)""")
+@query(DUCK_CAPTURES + """, f AS (SELECT *, first_value(received_sequence) OVER (PARTITION BY live_session_id ORDER BY CASE WHEN outcome <> 'ignored' THEN 0 ELSE 1 END, received_sequence) AS lead FROM cap)
+SELECT live_session_id, considered, already, refusal, CASE WHEN refusal IS NULL THEN considered - already ELSE 0 END AS appended, refusal IS NULL AS completed FROM (
+  SELECT live_session_id, count(*) FILTER (outcome <> 'ignored') AS considered,
+    count(*) FILTER (outcome <> 'ignored' AND received_sequence <= 20 AND session_no % 6 IN (0, 4) AND (session_no % 6 = 0 OR received_sequence <> lead)) AS already,
+    CASE any_value(session_no) % 6 WHEN 1 THEN 'incomplete_capture' WHEN 2 THEN 'ledger_mismatch' WHEN 3 THEN 'source_digest_mismatch' WHEN 4 THEN 'stored_rows_are_no_prefix' END AS refusal FROM f GROUP BY 1)""")
 def project_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of an incremental projection: some captures are incomplete or miscounted, one has its beginning projected."""
-    records = audit_rows(spark, sf_dir)
-    n = F.count("*") + F.when(F.col("live_session_id").endswith("2"), 1).otherwise(0)
-    done = records.where("live_session_id NOT LIKE '%1'").groupBy("live_session_id").agg(n.alias("persisted"))
-    before = projection.canonical_rows(records).where("received_sequence <= 100 AND live_session_id LIKE '%0'")
-    return projection.project_session(records, done, before)[1]
+    """Runs of an incremental projection: captures that are new, incomplete, miscounted, damaged, without the first of their stored rows, or with their beginning stored."""
+    k = F.col("session_no") % 6
+    rows = captures(spark, sf_dir)
+    records = rows.withColumn("raw_xml_sha256", F.when((k == 3) & (F.col("outcome") != "ignored"), "0" * 64).otherwise(F.col("raw_xml_sha256")))
+    done = rows.groupBy("live_session_id", k.alias("k")).agg(F.count("*").alias("n")).where("k <> 1").select("live_session_id", (F.col("n") + F.when(F.col("k") == 2, 1).otherwise(0)).alias("persisted"))
+    stored = written(projection.chained(projection.canonical_rows(rows.where(k.isin(0, 4))).drop("failure")), "projected").where("received_sequence <= 20")
+    number = F.regexp_extract("live_session_id", "[0-9]+", 0).cast("long") % 6
+    return projection.project_session(records, done, stored.where((number == 0) | (F.col("projected_sequence") > 1)))[1]
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,11 +648,18 @@ def first_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.session_diagnostics(_diagnostics(spark, sf_dir), "live-0").select("diagnostic_id", "occurred_ts", "severity")
 
 
-@query(_DIAGNOSTICS + "SELECT DISTINCT import_session_id AS record_number, severity, code, message FROM g")
+@query(_DIAGNOSTICS + """, u AS (SELECT 0 AS part, import_session_id, CAST(replace(diagnostic_id, 'raw-', '') AS BIGINT) % 60 AS record_number, 'XML_Parse' AS stage, severity, code, diagnostic_id AS ordinal FROM g
+  UNION ALL SELECT 1, import_session_id, CAST(replace(diagnostic_id, 'raw-', '') AS BIGINT) % 30, CASE severity WHEN 'error' THEN 'XML_Parse' ELSE 'odd' END, severity, code, diagnostic_id FROM g)
+, v AS (SELECT *, CASE WHEN record_number < 20 THEN record_number END AS known, CASE WHEN record_number >= 20 THEN record_number END AS unmatched FROM u)
+SELECT import_session_id, known AS record_number, CASE stage WHEN 'odd' THEN 'persist' ELSE 'parse' END AS stage, severity, code, ordinal, '{"originalStage":"' || stage || '"' || coalesce(',"unmatchedRecordNumber":' || unmatched, '') || '}' AS details_json
+FROM v QUALIFY row_number() OVER (PARTITION BY import_session_id, known, stage, severity, code ORDER BY part, ordinal) = 1""")
 def distinct_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The union of the diagnostics with themselves, equal ones once."""
-    part = _diagnostics(spark, sf_dir).select(F.col("import_session_id").alias("record_number"), F.lit("parse").alias("stage"), "severity", "code", "message", F.col("diagnostic_id").alias("ordinal"))
-    return quality.collect_diagnostics(part, part).select("record_number", "severity", "code", "message")
+    """Two lists of diagnostics, equal ones once and the first kept; stages are spelt in many ways and some records are not known."""
+    rows = _diagnostics(spark, sf_dir).withColumn("no", F.regexp_extract("diagnostic_id", "[0-9]+", 0).cast("long"))
+    part = lambda modulus, stage: rows.select("import_session_id", (F.col("no") % modulus).alias("record_number"), stage.alias("stage"), "severity", "code", F.lit("m").alias("message"), F.col("diagnostic_id").alias("ordinal"))
+    records = rows.select("import_session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("record_number"))
+    second = part(30, F.when(F.col("severity") == "error", "XML_Parse").otherwise("odd"))
+    return quality.collect_diagnostics(part(60, F.lit("XML_Parse")), second, records=records).drop("message")
 
 
 @query("""SELECT import_session_id, 'partial_failure' AS status, started_ts FROM (SELECT import_session_id, min(occurred_ts) AS started_ts, count(*) FILTER (outcome = 'error') AS e FROM audit GROUP BY 1)
@@ -548,35 +676,199 @@ def filter_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.filter_capture_sessions(capture_overview(spark, sf_dir), "incomplete").select("live_session_id", "started_ts")
 
 
-@query("""SELECT live_session_id, count(*) AS received, count(*) FILTER (outcome = 'delete_fact') AS delete_fact, count(*) FILTER (outcome = 'process_context') AS process_context,
-  count(*) FILTER (outcome = 'security_evidence') AS security_evidence, count(*) FILTER (outcome = 'ignored') AS ignored, count(*) FILTER (outcome = 'error') AS error FROM audit GROUP BY 1""")
-def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.capture_counters(audit_rows(spark, sf_dir))
+def _mart(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return mart.build_audit_mart(audit_rows(spark, sf_dir), deletes(spark, sf_dir), contexts(spark, sf_dir), correlated(spark, sf_dir), assessed(spark, sf_dir))
 
 
 @query(_PAIRS + "SELECT raw_event_id, method, confidence, CASE confidence WHEN 'none' THEN 0 WHEN 'low' THEN 25 WHEN 'medium' THEN 75 ELSE 100 END AS score FROM correlated")
 def mart_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = mart.build_audit_mart(deletes(spark, sf_dir), correlated(spark, sf_dir), assessed(spark, sf_dir))
-    return tables["event_correlations"].select("raw_event_id", "method", "confidence", "score")
+    return _mart(spark, sf_dir)["event_correlations"].select("raw_event_id", "method", "confidence", "score")
 
 
 @query(_SESSIONS + """SELECT session_id, 'delete_session' AS subject_kind, risk, CASE WHEN rule_code LIKE 'burst_%' THEN CASE risk WHEN 'critical' THEN 'burst_100_in_10s' ELSE 'burst_30_in_10s' END ELSE rule_code END AS rule_code,
   '{"originalRuleCode":"' || rule_code || '"}' AS details_json, sha256(concat_ws(chr(31), 'assessment', raw_event_id)) AS assessment_id FROM a""")
 def mart_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mart.build_audit_mart(deletes(spark, sf_dir), deletes(spark, sf_dir).withColumns({c: F.lit(None) for c in ("method", "confidence", "delta_ms", "process_raw_id", "security_raw_id", "identity_enriched")}).withColumn("reasons", F.array()), assessed(spark, sf_dir))["risk_assessments"]
+    return _mart(spark, sf_dir)["risk_assessments"]
+
+
+@query(_SESSIONS + """, t AS (SELECT import_session_id, min(occurred_ts) AS started_ts, count(*) AS records, count(*) FILTER (outcome = 'error') AS errors FROM audit GROUP BY 1)
+, s2 AS (SELECT import_session_id, count(*) AS deletes, count(DISTINCT session_id) AS sessions FROM a GROUP BY 1)
+SELECT t.*, coalesce(deletes, 0) AS deletes, coalesce(sessions, 0) AS sessions FROM t LEFT JOIN s2 USING (import_session_id)""")
+def mart_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mart(spark, sf_dir)["import_sessions"]
+
+
+@query("SELECT import_session_id, record_ordinal, raw_event_id, outcome FROM audit")
+def mart_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mart(spark, sf_dir)["import_records"]
+
+
+@query("SELECT raw_event_id, import_session_id, occurred_ts AS started_ts, computer_name, process_id, process_guid, process_path, command_line, user_name, user_sid FROM audit WHERE outcome = 'process_context'")
+def mart_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mart(spark, sf_dir)["process_observations"]
+
 
+@query(_SESSIONS + "SELECT summary.*, first_raw_id AS first_raw_event_id FROM summary JOIN (SELECT DISTINCT session_id, first_raw_id FROM a) USING (session_id)")
+def mart_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mart(spark, sf_dir)["delete_sessions"]
 
-@query("""SELECT least(count(*), 5000) AS records, count(*) FILTER (outcome = 'delete_fact') AS deletes, count(*) FILTER (outcome = 'process_context') AS processes,
-  count(*) FILTER (outcome = 'security_evidence') AS evidence, count(*) FILTER (outcome = 'error') AS unparsable, count(*) > 5000 AS truncated
-FROM audit WHERE live_session_id = 'live-0'""")
+
+@query(_SESSIONS + """SELECT m.session_id, m.raw_event_id, m.running_count, sha256(concat_ws(chr(31), 'assessment', m.raw_event_id)) AS assessment_id, 'primary_delete' AS kind, 100 AS score, m.full_path FROM a AS m""")
+def mart_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of sessions with their assessment, evidence and event, from four tables of the mart."""
+    t = _mart(spark, sf_dir)
+    joined = t["session_members"].join(t["risk_assessment_links"], ["session_id", "raw_event_id"]).join(t["event_evidence"], "raw_event_id")
+    return joined.join(t["delete_events"], "raw_event_id").select("session_id", "raw_event_id", "running_count", "assessment_id", "kind", "score", "full_path")
+
+
+_REACH = W + analysis.GRACE_US
+_CAPTURED = _PAIRS.replace("FROM audit", "FROM own").replace("lower(d.process_guid) = lower(p.process_guid)", f"lower(d.process_guid) = lower(p.process_guid) AND abs(d.us - p.us) <= {_REACH}").replace(
+    ", d AS (", ", own AS (SELECT * FROM audit WHERE live_session_id = 'live-0' AND outcome <> 'error' ORDER BY received_sequence LIMIT 5000), d AS (", 1
+)
+
+
+@query(_CAPTURED + """SELECT (SELECT count(*) FROM own) AS records, (SELECT count(*) FROM d) AS deletes, (SELECT count(*) FROM p) AS processes, (SELECT count(*) FROM own WHERE outcome = 'security_evidence') AS evidence,
+  (SELECT count(*) FROM audit WHERE live_session_id = 'live-0' AND outcome = 'error') AS unparsable, (SELECT count(*) > 5000 FROM audit WHERE live_session_id = 'live-0' AND outcome <> 'error') AS truncated,
+  (SELECT count(*) FROM correlated WHERE method = 'none') AS uncorrelated""")
 def capture_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of one capture's analysis; by its nature it is about one capture and at most 5000 records of it."""
-    return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[1]
+    return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[2]
+
+
+@query(_CAPTURED + "SELECT raw_event_id, method, confidence, delta_ms, process_raw_id, security_raw_id FROM correlated")
+def capture_analysis_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match of every delete of one capture among its nearest candidates."""
+    rows = analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[0]
+    return rows.select("raw_event_id", "method", "confidence", "delta_ms", "process_raw_id", "security_raw_id")
 
 
 def capture_analysis_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes of one capture with their match and received-order session."""
+    """Deletes of one capture with their match, received-order session and risk; tested against a walk in plain Python."""
     return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[0]
 
 
+def capture_analysis_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Received-order sessions of one capture; tested against a walk in plain Python."""
+    return analysis.analyze_session(audit_rows(spark, sf_dir), "live-0", RULES, CORRELATION, RISK)[1]
+
+
 QUERIES["capture_analysis_deletes"] = capture_analysis_deletes
+QUERIES["capture_analysis_sessions"] = capture_analysis_sessions
+
+
+@query("SELECT record_ordinal AS ingest_sequence, raw_event_id, event_type FROM audit ORDER BY record_ordinal LIMIT 250")
+def raw_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 250 raw events by their sequence."""
+    raw = audit_rows(spark, sf_dir).select(F.col("record_ordinal").alias("ingest_sequence"), "raw_event_id", "event_type", F.lit("<x/>").alias("raw_xml"))
+    return sinks.raw_event_summaries(raw, 250)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Image=' || process_path || ';user=' || user_name WHEN 1 THEN 'image=' || process_path WHEN 2 THEN 'image=' || process_path ELSE '' END AS fields,
+  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'duplicate_name:image' WHEN 2 THEN 'blank_name,duplicate_name:image,blank_name' ELSE '' END AS warnings FROM (SELECT *, lower(process_path) FROM audit)""".replace("'Image='", "'image='"))
+def event_data_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event data with names that repeat in other case or are blank: what is kept and what is warned of."""
+    pair = lambda n, v: F.struct(F.lit(n).cast("string").alias("name"), v.alias("value"))
+    k, path, user = F.col("event_id") % 4, F.col("process_path"), F.col("user_name")
+    pairs = (
+        F.when(k == 0, F.array(pair("Image", path), pair(" User", user))).when(k == 1, F.array(pair("image", path), pair("IMAGE", user)))
+        .when(k == 2, F.array(pair(" ", user), pair("Image", path), pair("image ", user), pair(None, user))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    )
+    rows = audit_rows(spark, sf_dir).select("event_id", pairs.alias("pairs"))
+    fields = F.transform(F.map_entries(C.event_data_map(F.col("pairs"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.select("event_id", F.array_join(fields, ";").alias("fields"), F.array_join(C.event_data_warnings(F.col("pairs")), ",").alias("warnings"))
+
+
+def _subscriptions(spark: SparkSession) -> DataFrame:
+    one = lambda c, p, ids: spark.range(1).select(F.lit(c).alias("channel"), F.lit(p).alias("provider"), F.array(*map(F.lit, ids)).alias("event_ids"))
+    return one("c", "Microsoft-Windows-Sysmon", (1, 23, 26)).unionAll(one("S", "microsoft-windows-security-auditing", (4663,)))
+
+
+@query(DUCK_CAPTURES + """, k AS (SELECT cap.*, record_ordinal % 9 AS k, computer_name FROM cap JOIN audit USING (record_ordinal))
+SELECT live_evidence_id, CASE WHEN k = 1 OR error_code IS NULL AND k IN (2, 3, 4) THEN 'error' ELSE outcome END AS outcome,
+  CASE WHEN k = 1 THEN 'parse_malformedxml' WHEN error_code IS NOT NULL THEN error_code WHEN k IN (2, 3, 4) THEN 'event_source_mismatch' END AS error_code,
+  CASE WHEN k = 1 THEN 'malformed_xml' WHEN error_code IS NOT NULL THEN 'unsupported_event' WHEN k = 2 THEN 'unknown_subscription' WHEN k = 3 THEN 'event_not_accepted' WHEN k = 4 THEN 'provider_mismatch' END AS error_detail,
+  coalesce(machine_name, CASE WHEN k <> 1 THEN computer_name END) AS machine_name FROM k""")
+def classify_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured records with one outcome each; some are malformed, from a channel not subscribed to or another one, or reported by another provider."""
+    k = F.col("record_ordinal") % 9
+    other = F.when(F.col("channel_name") == "s", "c").otherwise("s")
+    rows = captures(spark, sf_dir).drop("outcome", "error_code").withColumns(
+        {
+            "raw_xml": F.when(k == 1, "<Event>").otherwise(F.col("raw_xml")), "channel_name": F.when(k == 2, "zz").when(k == 3, other).otherwise(F.col("channel_name")),
+            "provider_name": F.when(k == 4, "other").otherwise(F.col("provider_name")),
+        }
+    )
+    return capture.classify_stream(rows, _subscriptions(spark)).select("live_evidence_id", "outcome", "error_code", "error_detail", "machine_name")
+
+
+@query("""SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 1000 AS oversized FROM documents""")
+def oversized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are longer than a thousand UTF-16 units."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return capture.split_oversized(docs, "text", 1000).select("doc_id", "oversized")
+
+
+_LATE = DUCK_CAPTURES + """, l AS (SELECT *, observed_ts > coalesce(stop, observed_ts) AS late FROM (SELECT *, CASE WHEN session_no % 3 = 0 THEN first_value(observed_ts) OVER (PARTITION BY live_session_id ORDER BY abs(received_sequence - 40)) END AS stop FROM cap WHERE received_sequence <> 7))
+, k AS (SELECT live_session_id, any_value(session_no) AS no, count(*) FILTER (NOT late) AS kept, coalesce(max(received_sequence) FILTER (NOT late), 0) AS top, count(*) FILTER (outcome = 'delete_fact' AND NOT late) AS delete_fact,
+  count(*) FILTER (outcome = 'process_context' AND NOT late) AS process_context, count(*) FILTER (outcome = 'security_evidence' AND NOT late) AS security_evidence,
+  count(*) FILTER (outcome = 'ignored' AND NOT late) AS ignored, count(*) FILTER (outcome = 'error' AND NOT late) AS error, count(*) FILTER (late) AS late FROM l GROUP BY live_session_id)
+"""
+
+
+def _with_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures without their seventh record, every third of which was stopped at its fortieth."""
+    rows = captures(spark, sf_dir).where("received_sequence <> 7").withColumn("occurred_ts", F.col("observed_ts"))
+    stop = F.min_by("observed_ts", F.struct(F.abs(F.col("received_sequence") - 40), "received_sequence"))
+    stops = rows.where("session_no % 3 = 0").groupBy("live_session_id").agg(stop.alias("stopped_ts"))
+    return capture.split_late(rows, stops)
+
+
+@query(_LATE + "SELECT live_evidence_id, late FROM l")
+def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_late(spark, sf_dir).select("live_evidence_id", "late")
+
+
+@query(_LATE + "SELECT live_session_id, greatest(kept, top) AS received, delete_fact, process_context, security_evidence, ignored, error, greatest(kept, top) - kept AS dropped, late FROM k")
+def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.capture_counters(_with_late(spark, sf_dir))
+
+
+@query(_LATE + """SELECT live_session_id, CASE WHEN no % 5 = 1 THEN 'error' ELSE 'stopped' END AS final_state, greatest(kept, top) AS received, kept AS classified, kept AS persisted, delete_fact, process_context, security_evidence, ignored, error,
+  greatest(kept, top) - kept AS dropped, late FROM k WHERE no % 5 <> 2""")
+def capture_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of captures: a fifth had a fault, and a fifth is completed already."""
+    rows = _with_late(spark, sf_dir)
+    return capture.complete_sessions(rows, rows.where("session_no % 5 = 2").select("live_session_id").distinct(), rows.where("session_no % 5 = 1"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'path_kind_not_allowed' WHEN 1 THEN 'unsupported_extension' WHEN 2 THEN 'empty_file' WHEN 3 THEN 'file_too_large' END AS rejected, event_id % 12 = 5 AS already_imported FROM audit""")
+def admit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input files of all kinds: why they are not admitted, and whether their content was imported before."""
+    k = F.col("event_id") % 6
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"), F.when(k == 1, ".txt").otherwise(".XML"))
+    rows = audit_rows(spark, sf_dir).select(
+        "event_id", name.alias("name"), F.concat(F.when(k == 0, "\\\\?\\C:\\").otherwise("C:\\"), name).alias("origin"), F.when(k == 2, 0).when(k == 3, envelopes.MAX_BYTES + 1).otherwise(9).cast("long").alias("size"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("sha256"),
+    )
+    admitted = envelopes.admit_files(rows, kinds=("local_fully_qualified",))
+    return envelopes.skip_imported(admitted, rows.where("event_id % 12 = 5")).select("event_id", "rejected", "already_imported")
+
+
+@query(""", r AS (SELECT import_session_id AS chain, raw_event_id, sha256(raw_event_id) AS xml, row_number() OVER (PARTITION BY import_session_id ORDER BY record_ordinal) + 10 AS n FROM audit WHERE record_ordinal % 10 = 3)
+, h AS (SELECT *, sha256(concat_ws(chr(31), raw_event_id, xml, n)) AS content_hash FROM r)
+, c AS (SELECT chain, n, raw_event_id, content_hash, repeat('a', 64) AS previous_hash, sha256(concat_ws(chr(10), '1', repeat('a', 64), content_hash)) AS entry_hash FROM h WHERE n = 11
+  UNION ALL SELECT h.chain, h.n, h.raw_event_id, h.content_hash, c.entry_hash, sha256(concat_ws(chr(10), '1', c.entry_hash, h.content_hash)) FROM c JOIN h ON h.chain = c.chain AND h.n = c.n + 1)
+SELECT *, '1' AS version FROM c""")
+def chain_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the raw events chained per import behind ten that are stored."""
+    rows = audit_rows(spark, sf_dir).where("record_ordinal % 10 = 3").select("import_session_id", "record_ordinal", "raw_event_id", F.sha2("raw_event_id", 256).alias("xml_sha256"))
+    rows = ordering.numbered(rows, ["import_session_id"], "record_ordinal", "record_number").drop("record_ordinal")
+    tails = rows.select(F.col("import_session_id").alias("chain")).distinct().select("chain", F.lit(10).cast("long").alias("n"), F.lit("a" * 64).alias("entry_hash"))
+    return integrity.chain_raw_events(rows, tails)
+
+
+@query("SELECT live_session_id, received_sequence, substr(full_path, 1, 12) AS message FROM audit QUALIFY row_number() OVER (PARTITION BY live_session_id ORDER BY received_sequence) <= 256")
+def diagnostics_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 256 messages of each capture, cut."""
+    rows = audit_rows(spark, sf_dir).select("live_session_id", "received_sequence", F.col("full_path").alias("message"))
+    return quality.cap_diagnostics(rows, cut=12)[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local session, as in tests) is a folder of this
-    machine made and remembered in the session.
+    Only where the setting is absent in a local session (as in tests) is a folder of this
+    machine made and remembered in the session; on a cluster its absence is an error.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")

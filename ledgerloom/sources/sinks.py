@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.integrity import build_chain, output_manifest
 
 
-def canonical_json(df: DataFrame):
+def canonical_json(df: DataFrame) -> Column:
     """The row as JSON with its fields in alphabetical order; nulls are written."""
     return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
 def write_chained_jsonl(df: DataFrame, chain: str, order: str, path: str) -> DataFrame:
-    """Writes each chain's rows in order as JSON lines with their hashes, a folder per chain; returns the manifest.
+    """Writes each chain's rows in order as JSON lines with their hashes, a folder per chain; returns the manifest of what was written.
 
-    Refuses row numbers that are not positive or that repeat within a chain.
+    Refuses row numbers that are not positive or that repeat within a chain. The task that
+    chains the rows writes them, since a chain's file is in its order.
     """
     broken = df.groupBy(chain, order).count().where(f"count > 1 or {order} <= 0").limit(1).count()
     if broken:
         raise ValueError("row numbers must be positive and unique within a chain")
-    payload = canonical_json(df)
-    rows = df.select(F.col(chain).cast("string").alias("chain"), F.col(order).cast("long").alias("n"), payload.alias("payload"))
-    chained = build_chain(df, chain, order, payload).join(rows, ["chain", "n"])
-    lines = chained.select("chain", "n", F.to_json(F.struct("content_hash", "entry_hash", "n", "payload", "previous_hash", "version")).alias("value"))
-    lines.repartition("chain").sortWithinPartitions("chain", "n").select("chain", "value").write.partitionBy("chain").text(path)
-    return output_manifest(chained)
+    rows = df.select(F.col(chain).cast("string").alias("chain"), F.col(order).cast("long").alias("n"), canonical_json(df).alias("payload"))
+    chained = build_chain(rows, "chain", "n", F.col("payload"), ["payload"])
+    lines = chained.select("chain", F.to_json(F.struct("content_hash", "entry_hash", "n", "payload", "previous_hash", "version")).alias("value"))
+    lines.write.partitionBy("chain").text(path)
+    fields = F.from_json("value", "n long, entry_hash string")
+    written = df.sparkSession.read.schema("value string, chain string").text(path).select("chain", fields.alias("line")).select("chain", "line.*")
+    return output_manifest(written, rows.groupBy("chain").agg(F.count("*").alias("entries")))
 
 
-def write_audit_mart(tables: dict[str, DataFrame], path: str) -> None:
-    """Appends each table to its own Parquet dataset under ``path``."""
+def write_audit_mart(tables: dict[str, DataFrame], path: str, import_id: str) -> None:
+    """Writes each table's rows of one import to its own folder of its own Parquet dataset under ``path``.
+
+    Writing an import again replaces what it wrote before, so a failed run may be repeated.
+    """
     for name, df in tables.items():
-        df.write.mode("append").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}/import={import_id}")
 
 
 def raw_event_summaries(raw: DataFrame, limit: int) -> DataFrame:

@@ -1,24 +1,28 @@
-"""Live capture as Structured Streaming: reading, classifying, counting and storing records."""
+"""Live capture as Structured Streaming: reading, classifying, counting, storing and correlating records."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.columns import delete_permission, micros, parse_int64
+from ledgerloom.operators.correlate import correlate
 from ledgerloom.operators.parse import parse_events
-from ledgerloom.operators.sessions import KEY, with_session_key
-from ledgerloom.options import CorrelationOptions, ProtectedRule, RiskOptions
+from ledgerloom.operators.sessions import KEY, ReceivedFold, with_session_key
+from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
 
 MAX_UNITS = 1_048_576
 CODE_CUT, DETAIL_CUT = 128, 2048
-GRACE = "30 seconds"
+GRACE_US = 30 * SECOND
 OUTCOMES = ("delete_fact", "process_context", "security_evidence", "ignored", "error")
+BATCH = "batch_id"
 
 
 def read_live(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -30,47 +34,71 @@ def utf16_units(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16LE")) / 2).cast("long")
 
 
-def split_oversized(records: DataFrame, column: str = "raw_xml") -> DataFrame:
+def split_oversized(records: DataFrame, column: str = "raw_xml", limit: int = MAX_UNITS) -> DataFrame:
     """Adds ``oversized``, and empties the text of such records, so that nothing parses it."""
-    large = F.coalesce(utf16_units(F.col(column)) > MAX_UNITS, F.lit(False))
+    large = F.coalesce(utf16_units(F.col(column)) > limit, F.lit(False))
     return records.withColumn("oversized", large).withColumn(column, F.when(~F.col("oversized"), F.col(column)))
 
 
-def source_mismatch(provider: Column, channel: Column, event_id: Column, record: str = "subscription") -> Column:
-    """Why parsed fields disagree with the subscription that delivered them; the first of four reasons, else null."""
+def source_mismatch(provider: Column, channel: Column, event_id: Column, reported: Column | None = None, record: str = "subscription") -> Column:
+    """Why a record disagrees with the subscription that delivered it; the first of four reasons, else null.
+
+    ``provider``, ``channel`` and ``event_id`` are what the XML states, ``reported`` the
+    provider that the channel reported; a channel or reported provider that is null agrees.
+    """
     s = F.col(record)
+    accepted = (F.lower(provider) == F.lower(s["provider"])) & F.array_contains(s["event_ids"], event_id)
     return (
         F.when(s.isNull(), "unknown_subscription")
+        .when(~F.coalesce(accepted, F.lit(False)), "event_not_accepted")
         .when(F.lower(channel) != F.lower(s["channel"]), "channel_mismatch")
-        .when(F.lower(provider) != F.lower(s["provider"]), "provider_mismatch")
-        .when(~F.array_contains(s["event_ids"], event_id), "event_id_mismatch")
+        .when(F.lower(reported if reported is not None else F.lit(None).cast("string")) != F.lower(s["provider"]), "provider_mismatch")
     )
 
 
 def classify_stream(records: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Each record with just one outcome and its error code; stateless, so it runs on streams and tables alike.
+    """Each record with just one outcome, its error code and detail; stateless, so it runs on streams and tables alike.
 
-    ``records`` has channel_name and raw_xml; ``subscriptions`` (channel, provider,
-    event_ids) is a short list of what was subscribed to. The order: oversized, parse error,
-    unsupported (ignored), source mismatch, delete, process, evidence, nothing (ignored).
+    ``records`` has channel_name and raw_xml, and may have what the channel reported:
+    provider_name, machine_name, event_record_id and time_created_ts, which are preferred to
+    what the XML states. ``subscriptions`` (channel, provider, event_ids) is a short list of
+    what was subscribed to; it becomes a literal of the plan. The order: oversized, parse
+    error, unsupported (ignored), source mismatch, delete, process, evidence, nothing (ignored).
     """
-    side = subscriptions.select(F.lower("channel").alias("sub_key"), F.struct("channel", "provider", "event_ids").alias("subscription"))
-    parsed = parse_events(split_oversized(records)).withColumn("sub_key", F.lower("channel_name")).join(F.broadcast(side), "sub_key", "left")
-    mismatch = source_mismatch(F.col("provider"), F.coalesce("channel_name", "channel"), F.col("event_id"))
+    listed = subscriptions.select("channel", "provider", "event_ids").collect()  # a few channels
+    known = F.create_map(*(x for r in listed for x in (F.lit(r.channel.lower()), F.struct(F.lit(r.channel).alias("channel"), F.lit(r.provider).alias("provider"), F.array(*map(F.lit, r.event_ids)).alias("event_ids")))))
+    reported = {"provider_name": "provider", "machine_name": "computer_name", "event_record_id": "record_id", "time_created_ts": "event_ts"}
+    given = [c for c in reported if c in records.columns]
+    parsed = parse_events(split_oversized(records.withColumnsRenamed({c: f"reported_{c}" for c in given})))
+    parsed = parsed.withColumn("subscription", F.try_element_at(known, F.lower("channel_name")))
+    told = F.col("reported_provider_name") if "provider_name" in given else None
+    mismatch = source_mismatch(F.col("provider"), F.col("channel"), F.col("event_id"), told)
     permission = delete_permission(F.col("data")["accesslist"], parse_int64(F.col("data")["accessmask"]))
-    code = F.when(F.col("oversized"), "record_too_large").otherwise(F.coalesce("parse_error", mismatch))
+    parse = F.concat(F.lit("parse_"), F.replace("parse_error", F.lit("_"), F.lit("")))
+    code = F.when(F.col("oversized"), "live_event_xml_too_large").otherwise(F.coalesce(parse, F.when(mismatch.isNotNull(), "event_source_mismatch")))
     outcome = (
-        F.when(code == "unsupported_event", "ignored").when(code.isNotNull(), "error")
+        F.when(F.col("oversized"), "error").when(F.col("parse_error") == "unsupported_event", "ignored").when(code.isNotNull(), "error")
         .when(F.col("source") == "sysmon_delete", "delete_fact").when(F.col("source") == "sysmon_process", "process_context")
         .when((F.col("source") == "security_4663") & (permission != "not_observed"), "security_evidence").otherwise("ignored")
     )
-    return parsed.withColumns({"outcome": outcome, "error_code": F.substring(code, 1, CODE_CUT)}).drop("sub_key", "subscription", "data")
+    preferred = {c: F.coalesce(f"reported_{c}", x) if c in given else F.col(x) for c, x in reported.items()}
+    detail = F.when(~F.col("oversized"), F.coalesce("parse_error", mismatch))
+    out = parsed.withColumns({"outcome": outcome, "error_code": F.substring(code, 1, CODE_CUT), "error_detail": F.substring(detail, 1, DETAIL_CUT), **preferred})
+    return out.drop("subscription", "data", *(f"reported_{c}" for c in given))
 
 
 def capture_counters(records: DataFrame) -> DataFrame:
-    """Per capture how many records had each outcome; they add up to ``received``."""
-    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
-    return records.groupBy("live_session_id").agg(F.count("*").alias("received"), *counts)
+    """Per capture how many records were received and how many had each outcome.
+
+    ``received`` = the outcomes + ``dropped``: numbers up to the largest received one that no
+    record has are of records that were received but not kept. Late records (column
+    ``late``, if there is one) are counted apart and stand outside of that sum.
+    """
+    late = F.coalesce("late", F.lit(False)) if "late" in records.columns else F.lit(False)
+    counts = [F.count_if((F.col("outcome") == o) & ~late).alias(o) for o in OUTCOMES]
+    kept, last = F.count_if(~late), F.max(F.when(~late, F.col("received_sequence")))
+    received = F.greatest(kept, F.coalesce(last, F.lit(0)))
+    return records.groupBy("live_session_id").agg(received.alias("received"), *counts, (received - kept).alias("dropped"), F.count_if(late).alias("late"))
 
 
 def dedupe_stream(records: DataFrame, time: str = "occurred_ts", delay: str = "10 minutes") -> DataFrame:
@@ -84,77 +112,132 @@ def split_late(records: DataFrame, stops: DataFrame) -> DataFrame:
     return records.join(stops, "live_session_id", "left").withColumn("late", F.coalesce(F.col("occurred_ts") > F.col("stopped_ts"), F.lit(False)))
 
 
-def append_batch(batch: DataFrame, path: str) -> None:
-    """Appends one batch; refuses it whole if an id is not its capture and sequence, or a sequence repeats or is not positive."""
-    own = F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string"))
-    wrong = batch.where((F.col("live_evidence_id") != own) | (F.col("received_sequence") <= 0)).limit(1).count()
-    repeated = batch.groupBy("live_session_id", "received_sequence").count().where("count > 1").limit(1).count()
-    if wrong or repeated:
-        raise ValueError("the batch breaks the capture's numbering")
-    batch.write.mode("append").parquet(path)
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a store holds so far; None if nothing was written to it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def live_append_sink(stream: DataFrame, path: str, checkpoint: str):
-    """Starts the query that stores a stream of classified records batch by batch."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append_batch(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Stores one batch in a folder of its own, which a repeated run of the batch replaces.
 
+    Late records (column ``late``) are left out. The batch is refused whole if an id is not
+    its capture and sequence, a sequence is not positive or repeats, here or in another
+    batch, or a digest (raw_xml_sha256) is not that of the XML.
+    """
+    rows = (batch.where("NOT late").drop("late") if "late" in batch.columns else batch).persist()
+    try:
+        own = F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string"))
+        wrong = ~F.col("live_evidence_id").eqNullSafe(own) | (F.col("received_sequence") <= 0)
+        if {"raw_xml", "raw_xml_sha256"} <= {*rows.columns}:
+            wrong = wrong | ~F.col("raw_xml_sha256").eqNullSafe(F.sha2("raw_xml", 256))
+        key = ["live_session_id", "received_sequence"]
+        bad = rows.where(wrong).limit(1).count() or rows.groupBy(*key).count().where("count > 1").limit(1).count()
+        before = stored(rows.sparkSession, path)
+        if not bad and before is not None:
+            bad = before.where(F.col(BATCH) != batch_id).join(rows.select(*key), key, "left_semi").limit(1).count()
+        if bad:
+            raise ValueError("the batch breaks the capture's numbering or digests")
+        rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    finally:
+        rows.unpersist()
 
-def complete_sessions(records: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Completion rows of captures that have none yet: state, counters and the number of stored records."""
-    done = capture_counters(records).select("live_session_id", F.lit("stopped").alias("final_state"), F.col("received").alias("classified"), F.col("received").alias("persisted"), *OUTCOMES)
-    return done if existing is None else done.join(existing.select("live_session_id"), "live_session_id", "left_anti")
 
+def live_append_sink(stream: DataFrame, path: str, checkpoint: str):
+    """Starts the query that stores a stream of classified records batch by batch."""
+    return stream.writeStream.foreachBatch(lambda batch, n: append_batch(batch, path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def stream_correlate(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions = CorrelationOptions()) -> DataFrame:
-    """Pairs of deletes and processes with the same computer and id within the window, from two streams.
 
-    Both sides keep their state for the window and ``GRACE``. A GUID match, which in batch
-    knows no window, is bounded by it here and so may be missed if the process is older.
+def complete_sessions(records: DataFrame, existing: DataFrame | None = None, faults: DataFrame | None = None, store: DataFrame | None = None) -> DataFrame:
+    """Completion rows of captures that have none yet: final state, counters and the number of stored records.
+
+    The state is ``error`` for captures in ``faults`` (live_session_id), else ``stopped``;
+    ``store`` holds what was kept of the records (by default all that are not late).
+    """
+    counters = capture_counters(records)
+    kept = store if store is not None else records.where("NOT late") if "late" in records.columns else records
+    done = counters.join(kept.groupBy("live_session_id").agg(F.count("*").alias("persisted")), "live_session_id", "left")
+    state = F.lit("stopped")
+    if faults is not None:
+        done = done.join(faults.select("live_session_id").distinct().withColumn("fault", F.lit(True)), "live_session_id", "left")
+        state = F.when(F.col("fault"), "error").otherwise(state)
+    classified = reduce(lambda a, b: a + b, map(F.col, OUTCOMES))
+    out = done.select("live_session_id", state.alias("final_state"), "received", classified.alias("classified"), F.coalesce("persisted", F.lit(0)).cast("long").alias("persisted"), *OUTCOMES, "dropped", "late")
+    return out if existing is None else out.join(existing.select("live_session_id"), "live_session_id", "left_anti")
+
+
+def correlate_batch(batch: DataFrame, batch_id: int, store: str, out: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None, last: bool = False) -> None:
+    """Stores a batch of records and correlates the deletes that are due, by the rules of ``correlate``.
+
+    A delete is due once the newest stored event is later than it by the window and
+    ``GRACE_US`` (or at the ``last`` batch). Partners come from the store, so user, reused
+    process ids, nearest times, paths and evidence count as they do in batch; ``guid_us``
+    bounds how old the processes are that are read. Both writes replace the batch's own
+    folders, so a repeated batch changes nothing.
     """
-    seconds = options.window_us / 1e6
-    keys = ["computer", "pid", "ts"]
-    d = deletes.select(F.lower("computer_name").alias("computer"), F.col("process_id").alias("pid"), F.col("occurred_ts").cast("timestamp").alias("ts"), F.col("raw_event_id").alias("d_id"), F.col("process_guid").alias("d_guid"))
-    p = processes.select(F.lower("computer_name").alias("p_computer"), F.col("process_id").alias("p_pid"), F.col("occurred_ts").cast("timestamp").alias("p_ts"), F.col("raw_event_id").alias("p_id"), F.col("process_guid").alias("p_guid"))
-    d, p = d.withWatermark("ts", GRACE), p.withWatermark("p_ts", GRACE)
-    near = F.expr(f"p_ts BETWEEN ts - INTERVAL {seconds:.6f} SECONDS AND ts + INTERVAL {seconds:.6f} SECONDS")
-    pairs = d.join(p, (F.col("computer") == F.col("p_computer")) & (F.col("pid") == F.col("p_pid")) & near)
-    method = F.when(F.lower("d_guid") == F.lower("p_guid"), "process_guid").otherwise("device_pid_and_time")
-    return pairs.select(*keys, "d_id", "p_id", method.alias("method"))
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{store}/{BATCH}={batch_id}")
+    rows = spark.read.parquet(store).drop(BATCH)
+    due = rows.where("outcome = 'delete_fact'")
+    reach = options.window_us + GRACE_US
+    if not last:
+        newest = rows.agg(F.max(micros("occurred_ts"))).first()[0]
+        due = due.where(micros("occurred_ts") < F.lit((newest or 0) - reach))
+    done = stored(spark, out)
+    if done is not None:
+        due = due.join(done.where(F.col(BATCH) != batch_id).select("raw_event_id"), "raw_event_id", "left_anti")
+    due = due.persist()
+    try:
+        oldest = due.agg(F.min(micros("occurred_ts"))).first()[0]
+        if oldest is None:
+            return
+        near = rows.where(micros("occurred_ts") >= F.lit(oldest - max(reach, guid_us or 0))) if guid_us is not None else rows
+        found = correlate(due.drop("command_line"), near.where("outcome = 'process_context'"), near.where("outcome = 'security_evidence'"), options)
+        found.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+    finally:
+        due.unpersist()
+
+
+def stream_correlate(stream: DataFrame, store: str, out: str, checkpoint: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None):
+    """Starts the query that correlates a stream of classified records batch by batch."""
+    run = lambda batch, n: correlate_batch(batch, n, store, out, options, guid_us)
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 SESSION_EVENTS = "raw_event_id string, session_no long, count long, opened_us long, last_us long"
 SESSION_STATE = "next_no long, number array<long>, opened array<long>, last array<long>, ids array<array<string>>"
 
 
-def stream_sessions(deletes: DataFrame, rules: tuple[ProtectedRule, ...] = (), options: RiskOptions = RiskOptions()) -> DataFrame:
+def stream_sessions(deletes: DataFrame, rules: tuple[ProtectedRule, ...] = (), options: RiskOptions = RiskOptions(), delay_us: int = GRACE_US) -> DataFrame:
     """The received-order fold on a stream: each delete with its session and running count.
 
-    A key's state holds the sessions that may still be joined, those within two windows of the newest.
+    A key's state holds the sessions that may still be joined, those within two windows of
+    the newest, and is dropped when the watermark (``delay_us`` behind the newest event) has
+    passed them; what comes later than that opens sessions numbered anew.
     """
     window = options.window_us
-    keyed = with_session_key(deletes, rules).select("live_session_id", *KEY, "raw_event_id", "received_sequence", micros("occurred_ts").alias("us"))
+    timed = deletes.withColumn("event_time", F.col("occurred_ts").cast("timestamp")).withWatermark("event_time", f"{delay_us} microseconds")
+    keyed = with_session_key(timed, rules).select("live_session_id", *KEY, "raw_event_id", "received_sequence", micros("occurred_ts").alias("us"), "event_time")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_no, live = 0, []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = ReceivedFold(window)
         if state.exists:
             next_no, numbers, opened, last, ids = state.get
-            live = [list(x) for x in zip(numbers, opened, last, map(set, ids), strict=True)]
-        out = []
-        for r in pd.concat(list(batches)).sort_values("received_sequence").itertuples():
-            near = [s for s in live if abs(r.us - s[2]) <= window and r.us >= s[1] - window]
-            if near:
-                s = max(near, key=lambda s: (s[2], -s[0]))
-            else:
-                s = [next_no, r.us, r.us, set()]
-                next_no += 1
-                live.append(s)
-            if r.raw_event_id not in s[3]:
-                s[3].add(r.raw_event_id)
-                s[2] = max(s[2], r.us)
-            out.append((r.raw_event_id, s[0], len(s[3]), s[1], s[2]))
-        newest = max(s[2] for s in live)
-        live = [s for s in live if newest - s[2] <= 2 * window]
-        state.update((next_no, [s[0] for s in live], [s[1] for s in live], [s[2] for s in live], [sorted(s[3]) for s in live]))
+            own = ReceivedFold(window, next_no, list(zip(numbers, opened, last, ids, strict=True)))
+        rows = pd.concat(list(batches)).sort_values("received_sequence")
+        out = [(i, *own.add(us, i)) for i, us in zip(rows["raw_event_id"], rows["us"].tolist(), strict=True)]
+        newest = own.lasts[-1][0]
+        own.forget_before(newest - 2 * window)
+        numbers = list(own.sessions)
+        state.update((own.next_no, numbers, *([own.sessions[n][i] for n in numbers] for i in (0, 1)), [sorted(own.sessions[n][2]) for n in numbers]))
+        state.setTimeoutTimestamp(max((newest + 2 * window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["raw_event_id", "session_no", "count", "opened_us", "last_us"])
 
-    return keyed.groupBy("live_session_id", *KEY).applyInPandasWithState(fold, SESSION_EVENTS, SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("live_session_id", *KEY).applyInPandasWithState(fold, SESSION_EVENTS, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)

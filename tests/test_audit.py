@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
-from ledgerloom.operators import integrity, quality, sessions, views
+from ledgerloom.operators import analysis, integrity, ordering, quality, sessions, views
 from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
 from ledgerloom.plans import audit_queries
 
@@ -110,6 +110,31 @@ def test_received_order_fold_equals_a_plain_walk(spark):
     assert got == want
 
 
+def test_capture_analysis_equals_a_plain_walk(spark):
+    r = random.Random(8)
+    rows = [event(i, r.randrange(200) * SECOND, full_path=f"C:\\Lab\\{r.choice('ab')}\\f.txt") + (r.choice(["delete_fact", "delete_fact", "error"]),) for i in range(60)]
+    rules, risk = (ProtectedRule("p", "C:\\Lab\\b"),), RiskOptions(warning=2, critical=4)
+    df = spark.createDataFrame(rows, EVENT + ", outcome string")
+    matched, found, counters = analysis.analyze_session(df, "live", rules, risk=risk, limit=30)
+    walked, last = [], {}
+    for x in [x for x in rows if x[-1] == "delete_fact"][:30]:
+        us, scope, protected = int((x[5] - T0).total_seconds() * SECOND), x[12].rsplit("\\", 1)[0], "\\b" in x[12]
+        near = [s for s in walked if s["scope"] == scope and abs(us - s["last"]) <= 10 * SECOND and us >= s["opened"] - 10 * SECOND]
+        if near:
+            s = sorted(near, key=lambda s: -s["last"])[0]
+        else:
+            s = {"no": len(walked) + 1, "scope": scope, "opened": us, "last": us, "items": 0, "risk": 0}
+            walked.append(s)
+        s["items"] += 1
+        s["last"] = max(s["last"], us)
+        own = 2 if protected or s["items"] >= 4 else 1 if s["items"] >= 2 else 0
+        s["risk"], last[s["no"]] = max(s["risk"], own), ["single_delete", "burst_2_in_window", "burst_4_in_window"][own] if not protected else "protected_root"
+    got = {x.ordinal: (x.scope, x["items"], x.max_risk, x.rule_code) for x in found.collect()}
+    assert got == {s["no"]: (s["scope"], s["items"], sessions.RISKS[s["risk"]], last[s["no"]]) for s in walked}
+    c = counters.first()
+    assert (c.records, c.deletes, c.truncated, c.uncorrelated, c.unparsable) == (30, 30, True, 30, sum(x[-1] == "error" for x in rows)) and matched.count() == 30
+
+
 def test_chain_detects_each_kind_of_change(spark):
     df = spark.createDataFrame([("c", i, f"p{i}") for i in range(1, 6)], "chain string, n long, payload string")
     chained = integrity.build_chain(df, "chain", "n", F.col("payload")).join(df, ["chain", "n"])
@@ -118,11 +143,46 @@ def test_chain_detects_each_kind_of_change(spark):
     at3 = lambda c, v: chained.withColumn(c, F.when(F.col("n") == 3, v).otherwise(F.col(c)))
     assert check(at3("payload", "x"))[2:] == (3, "content_hash_mismatch")
     assert check(at3("entry_hash", "0" * 64))[2:] == (3, "entry_hash_mismatch")
-    assert check(at3("previous_hash", "zz"))[2:] == (3, "missing_or_invalid_chain_field")
+    assert check(at3("previous_hash", "zz"))[2:] == (3, "invalid_hash_encoding")
+    assert check(at3("previous_hash", None))[2:] == (3, "missing_or_invalid_chain_field")
     assert check(at3("version", "2"))[2:] == (3, "unsupported_version")
     assert check(chained.where("n <> 3"))[2:] == (4, "previous_hash_mismatch")
 
 
+def test_chains_go_on_from_a_stored_tail(spark):
+    rows = [("a", i, f"p{i}") for i in range(1, 9)] + [("b", i, f"q{i}") for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "chain string, n long, payload string")
+    build = lambda x, tails=None: {(r.chain, r.n): r.entry_hash for r in integrity.build_chain(x, "chain", "n", F.col("payload"), tails=tails).collect()}
+    whole = build(df)
+    tails = spark.createDataFrame([("a", whole["a", 5])], "chain string, entry_hash string")
+    assert build(df.where("chain = 'b' OR n > 5"), tails) == {k: v for k, v in whole.items() if k[0] == "b" or k[1] > 5}
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_orders_cut_into_buckets_equal_plain_windows(spark, size):
+    r = random.Random(size)
+    rows = [(r.choice([None, "x", "y"]), n, r.randrange(9)) for n in r.sample(range(200), 60)]
+    df = spark.createDataFrame(rows, "k string, n long, v long")
+    want = {}
+    for k in (None, "x", "y"):
+        own = sorted((n, v) for c, n, v in rows if c == k)
+        for i, (n, _) in enumerate(own):
+            want[n] = (i + 1, own[i + 1][0] if i + 1 < len(own) else None, own[i - 1][1] if i else None)
+    out = ordering.before(ordering.following(ordering.numbered(df, ["k"], "n", "no", size), ["k"], "n", "next", size), ["k"], "n", "v", "was", size).collect()
+    assert {x.n: (x.no, x.next, x.was) for x in out} == want
+
+
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_nearest_on_both_sides(spark, size):
+    r = random.Random(size)
+    left = [(i, r.choice("xy"), r.randrange(40)) for i in range(50)] + [(99, None, 3)]
+    right = [(i, r.choice("xy"), r.randrange(40)) for i in range(15)] + [(77, None, 3)]
+    out = ordering.nearest(spark.createDataFrame(left, "i long, k string, t long"), spark.createDataFrame(right, "j long, k string, u long"), ["k"], ("t", "u"), F.struct("j", "u"), "j", size)
+    got = {x.i: (x.before and tuple(x.before), x.after and tuple(x.after)) for x in out.collect()}
+    pick = lambda xs, near: (lambda b: (b[0], b[2]) if b else None)(min(xs, key=lambda x: (abs(x[2] - near), x[0]), default=None))
+    assert got == {i: (pick([x for x in right if k and x[1] == k and x[2] <= t], t), pick([x for x in right if k and x[1] == k and x[2] >= t], t)) for i, k, t in left}
+
+
 def test_payload_hash_tells_null_from_empty(spark):
     row = spark.range(1).select(*(integrity.payload_hash([F.lit(v).cast("string"), F.lit("a")]) for v in (None, "", "x"))).first()
     assert len(set(row)) == 3

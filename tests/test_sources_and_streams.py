@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import parse, sessions
+from ledgerloom.operators import correlate, parse, sessions
 from ledgerloom.plans import adapter
 from ledgerloom.sources import envelopes, sinks
 from ledgerloom.streaming import capture
@@ -16,7 +16,7 @@ NS = "urn:example:events"
 
 
 def envelope(body, version="1", ns=NS):
-    return f'<Events xmlns="{ns}" formatVersion="{version}">{body}</Events>'
+    return f'<{envelopes.ROOT} xmlns="{ns}" formatVersion="{version}">{body}</{envelopes.ROOT}>'
 
 
 @pytest.fixture
@@ -28,6 +28,7 @@ def folder(tmp_path):
         "d.txt": "text",
         "e.xml": "",
         "f.xml": "<!DOCTYPE a><a/>",
+        "g.xml": envelope("<Record>x</Record>").replace(envelopes.ROOT, "Banana"),
     }
     for name, text in files.items():
         (tmp_path / name).write_text(text)
@@ -39,7 +40,7 @@ def test_envelopes(spark, folder):
     for r in envelopes.scan_envelopes(spark, folder, NS).collect():
         rows.setdefault(os.path.basename(r.file), []).append((r.record_number, r.raw_xml, r.state, r.diagnostic))
     assert sorted(rows["a.xml"]) == [(1, "<x/>", "available", None), (2, None, "unavailable", "invalid_record"), (3, None, "unavailable", "invalid_record"), (4, "pq", "available", None)]
-    assert [rows[f][0][3] for f in ("b.xml", "c.xml", "f.xml")] == ["invalid_envelope", "malformed_xml", "document_type_refused"]
+    assert [rows[f][0][3] for f in ("b.xml", "c.xml", "f.xml", "g.xml")] == ["invalid_envelope", "malformed_xml", "document_type_refused", "invalid_envelope"]
     assert "e.xml" not in rows  # Spark lists no empty files
 
 
@@ -74,7 +75,7 @@ def test_chained_lines_and_their_manifest(spark, tmp_path):
     manifest = sinks.write_chained_jsonl(df, "imp", "n", str(tmp_path / "out")).first()
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/chain=i")).collect()]
     assert [x["n"] for x in lines] == [1, 2, 3] and json.loads(lines[0]["payload"]) == {"imp": "i", "n": 1, "v": "v1", "w": None}
-    assert manifest.entries == 3 and manifest.first_hash == lines[0]["entry_hash"] and manifest.last_hash == lines[2]["entry_hash"]
+    assert manifest.entries == 3 and manifest.status == "complete" and manifest.first_hash == lines[0]["entry_hash"] and manifest.last_hash == lines[2]["entry_hash"]
     with pytest.raises(ValueError):
         sinks.write_chained_jsonl(df.union(df), "imp", "n", str(tmp_path / "no"))
 
@@ -106,28 +107,43 @@ def finish(query):
 def test_stream_is_classified_counted_stored_and_completed(spark, captured, tmp_path):
     path, schema = captured
     stream = capture.classify_stream(capture.read_live(spark, path, schema), subscriptions(spark))
+    assert stream.isStreaming
     finish(capture.capture_counters(stream).writeStream.outputMode("complete").format("memory").queryName("counters").start())
     counters = spark.table("counters").collect()
     want = {r.live_session_id: r for r in adapter.audit_rows(spark, SF).groupBy("live_session_id").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "delete_fact").alias("d")).collect()}
     assert {r.live_session_id: (r.received, r.delete_fact) for r in counters} == {k: (r.n, r.d) for k, r in want.items()}
-    assert all(r.received == sum(r[o] for o in capture.OUTCOMES) for r in counters)
+    assert all(r.received == sum(r[o] for o in capture.OUTCOMES) + r.dropped for r in counters)
     store = str(tmp_path / "store")
-    capture.live_append_sink(stream.select("live_session_id", "received_sequence", "live_evidence_id", "outcome"), store, str(tmp_path / "cp")).awaitTermination(120)
+    capture.live_append_sink(stream.select("live_session_id", "received_sequence", "live_evidence_id", "outcome", "raw_xml", F.sha2("raw_xml", 256).alias("raw_xml_sha256")), store, str(tmp_path / "cp")).awaitTermination(120)
     stored = spark.read.parquet(store)
     assert stored.count() == sum(r.n for r in want.values())
     done = capture.complete_sessions(stored)
     assert {r.live_session_id: r.persisted for r in done.collect()} == {k: r.n for k, r in want.items()}
     assert capture.complete_sessions(stored, done).count() == 0
-    with pytest.raises(ValueError):
-        capture.append_batch(stored.limit(3).union(stored.limit(3)), store)
+    again = spark.createDataFrame(stored.where("batch_id = 1").drop("batch_id").toPandas())
+    capture.append_batch(again, store, 1)  # a repeated batch replaces itself
+    assert spark.read.parquet(store).count() == sum(r.n for r in want.values())
+    wrong = again.withColumn("raw_xml_sha256", F.lit("0" * 64))
+    for bad, n in ((again, 9), (again.union(again), 1), (wrong, 1)):
+        with pytest.raises(ValueError):
+            capture.append_batch(bad, store, n)
 
 
 def test_oversized_mismatching_and_late(spark):
     rows = spark.createDataFrame([("a", "c", "x" * (capture.MAX_UNITS + 1)), ("a", "zz", "<Event/>"), ("a", "c", None)], "live_session_id string, channel_name string, raw_xml string")
     out = [r.error_code for r in capture.classify_stream(rows, subscriptions(spark)).collect()]
-    assert sorted(out) == ["malformed_xml", "missing_system", "record_too_large"]
-    s = spark.createDataFrame([("p", "c", 23, ("c", "p", [23])), ("q", "c", 23, ("c", "p", [23])), ("p", "d", 23, ("c", "p", [23])), ("p", "c", 1, ("c", "p", [23])), ("p", "c", 1, None)], "p string, c string, i int, subscription struct<channel: string, provider: string, event_ids: array<int>>")
-    assert [r[0] for r in s.select(capture.source_mismatch(F.col("p"), F.col("c"), F.col("i"))).collect()] == [None, "provider_mismatch", "channel_mismatch", "event_id_mismatch", "unknown_subscription"]
+    assert sorted(out) == ["live_event_xml_too_large", "parse_malformedxml", "parse_missingsystem"]
+    sub = ("c", "p", [23])
+    cases = [("p", "c", 23, "P", sub), ("q", "c", 23, None, sub), ("p", "d", 23, None, sub), ("p", None, 23, "q", sub), ("p", "c", 1, None, sub), ("p", "c", 1, None, None)]
+    s = spark.createDataFrame(cases, "p string, c string, i int, r string, subscription struct<channel: string, provider: string, event_ids: array<int>>")
+    found = [r[0] for r in s.select(capture.source_mismatch(F.col("p"), F.col("c"), F.col("i"), F.col("r"))).collect()]
+    assert found == [None, "event_not_accepted", "channel_mismatch", "provider_mismatch", "event_not_accepted", "unknown_subscription"]
+
+
+def test_late_records_are_not_stored(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "a:1", False), ("a", 2, "a:2", True)], "live_session_id string, received_sequence long, live_evidence_id string, late boolean")
+    capture.append_batch(rows, str(tmp_path / "s"), 0)
+    assert [r.received_sequence for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [1]
 
 
 def test_redelivered_records_are_dropped(spark, captured):
@@ -148,14 +164,28 @@ def test_stream_sessions_equal_the_batch_fold(spark, tmp_path):
     assert got == want
 
 
-def test_streams_correlate_like_a_batch_join(spark, tmp_path):
-    paths = {}
-    for name, df in (("d", adapter.deletes(spark, SF)), ("p", adapter.contexts(spark, SF))):
-        df.coalesce(1).write.parquet(str(tmp_path / name))
-        paths[name] = str(tmp_path / name)
-    read = lambda n: capture.read_live(spark, paths[n], spark.read.parquet(paths[n]).schema)
-    finish(capture.stream_correlate(read("d"), read("p"), adapter.CORRELATION).writeStream.format("memory").queryName("pairs").start())
-    d, p = spark.read.parquet(paths["d"]).alias("d"), spark.read.parquet(paths["p"]).alias("p")
-    near = F.abs(F.timestamp_diff("MICROSECOND", F.col("d.occurred_ts"), F.col("p.occurred_ts"))) <= adapter.CORRELATION.window_us
-    n = d.join(p, (F.col("d.computer_name") == F.col("p.computer_name")) & (F.col("d.process_id") == F.col("p.process_id")) & near).count()
-    assert spark.table("pairs").count() == n > 0
+def test_streams_correlate_like_a_batch(spark, tmp_path):
+    rows = adapter.audit_rows(spark, SF)
+    path = str(tmp_path / "r")
+    for i in range(3):  # by time, as they would arrive
+        rows.where(f"event_id % 3 = {i}").coalesce(1).write.mode("append").parquet(path)
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    stream = capture.read_live(spark, path, rows.schema)
+    capture.stream_correlate(stream, store, out, str(tmp_path / "cp"), adapter.CORRELATION).awaitTermination(300)
+    assert spark.read.parquet(out).count() > 0
+    capture.correlate_batch(rows.limit(0), 99, store, out, adapter.CORRELATION, last=True)
+    found = spark.read.parquet(out).select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()
+    want = correlate.correlate(adapter.deletes(spark, SF), adapter.contexts(spark, SF), adapter.evidence(spark, SF), adapter.CORRELATION)
+    every = {r.raw_event_id: r for r in want.select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()}
+    assert len(found) == len(every) and {r.raw_event_id for r in found} == set(every)
+    late = [r for r in found if r != every[r.raw_event_id]]
+    assert len(late) < len(found) / 2  # partners that came a batch later are not seen
+
+
+def test_streamed_matches_equal_the_batch_when_all_is_stored(spark, tmp_path):
+    rows, store, out = adapter.audit_rows(spark, SF), str(tmp_path / "store"), str(tmp_path / "out")
+    for n in (0, 0, 1):  # a repeated batch changes nothing
+        capture.correlate_batch(rows if n == 0 else rows.limit(0), n, store, out, adapter.CORRELATION, last=n == 1)
+    found = spark.read.parquet(out).select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()
+    want = correlate.correlate(adapter.deletes(spark, SF), adapter.contexts(spark, SF), adapter.evidence(spark, SF), adapter.CORRELATION)
+    assert sorted(map(repr, found)) == sorted(map(repr, want.select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()))
