@@ -176,6 +176,16 @@ def trie_ties(representatives: DataFrame, base: int, shortest: int) -> DataFrame
     return found.where("edge IS NULL").select("u", "v", "tree", "path", "depth").unionByName(joined.where(F.col("depth") >= shortest))
 
 
+def contracted(ties: DataFrame) -> DataFrame:
+    """Ties (u, v) with the same components and fewer rows: each text is tied to the least of the nodes' first texts that it knows, and these to that one.
+
+    A text has a tie per tree and one more at most where a range ends, so its list is short.
+    """
+    known = ties.groupBy("u").agg(F.collect_set("v").alias("known"))
+    least = known.select("u", F.least("u", F.array_min("known")).alias("v"), "known")
+    return least.select(F.explode(F.array_union(F.array("u"), "known")).alias("u"), "v").where("u <> v").distinct()
+
+
 def _node(tree: str, path: str, depth: int) -> Column:
     return F.xxhash64(tree, F.shiftrightunsigned(path, 8 * (DEPTH - depth)))
 
@@ -304,8 +314,8 @@ def forest_links(reps: DataFrame, docs: DataFrame, threshold: float = JACCARD, k
     searched = reps.where(F.col("n_shingles") >= threshold * (F.col("n_shingles") + 1) - 1e-9)
     ties = trie_ties(searched, depth, shortest)
     about = reps.select(F.col("rep").alias("node"), "doc_id", "text_hash", "copies", "n_shingles", "paths")
-    used = ties.where(F.col("depth") >= depth).select("u", "v")
-    found = _verified(components(used).join(about, "node"), docs, threshold, k, depth)
+    grouped = components(contracted(ties.where(F.col("depth") >= depth)))
+    found = _verified(grouped.join(about, "node"), docs, threshold, k, depth)
     steps = []
     while True:
         texts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("shallow").alias("shallow"))
@@ -318,13 +328,22 @@ def forest_links(reps: DataFrame, docs: DataFrame, threshold: float = JACCARD, k
         nodes = active.join(reps, "rep").select(F.posexplode("paths").alias("tree", "path")).select(_node("tree", "path", depth).alias("at")).distinct()
         low = ties.where(F.col("depth").between(depth, prefix_depth(threshold) - 1)).withColumn("at", _node("tree", "path", depth))
         more = written(low.join(nodes, "at", "left_semi").select("u", "v"), "more")
-        # what these ties join, with the classes and candidates that it had been in
-        grouped = components(used.unionAll(more))
-        changed = grouped.join(more.select(F.col("u").alias("node")).unionAll(more.select(F.col("v").alias("node"))).distinct(), "node").select("component").distinct()
-        known = written(grouped.join(changed, "component").join(about, "node"), "changed")
+        joined = _joined(grouped, more)
+        known = written(joined.join(about, "node"), "changed")
         again = _verified(known, docs, threshold, k, depth)
         found = written(found.join(known.select(F.col("node").alias("rep")), "rep", "left_anti").select(*again.columns).unionAll(again), "verified")
-        used = used.unionAll(more)
+        grouped = grouped.join(joined.select("node"), "node", "left_anti").unionAll(joined)
+
+
+def _joined(grouped: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that the ties ``more`` (u, v) bring into another component or into one at all."""
+    of = lambda c: grouped.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    ends = more.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
+    merged = components(ends.where("u <> v").distinct())
+    names = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return grouped.join(names, "component").select("node", F.col("into").alias("component")).unionAll(
+        merged.join(grouped.select("node"), "node", "left_anti").select("node", "component")
+    )
 
 
 def _judged(docs: DataFrame, threshold: float = JACCARD, k: int = wordgrams.SHINGLE_WORDS) -> DataFrame:
