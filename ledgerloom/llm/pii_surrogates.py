@@ -1,32 +1,44 @@
 """PII: keyed, type-consistent surrogates for detected entities, by SQL functions alone.
 
 Detection is one regular expression; what it finds is a *mention*. A mention holds one
-entity (kind and normal form), or for persons one per surname. The surrogate of an entity
-is drawn from a keyed hash of its kind, normal form and attempt, in the same format: mail
-addresses keep their shape and get a reserved domain; numbers keep their digits' count and
-the mention's punctuation; card numbers and IBANs keep valid check digits; hexadecimal
-secrets stay hexadecimal; letters stay in their script (Latin, Greek, Cyrillic) and case.
-Given names change to another of the same gender and script by a keyed cycle of the list,
-surnames to invented ones, titles stay.
-
-Equal entities get equal surrogates wherever they stand (coreference). Distinct ones get
-distinct ones: over the table of distinct entities, a surrogate that two of them share, or
-that is itself an entity of the corpus, is drawn again with the next attempt (longer from
-the fourth on) for all but the first, until no collision is left. Only documents with such
-redrawn entities are joined with their attempts; that table is broadcast if it has at most
-``BROADCAST_ROWS`` rows and otherwise joined by a shuffle.
+entity (kind and normal form), or for persons one per name that is not on the list of given
+names. The surrogate of an entity is drawn from a keyed hash of its kind, normal form and
+attempt, in the same format: mail addresses keep their shape and get a reserved domain;
+numbers keep their digits' count and the mention's punctuation; card numbers and IBANs keep
+valid check digits; hexadecimal secrets and IPv6 addresses stay hexadecimal, private IP
+addresses private; letters stay in their script (``SCRIPTS``) and case. Listed given names
+change to another of the same gender and script by a keyed cycle of the list; others, whose
+gender the title tells, to invented ones with an ending of that gender. Surnames are
+invented; Russian ones share a stem between the genders and keep each one's ending. Titles
+stay. Persons are found by a title or a listed given name (a parameter): SQL functions have
+no other way to tell a name from a word, so a name with neither is not found.
+
+Equal entities get equal surrogates wherever they stand (coreference), composed and
+decomposed accents being equal. Distinct ones get distinct ones: over the table of distinct
+entities, a surrogate that two of them share, or that is itself an entity of the corpus, is
+drawn again with the next attempt (longer from the fourth on, where the format allows) for
+all but the first. If after ``ATTEMPTS`` draws entities of a fixed format are left, its
+values are nearly used up: all entities of that format then take each other's, in a keyed
+cycle, which keeps them distinct and none its own. Only documents with redrawn entities are
+joined with them; that table is broadcast if it has at most ``BROADCAST_CHARS`` characters
+and otherwise joined by a shuffle.
+
+The key is the argument or the session's ``spark.ledgerloom.pii.key``; a fixed one serves
+where neither is set, as in tests, and is no secret.
 
 Edge cases: a null text stays null; a text without mentions is returned as it is; rows may
 repeat, have null ids, or share ids; mentions do not overlap and are found from the left;
 other columns pass through (``text`` is replaced; ``n_entities`` and ``entity_kinds`` are
-added in place of any of these names; ``_attempts``, ``_mentions`` and ``_redrawn_in`` are
+added in place of any of these names; ``_redrawn``, ``_mentions`` and ``_redrawn_in`` are
 dropped). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,23 +46,37 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import inputs
 from ledgerloom.plans.scratch import written
 
-KEY = "ledgerloom"
-BROADCAST_ROWS = 100_000
-LENGTHEN_FROM = 4
+KEY, KEY_CONF = "ledgerloom", "spark.ledgerloom.pii.key"
+BROADCAST_CHARS = 4_000_000
+LENGTHEN_FROM, ATTEMPTS = 4, 12
 
 GIVEN_NAMES = {
-    ("Latin", "female"): "Alice Amelie Barbara Carmen Caroline Catherine Charlotte Claire Elizabeth Emily Emma Francesca Greta Hannah Isabella Jennifer Jessica Johanna Julia Katharina Laura Linda Lucia Margaret Maria Marie Mary Olivia Patricia Sarah Sofia Susan".split(),
-    ("Latin", "male"): "Alexander Andrew Antonio Benjamin Carlos Charles Daniel David Edward Felix François George Hans Henry James Jan Jean John Joseph José Juan Klaus Lukas Michael Miguel Paul Peter Pierre Robert Stefan Thomas William".split(),
+    ("Latin", "female"): "Aisha Alice Amelie Ananya Barbara Carmen Caroline Catherine Charlotte Chiara Claire Elizabeth Emily Emma Fatima Francesca Greta Hannah Ingrid Isabella Jennifer Jessica Johanna Julia Katharina Laura Leila Linda Lucia Margaret Maria Marie Mary Mei Olivia Patricia Priya Sarah Sofia Susan Yuki Zainab".split(),
+    ("Latin", "male"): "Ahmed Alexander Andrew Antonio Arjun Benjamin Carlos Charles Daniel David Edward Felix François George Giovanni Hans Henry Hiroshi Ibrahim James Jan Jean John Joseph José Juan Kenji Klaus Luca Lukas Michael Miguel Mohammed Omar Paul Peter Pierre Raj Ravi Robert Stefan Sven Thomas Wei William".split(),
     ("Cyrillic", "female"): "Анастасия Анна Виктория Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("Cyrillic", "male"): "Александр Алексей Андрей Виктор Владимир Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
+    ("Greek", "female"): "Αικατερίνη Βασιλική Ελένη Μαρία Σοφία".split(),
+    ("Greek", "male"): "Γεώργιος Δημήτρης Ιωάννης Κώστας Νίκος".split(),
+}
+#: Titles and the gender that they tell.
+TITLES = {
+    "male": "Mr Herr Señor Monsieur Господин Κύριος".split(), "female": "Mrs Ms Miss Frau Señora Señorita Madame Mademoiselle Госпожа Κυρία".split(), "": "Dr Prof".split(),
+}
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Blocks of Unicode (first, last), and the lower-case letters to draw from for letters in them (first, how many).
+SCRIPTS = {
+    "Greek": (0x370, 0x3FF, 0x3B1, 17), "Cyrillic": (0x400, 0x52F, 0x430, 32), "Armenian": (0x530, 0x58F, 0x561, 38), "Hebrew": (0x590, 0x5FF, 0x5D0, 27),
+    "Arabic": (0x600, 0x6FF, 0x628, 19), "Devanagari": (0x900, 0x97F, 0x915, 36), "Thai": (0xE00, 0xE7F, 0xE01, 46), "Georgian": (0x10A0, 0x10FF, 0x10D0, 33),
+    "Hiragana": (0x3040, 0x309F, 0x3042, 80), "Katakana": (0x30A0, 0x30FF, 0x30A2, 80), "Han": (0x4E00, 0x9FFF, 0x4E00, 20_000), "Hangul": (0xAC00, 0xD7AF, 0xAC00, 11_172),
+}
+#: Onsets and vowels of invented names, and their endings for a woman and a man, by script.
+SYLLABLES = {
+    "Latin": ("bdfgklmnprstvz", "aeiou", "a", "o"), "Greek": ("βγδζκλμνπρστφ", "αεηιο", "α", "ος"), "Cyrillic": ("бвгдзклмнпрстф", "аеиоу", "а", ""),
 }
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Señorita Monsieur Madame Mademoiselle Господин Госпожа".split()
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшэюя")
-ONSETS, VOWELS = "bdfgklmnprstvz", "aeiou"
-CYRILLIC_ONSETS, CYRILLIC_VOWELS = "бвгдзклмнпрстф", "аеиоу"
-
 SECRET_NAME = r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}["']?"""
-_NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)?"
+_NAME = r"\p{Lu}(?:['’]\p{Lu})?[\p{Ll}\p{M}]++(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]++)?"
+_IPV6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
+_IPV4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}"
 
 
 def _by_first_letter(names: list[str]) -> str:
@@ -59,19 +85,34 @@ def _by_first_letter(names: list[str]) -> str:
     return "(?:" + "|".join(f"{c}(?:{'|'.join(n[1:] for n in names if n[0] == c)})" for c in first) + ")"
 
 
+def _spellings(name: str) -> list[str]:
+    """A name with composed and with decomposed accents."""
+    return sorted({unicodedata.normalize(form, name) for form in ("NFC", "NFD")})
+
+
+def given_names() -> list[str]:
+    return [x for names in GIVEN_NAMES.values() for n in names for x in _spellings(n)]
+
+
+def titles(gender: str | None = None) -> list[str]:
+    return [x for g, names in TITLES.items() if gender in (None, g) for n in names for x in _spellings(n)]
+
+
+@cache
 def person_pattern() -> str:
-    """The regular expression for persons: a title or a given name, then surnames."""
-    given = _by_first_letter([n for names in GIVEN_NAMES.values() for n in names])
+    """The regular expression for persons: a title and up to two names, or a given name and one or two."""
+    given = _by_first_letter(given_names())
     return (
-        r"(?=[A-ZÀ-ÞЀ-Я])(?<![\p{L}\p{M}])"
-        rf"(?:{_by_first_letter(TITLES)}\.? (?:{given} )?{_NAME}(?: {_NAME})?|{given}(?: {_NAME}){{1,2}})"
+        r"(?=[A-ZÀ-ÞΆ-ΩЀ-Я])(?<![\p{L}\p{M}])"
+        rf"(?:{_by_first_letter(titles())}\.? (?:{given}(?![\p{{L}}\p{{M}}]) )?{_NAME}(?: {_NAME})?|{given}(?: {_NAME}){{1,2}})"
     )
 
 
+@cache
 def mention_pattern() -> str:
     """The regular expression that finds every mention; a look at one character rules most places out."""
     numbers = "|".join((
-        r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
+        rf"(?<![\d.]){_IPV4}(?!\.?\d)",
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\d-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])",
         r"(?<!\d)\d{13,19}(?!\d)",
@@ -83,7 +124,8 @@ def mention_pattern() -> str:
     return "|".join((
         rf"(?=[pPsStTaA])(?<![\p{{L}}\p{{N}}]){SECRET_NAME}[A-Za-z0-9+/_\-]{{8,}}",
         r"(?=A)(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,8}",
+        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]++)++",
+        rf"(?=[0-9A-Fa-f]{{1,4}}:){_IPV6}",
         rf"(?=[0-9(+])(?:{numbers})",
         r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         person_pattern(),
@@ -108,6 +150,7 @@ def kind_of(m: Column) -> Column:
         .when(m.contains("@"), "email")
         .when(m.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
+        .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{13}|^\d{4}[ -]\d{4}[ -]\d{4}"), "card")
@@ -121,7 +164,8 @@ def normal_form(kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
     return (
         F.when(kind == "secret", F.regexp_replace(m, f"^{SECRET_NAME}", ""))
-        .when(kind == "email", F.lower(m))
+        .when(kind == "email", composed(F.lower(m)))
+        .when(kind == "ipv6", F.lower(m))
         .when(kind.isin("ssn", "card"), digits)
         .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
@@ -129,12 +173,27 @@ def normal_form(kind: Column, m: Column) -> Column:
     )
 
 
+@cache
+def _compositions() -> dict[str, str]:
+    """Letters with a mark as two characters and as one: the letters of these scripts that Unicode composes."""
+    every = (chr(i) for i in [*range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x460)])
+    return {d: c for c in every if len(d := unicodedata.normalize("NFD", c)) == 2}
+
+
+def composed(text: Column) -> Column:
+    """``text`` with letters and marks composed; only texts with marks are looked at."""
+    pairs = [x for pair in _compositions().items() for x in pair]
+    table = F.expr(f"map({_literals(pairs)})")
+    letters = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*"), F.lit(0)), lambda g: F.coalesce(F.try_element_at(table, g), g))
+    return F.when(text.rlike(r"\p{M}"), F.array_join(letters, "")).otherwise(text)
+
+
 def _given_cycle(key: str) -> dict[str, str]:
-    """Each given name's surrogate: the next of its list in keyed order."""
+    """Each given name's surrogate: the next of its list in keyed order; every spelling of a name has the same."""
     out = {}
     for names in GIVEN_NAMES.values():
         order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|given|{n}".encode()).hexdigest())
-        out |= dict(zip(order, order[1:] + order[:1], strict=True))
+        out |= {x: new for n, new in zip(order, order[1:] + order[:1], strict=True) for x in _spellings(n)}
     return out
 
 
@@ -143,21 +202,46 @@ def _literals(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def _surnames(m: Column) -> Column:
-    """The surnames of a person's mention: its words but for a title and given names."""
-    fixed = F.expr(f"array({_literals([*(n for names in GIVEN_NAMES.values() for n in names), *TITLES])})")
-    return F.filter(F.split(m, " "), lambda w: ~F.array_contains(fixed, F.regexp_replace(w, r"\.$", "")))
+def _is(word: Column, values: list[str]) -> Column:
+    return F.array_contains(F.expr(f"array({_literals(values)})"), word)
+
+
+def _stem(surname: Column) -> Column:
+    """What the forms of a Russian surname for a man and a woman share: the man's form. ``surname`` is in lower case."""
+    ended = F.when(surname.rlike("(ов|ев|ёв|ин|ын)а$"), F.substring(surname, F.lit(1), F.length(surname) - 1)).when(
+        surname.rlike("(ск|цк)ая$"), F.concat(F.substring(surname, F.lit(1), F.length(surname) - 2), F.lit("ий"))
+    )
+    return F.coalesce(ended, surname)
+
+
+def person_words(m: Column) -> Column:
+    """The words of a person's mention as (word, kind, norm): titles and listed given names have no kind, all others are an entity's.
+
+    A name between a title and another name is a given name of the title's gender.
+    """
+    words = F.split(m, " ")
+    bare = lambda w: F.regexp_replace(w, r"\.$", "")
+    first = bare(words[0])
+    gender = F.when(_is(first, titles("female")), "given_female").when(_is(first, titles("male")), "given_male")
+
+    def word(w: Column, i: Column) -> Column:
+        fixed = (i == 0) & _is(bare(w), titles()) | _is(w, given_names())
+        kind = F.when(~fixed, F.when((i == 1) & (F.size(words) > 2) & gender.isNotNull(), gender).otherwise("surname"))
+        return F.struct(w.alias("word"), kind.alias("kind"), F.when(~fixed, _stem(composed(F.lower(w)))).alias("norm"))
+
+    return F.transform(words, word)
+
+
+def mention_parts(m: Column) -> Column:
+    """What a mention consists of, as (word, kind, norm): a person's words, of any other kind the mention itself."""
+    whole = lambda kind: F.array(F.struct(m.alias("word"), kind.alias("kind"), normal_form(kind, m).alias("norm")))
+    return let(kind_of(m), lambda kind: F.when(kind == "person", person_words(m)).otherwise(whole(kind)))
 
 
 def entities_of(m: Column) -> Column:
     """The entities of a mention, as an array of (kind, norm)."""
-    entity = lambda kind, norm: F.struct(kind.alias("kind"), norm.alias("norm"))
-    return let(
-        kind_of(m),
-        lambda kind: F.when(
-            kind == "person", F.transform(_surnames(m), lambda w: entity(F.lit("surname"), F.lower(w)))
-        ).otherwise(F.array(entity(kind, normal_form(kind, m)))),
-    )
+    named = F.filter(mention_parts(m), lambda w: w["kind"].isNotNull())
+    return F.transform(named, lambda w: F.struct(w["kind"].alias("kind"), w["norm"].alias("norm")))
 
 
 def _number(hexes: Column, i: Column) -> Column:
@@ -171,21 +255,30 @@ def _pick(letters: str, number: Column) -> Column:
 
 def _hexes(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """At least four hexadecimal digits for each character of the normal form, and 64 more."""
-    block = lambda i: F.sha2(F.concat_ws("\u001f", F.lit(key), kind, norm, attempt.cast("string"), i.cast("string")), 512)
-    return F.array_join(F.transform(F.sequence(F.lit(0), ((F.length(norm) + 47) / 32).cast("int")), lambda i: block(i)), "")
+    seed = F.sha2(F.concat_ws("\u001f", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    blocks = F.sequence(F.lit(0), ((F.length(norm) + 47) / 32).cast("int"))
+    return let(seed, lambda own: F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat(own, i.cast("string")), 512)), ""))
+
+
+def _character(number: Column) -> Column:
+    """The character of a number below 65536."""
+    return F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 4, "0")), "UTF-16BE")
 
 
-def _same_shape(text: Column, hexes: Column, skip: Column | int = 0, hexadecimal: Column | None = None) -> Column:
+def _same_shape(text: Column, hexes: Column, skip: Column | int, hexadecimal: Column) -> Column:
     """Each digit and letter from the ``skip``-th on changed for another of its script; the rest stays."""
+    blocks = F.expr("array(" + ", ".join(f"named_struct('first', {a}, 'last', {b}, 'begin', {c}, 'count', {d})" for a, b, c, d in SCRIPTS.values()) + ")")
+
+    def letter(c: Column, n: Column) -> Column:
+        own = F.filter(blocks, lambda b: F.ascii(c).between(b["first"], b["last"]))
+        drawn = let(F.get(own, F.lit(0)), lambda b: _character(F.coalesce(b["begin"] + n % b["count"], F.lit(97) + n % 26)))
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(drawn)).otherwise(drawn)
 
     def change(c: Column, i: Column) -> Column:
-        n = _number(hexes, i)
-        script = F.when(c.rlike(r"\p{IsCyrillic}"), ALPHABETS[2]).when(c.rlike(r"\p{IsGreek}"), ALPHABETS[1]).otherwise(ALPHABETS[0])
-        letters = F.when(c.rlike(r"\p{Lu}"), F.upper(script)).when(c.rlike(r"[0-9]"), "0123456789").when(c.rlike(r"\p{L}"), script)
-        plain = let(letters, lambda a: F.coalesce(F.substring(a, n % F.length(a) + 1, F.lit(1)), c))
-        if hexadecimal is not None:
-            plain = F.when(hexadecimal, _pick("0123456789abcdef", n)).otherwise(plain)
-        return F.when(i < skip, c).otherwise(plain)
+        new = lambda n: (
+            F.when((i < skip) | c.rlike(r"^[^\p{L}0-9]"), c).when(hexadecimal & c.rlike("[0-9a-f]"), _pick("0123456789abcdef", n)).when(c.rlike("[0-9]"), _pick("0123456789", n)).otherwise(letter(c, n))
+        )
+        return F.coalesce(let(_number(hexes, i), new), F.lit(""))
 
     return F.array_join(F.transform(F.split(text, ""), change), "")
 
@@ -216,48 +309,73 @@ def _iban(drawn: Column) -> Column:
     return F.concat(F.substring(drawn, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substring(drawn, F.lit(5), F.length(drawn)))
 
 
-def _invented(norm: Column, hexes: Column, syllables: Column) -> Column:
-    """A lower-case surname of so many syllables in the script of the original."""
-    part = lambda onsets, vowels: F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), syllables - 1),
-            lambda i: F.concat(_pick(onsets, _number(hexes, i * 2)), _pick(vowels, _number(hexes, i * 2 + 1))),
-        ),
-        "",
-    )
-    return F.when(norm.rlike(r"\p{IsCyrillic}"), part(CYRILLIC_ONSETS, CYRILLIC_VOWELS)).otherwise(part(ONSETS, VOWELS))
+def _invented(kind: Column, norm: Column, hexes: Column, syllables: Column, shaped: Column) -> Column:
+    """A lower-case name of so many syllables in the script of the original, with the ending of its gender if that is known; ``shaped`` for scripts without syllables."""
+    script = F.when(norm.rlike(r"\p{IsCyrillic}"), 1).when(norm.rlike(r"\p{IsGreek}"), 2).when(norm.rlike(r"\p{IsLatin}"), 0)
+    table = [SYLLABLES[x] for x in ("Latin", "Cyrillic", "Greek")]
+    of = lambda k, column: F.get(F.array(*(F.lit(t[column]) for t in table)), k)
+    pick = lambda letters, n: F.substring(letters, n % F.length(letters) + 1, F.lit(1))
+
+    def name(k: Column) -> Column:
+        body = F.array_join(
+            F.transform(F.sequence(F.lit(0), syllables - 1), lambda i: F.concat(pick(of(k, 0), _number(hexes, i * 2)), pick(of(k, 1), _number(hexes, i * 2 + 1)))), ""
+        )
+        ending = (
+            F.when(kind == "given_female", of(k, 2)).when(kind == "given_male", of(k, 3)).when((k == 1) & norm.rlike("(ов|ев|ёв|ин|ын)$"), "ов").when((k == 2) & norm.rlike("ς$"), "ος")
+        )
+        last = F.when((k == 1) & norm.rlike("(ск|цк)ий$"), "ский").otherwise(F.concat(pick(of(k, 0), _number(hexes, syllables * 2)), ending))
+        return F.concat(body, F.coalesce(last, F.lit("")))
+
+    return F.coalesce(let(script, lambda k: F.when(k.isNotNull(), name(k))), shaped)
+
+
+def _private(norm: Column) -> Column:
+    """How many characters at its beginning make an IP address a private or local one."""
+    four = F.length(F.regexp_extract(norm, r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1))
+    six = F.length(F.regexp_extract(norm, r"^(f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)", 1))
+    return F.greatest(four, six)
+
+
+NAMES = ("surname", "given_female", "given_male")
+
+
+def _fixed(kind: Column, norm: Column) -> Column:
+    """How many characters at its beginning an entity keeps."""
+    return (
+        F.when(kind.isin("access_key", "iban"), 4).when(kind == "card", 1).when((kind == "phone") & norm.startswith("+"), 2)
+        .when(kind.isin("ipv4", "ipv6"), _private(norm)).otherwise(0)
+    )
 
 
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate's normal form."""
     extra = F.greatest(attempt - (LENGTHEN_FROM - 1), F.lit(0))
-
-    skip = (
-        F.when(kind.isin("access_key", "iban"), 4).when(kind == "card", 1).when((kind == "phone") & norm.startswith("+"), 2).otherwise(0)
-    )
-    hexadecimal = (kind == "secret") & norm.rlike("^[0-9a-f]+$")
-    shape = F.when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(norm)
+    hexadecimal = (kind == "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+    email = kind == "email"
+    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
+    label, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
 
     def draw(h: Column) -> Column:
-        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i) % 254 + 1).cast("string")), ".")
+        # an address's label is drawn for its domain, so that domains are told apart and recognised
+        digits = F.when(email, F.concat(F.substring(h, F.lit(1), (F.length(local) + 1) * 4), _hexes(key, F.lit("domain"), domain, F.lit(0)))).otherwise(h)
+        text = F.when(email, F.concat(local, F.lit("@"), label)).otherwise(norm)
+        # of a public address the first octet is one that has no private or local range
+        public = let(_number(h, F.lit(0)) % 120 + 11, lambda n: F.when(n == 127, 131).otherwise(n))
+        kept = F.size(F.split(F.substring(norm, F.lit(1), _private(norm)), r"\.")) - 1
+        octet = lambda o, i: F.when(i < kept, o).when(i == 0, public.cast("string")).otherwise((_number(h, i) % 254 + 1).cast("string"))
+        octets = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
+        longer = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: _pick(LATIN, _number(h, i))), "")
+        syllables = F.lit(2) + F.when(norm.rlike("(ов|ев|ёв|ин|ын|[сц]кий|ς)$") | kind.startswith("given"), 0).otherwise(1) + extra
 
         def finish(drawn: Column) -> Column:
-            domain = F.substring_index(norm, "@", -1)
-            label, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
-            longer = F.array_join(F.transform(F.sequence(F.lit(0), extra), lambda i: _pick(ALPHABETS[0], _number(h, i))), "")
-            mail = F.concat(
-                drawn,
-                F.when(extra > 0, longer).otherwise(""),
-                F.lit("@"),
-                let(_hexes(key, F.lit("domain"), domain, F.lit(0)), lambda d: _same_shape(label, d)),
-                F.lit(".example."),
-                F.when(top.isin("com", "net", "org"), top).otherwise("org"),
-            )
-            return F.when(kind == "email", mail).when(kind == "iban", _iban(drawn)).when(kind == "card", _luhn(norm, drawn)).otherwise(drawn)
-
-        surname = _invented(norm, h, 3 + F.when(extra > 0, extra).otherwise(0))
-        shaped = let(_same_shape(shape, h, skip, hexadecimal), finish)
-        return F.when(kind == "ipv4", octets).when(kind == "surname", surname).otherwise(shaped)
+            reserved = F.concat(F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise("org"))
+            mail = F.concat(F.substring_index(drawn, "@", 1), F.when(extra > 0, longer).otherwise(""), F.lit("@"), F.substring_index(drawn, "@", -1), reserved)
+            return (
+                F.when(email, mail).when(kind == "iban", _iban(drawn)).when(kind == "card", _luhn(norm, drawn)).when(kind == "ipv4", octets)
+                .when(kind.isin(*NAMES), _invented(kind, norm, h, syllables, F.concat(drawn, F.when(extra > 0, longer).otherwise("")))).otherwise(drawn)
+            )
+
+        return let(_same_shape(text, digits, _fixed(kind, norm), hexadecimal), finish)
 
     return let(_hexes(key, kind, norm, attempt), draw)
 
@@ -279,45 +397,63 @@ def _cased(like: Column, text: Column) -> Column:
     )
 
 
-def render(key: str, m: Column, attempts: Column) -> Column:
-    """What a mention is replaced with; ``attempts`` maps the kind and normal form of redrawn entities to their attempt."""
-
-    def drawn(kind: Column, norm: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(attempts, F.concat_ws("\u001f", kind, norm)), F.lit(0))
-        return surrogate(key, kind, norm, attempt)
-
+def render(key: str, m: Column, redrawn: Column) -> Column:
+    """What a mention is replaced with; ``redrawn`` maps the kind and normal form of redrawn entities to their surrogate."""
     cycle = F.expr(f"map({_literals([x for pair in _given_cycle(key).items() for x in pair])})")
 
-    def word(w: Column) -> Column:
-        given = F.try_element_at(cycle, w)
-        title = F.regexp_replace(w, r"\.$", "").isin(*TITLES)
-        return F.when(title, w).otherwise(F.coalesce(given, _cased(w, drawn(F.lit("surname"), F.lower(w)))))
-
-    def other(kind: Column) -> Column:
-        norm = normal_form(kind, m)
-        new = drawn(kind, norm)
+    def spelt(w: Column, new: Column) -> Column:
+        """The surrogate ``new`` in the manner of the word it stands for."""
+        kind, word = w["kind"], w["word"]
+        woman = F.lower(word) != w["norm"]  # a Russian surname's form for a woman
+        name = F.when(woman & new.rlike("ский$"), F.regexp_replace(new, "ий$", "ая")).when(woman & new.rlike("ов$"), F.concat(new, F.lit("а"))).otherwise(new)
         return (
-            F.when(kind == "secret", F.concat(F.regexp_extract(m, f"^{SECRET_NAME}", 0), new))
-            .when(kind == "email", _cased(m, new))
-            .when(kind.isin("ssn", "card", "phone"), _fill(m, F.regexp_replace(new, r"\D", ""), "^[0-9]"))
-            .when(kind == "iban", _fill(m, new, "^[A-Z0-9]"))
+            F.when(kind == "secret", F.concat(F.regexp_extract(word, f"^{SECRET_NAME}", 0), new))
+            .when(kind.isin("ssn", "card", "phone"), _fill(word, F.regexp_replace(new, r"\D", ""), "^[0-9]"))
+            .when(kind == "iban", _fill(word, new, "^[A-Z0-9]"))
+            .when(kind.isin("email", "ipv6"), _cased(word, new))
+            .when(kind.isin(*NAMES), _cased(word, name))
             .otherwise(new)
         )
 
-    return let(
-        kind_of(m),
-        lambda kind: F.when(kind == "person", F.array_join(F.transform(F.split(m, " "), word), " ")).otherwise(other(kind)),
-    )
+    def part(w: Column) -> Column:
+        drawn = F.coalesce(F.try_element_at(redrawn, F.concat_ws("\u001f", w["kind"], w["norm"])), surrogate(key, w["kind"], w["norm"], F.lit(0)))
+        return F.when(w["kind"].isNull(), F.coalesce(F.try_element_at(cycle, w["word"]), w["word"])).otherwise(let(drawn, lambda new: spelt(w, new)))
+
+    return F.array_join(F.transform(mention_parts(m), part), " ")
+
+
+def _format(kind: Column, norm: Column) -> Column:
+    """The format that an entity and its surrogates share, where it has a fixed length: what it keeps, and the classes of its other characters."""
+    kept = _fixed(kind, norm)
+    rest = F.substring(norm, kept + 1, F.length(norm))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
+    valid = F.when(kind == "card", (_luhn_sum(norm, 1) % 10 == 0).cast("string")).otherwise("")
+    return F.concat_ws("\u001f", kind, F.substring(norm, F.lit(1), kept), F.when(kind == "ipv4", "").when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.length(norm).cast("string"))).otherwise(classes), valid)
+
+
+def _in_cycles(entities: DataFrame, formats: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate): all entities of the formats take each other's values, in a keyed order.
+
+    Orders are cut by their hash, so a format with very many entities is many tasks' work.
+    """
+    ordered = entities.withColumn("format", _format(F.col("kind"), F.col("norm"))).join(formats, "format").withColumn("at", F.xxhash64(F.lit(key), "norm"))
+    cut = ordered.withColumn("part", F.shiftright("at", 52))
+    own = Window.partitionBy("format", "part").orderBy("at", "norm")
+    firsts = cut.groupBy("format", "part").agg(F.min_by("norm", F.struct("at", "norm")).alias("first"))
+    by_part = Window.partitionBy("format").orderBy("part")  # 4096 parts at most
+    whole = Window.partitionBy("format").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("format", "part", F.coalesce(F.lead("first").over(by_part), F.first("first").over(whole)).alias("next_part"))
+    return cut.withColumn("next", F.lead("norm").over(own)).join(after, ["format", "part"]).select("kind", "norm", F.coalesce("next", "next_part").alias("surrogate"))
 
 
-def assign_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """Distinct entities (kind, norm) with the attempt that gives each a surrogate of its own."""
+def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """Distinct entities (kind, norm) with the attempt that gives each a surrogate of its own, and that surrogate."""
     draw = lambda: surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
     entities = written(entities.select("kind", "norm").distinct(), "entities")
     drawn = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw()), "drawn")
     originals = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("original"))
     first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "norm")
-    while True:
+    for _ in range(ATTEMPTS):
         judged = drawn.join(originals, ["kind", "surrogate"], "left").withColumn(
             "again", F.col("original").isNotNull() | (F.row_number().over(first) > 1)
         )
@@ -326,33 +462,40 @@ def assign_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
         if not redrawn.where("again").limit(1).count():
             return redrawn.drop("again")
         drawn = redrawn.drop("again")
+    formats = redrawn.where("again").select(_format(F.col("kind"), F.col("norm")).alias("format")).distinct()
+    cycled = _in_cycles(entities, formats, key).withColumnRenamed("surrogate", "cycled")
+    both = drawn.join(cycled, ["kind", "norm"], "left")
+    chosen = both.select("kind", "norm", F.when(F.col("cycled").isNotNull(), ATTEMPTS + 1).otherwise(F.col("attempt")).alias("attempt"), F.coalesce("cycled", "surrogate").alias("surrogate"))
+    return written(chosen, "drawn")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     """``docs`` (with doc_id and text) with surrogates in ``text``, and the columns n_entities and entity_kinds."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     text = F.col("text")
     found = _searched(text, lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     # explode_outer: for explode, the optimizer would search every text a second time in a filter on the array's size
     mentions = docs.select("doc_id", F.explode_outer(F.array_distinct(found)).alias("m")).where("m is not null")
     of = written(mentions.select("doc_id", F.explode(entities_of(F.col("m"))).alias("e")).select("doc_id", "e.*"), "mentions")
-    redrawn = assign_attempts(of, key).where("attempt > 0").select("kind", "norm", "attempt")
+    redrawn = assign_surrogates(of, key).where("attempt > 0").select("kind", "norm", "surrogate")
     by_doc = written(
         of.distinct()
         .join(redrawn, ["kind", "norm"])
         .groupBy(F.col("doc_id").alias("_redrawn_in"))
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "norm"), "attempt"))).alias("_attempts")),
-        "attempts",
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "norm"), "surrogate"))).alias("_redrawn")),
+        "redrawn",
     )
-    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds", "_attempts", "_mentions", "_redrawn_in")]
+    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds", "_redrawn", "_mentions", "_redrawn_in")]
     docs = docs.select(*kept, "text")
-    rows = by_doc.count()
-    if rows:
-        side = F.broadcast(by_doc) if rows <= BROADCAST_ROWS else by_doc
+    chars = F.aggregate(F.map_entries("_redrawn"), F.lit(16).cast("long"), lambda a, e: a + F.length(e["key"]) + F.length(e["value"]))
+    size = by_doc.agg(F.sum(chars)).first()[0]
+    if size:
+        side = F.broadcast(by_doc) if size <= BROADCAST_CHARS else by_doc
         docs = docs.join(side, docs["doc_id"].eqNullSafe(side["_redrawn_in"]), "left")
     else:
-        docs = docs.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+        docs = docs.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
     pieces = _searched(text, lambda pattern: F.split(text, pattern, -1))
-    parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("_attempts"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("_redrawn"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     n = F.coalesce(F.size("_mentions"), F.lit(0))
     return docs.withColumn("_mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
         *kept,
