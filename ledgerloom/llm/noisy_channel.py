@@ -4,10 +4,16 @@ A *suspect* is a token in which a look-alike character touches a letter, a run o
 characters (letters and look-alikes, at least one a letter) set apart by one or more spaces,
 dots, dashes or underscores, or a letter three times or more in a row. Each of its characters
 gives one step of a lattice: the letters that it may stand for, each with a cost, and within
-a run of three or more equal characters the choice to drop it. The cheapest path under a
-trigram character model, from the word's start to its end, is the restored word. As signs
-around a word may be punctuation or letters, a token is read from each of its leading signs
-on, up to each of its trailing ones, and a spaced one also without any sign.
+a run of three or more equal characters the choice to drop it; where the characters are set
+apart, a word may end between two of them. The cheapest path under a trigram character
+model, from the word's start to its end, is the restored word. As signs around a word may be
+punctuation or letters, a token is read from each of its leading signs on (the first and the
+last ``EDGE`` of them), up to each of its trailing ones, and a spaced one also without any
+sign; of these readings the one that is cheapest by the letter stands in the restored text.
+
+Full-width letters and signs are read as the ASCII ones. Letters of other alphabets that look
+like Latin ones count as look-alikes in tokens that have Latin letters as well. Letters that the
+model does not know stay as they are. A token of any length is decoded as one lattice.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import numpy as np
 
 from ledgerloom.llm import wordgrams
 
-ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöúùûü'"
+ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöúùûü'абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 SIZE = len(ALPHABET)
 AT = {c: i for i, c in enumerate(ALPHABET)}
 #: Which letters a character may stand for; fixed values.
@@ -28,21 +34,34 @@ LOOKALIKES = {
     "0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-SWAP_COST, DROP_COST, LONGEST = 1.0, 0.5, 48
+#: Letters of other alphabets that look like Latin ones; fixed values.
+HOMOGLYPHS = {
+    "а": "a", "в": "b", "е": "e", "і": "i", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+}
+SWAP_COST, DROP_COST, SPLIT_COST = 1.0, 0.5, 1.0
+EDGE = 8
 SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
 _SEPARATED = re.compile(r"[ .\-_]")
+_WIDE = re.compile("[\uff01-\uff5e\u3000]")
+_NARROW = {0xFF01 + i: 0x21 + i for i in range(0x5E)} | {0x3000: 0x20}
 _SIGNED = re.compile(f"[{re.escape(SIGNS)}]")
 
 
 def codes(text: str) -> np.ndarray:
     """The alphabet's numbers of a lower-case text, all other characters as the boundary."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    return _table()[np.minimum(points, 0x1FF)]
+    return _table()[np.minimum(points, len(_table()) - 1)]
 
 
 @cache
 def _table() -> np.ndarray:
-    return np.array([AT.get(chr(i), 0) for i in range(0x1FF)] + [0], np.int64)
+    return np.array([AT.get(chr(i), 0) for i in range(max(map(ord, ALPHABET)) + 1)] + [0], np.int64)
+
+
+def narrow(text: str) -> str:
+    """``text`` with full-width letters and signs as the ASCII ones; as long as before."""
+    return text.translate(_NARROW) if _WIDE.search(text) else text
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -66,56 +85,74 @@ class CharacterModel:
         self.cost = -np.log(p3)
 
     def restore(self, token: str) -> str:
-        """The cheapest reading of a token in lower case, without separators."""
-        text = token.lower()
-        if _SEPARATED.search(text):
-            text = _SEPARATED.sub("", text)
-        if len(text) > LONGEST:  # no word: a long token is read in pieces
-            return "".join(self.restore(text[i : i + LONGEST]) for i in range(0, len(text), LONGEST))
-        return self._endings(text, len(text)).pop()
+        """The cheapest reading of a whole token in lower case, without separators."""
+        text = _SEPARATED.sub("", token.lower())
+        return self._endings(text, len(text)).popitem()[0]
+
+    def readings(self, token: str) -> dict[str, float]:
+        """The cheapest readings of a token with and without the signs around it, and what they cost by the letter.
 
-    def readings(self, token: str) -> set[str]:
-        """The cheapest readings of a token with and without the signs around it."""
+        A reading may be several words where the token's characters are set apart.
+        """
         text = token.lower()
-        texts = {text}
-        if _SEPARATED.search(text):
+        out: dict[str, float] = {}
+        texts, apart = {text}, bool(_SEPARATED.search(text))
+        if apart:
             text = _SEPARATED.sub("", text)
             texts = {text, _SIGNED.sub("", text)}
-        out: set[str] = set()
-        for text in texts - {""}:
-            first, last = len(text) - len(text.lstrip(SIGNS)), len(text.rstrip(SIGNS))
-            if len(text) > LONGEST:  # no word: read in pieces
-                out |= {self.restore(text), self.restore(text[first:last])}
-            else:
-                for a in range(min(first, last) + 1):
-                    out |= self._endings(text[a:], max(last - a, 1))
+        for t in texts - {""}:
+            first, last = len(t) - len(t.lstrip(SIGNS)), len(t.rstrip(SIGNS))
+            first = min(first, last)
+            for a in sorted({*range(min(EDGE, first) + 1), *range(max(first - EDGE, 0), first + 1)}):
+                out |= self._endings(t[a:], max(last - a, 1))
+        if apart and text:
+            out |= self._endings(text, len(text), split=True)
         return out
 
-    def _endings(self, text: str, least: int) -> set[str]:
-        """The cheapest readings of the text's beginnings of ``least`` characters or more."""
+    def _endings(self, text: str, least: int, split: bool = False) -> dict[str, float]:
+        """The cheapest readings of the text's beginnings of ``least`` characters or more (the first and last ``EDGE`` of them), with their costs by the letter."""
         # state: the last two letters -> (cost, path); the number of states is bounded by the look-alikes' letters
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        out = set() if text else {""}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        out: dict[str, float] = {} if text else {"": 0.0}
+        mixed = any("a" <= c <= "z" for c in text)
+        n = len(text)
         for i, c in enumerate(text):
-            options = [(AT[c], c, 0.0)] if AT.get(c) else []
+            options = [(AT.get(c, 0), c, 0.0)] if c in AT and c != " " or c.isalpha() else []
             options += [(AT[x], x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            if mixed and c in HOMOGLYPHS:
+                options.append((AT[HOMOGLYPHS[c]], HOMOGLYPHS[c], SWAP_COST / 4))
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             droppable = i > 0 and text[i - 1] == c and (text[i - 2 : i + 1] == c * 3 or text[i - 1 : i + 2] == c * 3)
-            for (a, b), (cost, path) in states.items():
-                for n, x, extra in options:
-                    new = cost + extra + self.cost[a, b, n]
-                    if (b, n) not in after or new < after[b, n][0]:
-                        after[b, n] = (new, path + x)
+            begun = states
+            if split and i:  # a word may end before this character
+                end = min(((cost + self.cost[a, b, 0] + SPLIT_COST, path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])
+                if (0, 0) not in states or end[0] < states[0, 0][0]:
+                    begun = states | {(0, 0): (end[0], (end[1], " "))}
+            for (a, b), (cost, path) in begun.items():
+                for m, x, extra in options:
+                    new = cost + extra + self.cost[a, b, m]
+                    if (b, m) not in after or new < after[b, m][0]:
+                        after[b, m] = (new, (path, x))
                 if droppable or not options:
                     new = cost + DROP_COST
                     if (a, b) not in after or new < after[a, b][0]:
                         after[a, b] = (new, path)
             states = after
-            if i + 1 >= least:
-                out.add(min((cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in states.items())[1])
+            if i + 1 >= least and (i + 1 - least <= EDGE or n - i - 1 <= EDGE):
+                cost, path = min(((cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])
+                word = _spelt(path)
+                out[word] = cost / (len(word) + 1)
         return out
 
 
+def _spelt(path: tuple | None) -> str:
+    letters = []
+    while path is not None:
+        path, x = path
+        letters.append(x)
+    return "".join(reversed(letters))
+
+
 @cache
 def _look_table() -> np.ndarray:
     out = np.zeros(max(map(ord, LOOKALIKES)) + 2, bool)
@@ -123,6 +160,13 @@ def _look_table() -> np.ndarray:
     return out
 
 
+@cache
+def _twin_table() -> np.ndarray:
+    out = np.zeros(max(map(ord, HOMOGLYPHS)) + 2, bool)
+    out[[ord(x) for c in HOMOGLYPHS for x in (c, c.upper())]] = True
+    return out
+
+
 def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of true begin and end."""
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
@@ -131,14 +175,21 @@ def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def suspects(texts: list[str]) -> list[list[str]]:
     """The suspect tokens of each text."""
-    out: list[list[str]] = [[] for _ in texts]
+    return [[t[x:y] for x, y in own] for t, own in zip(texts, suspect_spans(texts), strict=True)]
+
+
+def suspect_spans(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """Where the suspect tokens of each text begin and end; spans may overlap."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
     for a, b in wordgrams.slices(texts):
-        for d, token in _suspects("\n".join(texts[a:b]), [len(t) + 1 for t in texts[a:b]]):
-            out[a + d].append(token)
+        sizes = [len(t) + 1 for t in texts[a:b]]
+        begins = np.cumsum([0, *sizes]).tolist()
+        for d, x, y in _suspects("\n".join(texts[a:b]), sizes):
+            out[a + d].append((x - begins[d], y - begins[d]))
     return out
 
 
-def _suspects(joined: str, sizes: list[int]) -> Iterable[tuple[int, str]]:
+def _suspects(joined: str, sizes: list[int]) -> Iterable[tuple[int, int, int]]:
     points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
     if len(points) < 2:
         return
@@ -147,6 +198,9 @@ def _suspects(joined: str, sizes: list[int]) -> Iterable[tuple[int, str]]:
     hit = np.zeros(len(points), bool)
     hit[:-1] = look[:-1] & letter[1:]
     hit[1:] |= look[1:] & letter[:-1]
+    latin = (points < 0x250) & letter
+    twin = _twin_table()[np.minimum(points, len(_twin_table()) - 1)]
+    hit[:-1] |= (twin[:-1] & latin[1:]) | (latin[:-1] & twin[1:])
     hit[:-2] |= letter[:-2] & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
     begin, end = _runs(letter | look)
     which = np.unique(np.searchsorted(begin, np.flatnonzero(hit), "right") - 1)
@@ -154,7 +208,7 @@ def _suspects(joined: str, sizes: list[int]) -> Iterable[tuple[int, str]]:
     begins = np.cumsum([0, *sizes])
     for first, last in spans:
         for x, y, d in zip(first.tolist(), last.tolist(), (np.searchsorted(begins, first, "right") - 1).tolist(), strict=True):
-            yield d, joined[x:y]
+            yield d, x, y
 
 
 def _spaced(points: np.ndarray, letter: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,19 +1,21 @@
 """Toxicity: restored text scored by words and word beginnings that labelled rows show to be toxic.
 
 The character model behind the restoration (``noisy_channel``) counts the trigrams of every
-text; what reaches the driver is bounded by the alphabet. The classifier is fitted on at
-most ``SAMPLE`` labelled rows, those whose ids have the least hashes. A feature is a word
-of the text, or its first ``PREFIX`` characters, once per text; words read from suspect
-tokens count like written ones. The weight of a feature is the log of the ratio of its
+text; what reaches the driver is bounded by the alphabet. ``restored`` writes a text anew
+with each suspect token in its likeliest reading (a word beside mere signs stays as it is); scored are the words of that text, and
+those of the tokens' other readings. The classifier is fitted on at most ``SAMPLE`` labelled
+rows, those whose ids have the least hashes. A feature is a word, or its first ``PREFIX``
+characters, once per text. The weight of a feature is the log of the ratio of its
 frequencies in toxic and clean rows, less ``CAUTION`` standard errors, so that rare words
 need more evidence; features are hashed to ``SLOTS`` places and only those with a weight
 above ``LEAST`` are kept and broadcast, at most one per place. The score of a text is a
-logistic function, fitted on the same rows, of its largest and second largest weight.
+logistic function of its largest and second largest weight. That function is fitted on the
+same rows, but each half of them is seen with the weights that the other half gives.
 
 Edge cases: a null text is empty; a text without known features has the base score; if the
 sample lacks either class, every score is 0. Labelled rows with a null id or label are
 ignored, of several labels of one document the largest counts. Rows may repeat, ids may be
-null; the texts' other columns are never read.
+null; the texts' other columns are never read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import inputs, wordgrams
-from ledgerloom.llm.noisy_channel import SIZE, CharacterModel, suspects, trigram_counts
+from ledgerloom.llm.noisy_channel import SIGNS, SIZE, CharacterModel, narrow, suspect_spans, trigram_counts
 from ledgerloom.plans.scratch import written
 
 SAMPLE = 20_000
@@ -39,6 +41,7 @@ CAUTION, LEAST = 1.5, 0.5
 THRESHOLD = 0.7
 CACHED_WORDS = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
+_PLAIN, _THRICE = re.compile(r"(?:[a-zA-Z\u00c0-\u024f]+|[^\W\d_a-zA-Z\u00c0-\u024f]+)?"), re.compile(r"([^\W\d_])\1\1")
 _JOINED = re.compile(r"[ .\-_]")
 
 
@@ -65,22 +68,50 @@ def character_model(docs: DataFrame) -> CharacterModel:
     return CharacterModel(counts)
 
 
-def words_of(texts: list[str], model: CharacterModel, known: dict[str, set[str]]) -> Iterator[set[str]]:
-    """The distinct words of each text in lower case, written or restored; ``known`` keeps what was restored before."""
+def restorations(texts: list[str], model: CharacterModel, known: dict[str, dict[str, float]]) -> Iterator[tuple[str, set[str]]]:
+    """Each text with its suspect tokens in their likeliest reading, and the words of all their readings; ``known`` keeps what was read before."""
     if len(known) > CACHED_WORDS:
         known.clear()
-    for text, tokens in zip(texts, suspects(texts), strict=True):
-        words = set(_WORDS.findall(text.lower()))
-        for token in tokens:
-            read = known.get(token)
-            if read is None:
-                read = model.readings(token)
+    texts = [narrow(t) for t in texts]
+    for text, spans in zip(texts, suspect_spans(texts), strict=True):
+        pieces, at, read = [], 0, set()
+        for x, y in sorted(spans, key=lambda s: (s[0], -s[1])):
+            token = text[x:y]
+            found = known.get(token)
+            if found is None:
+                found = known[token] = model.readings(token)
+            for r in found:
+                read.update(r.split())
                 if _JOINED.search(token):  # the first or last letter may have been a word of its own
-                    read |= {x for w in read for x in (w[1:], w[:-1], w[1:-1])}
-                known[token] = read
-            words |= read
-        words.discard("")
-        yield words
+                    read |= {r[1:], r[:-1], r[1:-1]}
+            plain = _PLAIN.fullmatch(token.strip(SIGNS)) and not _THRICE.search(token)  # a word beside punctuation
+            if x >= at and found and not plain:
+                pieces += [text[at:x], min(found, key=lambda r: (found[r], r))]
+                at = y
+        read.discard("")
+        yield "".join(pieces) + text[at:] if pieces else text, read
+
+
+def restored(texts: list[str], model: CharacterModel) -> list[str]:
+    """The texts with what was disguised written out."""
+    return [t for t, _ in restorations(texts, model, {})]
+
+
+def restored_column(spark: SparkSession, model: Broadcast, text: str = "text") -> Column:
+    """A text column with what was disguised written out."""
+
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            texts = _texts(column)
+            yield pa.array([t for a, b in wordgrams.slices(texts) for t in restored(texts[a:b], model.value)], pa.string())
+
+    return F.arrow_udf(of, "string")(F.col(text))
+
+
+def words_of(texts: list[str], model: CharacterModel, known: dict[str, dict[str, float]]) -> Iterator[set[str]]:
+    """The distinct words of each restored text in lower case, and those of other readings."""
+    for text, read in restorations(texts, model, known):
+        yield {*_WORDS.findall(text.lower()), *read}
 
 
 def _slot(feature: str) -> int:
@@ -115,27 +146,36 @@ class Weights:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + tops @ self.curve[1:], -40, 40)))
 
 
-def _tops(model: Broadcast, weights: Broadcast, texts: list[str], known: dict[str, set[str]]) -> np.ndarray:
+def _tops(model: Broadcast, weights: Broadcast, texts: list[str], known: dict[str, dict[str, float]]) -> np.ndarray:
     out = [weights.value.top(w) for a, b in wordgrams.slices(texts) for w in words_of(texts[a:b], model.value, known)]
     return np.array(out, float).reshape(len(texts), 2)
 
 
 def _feature_counts(sample: DataFrame, model: Broadcast) -> DataFrame:
-    """(slot, toxic, clean): in how many labelled rows of each kind a feature's place occurs, summed per partition first."""
+    """(slot, half, toxic, clean): in how many labelled rows of each half and kind a feature's place occurs, summed per partition first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros((2, SLOTS), np.int32), {}
+        counts, known = np.zeros((2, 2, SLOTS), np.int32), {}
         for batch in batches:
-            texts, labels = _texts(batch.column(0)), batch.column(1).to_pylist()
+            texts, labels, halves = _texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in wordgrams.slices(texts):
-                for label, words in zip(labels[a:b], words_of(texts[a:b], model.value, known), strict=True):
+                for label, half, words in zip(labels[a:b], halves[a:b], words_of(texts[a:b], model.value, known), strict=True):
                     own = {s for w in words for s in _slots(w)}
-                    counts[label, np.fromiter(own, np.int64, len(own))] += 1
-        at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1, at]), pa.array(counts[0, at])], names=["slot", "toxic", "clean"])
+                    counts[half, label, np.fromiter(own, np.int64, len(own))] += 1
+        for half in (0, 1):
+            at = np.flatnonzero(counts[half].any(0))
+            columns = [pa.array(at), pa.array(np.full(len(at), half, np.int32)), pa.array(counts[half, 1, at]), pa.array(counts[half, 0, at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "half", "toxic", "clean"])
+
+    parts = sample.select("text", "label", "half").mapInArrow(run, "slot long, half int, toxic int, clean int")
+    return parts.groupBy("slot", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-    parts = sample.select("text", "label").mapInArrow(run, "slot long, toxic int, clean int")
-    return parts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+def _weights(counts: DataFrame, toxic: int, clean: int) -> dict[int, float]:
+    """Weights by place from (slot, toxic, clean), of so many rows of each kind."""
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    weight = F.log(t / (toxic + 1.0)) - F.log(c / (clean + 1.0)) - CAUTION * F.sqrt(1 / t + 1 / c)
+    return {r["slot"]: r["weight"] for r in counts.select("slot", weight.alias("weight")).where(F.col("weight") > LEAST).collect()}
 
 
 def _curve(rows: list) -> np.ndarray:
@@ -156,22 +196,28 @@ def fit(docs: DataFrame, labels: DataFrame, model: Broadcast, sample_rows: int =
     """Learn from ``labels`` (doc_id, label 0 or 1) of ``docs`` (doc_id, text); None if a class is missing."""
     spark = docs.sparkSession
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "sample")  # so many ids at most
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(2)).cast("int"))
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "half"), "sample")  # so many ids at most
+    sizes = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
+    of_half = lambda h, label: sizes.get((h, label), 0)
+    if not all(of_half(0, label) + of_half(1, label) for label in (0, 1)):
         return None
-    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    weight = F.log(t / (sizes[1] + 1.0)) - F.log(c / (sizes[0] + 1.0)) - CAUTION * F.sqrt(1 / t + 1 / c)
-    kept = _feature_counts(sample, model).select("slot", weight.alias("weight")).where(F.col("weight") > LEAST).collect()
-    weights = Weights({r["slot"]: r["weight"] for r in kept}, np.zeros(3))
-    sent = spark.sparkContext.broadcast(weights)
-
-    def of(column: pa.Array) -> pa.Array:
-        tops = np.round(_tops(model, sent, _texts(column), {}), 1)
-        return pa.ListArray.from_arrays(np.arange(len(tops) + 1, dtype=np.int32) * 2, tops.ravel())
-
-    tops = sample.select("label", F.arrow_udf(of, "array<double>")("text").alias("tops"))
+    counts = written(_feature_counts(sample, model), "features")
+    whole = counts.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    weights = Weights(_weights(whole, *(of_half(0, label) + of_half(1, label) for label in (1, 0))), np.zeros(3))
+    # the weights of the other half; if that lacks a class, those of all rows
+    halves = [Weights(_weights(counts.where(F.col("half") == 1 - h), of_half(1 - h, 1), of_half(1 - h, 0)), np.zeros(3)) if of_half(1 - h, 1) and of_half(1 - h, 0) else weights for h in (0, 1)]
+    sent = [spark.sparkContext.broadcast(w) for w in halves]
+
+    def of(text: pa.Array, half: pa.Array) -> pa.Array:
+        texts, own = _texts(text), np.array(half.to_pylist())
+        tops = np.zeros((len(texts), 2))
+        for h in (0, 1):
+            at = np.flatnonzero(own == h)
+            tops[at] = _tops(model, sent[h], [texts[i] for i in at], {})
+        return pa.ListArray.from_arrays(np.arange(len(tops) + 1, dtype=np.int32) * 2, np.round(tops, 1).ravel())
+
+    tops = sample.select("label", F.arrow_udf(of, "array<double>")("text", "half").alias("tops"))
     rows = tops.groupBy(F.col("tops")[0].alias("first"), F.col("tops")[1].alias("second"), "label").count().collect()
     weights.curve = _curve([(r["first"], r["second"], r["label"], r["count"]) for r in rows])
     weights.cached = {}
@@ -185,7 +231,7 @@ def score_column(spark: SparkSession, model: Broadcast, weights: Weights | None,
     sent = spark.sparkContext.broadcast(weights)
 
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, set[str]] = {}
+        known: dict[str, dict[str, float]] = {}
         for column in batches:
             yield pa.array(sent.value.score(_tops(model, sent, _texts(column), known)))
 
