@@ -2,13 +2,15 @@
 
 A url's path is cut into segments; runs of digits in them become ``*`` at once. Per host
 the tree is then walked level by level. Under each parent template the children are
-counted (urls, labelled ones, bad ones) and a child becomes the wildcard ``*`` if
+counted (urls, labelled ones, bad ones), and
 
-- the parent has more than ``max_children`` children that hold fewer than ``min_urls``
-  urls each on average (a variable segment), or
-- it has siblings, and its share of bad labels is within ``z`` standard errors of the
-  parent's smoothed share (statistically similar branches merge; a child without labels
-  gives no reason to be kept apart).
+- where the parent has more than ``max_children`` children, those of fewer than ``min_urls``
+  urls are a variable segment, ``*``;
+- the other labelled ones are put in order of their smoothed share of bad labels, in steps of
+  1 / ``STEPS``; where two neighbouring steps differ by no more than ``z`` standard errors
+  (pooled), their branches are statistically similar and merge. A group of several children
+  is ``*`` if all of them are in it, else ``*1``, ``*2`` and so on; a child alone keeps its name;
+- children without labels are kept apart, as nothing says that they are alike.
 
 With ``whole`` the tree is walked to its real depth; below ``max_depth`` levels a path that
 is the only one left under its template takes its other segments at once, so the number of
@@ -17,7 +19,7 @@ segments from the ``max_depth``-th on are one, ``**``. A template is blocked if
 the share of good labels smoothed by ``strength`` labels at the overall share, is below
 ``purity``. Only counts per distinct host and path shape are shuffled from level to level;
 they come from one aggregation with map-side sums, so a host with most of the urls is as
-cheap as others.
+cheap as others, and siblings are put in order by their at most ``STEPS`` + 1 steps.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is judged
 by that (empty) template; a host without labels gets the overall share; without any
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import inputs
@@ -38,7 +40,8 @@ from ledgerloom.plans.scratch import written
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
-BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 8_000_000
+STEPS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,6 +100,30 @@ def _without_forks(tree: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _merged(child: DataFrame, prior: float, limits: Limits) -> DataFrame:
+    """(host, template, segment, as): what each child is called from here on."""
+    key = ["host", "template"]
+    parent = child.groupBy(*key).agg(F.count("*").alias("children"))
+    rare = (F.col("children") > limits.max_children) & (F.col("c_n") < limits.min_urls)
+    share = (F.col("c_bad") + limits.strength * prior) / (F.col("c_labelled") + limits.strength)
+    step = F.when(rare, -1).when(F.col("c_labelled") == 0, -2).otherwise(F.floor(share * STEPS + 0.5)).cast("int")
+    judged = child.join(parent, key).withColumn("step", step)
+    steps = judged.where("step >= 0").groupBy(*key, "step").agg(F.sum("c_labelled").alias("labelled"), F.sum("c_bad").alias("bad"), F.count("*").alias("members"))
+    by_share = Window.partitionBy(*key).orderBy("step")
+    before = steps.withColumns({"p_labelled": F.lag("labelled").over(by_share), "p_bad": F.lag("bad").over(by_share)})
+    pooled = (F.col("bad") + F.col("p_bad")) / (F.col("labelled") + F.col("p_labelled"))
+    error = limits.z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("p_labelled")))
+    differ = F.abs(F.col("bad") / F.col("labelled") - F.col("p_bad") / F.col("p_labelled")) > error
+    numbered = before.withColumn("group", F.sum(F.when(differ, 1).otherwise(0)).over(by_share))
+    groups = numbered.withColumns(
+        {"size": F.sum("members").over(Window.partitionBy(*key, "group")), "last": F.max("group").over(Window.partitionBy(*key))}
+    )
+    name = F.when(F.col("size") > 1, F.when(F.col("last") == 0, "*").otherwise(F.concat(F.lit("*"), (F.col("group") + 1).cast("string"))))
+    named = groups.select(*key, "step", name.alias("name"))
+    called = F.when(F.col("step") == -1, "*").otherwise(F.coalesce("name", "segment"))
+    return judged.join(named, [*key, "step"], "left").select(*key, "segment", called.alias("as"))
+
+
 def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, shape, template, purity, template_verdict) for every host and path shape of ``urls`` (host, shape, bad).
 
@@ -125,17 +152,7 @@ def template_verdicts(urls: DataFrame, limits: Limits = Limits()) -> DataFrame:
             .groupBy("host", "template", "segment")
             .agg(F.sum("n").alias("c_n"), F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad"))
         )
-        parent = child.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum("c_n").alias("p_n"), F.sum("c_labelled").alias("p_labelled"), F.sum("c_bad").alias("p_bad")
-        )
-        share = (F.col("p_bad") + a * prior) / (F.col("p_labelled") + a)
-        error = limits.z * F.sqrt(share * (1 - share) / F.col("c_labelled"))
-        similar = (F.col("c_labelled") == 0) | (F.abs(F.col("c_bad") / F.col("c_labelled") - share) <= error)
-        variable = (F.col("children") > limits.max_children) & (F.col("p_n") < F.col("children") * limits.min_urls)
-        merged = child.join(parent, ["host", "template"]).select(
-            "host", "template", "segment",
-            F.when((F.col("children") > 1) & (variable | similar), "*").otherwise(F.col("segment")).alias("as"),
-        )
+        merged = _merged(child, prior, limits)
         step = F.when(F.col("as").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))
         tree = here.join(merged, ["host", "template", "segment"], "left").select(
             "host", "shape", "n", "labelled", "bad", "segments", step.alias("template")
@@ -155,7 +172,8 @@ def judge(urls: DataFrame, rules=RULES, limits: Limits = Limits(whole=True)) ->
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "purity", "shape", "bad", "template_verdict")]
     parts = urls.select(*kept, host.alias("host"), path.alias("path"), "bad").withColumn("shape", F.regexp_replace("path", r"[0-9]+", "*"))
     verdicts = written(template_verdicts(parts.select("host", "shape", "bad"), limits), "verdicts")
-    side = F.broadcast(verdicts) if verdicts.count() <= BROADCAST_ROWS else verdicts
+    size = verdicts.agg(F.sum(F.length("host") + F.length("shape") + F.length("template") + 32)).first()[0] or 0
+    side = F.broadcast(verdicts) if size <= BROADCAST_CHARS else verdicts
     rule, says = matching_rule(F.col("host"), F.col("path"), rules)
     return parts.join(side, ["host", "shape"], "left").select(
         *kept, "host", "path", rule.alias("rule"), F.coalesce(says, F.col("template_verdict")).alias("verdict"), "template", "purity"
@@ -167,7 +185,9 @@ def op5_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = inputs.table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.regexp_extract(host_and_path(F.col("url"))[1], r"([0-9]{1,18})[^/0-9]*/?$", 1).try_cast("long")
     labels = inputs.table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id", "left")
+    numbered = pages.withColumn("doc_id", number)
+    # pages without a number would all have one key in the join
+    labelled = numbered.where("doc_id IS NOT NULL").join(labels, "doc_id", "left").unionByName(numbered.where("doc_id IS NULL").withColumn("quality", F.lit(None).cast("long")), allowMissingColumns=True)
     return judge(labelled.select("page_id", "url", F.when(F.col("quality").isin(0, 1), 1 - F.col("quality")).alias("bad"))).drop("url")
 
 
@@ -185,11 +205,16 @@ def _oracle(limits: Limits = Limits()) -> str:
         levels += f"""
 , here{k} AS (SELECT *, segments[{k + 1}] AS segment FROM tree{k})
 , child{k} AS (SELECT host, template, segment, sum(n) AS c_n, sum(labelled) AS c_labelled, sum(bad) AS c_bad FROM here{k} WHERE segment IS NOT NULL GROUP BY ALL)
-, parent{k} AS (SELECT host, template, count(*) AS children, sum(c_n) AS p_n, sum(c_labelled) AS p_labelled,
-    (sum(c_bad) + {a}::DOUBLE * any_value(prior)) / (sum(c_labelled) + {a}::DOUBLE) AS share FROM child{k}, prior GROUP BY host, template)
-, merged{k} AS (SELECT host, template, segment, CASE WHEN children > 1 AND ((children > {limits.max_children} AND p_n < children * {limits.min_urls})
-    OR c_labelled = 0 OR abs(c_bad::DOUBLE / c_labelled - share) <= {limits.z}::DOUBLE * sqrt(share * (1 - share) / c_labelled)) THEN '*' ELSE segment END AS seg
-    FROM child{k} JOIN parent{k} USING (host, template))
+, judged{k} AS (SELECT c.*, CASE WHEN children > {limits.max_children} AND c_n < {limits.min_urls} THEN -1 WHEN c_labelled = 0 THEN -2
+    ELSE CAST(floor((c_bad + {a}::DOUBLE * prior) / (c_labelled + {a}::DOUBLE) * {STEPS} + 0.5::DOUBLE) AS INTEGER) END AS step
+    FROM (SELECT *, count(*) OVER (PARTITION BY host, template) AS children FROM child{k}) AS c, prior)
+, steps{k} AS (SELECT host, template, step, sum(c_labelled)::DOUBLE AS l, sum(c_bad)::DOUBLE AS b, count(*) AS members FROM judged{k} WHERE step >= 0 GROUP BY ALL)
+, before{k} AS (SELECT *, lag(l) OVER w AS pl, lag(b) OVER w AS pb FROM steps{k} WINDOW w AS (PARTITION BY host, template ORDER BY step))
+, numbered{k} AS (SELECT *, sum(CASE WHEN abs(b / l - pb / pl) > {limits.z}::DOUBLE * sqrt((b + pb) / (l + pl) * (1 - (b + pb) / (l + pl)) * (1 / l + 1 / pl)) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY host, template ORDER BY step) AS no FROM before{k})
+, named{k} AS (SELECT host, template, step, CASE WHEN sum(members) OVER (PARTITION BY host, template, no) > 1 THEN CASE WHEN max(no) OVER (PARTITION BY host, template) = 0 THEN '*'
+    ELSE '*' || CAST(no + 1 AS BIGINT) END END AS name FROM numbered{k})
+, merged{k} AS (SELECT host, template, segment, CASE WHEN step = -1 THEN '*' ELSE coalesce(name, segment) END AS seg FROM judged{k} LEFT JOIN named{k} USING (host, template, step))
 , tree{k + 1} AS (SELECT host, shape, n, labelled, bad, segments, CASE WHEN seg IS NULL THEN template ELSE template || '/' || seg END AS template
     FROM here{k} LEFT JOIN merged{k} USING (host, template, segment))"""
     return f"""
