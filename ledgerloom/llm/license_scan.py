@@ -2,7 +2,7 @@
 
 The parts of a text are its lines, its paragraphs (between empty lines) and itself, equal
 ones once. A part is normalised to its words, runs of ASCII letters and digits in lower
-case, and to the set of pairs of neighbouring words. Its likeness to a template is
+case with ``licence`` spelt ``license``, and to the set of pairs of neighbouring words. Its likeness to a template is
 ``2 * shared / (own + template's)``. A part of ``a`` pairs can reach the threshold t only
 with templates of ``a * t / (2 - t)`` to ``a * (2 - t) / t`` pairs; others are not compared.
 A text in which none of the templates' signature words occurs is not cut up at all: a
@@ -18,6 +18,10 @@ licence with more of them) is left out; the best of the others names the licence
 Lines, paragraphs and texts are the parts counted as matches; where none of them matches,
 the separate stretches of matching windows are counted.
 
+The full texts of further licences, such as the GPL, may be given as a folder of files
+(``read_texts``, or ``spark.ledgerloom.licenses`` for the query); a text of more than
+``LONG`` pairs is not sought again within a match of its own that fits better.
+
 Edge cases: a null text is empty; parts of less than two words match nothing; of equally
 good templates the least name wins. Every row of the input gives one row, whatever repeats.
 """
@@ -35,14 +39,20 @@ from ledgerloom.llm import inputs
 from ledgerloom.llm.license_templates import FULL_TEXTS, TEMPLATES
 
 DICE = 0.8
+LONG = 400
+TEXTS_CONF = "spark.ledgerloom.licenses"
 SCANNED = "doc_id long, license string, dice double, n_matches int"
 _WORD = re.compile("[a-z0-9]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 Pairs = frozenset[tuple[str, str]]
 
 
+def normal(text: str) -> str:
+    return text.translate(_LOWER).replace("licence", "license")
+
+
 def pairs(text: str) -> Pairs:
-    words = _WORD.findall(text.translate(_LOWER))
+    words = _WORD.findall(normal(text))
     return frozenset(zip(words, words[1:], strict=False))
 
 
@@ -72,7 +82,7 @@ class Templates:
 
     def windows(self, text: str) -> tuple[str | None, float | None, int]:
         """As ``scan``, over all windows of words; the count is that of separate stretches of matching windows."""
-        low = text.translate(_LOWER)
+        low = normal(text)
         if not any(w in low for w in self.signature):
             return None, None, 0
         words = _WORD.findall(low)
@@ -109,7 +119,16 @@ class Templates:
             small, large = size * self.least / (2 - self.least) - 1e-9, size * (2 - self.least) / self.least + 1e-9
             if len(places) < small or len({own[at] for at in places}) < small:
                 continue
-            for begin in places:
+            # how many of the template's pairs are left from each place on
+            left, rest = [0] * len(places), set()
+            for n in range(len(places) - 1, -1, -1):
+                rest.add(own[places[n]])
+                left[n] = len(rest)
+            reach = -1
+            for n, begin in enumerate(places):
+                bound = 2 * left[n] / (left[n] + size)
+                if bound < self.least or size > LONG and begin < reach and bound <= tops[i][0]:
+                    continue
                 seen: set[tuple[str, str]] = set()
                 shared, end = 0, 0
                 for at in range(begin, len(own)):
@@ -130,11 +149,12 @@ class Templates:
                                 tops[i] = d, begin, end
                 if end:
                     matching.append((begin, end))
+                    reach = max(reach, end)
         return tops, matching
 
     def scan(self, text: str) -> tuple[str | None, float | None, int]:
         """Best template, its likeness, and how many parts match any template."""
-        low = text.translate(_LOWER)
+        low = normal(text)
         if not any(w in low for w in self.signature):
             return None, None, 0
         best: tuple[float, str] | None = None
@@ -151,6 +171,12 @@ class Templates:
         return (best[1], -best[0], matches) if best else (None, None, 0)
 
 
+def read_texts(spark: SparkSession, folder: str) -> dict[str, tuple[str, ...]]:
+    """Licence texts from a folder of small files, each named by its licence; at most 1000 files of 1 MB."""
+    files = spark.read.format("binaryFile").load(folder).where("length <= 1000000").limit(1000).collect()
+    return {f.path.rsplit("/", 1)[-1].removesuffix(".txt"): (bytes(f.content).decode("utf-8", "replace"),) for f in files}
+
+
 def scan(
     docs: DataFrame,
     templates: Mapping[str, Sequence[str]] = TEMPLATES,
@@ -177,7 +203,10 @@ def scan(
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence of every document."""
-    return scan(inputs.table(spark, sf_dir, "documents"))
+    folder = spark.conf.get(TEXTS_CONF, None)
+    more = read_texts(spark, folder) if folder else {}
+    texts = {n: (*FULL_TEXTS.get(n, ()), *more.get(n, ())) for n in {**FULL_TEXTS, **more}}
+    return scan(inputs.table(spark, sf_dir, "documents"), full_texts=texts)
 
 
 def _oracle() -> str:
@@ -185,7 +214,7 @@ def _oracle() -> str:
         f"({i}, '{name}', '{t.replace(chr(39), chr(39) * 2)}')"
         for i, (name, t) in enumerate((name, t) for name, texts in TEMPLATES.items() for t in texts)
     )
-    words = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+    words = lambda c: f"regexp_extract_all(replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licence', 'license'), '[a-z0-9]+')"
     pair = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 WITH t AS (SELECT id, name, {pair} AS p FROM (SELECT id, name, {words("txt")} AS w FROM (VALUES {rows}) AS v(id, name, txt)))

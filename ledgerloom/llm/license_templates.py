@@ -26,13 +26,40 @@ USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEOR
 LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
 OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted"""
+_ISC_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is
+not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software. 3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:"""
+
 #: Longer texts that only windows of words are compared with.
 FULL_TEXTS: dict[str, tuple[str, ...]] = {
+    "0BSD": (_ISC_GRANT + "." + _ISC_WARRANTY,),
     "BSD-2-Clause": (_BSD_GRANT + _BSD_WARRANTY,),
     "BSD-3-Clause": (_BSD_GRANT + _BSD_ENDORSEMENT + _BSD_WARRANTY,),
+    "ISC": (_ISC_GRANT + _ISC_NOTICE + _ISC_WARRANTY,),
 }
 
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
@@ -46,6 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         _BSD_GRANT + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
         or promote products derived from this software without specific prior written permission.""",
     ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", _BOOST),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
@@ -55,6 +83,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "EPL-2.0": (
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    ),
     "GPL-2.0": (
         "Licensed under the GNU General Public License, version 2.",
         """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
@@ -68,9 +100,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
         version.""",
     ),
-    "ISC": (
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "ISC": (_ISC_GRANT + _ISC_NOTICE,),
+    "LGPL-2.1": (
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version.""",
+    ),
+    "LGPL-3.0": (
+        """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version.""",
     ),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", _MIT_GRANT, _MIT_GRANT + "\n" + _MIT_WARRANTY),
     "MPL-2.0": (
@@ -83,4 +122,5 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
         commercial or non-commercial, and by any means.""",
     ),
+    "Zlib": (_ZLIB,),
 }
