@@ -54,8 +54,14 @@ class Items:
         shingle, at = wordgrams.shingles(hashes, begins, k)
         self.shingles = [np.unique(shingle[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         long = np.flatnonzero(counts >= k)
-        #: By number of words, items too short for a shingle of k words.
-        self.short = {n: np.flatnonzero(counts == n) for n in range(1, k) if (counts == n).any()}
+        #: By number of words, the hashes in order of the items too short for a shingle of k words, and whose each is.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, k):
+            own = np.flatnonzero(counts == n)
+            if len(own):
+                whole = np.array([self.shingles[i][0] for i in own], np.uint64)
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], own[order]
         sizes = np.array([len(s) for s in self.shingles])
         few = long[sizes[long] <= EXACT]
         flat = np.concatenate([self.shingles[i] for i in few]) if len(few) else np.zeros(0, np.uint64)
@@ -98,12 +104,11 @@ class Items:
         shingle, begins = wordgrams.shingles(word, word_begins, self.k)
         pairs = set(self._candidates(shingle, begins)) if len(shingle) else set()
         yield from self._looked_up(shingle, begins, least)
-        for n, members in self.short.items():
+        for n, (keys, owners) in self.short.items():
             run, at = wordgrams.shingles(word, word_begins, n)
-            for i in members:
-                hit = np.flatnonzero(run == self.shingles[i][0])
-                for d in np.unique(np.searchsorted(at, hit, "right") - 1):
-                    yield int(d), int(i), 1, 1
+            for d, i, _ in self._shared(run, at, keys, owners):
+                if word_begins[d + 1] - word_begins[d] >= n:
+                    yield d, i, 1, 1
         own: tuple[int, np.ndarray] = (-1, shingle[:0])
         for d, i in sorted(pairs):
             if own[0] != d:
@@ -115,7 +120,13 @@ class Items:
 
     def _looked_up(self, shingle: np.ndarray, begins: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
         """As ``search``, for the items of at most ``EXACT`` shingles."""
-        keys, owners = self.few
+        for d, i, m in self._shared(shingle, begins, *self.few):
+            n = len(self.shingles[i])
+            if m >= least * n - 1e-9:
+                yield d, i, n, m
+
+    def _shared(self, shingle: np.ndarray, begins: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text number, item number, how many of the item's keys the text has)."""
         if not len(keys):
             return
         left = np.searchsorted(keys, shingle, "left")
@@ -126,9 +137,7 @@ class Items:
         at = np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         pair, shared = np.unique(np.repeat(doc, counts) * len(self.ids) + owners[at], return_counts=True)
         for d, i, m in zip(*np.divmod(pair, len(self.ids)), shared, strict=True):
-            n = len(self.shingles[i])
-            if m >= least * n - 1e-9:
-                yield int(d), int(i), n, int(m)
+            yield int(d), int(i), int(m)
 
     def _candidates(self, shingle: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
         counts = np.diff(begins)
@@ -230,11 +239,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 OP8_SQL = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS copy, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, row_number() OVER () AS copy, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, copy, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, copy, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b WHERE len(w) >= 5),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, copy, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, lengths WHERE len(w) >= k),
+bs AS (SELECT DISTINCT item_id, copy, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) > 0),
 sized AS (SELECT item_id, copy, count(*) AS n FROM bs GROUP BY ALL)
 SELECT doc_id, bs.item_id, CAST(n AS INTEGER) AS item_shingles, CAST(count(*) AS INTEGER) AS shared, CAST(count(*) AS DOUBLE) / n AS containment
-FROM ds JOIN bs USING (s) JOIN sized ON sized.item_id = bs.item_id AND sized.copy = bs.copy
+FROM ds JOIN bs USING (k, s) JOIN sized ON sized.item_id = bs.item_id AND sized.copy = bs.copy
 GROUP BY doc_id, ds.copy, bs.item_id, bs.copy, n
 HAVING count(*) >= 0.8 * n
 """
