@@ -9,8 +9,9 @@ where k-mers are missing and where they are in another order.
 Edge cases: a null text is empty; a text shorter than K has one k-mer, itself; an empty
 text has none and its slots hash the empty tuple, so two empty texts are alike. A text with
 fewer than ``PICKS`` k-mers gives tuples of all of them. Equal texts have equal
-fingerprints. In ``edited_fingerprints`` rows are ordered by id descending, equal ids by
-text, null ids last; a single row is its own next one.
+fingerprints. In ``edited_fingerprints`` rows are ordered by id descending, equal ids by the
+hash of their text descending, null ids last; a single row is its own next one. An empty
+table gives no rows, and of the input only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -116,29 +117,33 @@ def _rows(items: Iterable[tuple[int, int | None, str, bool]]) -> Iterator[tuple]
         before = None if closing else (part, doc_id, text, own)
 
 
-def _ranges(ids: DataFrame, n: int) -> list[int]:
-    """Bounds that cut the ids into about ``n`` ranges; so many numbers reach the driver at most."""
+def _ranges(ids: DataFrame, n: int) -> tuple[list[int], list[int]]:
+    """Bounds that cut the ids into about ``n`` ranges, and the ids that fill a range alone; so many numbers reach the driver at most."""
     bounds = ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    return sorted(set(bounds or []))
+    bounds = bounds or []
+    return sorted(set(bounds)), sorted({a for a, b in zip(bounds, bounds[1:], strict=False) if a == b})
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of ``docs`` (doc_id, text), of each text's edit with the next one's beginning, and likenesses.
 
-    The rows are dealt out by ranges of ids, and sorted within each; the first row of a
+    The rows are dealt out by ranges of ids (a much repeated id, or none, by ranges of the
+    text's hash as well), and sorted within each; the first row of a
     range also goes to the end of the range before it (that of the first range to the
     last), as the next one of its last row. So texts are shuffled once, and no task needs
     more than the row before it.
     """
     docs = docs.select(F.col("doc_id").cast("long"), inputs.whole_text().alias("text"))
     spark = docs.sparkSession
-    bounds = _ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION)
+    bounds, repeated = _ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION)
     number = F.lit(len(bounds))
     if bounds:
         array = F.array(*map(F.lit, reversed(bounds)))
         place = F.size(F.filter(array, lambda b: F.col("doc_id") < b))
         number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(place)  # range 0 has the largest ids
-    docs = docs.withColumn("part", number)
+    # ids equal to a bound come last in their range; the leading bits of the hash split them
+    split = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(repeated), F.lit(8) - F.shiftright(F.xxhash64("text"), 60).cast("int")).otherwise(0)
+    docs = docs.withColumn("part", number * 32 + split)
     tops = docs.groupBy("part").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("top")).orderBy("part").collect()
     if not tops:
         return spark.createDataFrame([], EDITED)
