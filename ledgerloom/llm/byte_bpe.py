@@ -150,41 +150,6 @@ def byte_table(path: str) -> ByteTable:
     return ByteTable(path)
 
 
-def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and where each text's begin (one more at the end)."""
-        found = [self.pattern.findall(t) for t in texts]
-        matches = [m for x in found for m in x]
-        self._learn(matches)
-        which = np.fromiter(map(self.at.__getitem__, matches), np.int64, len(matches))
-        counts = self.id_counts[which]
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        begins = ends[np.concatenate(([0], np.cumsum([len(x) for x in found])))]
-        return self.ids[_ranges(self.id_starts[which], counts)], begins
-
-
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its count, one range after the other."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - counts), counts) + np.arange(total)
-
-
-@cache
-def codec(path: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    return Codec(path)
-
-
-@cache
-def byte_table(path: str) -> ByteTable:
-    """One byte table per worker process and vocabulary; a worker that only decodes has no more than this."""
-    return ByteTable(path)
-
-
-def _slim(df: DataFrame, keep: Sequence[str], *names: str) -> DataFrame:
-    return df.select(*(c for c in keep if c not in names), *names)
-
-
 def encode(
     df: DataFrame, keep: Sequence[str], text: str = "text", path: str | None = None, offsets: bool = False, decoded: bool = False
 ) -> DataFrame:
