@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import correlate, parse, sessions
+from ledgerloom.operators import correlate, mart, parse, sessions
 from ledgerloom.plans import adapter
 from ledgerloom.sources import envelopes, sinks
 from ledgerloom.streaming import capture
@@ -189,3 +189,16 @@ def test_streamed_matches_equal_the_batch_when_all_is_stored(spark, tmp_path):
     found = spark.read.parquet(out).select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()
     want = correlate.correlate(adapter.deletes(spark, SF), adapter.contexts(spark, SF), adapter.evidence(spark, SF), adapter.CORRELATION)
     assert sorted(map(repr, found)) == sorted(map(repr, want.select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()))
+
+
+def test_mart_written_again_replaces_its_import(spark, tmp_path):
+    rows = adapter.audit_rows(spark, SF).where("event_id < 60")
+    deletes, processes = rows.where("outcome = 'delete_fact'").drop("command_line"), rows.where("outcome = 'process_context'")
+    found = correlate.correlate(deletes, processes, rows.where("outcome = 'security_evidence'"), adapter.CORRELATION)
+    assessed = sessions.assess_risk(sessions.sessionize(deletes, adapter.RULES, adapter.RISK), adapter.RISK)
+    tables = mart.build_audit_mart(rows, deletes, processes, found, assessed)
+    for name in ("a", "a", "b"):
+        sinks.write_audit_mart(tables, str(tmp_path), name)
+    stored = {t: spark.read.parquet(str(tmp_path / t)) for t in tables}
+    assert len(stored) == 10 and all(df.count() == 2 * tables[t].count() > 0 for t, df in stored.items())
+    assert {r["import"] for r in stored["delete_events"].select("import").distinct().collect()} == {"a", "b"}
