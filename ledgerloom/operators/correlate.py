@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import micros, missing_fields, normalize_path
-from ledgerloom.operators.ordering import nearest
+from ledgerloom.operators.ordering import following, nearest
 from ledgerloom.options import HOUR, CorrelationOptions
 
+DAY = 24 * HOUR
+
 #: Fields that a process or evidence may fill, with their names in reasons, in order.
 PROCESS_FIELDS = {
     "command_line": "commandLine", "parent_process_id": "parentProcessId", "parent_process_path": "parentProcessPath",
@@ -87,7 +89,7 @@ def guid_candidates(d: DataFrame, p: DataFrame) -> DataFrame:
     """The nearest process of the same computer and GUID, at any distance; one row a delete."""
     fields = ["p_fields"] if "p_fields" in p.columns else []
     partner = F.struct("p_id", "p_us", "p_ord", *fields)
-    sides = nearest(d.where("guid IS NOT NULL").select("computer", "guid", "d_id", "d_us"), p, ["computer", "guid"], ("d_us", "p_us"), partner, "p_ord", HOUR * 24)
+    sides = nearest(d.where("guid IS NOT NULL").select("computer", "guid", "d_id", "d_us"), p, ["computer", "guid"], ("d_us", "p_us"), partner, "p_ord", DAY)
     delta = lambda x: F.struct(F.abs(F.col("d_us") - x["p_us"]).alias("delta"), x["p_ord"].alias("ordinal"))
     earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (delta(F.col("before")) <= delta(F.col("after"))))
     found = sides.select("d_id", "d_us", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("p")).where("p IS NOT NULL")
@@ -118,9 +120,11 @@ def match_process_guid(deletes: DataFrame, processes: DataFrame) -> DataFrame:
 
 
 def with_next_start(side: DataFrame) -> DataFrame:
-    """Adds when the same process id was next started on the same computer."""
-    later = Window.partitionBy("computer", "pid").orderBy("p_us").rangeBetween(1, Window.unboundedFollowing)
-    return side.withColumn("next_start", F.min("p_us").over(later))
+    """Adds when the same process id was next started, later than this, on the same computer; rows without either are left out."""
+    key = ["computer", "pid"]
+    known = side.where("computer IS NOT NULL AND pid IS NOT NULL")
+    starts = following(known.select(*key, "p_us").distinct(), key, "p_us", "next_start", DAY)
+    return known.join(starts, [*key, "p_us"])
 
 
 def match_process_pid(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions) -> DataFrame:
