@@ -5,7 +5,7 @@ entity (kind and normal form), or for persons one per name that is not on the li
 names. The surrogate of an entity is drawn from a keyed hash of its kind, normal form and
 attempt, in the same format: mail addresses keep their shape and get a reserved domain;
 numbers keep their digits' count and the mention's punctuation; card numbers and IBANs keep
-valid check digits; hexadecimal secrets and IPv6 addresses stay hexadecimal, private IP
+valid check digits (a number without one is no card and stays); hexadecimal secrets and IPv6 addresses stay hexadecimal, private IP
 addresses private; letters stay in their script (``SCRIPTS``) and case. Listed given names
 change to another of the same gender and script by a keyed cycle of the list; others, whose
 gender the title tells, to invented ones with an ending of that gender. Surnames are
@@ -144,6 +144,10 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+#: The kind of a number as long as a card's whose check digit is wrong: no entity, it stays as it is.
+NUMBER = "number"
+
+
 def kind_of(m: Column) -> Column:
     return (
         F.when(m.rlike(f"^{SECRET_NAME}"), "secret")
@@ -153,7 +157,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(m.rlike(r"^\d{13}|^\d{4}[ -]\d{4}[ -]\d{4}"), "card")
+        .when(m.rlike(r"^\d{13}|^\d{4}[ -]\d{4}[ -]\d{4}"), F.when(_luhn_sum(F.regexp_replace(m, r"\D", ""), 1) % 10 == 0, "card").otherwise(NUMBER))
         .when(m.rlike(r"^[+(\d]"), "phone")
         .otherwise("person")
     )
@@ -234,7 +238,7 @@ def person_words(m: Column) -> Column:
 
 def mention_parts(m: Column) -> Column:
     """What a mention consists of, as (word, kind, norm): a person's words, of any other kind the mention itself."""
-    whole = lambda kind: F.array(F.struct(m.alias("word"), kind.alias("kind"), normal_form(kind, m).alias("norm")))
+    whole = lambda kind: F.array(F.struct(m.alias("word"), F.nullif(kind, F.lit(NUMBER)).alias("kind"), normal_form(kind, m).alias("norm")))
     return let(kind_of(m), lambda kind: F.when(kind == "person", person_words(m)).otherwise(whole(kind)))
 
 
@@ -290,11 +294,11 @@ def _luhn_sum(digits: Column, even: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def _luhn(norm: Column, drawn: Column) -> Column:
-    """``drawn`` with its last digit made to fit, if ``norm`` has a valid check digit."""
+def _luhn(drawn: Column) -> Column:
+    """``drawn`` with its last digit made to fit."""
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     last = ((F.lit(10) - _luhn_sum(body, 0) % 10) % 10).cast("string")
-    return F.when(_luhn_sum(norm, 1) % 10 == 0, F.concat(body, last)).otherwise(drawn)
+    return F.concat(body, last)
 
 
 def _iban(drawn: Column) -> Column:
@@ -371,7 +375,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
             reserved = F.concat(F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise("org"))
             mail = F.concat(F.substring_index(drawn, "@", 1), F.when(extra > 0, longer).otherwise(""), F.lit("@"), F.substring_index(drawn, "@", -1), reserved)
             return (
-                F.when(email, mail).when(kind == "iban", _iban(drawn)).when(kind == "card", _luhn(norm, drawn)).when(kind == "ipv4", octets)
+                F.when(email, mail).when(kind == "iban", _iban(drawn)).when(kind == "card", _luhn(drawn)).when(kind == "ipv4", octets)
                 .when(kind.isin(*NAMES), _invented(kind, norm, h, syllables, F.concat(drawn, F.when(extra > 0, longer).otherwise("")))).otherwise(drawn)
             )
 
@@ -427,8 +431,7 @@ def _format(kind: Column, norm: Column) -> Column:
     kept = _fixed(kind, norm)
     rest = F.substring(norm, kept + 1, F.length(norm))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
-    valid = F.when(kind == "card", (_luhn_sum(norm, 1) % 10 == 0).cast("string")).otherwise("")
-    return F.concat_ws("\u001f", kind, F.substring(norm, F.lit(1), kept), F.when(kind == "ipv4", "").when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.length(norm).cast("string"))).otherwise(classes), valid)
+    return F.concat_ws("\u001f", kind, F.substring(norm, F.lit(1), kept), F.when(kind == "ipv4", "").when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.length(norm).cast("string"))).otherwise(classes))
 
 
 def _in_cycles(entities: DataFrame, formats: DataFrame, key: str) -> DataFrame:
@@ -496,12 +499,12 @@ def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
         docs = docs.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
     pieces = _searched(text, lambda pattern: F.split(text, pattern, -1))
     parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("_redrawn"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    n = F.coalesce(F.size("_mentions"), F.lit(0))
+    kinds = F.filter(F.transform("_mentions", kind_of), lambda k: k != NUMBER)
     return docs.withColumn("_mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
         *kept,
-        F.when(n > 0, F.array_join(parts(F.col("_mentions")), "")).otherwise(text).alias("text"),
-        n.alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("_mentions", kind_of))), ",").alias("entity_kinds"),
+        F.when(F.size("_mentions") > 0, F.array_join(parts(F.col("_mentions")), "")).otherwise(text).alias("text"),
+        F.size(kinds).alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("entity_kinds"),
     )
 
 

@@ -109,6 +109,8 @@ def test_surrogates_keep_script_gender_and_reach(spark):
     a, b, c, d = private.split()
     assert a.startswith("10.") and b.startswith("192.168.") and c.startswith("172.20.") and not re.match(r"(10|127|192|172|8)\.", d) and "10.0.0.5" != a
     assert plain == "std::vector and a::b at 10:20:30"
+    odd = pii_surrogates.replace_entities(docs(spark, [(1, "order 9807915762804490 of a@b.org")])).first()
+    assert odd.text.startswith("order 9807915762804490 of ") and (odd.n_entities, odd.entity_kinds) == (1, "email")
 
 
 def test_accents_titles_and_russian_forms(spark):
