@@ -699,11 +699,12 @@ def test_prefixes_shorten_until_the_recall():
 
 
 def test_forest_measures_its_recall(spark, monkeypatch):
-    _, texts = planted(25, 150)
+    r = random.Random(25)
+    texts = [t for base in (prose(r, r.randint(30, 90)) for _ in range(40)) for t in [base, base, *(f"{base} {prose(r, k)}" for k in (1, 3, 6, 9))]]
     df = docs(spark, list(enumerate(texts)))
     reps = jaccard_join.written(jaccard_join.representatives(jaccard_join.signatures(df), 0.8), "reps")
-    sets = {r.rep: shingles(texts[r.doc_id]) for r in reps.collect()}
-    want = sum(len(a & b) >= 0.8 * len(a | b) for i, a in sets.items() for j, b in sets.items() if i != j)
+    sets = [(shingles(texts[x.doc_id]), x.copies) for x in reps.collect()]
+    want = sum(n * (a is not b and len(a & b) >= 0.8 * len(a | b)) for a, _ in sets for b, n in sets)
 
     def links():
         found, steps = jaccard_join.forest_links(reps, df)
@@ -712,11 +713,9 @@ def test_forest_measures_its_recall(spark, monkeypatch):
     found, steps = links()
     assert found == want > 100 and steps[-1][1] > 100 and steps[-1][2] <= (1 - jaccard_join.MEASURED) * steps[-1][1] + 1
     # from long prefixes on, texts with missed links shorten theirs
-    monkeypatch.setattr(jaccard_join, "RECALL", 0.9)
-    monkeypatch.setattr(jaccard_join, "TREES", 40)
-    monkeypatch.setattr(jaccard_join, "prefix_depth", lambda threshold: 8)
+    monkeypatch.setattr(jaccard_join, "prefix_depth", lambda threshold: 7)
     found, steps = links()
-    assert steps[0][0] == 8 and found >= 0.9 * want and [d for d, *_ in steps] == list(range(8, 8 - len(steps), -1))
+    assert steps[0][0] == 7 and found >= 0.9 * want and [d for d, *_ in steps] == list(range(7, 7 - len(steps), -1))
 
 
 def test_trie_ties_join_what_shares_a_prefix(spark):
