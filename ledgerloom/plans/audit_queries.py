@@ -223,10 +223,10 @@ def filter_delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.filter_events(assessed(spark, sf_dir), q).select("raw_event_id", "occurred_ts", "full_path", "risk")
 
 
-@query(_SESSIONS + """SELECT session_id, scope, last_ts, max_risk FROM summary WHERE max_risk = 'informational' AND contains(lower(scope), 'lab')
+@query(_SESSIONS + """SELECT session_id, scope, last_ts, max_risk FROM summary WHERE max_risk = 'critical' AND contains(lower(scope), 'lab')
   AND (CAST(process_id AS VARCHAR) = '1003' OR contains(lower(process_identity), '1003') OR coalesce(contains(lower(process_guid), '1003'), false))""")
 def filter_delete_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = views.EventQuery(risk="informational", path="LAB", process="1003")
+    q = views.EventQuery(risk="critical", path="LAB", process="1003")
     return views.filter_sessions(sessions.session_summary(assessed(spark, sf_dir)), q).select("session_id", "scope", "last_ts", "max_risk")
 
 
