@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.columns import path_kind
 
 MAX_BYTES = 64 * 1024 * 1024
-#: Name of an envelope's root element; a fixed value.
-ROOT = "DeleteAuditOfflineEvents"
 SCANNED = "file string, record_number long, raw_xml string, state string, diagnostic string"
 
 
@@ -74,7 +72,7 @@ def _records(content: bytes, namespace: str, root_name: str, max_bytes: int) ->
         yield None, None, "fatal", "malformed_xml"
 
 
-def scan_envelopes(spark: SparkSession, path: str, namespace: str, root_name: str = ROOT, max_bytes: int = MAX_BYTES) -> DataFrame:
+def scan_envelopes(spark: SparkSession, path: str, namespace: str, root_name: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(file, record_number, raw_xml, state, diagnostic): the records of every envelope file, numbered from 1.
 
     An envelope's root is called ``root_name`` and lies in ``namespace``, has ``formatVersion="1"`` and holds ``Record``

@@ -12,11 +12,11 @@ from ledgerloom.sources import envelopes, sinks
 from ledgerloom.streaming import capture
 
 SF = "/root/testdata/sf0.001"
-NS = "urn:example:events"
+NS, ROOT = "urn:example:events", "Events"
 
 
 def envelope(body, version="1", ns=NS):
-    return f'<{envelopes.ROOT} xmlns="{ns}" formatVersion="{version}">{body}</{envelopes.ROOT}>'
+    return f'<{ROOT} xmlns="{ns}" formatVersion="{version}">{body}</{ROOT}>'
 
 
 @pytest.fixture
@@ -28,7 +28,7 @@ def folder(tmp_path):
         "d.txt": "text",
         "e.xml": "",
         "f.xml": "<!DOCTYPE a><a/>",
-        "g.xml": envelope("<Record>x</Record>").replace(envelopes.ROOT, "Banana"),
+        "g.xml": envelope("<Record>x</Record>").replace(ROOT, "Banana"),
     }
     for name, text in files.items():
         (tmp_path / name).write_text(text)
@@ -37,7 +37,7 @@ def folder(tmp_path):
 
 def test_envelopes(spark, folder):
     rows = {}
-    for r in envelopes.scan_envelopes(spark, folder, NS).collect():
+    for r in envelopes.scan_envelopes(spark, folder, NS, ROOT).collect():
         rows.setdefault(os.path.basename(r.file), []).append((r.record_number, r.raw_xml, r.state, r.diagnostic))
     assert sorted(rows["a.xml"]) == [(1, "<x/>", "available", None), (2, None, "unavailable", "invalid_record"), (3, None, "unavailable", "invalid_record"), (4, "pq", "available", None)]
     assert [rows[f][0][3] for f in ("b.xml", "c.xml", "f.xml", "g.xml")] == ["invalid_envelope", "malformed_xml", "document_type_refused", "invalid_envelope"]
