@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -26,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """The path of a folder of its own in the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a frame that reads it.
 
@@ -33,6 +39,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     on, so an empty table reads back as well.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """What a store of Parquet files holds so far; None if nothing was written to it."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +16,7 @@ from ledgerloom.operators.correlate import correlate
 from ledgerloom.operators.parse import parse_events
 from ledgerloom.operators.sessions import KEY, ReceivedFold, with_session_key
 from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
+from ledgerloom.plans.scratch import stored
 
 MAX_UNITS = 1_048_576
 CODE_CUT, DETAIL_CUT = 128, 2048
@@ -112,16 +112,6 @@ def split_late(records: DataFrame, stops: DataFrame) -> DataFrame:
     return records.join(stops, "live_session_id", "left").withColumn("late", F.coalesce(F.col("occurred_ts") > F.col("stopped_ts"), F.lit(False)))
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a store holds so far; None if nothing was written to it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Stores one batch in a folder of its own, which a repeated run of the batch replaces.
 
