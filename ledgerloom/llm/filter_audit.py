@@ -13,9 +13,9 @@ changes of the counters leave the stream: (part, mask, rows, good, toxic), a sma
 batch in a folder of its own, which a repeated batch replaces. The sums over all batches
 hold at most 32 masks a part, and everything about all orders of the filters follows from them.
 
-The state is kept in RocksDB with its checkpoints in the shared folder, so it may be larger than
-memory and survives lost executors; a stream that goes on from its checkpoint takes only new
-files (``audit`` with ``folder``).
+The state of a large table is kept in RocksDB, so it may be larger than memory; it is checkpointed
+in the shared folder and survives lost executors. A stream that goes on from its checkpoint
+takes only new files (``audit`` with ``folder``).
 
 Edge cases: a null text is empty, a null part is the empty string. A row with a null id neither is a
 copy nor makes one; rows with equal ids and texts don't make each other copies. Labels of
@@ -47,6 +47,8 @@ MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITALS_PERCENT, SIGNS = 50, 65, 5, "#$%&*
 BATCHES = 4
 LEAST_BUCKETS, TEXTS_PER_BUCKET = 256, 8192
 PIECE_BYTES = 4_000_000
+#: From so many rows on the state is kept in RocksDB, else in memory; its files would take megabytes a partition.
+ROCKSDB_ROWS = 20_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 COUNTS = ("rows", "good", "toxic")
@@ -179,9 +181,10 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, folder: str | None
     schema = docs.select("doc_id", "text", "source").schema
     set_up = stored(spark, f"{folder}/buckets")
     if set_up is None:  # the state's buckets stay as they are once it is begun
-        set_up = spark.range(1).select(F.lit(max(LEAST_BUCKETS, docs.count() // TEXTS_PER_BUCKET)).alias("buckets"))
+        rows = docs.count()  # from the files' footers
+        set_up = spark.range(1).select(F.lit(max(LEAST_BUCKETS, rows // TEXTS_PER_BUCKET)).alias("buckets"), F.lit(rows >= ROCKSDB_ROWS).alias("rocksdb"))
         set_up.write.mode("overwrite").parquet(f"{folder}/buckets")
-    buckets = set_up.first()[0]
+    buckets, rocksdb = set_up.select("buckets", "rocksdb").first()
     files = -(-max(1, len(docs.inputFiles())) // batches)
     one = f"{path[:-1]}[{path[-1]}]"  # as a pattern, the path may be a folder or a single file
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(one)
@@ -191,7 +194,8 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, folder: str | None
         sums.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
 
     before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    if rocksdb:
+        spark.conf.set(PROVIDER, ROCKSDB)
     try:
         running = changes(stream, labels, buckets).writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     finally:

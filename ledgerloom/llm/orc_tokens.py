@@ -10,7 +10,8 @@ tasks, stripe by stripe, and a search for some ids skips files, stripes and rows
 alone (``lookup``). How many ids stand before a file follows from one row per file.
 
 The library's tokenizer normalises and splits at white space first, and no match spans any, so
-each distinct stretch between ASCII white space of a batch is encoded once.
+each distinct stretch between ASCII white space is encoded once and remembered, up to a bound;
+ASCII capitals are folded before, as the tokenizer does, and closing marks are encoded apart.
 
 Edge cases: a null or empty text has only the end id. A null id comes first; rows with equal ids
 stand in order of their texts' hashes, and repeated rows are documents of their own. Texts
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import inputs
+from ledgerloom.llm.byte_bpe import byte_characters
 from ledgerloom.plans.scratch import fresh_folder, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,13 +44,17 @@ END = 1
 ROW_INDEX = 2_000
 STRIPE_BYTES = 8 << 20
 PIECE_BYTES = 4_000_000
-CACHED_BYTES = 8_000_000
+CACHED = 500_000
+#: Marks that the vocabulary's pattern never splits from each other, and always from a letter or digit before them.
+MARKS = ".,;:!?"
+#: Letters beyond ASCII as the characters that stand for their bytes.
+SPELT = {ord(c): "".join(byte_characters()[b] for b in c.encode()) for c in map(chr, range(0xDF, 0x100))}
 BROADCAST_FILES = 100_000
 WRITTEN = "doc_id long, file_start long, n_tokens long, ids array<int>"
 
 
 class Encoder:
-    """A vocabulary's tokenizer, with the ids of stretches of text that it has met."""
+    """A vocabulary's tokenizer, with the ids of the pieces of text that it has met."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,34 +63,49 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-        self.bytes = 0
+        self.at: dict[str, int] = {}
+        self.lists = pa.array([], pa.list_(pa.int32()))
 
-    def _learn(self, stretches: list[str]) -> list[np.ndarray]:
-        if self.bytes > CACHED_BYTES:
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Where in ``lists`` each of these distinct pieces is."""
+        if len(self.at) > CACHED:
             self.forget()
-        new = [s for s in stretches if s not in self.known]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = np.array(e.ids, np.int32)
-            self.bytes += len(s) + 4 * len(e.ids) + 100
-        return [self.known[s] for s in stretches]
+        new = [x for x in pieces if x not in self.at]
+        if new:
+            # lower-case letters of Latin-1 are their own normal form and one match, so the model alone encodes them, spelt byte by byte
+            letters = pc.match_substring_regex(pa.array(new, pa.string()), "^[a-zß-öø-ÿ]+$").to_pylist()
+            other = iter(self.tokenizer.encode_batch_fast([x for x, own in zip(new, letters, strict=True) if not own], add_special_tokens=False))
+            model = self.tokenizer.model
+            found = [[t.id for t in model.tokenize(x if x.isascii() else x.translate(SPELT))] if own else next(other).ids for x, own in zip(new, letters, strict=True)]
+            begins = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            ids = np.fromiter((i for x in found for i in x), np.int32, begins[-1])
+            self.at.update(zip(new, range(len(self.lists), len(self.lists) + len(new)), strict=True))
+            self.lists = pa.concat_arrays([self.lists, _lists(ids, begins)])
+        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin (one more at the end); ``end`` closes every text."""
         lists = pc.ascii_split_whitespace(texts)
         codes = lists.flatten().dictionary_encode()
-        found = self._learn(codes.dictionary.to_pylist())
-        counts = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate([*found, np.zeros(0, np.int32)])
-        which = codes.indices.to_numpy()
-        sizes = counts[which]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        starts = np.repeat((np.cumsum(counts) - counts)[which] - ends[:-1], sizes)
-        ids = flat[starts + np.arange(ends[-1])]
-        begins = ends[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))]
-        if end is None:
-            return ids, begins
-        return np.insert(ids, begins[1:], end), begins + np.arange(len(begins))
+        plain = codes.dictionary
+        plain = pc.if_else(pc.string_is_ascii(plain), pc.ascii_lower(plain), plain)
+        body = pc.replace_substring_regex(plain, f"([A-Za-z0-9])[{MARKS}]+$", r"\1")
+        tail = pc.if_else(pc.equal(body, plain), "", pc.replace_substring_regex(plain, f"^.*[A-Za-z0-9]([{MARKS}]+)$", r"\1"))
+        both = pa.concat_arrays([body, tail]).dictionary_encode()
+        where = self._learn(both.dictionary.to_pylist())[both.indices.to_numpy()]
+        pairs = self.lists.take(pa.array(where.reshape(2, -1).T.ravel()))  # a stretch's body, then its marks
+        begins = np.concatenate(([0], np.cumsum(pairs.value_lengths().to_numpy())))[::2]
+        closing = [] if end is None else [end]
+        stretches = _lists(np.concatenate((pairs.flatten().to_numpy(), np.array(closing, np.int32))), np.concatenate((begins, begins[-1:] + 1)) if closing else begins)
+        which, edges = codes.indices.to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        if closing:
+            which, edges = np.insert(which, edges[1:], len(plain)), edges + np.arange(len(edges))
+        out = stretches.take(pa.array(which))
+        return out.flatten().to_numpy(), np.concatenate(([0], np.cumsum(out.value_lengths().to_numpy())))[edges]
+
+
+def _lists(values: np.ndarray, begins: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(values, pa.int32()))
 
 
 @cache
@@ -120,13 +141,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         for batch in batches:
             for piece in _pieces(batch):
                 ids, begins = own.encode(piece.column("text"), end)
-                columns = [
-                    piece.column("doc_id"), pa.array(start + begins[:-1], pa.int64()), pa.array(np.diff(begins), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32())),
-                ]
+                columns = [piece.column("doc_id"), pa.array(start + begins[:-1], pa.int64()), pa.array(np.diff(begins), pa.int64()), _lists(ids, begins)]
                 start += len(ids)
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file_start", "n_tokens", "ids"])
-        own.forget()  # an idle worker need not hold what it has seen
 
     options = {
         "orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.row.index.stride": row_index, "orc.create.index": "true",
