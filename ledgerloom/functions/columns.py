@@ -76,15 +76,19 @@ def event_source(provider: Column, event_id: Column) -> Column:
 def event_data_map(pairs: Column) -> Column:
     """Map of an array of (name, value): names in lower case, blank ones dropped, of equal ones the first."""
     named = F.filter(F.transform(pairs, lambda p: F.struct(F.lower(null_if_blank(p["name"])).alias("k"), p["value"].alias("v"))), lambda p: p["k"].isNotNull())
-    first = F.filter(named, lambda p, i: F.array_position(F.transform(named, lambda q: q["k"]), p["k"]) == i + 1)
-    return F.map_from_entries(first)
+    names = F.transform(named, lambda q: q["k"])
+    first = F.filter(named, lambda p, i: F.array_position(names, p["k"]) == i + 1)
+    # names seldom repeat, and only then is each looked up among all
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), named).otherwise(first))
 
 
 def event_data_warnings(pairs: Column) -> Column:
     """What ``event_data_map`` leaves out of an array of (name, value), in order: ``blank_name``, or ``duplicate_name:`` and the name in lower case."""
     names = F.transform(pairs, lambda p: F.lower(null_if_blank(p["name"])))
     warning = lambda n, i: F.when(n.isNull(), "blank_name").when(F.array_position(names, n) <= i, F.concat(F.lit("duplicate_name:"), n))
-    return F.filter(F.transform(names, warning), lambda w: w.isNotNull())
+    found = F.filter(F.transform(names, warning), lambda w: w.isNotNull())
+    plain = ~F.exists(names, lambda n: n.isNull()) & (F.size(F.array_distinct(names)) == F.size(names))
+    return F.when(plain, F.array().cast("array<string>")).otherwise(found)
 
 
 def delete_permission(access_list: Column, access_mask: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import micros
 from ledgerloom.operators.correlate import correlate, permitted, trim_candidates
-from ledgerloom.operators.ordering import numbered
+from ledgerloom.operators.ordering import nearest_k, numbered
 from ledgerloom.operators.sessions import RISKS, assess_risk, risk_rank, sessionize_received, with_session_key
 from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
 
@@ -28,13 +28,10 @@ def usable_records(records: DataFrame, limit: int = MAX_RECORDS) -> DataFrame:
 
 def near_candidates(deletes: DataFrame, others: DataFrame, kind: str, limit_us: int, keep: int = CANDIDATES) -> DataFrame:
     """(d_id, kind, delta, ordinal, partner): of each delete the nearest others in time, whatever else they have in common."""
-    bucket = F.floor(F.col("us") / limit_us)
     d = deletes.select(F.col("raw_event_id").alias("d_id"), micros("occurred_ts").alias("us"))
-    d = d.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     o = others.select(F.col("raw_event_id").alias("partner"), F.col("record_ordinal").alias("ordinal"), micros("occurred_ts").alias("o_us"))
-    o = o.withColumn("bucket", F.floor(F.col("o_us") / limit_us))
-    pairs = d.join(o, "bucket").select("d_id", F.lit(kind).alias("kind"), F.abs(F.col("us") - F.col("o_us")).alias("delta"), "ordinal", "partner")
-    return trim_candidates(pairs, keep, limit_us)
+    found = nearest_k(d, o, ("us", "o_us"), "ordinal", keep, limit_us)
+    return trim_candidates(found.select("d_id", F.lit(kind).alias("kind"), "delta", "ordinal", "partner"), keep, limit_us)
 
 
 def analyze_session(

@@ -126,17 +126,17 @@ def output_manifest(chained: DataFrame, expected: DataFrame | None = None) -> Da
 
 def encoded(*columns: Column) -> Column:
     """Fields as bytes: for each a four-byte length and its UTF-8 text; null has the length -1."""
-    field = lambda c: F.coalesce(
-        F.concat(F.unhex(F.lpad(F.hex(F.octet_length(c.cast("string")).cast("long")), 8, "0")), F.encode(c.cast("string"), "UTF-8")), F.unhex(F.lit("FFFFFFFF"))
-    )
-    return F.concat(*map(field, columns))
+    length = lambda text: F.unhex(F.lpad(F.hex(F.octet_length(text).cast("long")), 8, "0"))
+    field = lambda text: F.coalesce(F.concat(length(text), text.cast("binary")), F.unhex(F.lit("FFFFFFFF")))
+    return F.concat(*(field(c.cast("string")) for c in columns))
 
 
 def payload_hash(columns: Sequence[Column], missing: Column | None = None) -> Column:
     """SHA-256 over encoded fields, and behind them the names in ``missing`` in order, each as ``missing:`` and the name."""
     data = encoded(*columns)
     if missing is not None:
-        data = F.aggregate(F.array_sort(missing), data, lambda a, name: F.concat(a, encoded(F.concat(F.lit("missing:"), name))))
+        names = F.aggregate(F.array_sort(missing), F.lit("").cast("binary"), lambda a, name: F.concat(a, encoded(F.concat(F.lit("missing:"), name))))
+        data = F.concat(data, names)
     return F.sha2(data, 256)
 
 

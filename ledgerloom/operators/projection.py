@@ -19,6 +19,7 @@ from ledgerloom.functions.columns import GENESIS, delete_permission, missing_fie
 from ledgerloom.operators.integrity import encoded, fold_hashes, payload_hash
 from ledgerloom.operators.ordering import before, numbered
 from ledgerloom.operators.parse import parse_events
+from ledgerloom.plans.scratch import written
 
 #: Outcomes that are projected and the source that each stands for; fixed values.
 SOURCES = {"delete_fact": "sysmon_delete", "process_context": "sysmon_process", "security_evidence": "security_4663"}
@@ -107,7 +108,8 @@ def canonicalize(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
     text = {"event_ts": _instant("event_ts"), "observed_ts": _instant("observed_ts")}
     hashed = [F.lit(PAYLOAD_V1), *(text.get(c, F.col(c)) for c in FIELDS)]
-    return rows.withColumn("missing", F.array_sort(missing)).select(
+    # so does it keep the names from being gathered anew for the digest
+    return rows.select("*", F.explode_outer(F.array(F.array_sort(missing))).alias("missing")).select(
         *SEEN, *keep, "failure", *FIELDS, "missing", "raw_xml_sha256", payload_hash(hashed, F.col("missing")).alias("payload_hash"), epoch_id().alias("epoch_id"),
         F.concat(F.lit("live-projection:"), "live_evidence_id").alias("projected_id"),
     )
@@ -127,8 +129,12 @@ def chained(rows: DataFrame, tails: DataFrame | None = None) -> DataFrame:
 
 
 def canonical_rows(records: DataFrame) -> DataFrame:
-    """The rows that the projectable records give, numbered without gaps."""
-    return canonicalize(dense_sequence(records), ["projected_sequence"])
+    """The rows that the projectable records give, numbered without gaps.
+
+    They are parsed once and written, as numbering reads them twice; the XML goes no further.
+    """
+    parsed = written(canonicalize(records.where(F.col("outcome").isin(*PROJECTABLE))), "canonical")
+    return numbered(parsed, ["live_session_id"], "received_sequence", "projected_sequence")
 
 
 def channel_epochs(rows: DataFrame) -> DataFrame:

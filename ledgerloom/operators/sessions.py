@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import micros, parent_path, process_identity, protected_root, stable_id, user_identity
-from ledgerloom.options import ProtectedRule, RiskOptions
+from ledgerloom.operators.ordering import joined_with_nulls, numbered, segmented
+from ledgerloom.options import HOUR, ProtectedRule, RiskOptions
+from ledgerloom.plans.scratch import written
 
 RISKS = ("informational", "warning", "critical")
 KEY = ["process_identity", "user_identity", "scope_key"]
@@ -31,25 +33,21 @@ def with_session_key(deletes: DataFrame, rules: Sequence[ProtectedRule]) -> Data
     )
 
 
-def sessionize(deletes: DataFrame, rules: Sequence[ProtectedRule] = (), options: RiskOptions = RiskOptions()) -> DataFrame:
+def sessionize(
+    deletes: DataFrame, rules: Sequence[ProtectedRule] = (), options: RiskOptions = RiskOptions(), bucket_us: int = HOUR
+) -> DataFrame:
     """Each delete with its session: a gap longer than the window opens a new one.
 
-    One shuffle by import, process, user and scope; a gap just as long as the window stays
-    inside. The session's number counts within the key and ``session_id`` names it by its
-    key and first event; ``scope`` is spelt as in that event.
+    A key (import, process, user and scope) is scanned in buckets of time (see ``segmented``);
+    a gap just as long as the window stays inside. The session's number counts within the
+    key and ``session_id`` names it by its key and first event; ``scope`` is spelt as in that event.
     """
-    key = Window.partitionBy("import_session_id", *KEY).orderBy("us", "record_ordinal")
-    opens = F.coalesce((F.col("us") - F.lag("us").over(key) > options.window_us).cast("long"), F.lit(1))
-    numbered = with_session_key(deletes, rules).withColumn("opens", opens).withColumn("session_no", F.sum("opens").over(key))
-    own = Window.partitionBy("import_session_id", *KEY, "session_no").orderBy("us", "record_ordinal")
-    return numbered.withColumns(
-        {
-            "first_raw_id": F.first("raw_event_id").over(own),
-            "scope": F.first("scope").over(own),
-            "running_count": F.row_number().over(own).cast("long"),
-            "opened_us": F.first("us").over(own),
-        }
-    ).drop("opens").withColumn("session_id", stable_id("import_session_id", *KEY, "first_raw_id"))
+    key = ["import_session_id", *KEY]
+    first = F.struct("raw_event_id", "scope", "us")
+    found = segmented(with_session_key(deletes, rules), key, "us", "record_ordinal", options.window_us, first, bucket_us)
+    return found.withColumns(
+        {"session_no": F.col("segment_no"), "first_raw_id": F.col("opened.raw_event_id"), "scope": F.col("opened.scope"), "opened_us": F.col("opened.us")}
+    ).drop("segment_no", "opened").withColumn("session_id", stable_id("import_session_id", *KEY, "first_raw_id"))
 
 
 def risk_rank(risk: Column) -> Column:
@@ -151,19 +149,25 @@ class ReceivedFold:
             del self.sessions[-self.lasts.pop(0)[1]]
 
 
-def sessionize_received(deletes: DataFrame, rules: Sequence[ProtectedRule] = (), options: RiskOptions = RiskOptions()) -> DataFrame:
+def sessionize_received(deletes: DataFrame, rules: Sequence[ProtectedRule] = (), options: RiskOptions = RiskOptions(), bucket_us: int = HOUR) -> DataFrame:
     """Sessions of live rows, which are taken as received and not by time.
 
     A row joins the session with the latest last event whose distance is within the window,
     unless it is earlier than the opening by more than the window; the last event never
-    moves back and a repeated id adds nothing. The order decides, so each key (live session,
-    process, user, scope) is folded on its own; a task streams through its sorted rows and
-    holds the sessions of one key, not its rows.
+    moves back and a repeated id adds nothing. So no session spans a gap in event times that is
+    wider than the window: each key (live session, process, user, scope) is cut at such gaps
+    and its parts are folded apart, as the order of receipt decides within a part. A task streams
+    through its sorted rows and holds the sessions of one part, not its rows. Sessions are
+    numbered within the key by their first row received.
     """
     keys = ["live_session_id", *KEY]
     keyed = with_session_key(deletes, rules).select(*keys, "raw_event_id", "received_sequence", "us")
-    ordered = keyed.repartition(*keys).sortWithinPartitions(*keys, "received_sequence")
+    parts = segmented(keyed, keys, "us", "received_sequence", options.window_us, F.struct("us"), bucket_us).withColumnRenamed("segment_no", "part")
+    by = [*keys, "part"]
+    ordered = parts.select(*by, "raw_event_id", "received_sequence", "us").repartition(*by).sortWithinPartitions(*by, "received_sequence")
     window = options.window_us
+    columns = [*by, *(c.split()[0] for c in FOLDED.split(", ") if c.split()[0] not in by)]
+    schema = ", ".join([f"{k} string" for k in keys] + ["part long"] + [c for c in FOLDED.split(", ") if c.split()[0] not in by])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, ReceivedFold(window)
@@ -172,7 +176,11 @@ def sessionize_received(deletes: DataFrame, rules: Sequence[ProtectedRule] = (),
             for *key, raw_event_id, sequence, us in batch.itertuples(index=False):
                 if key != now:
                     now, own = key, ReceivedFold(window)
-                out.append((key[0], raw_event_id, sequence, *own.add(us, raw_event_id)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.split(", ")])
-
-    return ordered.mapInPandas(fold, FOLDED)
+                out.append((*key, raw_event_id, sequence, *own.add(us, raw_event_id)))
+            yield pd.DataFrame(out, columns=columns)
+
+    folded = written(ordered.mapInPandas(fold, schema), "folded")
+    firsts = folded.groupBy(*by, "fold_session").agg(F.min("received_sequence").alias("first_sequence"))
+    ordinals = numbered(firsts, keys, "first_sequence", "ordinal").select(*by, F.col("fold_session"), (F.col("ordinal") - 1).alias("ordinal"))
+    named = joined_with_nulls(folded, ordinals, [*by, "fold_session"])
+    return named.withColumn("fold_session", F.col("ordinal")).select(*(c.split()[0] for c in FOLDED.split(", ")))

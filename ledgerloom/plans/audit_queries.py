@@ -358,14 +358,17 @@ def project_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT live_session_id, CASE WHEN first_break IS NULL THEN n ELSE first_break - 1 END AS verified, first_break, reason FROM b""")
 def verify_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projections of captures, of which 14 in 16 are broken after they were stored, each in another way."""
-    rows = captures(spark, sf_dir)
+    # parsing costs far more than reading, so the rows are dealt out first, however few bytes they are
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(captures(spark, sf_dir).repartition(parts, "live_session_id"), "captures")
     stored = written(projection.chained(projection.canonical_rows(rows).drop("failure")), "projected")
     large = stored.groupBy("live_session_id").agg(F.count("*").alias("n")).where(F.col("n") > CAPTURE // 2)
     stored = stored.join(large, "live_session_id")
-    epochs = projection.channel_epochs(stored).drop("records")
+    epochs = written(projection.channel_epochs(stored).drop("records"), "epochs")
     k, third = F.regexp_extract("live_session_id", "[0-9]+", 0).cast("long") % 16, F.col("projected_sequence") == 3
     source = rows.join(large.select("live_session_id"), "live_session_id", "left_semi").join(stored.where(third).select("live_evidence_id", F.lit(True).alias("third")), "live_evidence_id", "left")
     source = source.where(~((k == 2) & F.coalesce("third", F.lit(False)))).withColumn("raw_xml_sha256", F.when((k == 4) & F.col("third"), "0" * 64).otherwise(F.col("raw_xml_sha256"))).drop("third")
+    source = written(source.repartition(parts, "live_session_id"), "source")
     at = lambda kind, c, value: F.when((k == kind) & third, value).otherwise(F.col(c))
     gone = (k == 1) & third | (k == 13) & (F.col("projected_sequence") > F.col("n") - 2)
     damaged = stored.where(~gone).withColumns(
@@ -374,13 +377,14 @@ def verify_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
             "previous_hash": at(8, "previous_hash", "0" * 64), "entry_hash": at(9, "entry_hash", "0" * 64),
         }
     ).drop("n")
+    damaged = written(damaged, "damaged")
     lost = stored.where((k == 10) & third).select("live_session_id", "epoch_id")
     kept = epochs.join(lost, ["live_session_id", "epoch_id"], "left_anti").withColumns(
         {"channel_name": F.when(k == 11, "zz").otherwise(F.col("channel_name")), "provider_name": F.when(k == 12, "zz").otherwise(F.col("provider_name"))}
     )
     more = large.where(k == 14).select("live_session_id", F.lit("e").alias("channel_name"), F.lit(None).cast("string").alias("machine_name"), F.lit(1).cast("long").alias("first_sequence"), F.lit("p").alias("provider_name"), F.lit(None).cast("timestamp_ntz").alias("opened_ts"), F.lit("live-epoch:0").alias("epoch_id"))
     runs = large.select("live_session_id", F.lit(True).alias("completed"), (F.col("n") - F.when(k == 1, 1).otherwise(0)).alias("considered"))
-    return projection.verify_continuity(damaged, source, kept.unionByName(more), runs).drop("evidence")
+    return projection.verify_continuity(damaged, source, written(kept.unionByName(more), "epochs"), runs).drop("evidence")
 
 
 @query(""", h AS (SELECT live_session_id AS chain, received_sequence AS n, sha256(raw_event_id || '|' || outcome || '|' || full_path) AS content_hash FROM audit)

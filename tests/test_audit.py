@@ -183,6 +183,62 @@ def test_nearest_on_both_sides(spark, size):
     assert got == {i: (pick([x for x in right if k and x[1] == k and x[2] <= t], t), pick([x for x in right if k and x[1] == k and x[2] >= t], t)) for i, k, t in left}
 
 
+@pytest.mark.parametrize("size", [1, 4, 30, 10_000])
+def test_segments_over_buckets_equal_a_walk(spark, size):
+    r = random.Random(size)
+    rows = [(r.choice(["hot", "hot", "hot", None, "x"]), r.choice([None, *range(300)]), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, t long, i long")
+    want = {}
+    for k in ("hot", None, "x"):
+        no, n, first, before = 0, 0, None, None
+        for t, i in sorted(((t, i) for c, t, i in rows if c == k), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+            if before is None or t is None or t - before > 5:
+                no, n, first = no + 1, 0, i
+            n, before = n + 1, t
+            want[i] = (no, n, first)
+    out = ordering.segmented(df, ["k"], "t", "i", 5, F.struct("i"), size).collect()
+    assert {x.i: (x.segment_no, x.running_count, x.opened.i) for x in out} == want
+
+
+def test_a_hot_key_is_cut_into_many_buckets(spark):
+    rows = frame(spark, [event(i, i * 40 * SECOND + (i % 3) * SECOND) for i in range(300)])
+    bucket = 240 * SECOND
+    found = sessions.sessionize(rows, options=RiskOptions(45 * SECOND), bucket_us=bucket)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "Window [" in line and "row_number" in line]
+    assert scans and all("_bucket" in line for line in scans)  # the rows themselves are never in order of the bare key
+    whole = sessions.sessionize(rows, options=RiskOptions(45 * SECOND), bucket_us=10**12)
+    columns = ["raw_event_id", "session_no", "running_count", "opened_us", "session_id"]
+    assert sorted(found.select(*columns).collect()) == sorted(whole.select(*columns).collect())
+    assert rows.select(F.floor(C.micros("occurred_ts") / bucket)).distinct().count() >= 50 and found.agg(F.max("running_count")).first()[0] == 300
+
+
+def test_received_sessions_fold_apart_across_gaps(spark):
+    r = random.Random(12)
+    rows = [event(i, r.choice([0, 1000, 2000, 90_000]) * SECOND + r.randrange(40) * SECOND, raw_event_id=f"r{r.randrange(100)}") for i in range(120)]
+    out = sessions.sessionize_received(frame(spark, rows)).orderBy("received_sequence").collect()
+    fold, want = sessions.ReceivedFold(10 * SECOND), []
+    for x in rows:
+        want.append(fold.add(int((x[5] - T0).total_seconds() * SECOND), x[0])[:2])
+    assert [(x.fold_session, x.fold_count) for x in out] == want and fold.next_no > 4
+
+
+@pytest.mark.parametrize(("keep", "reach"), [(1, 5), (2, 7), (3, 100), (50, 9)])
+def test_nearest_k_equals_all_pairs(spark, keep, reach):
+    r = random.Random(keep)
+    left = [(i, r.choice([None, *range(120)])) for i in range(60)]
+    right = [(j, r.choice([None, *range(0, 120, 3)])) for j in range(50)]
+    r.shuffle(right)
+    d, o = spark.createDataFrame(left, "i long, t long"), spark.createDataFrame(right, "j long, u long")
+    found = ordering.nearest_k(d, o, ("t", "u"), "j", keep, reach)
+    assert "BroadcastNestedLoop" not in found._jdf.queryExecution().toString()
+    pairs = found.collect()
+    assert len({(x.i, x.j) for x in pairs}) == len(pairs) <= len(left) * 2 * keep
+    for i, t in left:
+        near = sorted((abs(t - u), j) for j, u in right if t is not None and u is not None and abs(t - u) <= reach)[:keep]
+        assert sorted((x.delta, x.j) for x in pairs if x.i == i)[:keep] == near
+
+
 def test_payload_hash_tells_null_from_empty(spark):
     row = spark.range(1).select(*(integrity.payload_hash([F.lit(v).cast("string"), F.lit("a")]) for v in (None, "", "x"))).first()
     assert len(set(row)) == 3
