@@ -7,8 +7,9 @@ counted (urls, labelled ones, bad ones), and
 - where the parent has more than ``max_children`` children, those of fewer than ``min_urls``
   urls are a variable segment, ``*``;
 - the other labelled ones are put in order of their smoothed share of bad labels, in steps of
-  1 / ``STEPS``; where two neighbouring steps differ by no more than ``z`` standard errors
-  (pooled), their branches are statistically similar and merge. A group of several children
+  1 / ``STEPS``; a step's branches are statistically similar to a group and merge with it if they
+  differ by no more than ``z`` standard errors both from all labels of the group and from its
+  first step, so a chain of small differences does not join opposites. A group of several children
   is ``*`` if all of them are in it, else ``*1``, ``*2`` and so on; a child alone keeps its name;
 - children without labels are kept apart, as nothing says that they are alike.
 
@@ -100,6 +101,32 @@ def _without_forks(tree: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _differ(labelled: Column, bad: Column, other_labelled: Column, other_bad: Column, z: float) -> Column:
+    """Whether two shares of bad labels are more than ``z`` pooled standard errors apart."""
+    pooled = (bad + other_bad) / (labelled + other_labelled)
+    error = z * F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / other_labelled))
+    return F.abs(bad / labelled - other_bad / other_labelled) > error
+
+
+def _grouped(run: Column, z: float) -> Column:
+    """The steps of an ordered array (step, labelled, bad, members) as (step, members, group): each joins the group before it, or begins one."""
+    state = "struct<out: array<struct<step: int, members: bigint, group: bigint>>, no: bigint, labelled: bigint, bad: bigint, first_labelled: bigint, first_bad: bigint>"
+    begin = F.from_json(F.lit('{"out": [], "no": -1, "labelled": 0, "bad": 0, "first_labelled": 0, "first_bad": 0}'), state)
+
+    def join(acc: Column, x: Column) -> Column:
+        apart = _differ(x["labelled"], x["bad"], acc["labelled"], acc["bad"], z) | _differ(x["labelled"], x["bad"], acc["first_labelled"], acc["first_bad"], z)
+        new = F.when(acc["no"] < 0, True).otherwise(apart)
+        no = acc["no"] + new.cast("long")
+        held = lambda own, with_: F.when(new, own).otherwise(with_)
+        return F.struct(
+            F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), x["members"].alias("members"), no.alias("group")))).alias("out"), no.alias("no"),
+            held(x["labelled"], acc["labelled"] + x["labelled"]).alias("labelled"), held(x["bad"], acc["bad"] + x["bad"]).alias("bad"),
+            held(x["labelled"], acc["first_labelled"]).alias("first_labelled"), held(x["bad"], acc["first_bad"]).alias("first_bad"),
+        )
+
+    return F.aggregate(run, begin, join, lambda acc: acc["out"])
+
+
 def _merged(child: DataFrame, prior: float, limits: Limits) -> DataFrame:
     """(host, template, segment, as): what each child is called from here on."""
     key = ["host", "template"]
@@ -109,12 +136,9 @@ def _merged(child: DataFrame, prior: float, limits: Limits) -> DataFrame:
     step = F.when(rare, -1).when(F.col("c_labelled") == 0, -2).otherwise(F.floor(share * STEPS + 0.5)).cast("int")
     judged = child.join(parent, key).withColumn("step", step)
     steps = judged.where("step >= 0").groupBy(*key, "step").agg(F.sum("c_labelled").alias("labelled"), F.sum("c_bad").alias("bad"), F.count("*").alias("members"))
-    by_share = Window.partitionBy(*key).orderBy("step")
-    before = steps.withColumns({"p_labelled": F.lag("labelled").over(by_share), "p_bad": F.lag("bad").over(by_share)})
-    pooled = (F.col("bad") + F.col("p_bad")) / (F.col("labelled") + F.col("p_labelled"))
-    error = limits.z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("p_labelled")))
-    differ = F.abs(F.col("bad") / F.col("labelled") - F.col("p_bad") / F.col("p_labelled")) > error
-    numbered = before.withColumn("group", F.sum(F.when(differ, 1).otherwise(0)).over(by_share))
+    # at most STEPS + 1 rows a parent
+    runs = steps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("step", "labelled", "bad", "members"))).alias("run"))
+    numbered = runs.select(*key, F.explode(_grouped(F.col("run"), limits.z)).alias("s")).select(*key, "s.*")
     groups = numbered.withColumns(
         {"size": F.sum("members").over(Window.partitionBy(*key, "group")), "last": F.max("group").over(Window.partitionBy(*key))}
     )
@@ -200,6 +224,9 @@ def _oracle(limits: Limits = Limits()) -> str:
         for _, t in rules
     ]
     case = lambda i: "CASE " + " ".join(f"WHEN {f} THEN '{r[i]}'" for f, r in zip(fits, rules, strict=True)) + " END"
+    differ = lambda l, b: (
+        f"(abs(r.b / r.l - {b} / {l}) > {limits.z}::DOUBLE * sqrt((r.b + {b}) / (r.l + {l}) * (1 - (r.b + {b}) / (r.l + {l})) * (1 / r.l + 1 / {l})))"
+    )
     levels = ""
     for k in range(d):
         levels += f"""
@@ -209,16 +236,18 @@ def _oracle(limits: Limits = Limits()) -> str:
     ELSE CAST(floor((c_bad + {a}::DOUBLE * prior) / (c_labelled + {a}::DOUBLE) * {STEPS} + 0.5::DOUBLE) AS INTEGER) END AS step
     FROM (SELECT *, count(*) OVER (PARTITION BY host, template) AS children FROM child{k}) AS c, prior)
 , steps{k} AS (SELECT host, template, step, sum(c_labelled)::DOUBLE AS l, sum(c_bad)::DOUBLE AS b, count(*) AS members FROM judged{k} WHERE step >= 0 GROUP BY ALL)
-, before{k} AS (SELECT *, lag(l) OVER w AS pl, lag(b) OVER w AS pb FROM steps{k} WINDOW w AS (PARTITION BY host, template ORDER BY step))
-, numbered{k} AS (SELECT *, sum(CASE WHEN abs(b / l - pb / pl) > {limits.z}::DOUBLE * sqrt((b + pb) / (l + pl) * (1 - (b + pb) / (l + pl)) * (1 / l + 1 / pl)) THEN 1 ELSE 0 END)
-    OVER (PARTITION BY host, template ORDER BY step) AS no FROM before{k})
+, run{k} AS (SELECT *, row_number() OVER (PARTITION BY host, template ORDER BY step) AS i FROM steps{k})
+, numbered{k} AS (SELECT host, template, step, members, i, 0 AS no, l, b, l AS fl, b AS fb FROM run{k} WHERE i = 1
+  UNION ALL SELECT host, template, step, members, i, no + CASE WHEN apart THEN 1 ELSE 0 END, CASE WHEN apart THEN xl ELSE l + xl END, CASE WHEN apart THEN xb ELSE b + xb END, CASE WHEN apart THEN xl ELSE fl END, CASE WHEN apart THEN xb ELSE fb END
+  FROM (SELECT r.host, r.template, r.step, r.members, r.i, n.no, n.l, n.b, n.fl, n.fb, r.l AS xl, r.b AS xb, {differ('n.l', 'n.b')} OR {differ('n.fl', 'n.fb')} AS apart
+    FROM numbered{k} AS n JOIN run{k} AS r ON r.host = n.host AND r.template = n.template AND r.i = n.i + 1))
 , named{k} AS (SELECT host, template, step, CASE WHEN sum(members) OVER (PARTITION BY host, template, no) > 1 THEN CASE WHEN max(no) OVER (PARTITION BY host, template) = 0 THEN '*'
     ELSE '*' || CAST(no + 1 AS BIGINT) END END AS name FROM numbered{k})
 , merged{k} AS (SELECT host, template, segment, CASE WHEN step = -1 THEN '*' ELSE coalesce(name, segment) END AS seg FROM judged{k} LEFT JOIN named{k} USING (host, template, step))
 , tree{k + 1} AS (SELECT host, shape, n, labelled, bad, segments, CASE WHEN seg IS NULL THEN template ELSE template || '/' || seg END AS template
     FROM here{k} LEFT JOIN merged{k} USING (host, template, segment))"""
     return f"""
-WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages)
+WITH RECURSIVE u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages)
 , h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)
 , p AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
 , l AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)

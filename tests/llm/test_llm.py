@@ -360,15 +360,19 @@ def brute_templates(rows, limits):
         for parent, own in kids.items():
             share = lambda k: (k[2] + limits.strength * prior) / (k[1] + limits.strength)
             step = {seg: -1 if len(own) > limits.max_children and k[0] < limits.min_urls else -2 if not k[1] else int(share(k) * url_templates.STEPS + 0.5) for seg, k in own.items()}
-            groups, last = [], None
+            groups, pooled, first = [], None, None
+
+            def apart(x, y):
+                q = (x[1] + y[1]) / (x[0] + y[0])
+                return abs(x[1] / x[0] - y[1] / y[0]) > limits.z * (q * (1 - q) * (1 / x[0] + 1 / y[0])) ** 0.5
+
             for x in sorted({v for v in step.values() if v >= 0}):
-                lab, bad = (sum(own[seg][i] for seg, v in step.items() if v == x) for i in (1, 2))
-                if last:
-                    q = (bad + last[1]) / (lab + last[0])
-                if not last or abs(bad / lab - last[1] / last[0]) > limits.z * (q * (1 - q) * (1 / lab + 1 / last[0])) ** 0.5:
+                now = [sum(own[seg][i] for seg, v in step.items() if v == x) for i in (1, 2)]
+                if not groups or apart(now, pooled) or apart(now, first):
                     groups.append([])
+                    pooled, first = [0, 0], now
                 groups[-1] += [seg for seg, v in step.items() if v == x]
-                last = lab, bad
+                pooled = [a + b for a, b in zip(pooled, now, strict=True)]
             named = {seg: "*" if v == -1 else seg for seg, v in step.items()}
             for n, group in enumerate(groups):
                 if len(group) > 1:
@@ -431,6 +435,18 @@ def test_similar_siblings_merge_and_unlabelled_ones_stay_apart(spark):
     assert {x.template for x in out if x.host == "v.net"} == {"/*/home"}
 
 
+def test_a_chain_of_small_differences_does_not_join_opposites(spark):
+    rows = [(f"http://h.net/s{k}/{'abcdefghij'[i]}", int(i < 2 * k)) for k in range(6) for i in range(10)]  # bad shares 0, .2, .4, .6, .8, 1
+    rows += [(f"http://h.net/s{k}/x", None) for k in range(6)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id int, url string, bad int")
+    out = url_templates.judge(df).collect()
+    of = {k: {(x.template.split("/")[1], x.verdict) for x in out if x.path.startswith(f"/s{k}/") and not x.path.endswith("/x")} for k in range(6)}
+    assert {v for _, v in of[5]} == {"block"} and {v for _, v in of[0]} == {"allow"} and not {t for t, _ in of[0]} & {t for t, _ in of[5]}
+    shapes = [("h.net", x.path, b) for x, (_, b) in zip(sorted(out, key=lambda x: x.page_id), rows, strict=True)]
+    got = url_templates.template_verdicts(spark.createDataFrame(shapes, "host string, shape string, bad int")).collect()
+    assert {(x.host, x.shape): (x.template, round(x.purity, 9)) for x in got} == brute_templates(shapes, url_templates.Limits())
+
+
 def test_hosts_paths_and_rules(spark):
     urls = ["HTTP://A.Example.ORG/es/x?q#f", "https://example.org/en/12", "http://other.com/fr/1", "http://x.com?/de/", "no url", None, "http://de.com/de/", "http://notexample.org/es/", "ftp://org/"]
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id int, url string, bad int")
