@@ -436,11 +436,12 @@ def test_similar_siblings_merge_and_unlabelled_ones_stay_apart(spark):
 
 
 def test_a_chain_of_small_differences_does_not_join_opposites(spark):
-    rows = [(f"http://h.net/s{k}/{'abcdefghij'[i]}", int(i < 2 * k)) for k in range(6) for i in range(10)]  # bad shares 0, .2, .4, .6, .8, 1
-    rows += [(f"http://h.net/s{k}/x", None) for k in range(6)]
+    name = "uvwxyz"  # digits would be one wildcard at once
+    rows = [(f"http://h.net/{name[k]}/{'abcdefghij'[i]}", int(i < 2 * k)) for k in range(6) for i in range(10)]  # bad shares 0, .2, .4, .6, .8, 1
+    rows += [(f"http://h.net/{name[k]}/none", None) for k in range(6)]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id int, url string, bad int")
     out = url_templates.judge(df).collect()
-    of = {k: {(x.template.split("/")[1], x.verdict) for x in out if x.path.startswith(f"/s{k}/") and not x.path.endswith("/x")} for k in range(6)}
+    of = {k: {(x.template.split("/")[1], x.verdict) for x in out if x.path.startswith(f"/{name[k]}/") and not x.path.endswith("/none")} for k in range(6)}
     assert {v for _, v in of[5]} == {"block"} and {v for _, v in of[0]} == {"allow"} and not {t for t, _ in of[0]} & {t for t, _ in of[5]}
     shapes = [("h.net", x.path, b) for x, (_, b) in zip(sorted(out, key=lambda x: x.page_id), rows, strict=True)]
     got = url_templates.template_verdicts(spark.createDataFrame(shapes, "host string, shape string, bad int")).collect()
