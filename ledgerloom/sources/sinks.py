@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.integrity import build_chain, output_manifest
+from ledgerloom.sources.publication import publish
 
 
 def canonical_json(df: DataFrame) -> Column:
@@ -32,12 +33,12 @@ def write_chained_jsonl(df: DataFrame, chain: str, order: str, path: str) -> Dat
 
 
 def write_audit_mart(tables: dict[str, DataFrame], path: str, import_id: str) -> None:
-    """Writes each table's rows of one import to its own folder of its own Parquet dataset under ``path``.
+    """Publishes the tables of one import under ``path``, all or nothing; they are read by ``published``.
 
     Writing an import again replaces what it wrote before, so a failed run may be repeated.
     """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/import={import_id}")
+    spark = next(iter(tables.values())).sparkSession
+    publish(spark, path, {name: df.withColumn("import", F.lit(import_id)) for name, df in tables.items()}, import_id)
 
 
 def raw_event_summaries(raw: DataFrame, limit: int) -> DataFrame:

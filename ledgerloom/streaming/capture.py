@@ -23,6 +23,7 @@ CODE_CUT, DETAIL_CUT = 128, 2048
 GRACE_US = 30 * SECOND
 OUTCOMES = ("delete_fact", "process_context", "security_evidence", "ignored", "error")
 BATCH = "batch_id"
+MARKS = "live_session_id string, last long"
 
 
 def read_live(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -116,8 +117,10 @@ def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
     """Stores one batch in a folder of its own, which a repeated run of the batch replaces.
 
     Late records (column ``late``) are left out. The batch is refused whole if an id is not
-    its capture and sequence, a sequence is not positive or repeats, here or in another
-    batch, or a digest (raw_xml_sha256) is not that of the XML.
+    its capture and sequence, a sequence is not positive, repeats, or is not above all that
+    earlier batches stored of its capture, or a digest (raw_xml_sha256) is not that of the XML.
+    Beside the store, ``path`` + ``_marks`` has each batch's largest sequence per capture, so
+    what is stored is not read again.
     """
     rows = (batch.where("NOT late").drop("late") if "late" in batch.columns else batch).persist()
     try:
@@ -127,12 +130,15 @@ def append_batch(batch: DataFrame, path: str, batch_id: int) -> None:
             wrong = wrong | ~F.col("raw_xml_sha256").eqNullSafe(F.sha2("raw_xml", 256))
         key = ["live_session_id", "received_sequence"]
         bad = rows.where(wrong).limit(1).count() or rows.groupBy(*key).count().where("count > 1").limit(1).count()
-        before = stored(rows.sparkSession, path)
+        marks = rows.groupBy("live_session_id").agg(F.min("received_sequence").alias("first"), F.max("received_sequence").alias("last"))
+        before = stored(rows.sparkSession, f"{path}_marks", f"{MARKS}, {BATCH} long")
         if not bad and before is not None:
-            bad = before.where(F.col(BATCH) != batch_id).join(rows.select(*key), key, "left_semi").limit(1).count()
+            high = before.where(F.col(BATCH) < batch_id).groupBy("live_session_id").agg(F.max("last").alias("high"))
+            bad = marks.join(high, "live_session_id").where("first <= high").limit(1).count()
         if bad:
             raise ValueError("the batch breaks the capture's numbering or digests")
         rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        marks.select("live_session_id", "last").write.mode("overwrite").parquet(f"{path}_marks/{BATCH}={batch_id}")
     finally:
         rows.unpersist()
 

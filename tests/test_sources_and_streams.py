@@ -6,9 +6,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import correlate, mart, parse, sessions
+from ledgerloom.operators import correlate, mart, parse, projection, sessions
 from ledgerloom.plans import adapter
-from ledgerloom.sources import envelopes, sinks
+from ledgerloom.sources import envelopes, publication, sinks
 from ledgerloom.streaming import capture
 
 SF = "/root/testdata/sf0.001"
@@ -88,14 +88,15 @@ def subscriptions(spark):
 
 @pytest.fixture
 def captured(spark, tmp_path):
-    """The audit rows as four files of captured XML."""
+    """The audit rows as four files of captured XML, in the order in which they were received."""
     rows = adapter.audit_rows(spark, SF)
     out = rows.select(
         "live_session_id", "received_sequence", "raw_event_id", "occurred_ts", F.when(F.col("outcome") == "security_evidence", "s").otherwise("c").alias("channel_name"),
         F.concat_ws(":", "live_session_id", F.col("received_sequence").cast("string")).alias("live_evidence_id"), parse.event_xml(F.col("outcome")).alias("raw_xml"),
     )
     path = str(tmp_path / "live")
-    out.repartition(4).write.parquet(path)
+    for k in range(4):
+        out.where(F.floor((F.col("received_sequence") - 1) / 250) == k).coalesce(1).write.mode("append").parquet(path)
     return path, spark.read.parquet(path).schema
 
 
@@ -199,6 +200,50 @@ def test_mart_written_again_replaces_its_import(spark, tmp_path):
     tables = mart.build_audit_mart(rows, deletes, processes, found, assessed)
     for name in ("a", "a", "b"):
         sinks.write_audit_mart(tables, str(tmp_path), name)
-    stored = {t: spark.read.parquet(str(tmp_path / t)) for t in tables}
+    stored = {t: publication.published(spark, str(tmp_path), t) for t in tables}
     assert len(stored) == 10 and all(df.count() == 2 * tables[t].count() > 0 for t, df in stored.items())
     assert {r["import"] for r in stored["delete_events"].select("import").distinct().collect()} == {"a", "b"}
+
+
+def test_a_failed_publication_shows_nothing(spark, tmp_path):
+    root, one, two = str(tmp_path / "mart"), spark.range(3), spark.range(5)
+    assert publication.published(spark, root, "a") is None
+    broken = spark.range(4).withColumn("x", F.raise_error(F.lit("broken")))
+    with pytest.raises(Exception, match="broken"):
+        publication.publish(spark, root, {"a": one, "b": broken}, "k")
+    assert publication.published(spark, root, "a") is None
+    publication.publish(spark, root, {"a": one, "b": two}, "k")
+    publication.publish(spark, root, {"a": two}, "l")
+    with pytest.raises(Exception, match="broken"):
+        publication.publish(spark, root, {"a": two, "b": broken}, "k")
+    assert publication.published(spark, root, "a").count() == 8 and publication.published(spark, root, "b").count() == 5
+    publication.publish(spark, root, {"a": spark.range(1), "b": one.limit(0)}, "k")  # all tables of a key are replaced at once
+    assert publication.published(spark, root, "a").count() == 6 and publication.published(spark, root, "b").count() == 0
+
+
+def test_projection_is_published_with_its_runs_and_goes_on(spark, tmp_path):
+    records = adapter.captures(spark, SF).where("session_no < 3")
+    totals = records.groupBy("live_session_id").agg(F.count("*").alias("persisted"))
+    root = str(tmp_path / "projection")
+    first = publication.publish_projection(spark, root, records.where("session_no < 2"), totals.where("live_session_id <> 'cap-1'"))
+    assert {r.live_session_id: (r.refusal, r.appended > 0) for r in first.collect()} == {"cap-0": (None, True), "cap-1": ("incomplete_capture", False)}
+    again = publication.publish_projection(spark, root, records, totals)
+    assert {r.live_session_id: r.appended > 0 for r in again.collect()} == {"cap-0": False, "cap-1": True, "cap-2": True}
+    rows, runs = publication.published(spark, root, "rows"), publication.published(spark, root, "runs")
+    whole = projection.chained(projection.canonical_rows(records).drop("failure"))
+    assert sorted(map(str, rows.select("live_evidence_id", "entry_hash").collect())) == sorted(map(str, whole.select("live_evidence_id", "entry_hash").collect()))
+    epochs = projection.channel_epochs(rows).drop("records")
+    assert {r.reason for r in projection.verify_continuity(rows, records, epochs, runs).collect()} == {None}
+
+
+def test_sequences_rise_from_batch_to_batch(spark, tmp_path):
+    store = str(tmp_path / "store")
+    batch = lambda *numbers: spark.createDataFrame([(s, n, f"{s}:{n}") for s, n in numbers], "live_session_id string, received_sequence long, live_evidence_id string")
+    capture.append_batch(batch(("a", 2), ("a", 5), ("b", 1)), store, 0)
+    capture.append_batch(batch(("a", 7), ("c", 1)), store, 1)
+    for late in (("a", 6), ("a", 3), ("b", 1)):  # numbers that nothing stored has are refused as well
+        with pytest.raises(ValueError):
+            capture.append_batch(batch(late, ("d", 1)), store, 2)
+    capture.append_batch(batch(("a", 7), ("c", 1)), store, 1)
+    capture.append_batch(batch(("a", 8), ("b", 2)), store, 2)
+    assert sorted(map(tuple, spark.read.parquet(store).select("live_session_id", "received_sequence").collect())) == [("a", 2), ("a", 5), ("a", 7), ("a", 8), ("b", 1), ("b", 2), ("c", 1)]
