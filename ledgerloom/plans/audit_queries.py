@@ -317,11 +317,14 @@ _CANONICAL = DUCK_CAPTURES + f""", x AS (SELECT cap.*, audit.full_path AS path,
 """
 
 
-@query(_CANONICAL + f""", c AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256({_blob("'live-projection-entry-v1'", "repeat('0', 64)", "live_evidence_id", "epoch_id", "projected_sequence", "upper(raw_xml_sha256)", "upper(payload_hash)")}) AS entry_hash
+_CHAINED = f""", c AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256({_blob("'live-projection-entry-v1'", "repeat('0', 64)", "live_evidence_id", "epoch_id", "projected_sequence", "upper(raw_xml_sha256)", "upper(payload_hash)")}) AS entry_hash
     FROM canon WHERE projected_sequence = 1
   UNION ALL SELECT n.*, c.entry_hash, sha256({_blob("'live-projection-entry-v1'", "upper(c.entry_hash)", "n.live_evidence_id", "n.epoch_id", "n.projected_sequence", "upper(n.raw_xml_sha256)", "upper(n.payload_hash)")})
     FROM c JOIN canon AS n ON n.live_session_id = c.live_session_id AND n.projected_sequence = c.projected_sequence + 1)
-SELECT live_evidence_id, projected_sequence, source, full_path, process_id, process_guid, user_sid, epoch_id, payload_hash, previous_hash, entry_hash FROM c""")
+"""
+
+
+@query(_CANONICAL + _CHAINED + """SELECT live_evidence_id, projected_sequence, source, full_path, process_id, process_guid, user_sid, epoch_id, payload_hash, previous_hash, entry_hash FROM c""")
 def project_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical rows of all captures with their digests, epochs and chain."""
     rows = projection.chained(projection.canonical_rows(captures(spark, sf_dir)).drop("failure"))
@@ -566,9 +569,15 @@ QUERIES["received_sessions"] = received_sessions
 @query(""", h AS (SELECT live_session_id AS chain, received_sequence AS n, sha256(raw_event_id || '|' || outcome || '|' || full_path) AS content_hash FROM audit)
 , c AS (SELECT chain, n, sha256(concat_ws(chr(10), '1', repeat('0', 64), content_hash)) AS entry_hash FROM h WHERE n = 1
   UNION ALL SELECT h.chain, h.n, sha256(concat_ws(chr(10), '1', c.entry_hash, h.content_hash)) FROM c JOIN h ON h.chain = c.chain AND h.n = c.n + 1)
-SELECT chain, count(*) AS entries, arg_min(entry_hash, n) AS first_hash, arg_max(entry_hash, n) AS last_hash FROM c GROUP BY chain""")
+SELECT chain, count(*) AS entries, count(*) + CASE WHEN k = 1 THEN 1 ELSE 0 END AS expected, arg_min(entry_hash, n) AS first_hash, arg_max(entry_hash, n) AS last_hash,
+  CASE WHEN k = 1 THEN 'incomplete' ELSE 'complete' END AS status FROM (SELECT *, CAST(replace(chain, 'live-', '') AS BIGINT) % 3 AS k FROM c) GROUP BY chain, k
+UNION ALL SELECT 'live-none', 0, 5, NULL, NULL, 'empty'""")
 def chain_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.output_manifest(chain_build(spark, sf_dir))
+    """The manifest of all chains against what was expected: of a third one entry more, and of a chain that is not there five."""
+    more = F.when(F.regexp_extract("live_session_id", "[0-9]+", 0).cast("long") % 3 == 1, 1).otherwise(0)
+    expected = audit_rows(spark, sf_dir).groupBy(F.col("live_session_id")).agg(F.count("*").alias("n")).select(F.col("live_session_id").alias("chain"), (F.col("n") + more).alias("entries"))
+    none = spark.range(1).select(F.lit("live-none").alias("chain"), F.lit(5).cast("long").alias("entries"))
+    return integrity.output_manifest(chain_build(spark, sf_dir), expected.unionByName(none))
 
 
 @query(_PAIRS + f""", k AS (SELECT d.raw_event_id AS d_id, 'process' AS kind, abs(d.us - p.us) AS delta, p.record_ordinal AS ordinal, p.raw_event_id AS partner FROM d JOIN p ON p.us BETWEEN d.us - {W} AND d.us + {W}
@@ -611,20 +620,32 @@ def projection_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.projection_high_water(runs)
 
 
-@query(DUCK_CAPTURES + """, f AS (SELECT *, first_value(received_sequence) OVER (PARTITION BY live_session_id ORDER BY CASE WHEN outcome <> 'ignored' THEN 0 ELSE 1 END, received_sequence) AS lead FROM cap)
-SELECT live_session_id, considered, already, refusal, CASE WHEN refusal IS NULL THEN considered - already ELSE 0 END AS appended, refusal IS NULL AS completed FROM (
-  SELECT live_session_id, count(*) FILTER (outcome <> 'ignored') AS considered,
-    count(*) FILTER (outcome <> 'ignored' AND received_sequence <= 20 AND session_no % 6 IN (0, 4) AND (session_no % 6 = 0 OR received_sequence <> lead)) AS already,
-    CASE any_value(session_no) % 6 WHEN 1 THEN 'incomplete_capture' WHEN 2 THEN 'ledger_mismatch' WHEN 3 THEN 'source_digest_mismatch' WHEN 4 THEN 'stored_rows_are_no_prefix' END AS refusal FROM f GROUP BY 1)""")
-def project_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of an incremental projection: captures that are new, incomplete, miscounted, damaged, without the first of their stored rows, or with their beginning stored."""
+def _projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An incremental projection of captures that are new, incomplete, miscounted, damaged, without the first of their stored rows, or with their beginning stored."""
     k = F.col("session_no") % 6
     rows = captures(spark, sf_dir)
     records = rows.withColumn("raw_xml_sha256", F.when((k == 3) & (F.col("outcome") != "ignored"), "0" * 64).otherwise(F.col("raw_xml_sha256")))
     done = rows.groupBy("live_session_id", k.alias("k")).agg(F.count("*").alias("n")).where("k <> 1").select("live_session_id", (F.col("n") + F.when(F.col("k") == 2, 1).otherwise(0)).alias("persisted"))
     stored = written(projection.chained(projection.canonical_rows(rows.where(k.isin(0, 4))).drop("failure")), "projected").where("received_sequence <= 20")
     number = F.regexp_extract("live_session_id", "[0-9]+", 0).cast("long") % 6
-    return projection.project_session(records, done, stored.where((number == 0) | (F.col("projected_sequence") > 1)))[1]
+    return projection.project_session(records, done, stored.where((number == 0) | (F.col("projected_sequence") > 1)))
+
+
+@query(DUCK_CAPTURES + """, f AS (SELECT *, first_value(received_sequence) OVER (PARTITION BY live_session_id ORDER BY CASE WHEN outcome <> 'ignored' THEN 0 ELSE 1 END, received_sequence) AS lead FROM cap)
+SELECT live_session_id, considered, already, refusal, CASE WHEN refusal IS NULL THEN considered - already ELSE 0 END AS appended, refusal IS NULL AS completed FROM (
+  SELECT live_session_id, count(*) FILTER (outcome <> 'ignored') AS considered,
+    count(*) FILTER (outcome <> 'ignored' AND received_sequence <= 20 AND session_no % 6 IN (0, 4) AND (session_no % 6 = 0 OR received_sequence <> lead)) AS already,
+    CASE any_value(session_no) % 6 WHEN 1 THEN 'incomplete_capture' WHEN 2 THEN 'ledger_mismatch' WHEN 3 THEN 'source_digest_mismatch' WHEN 4 THEN 'stored_rows_are_no_prefix' END AS refusal FROM f GROUP BY 1)""")
+def project_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run rows of an incremental projection (see ``_projected``)."""
+    return _projected(spark, sf_dir)[1]
+
+
+@query(_CANONICAL + _CHAINED + """SELECT live_evidence_id, projected_sequence, source, epoch_id, payload_hash, previous_hash, entry_hash FROM c
+  WHERE session_no % 6 = 5 OR session_no % 6 = 0 AND received_sequence > 20""")
+def project_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an incremental projection appends, chained behind the stored ones."""
+    return _projected(spark, sf_dir)[0].select("live_evidence_id", "projected_sequence", "source", "epoch_id", "payload_hash", "previous_hash", "entry_hash")
 
 
 def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -858,14 +879,14 @@ def admit_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.skip_imported(admitted, rows.where("event_id % 12 = 5")).select("event_id", "rejected", "already_imported")
 
 
-@query(""", r AS (SELECT import_session_id AS chain, raw_event_id, sha256(raw_event_id) AS xml, row_number() OVER (PARTITION BY import_session_id ORDER BY record_ordinal) + 10 AS n FROM audit WHERE record_ordinal % 10 = 3)
+@query(""", r AS (SELECT import_session_id AS chain, raw_event_id, sha256(raw_event_id) AS xml, row_number() OVER (PARTITION BY import_session_id ORDER BY record_ordinal) + 10 AS n FROM audit)
 , h AS (SELECT *, sha256(concat_ws(chr(31), raw_event_id, xml, n)) AS content_hash FROM r)
 , c AS (SELECT chain, n, raw_event_id, content_hash, repeat('a', 64) AS previous_hash, sha256(concat_ws(chr(10), '1', repeat('a', 64), content_hash)) AS entry_hash FROM h WHERE n = 11
   UNION ALL SELECT h.chain, h.n, h.raw_event_id, h.content_hash, c.entry_hash, sha256(concat_ws(chr(10), '1', c.entry_hash, h.content_hash)) FROM c JOIN h ON h.chain = c.chain AND h.n = c.n + 1)
 SELECT *, '1' AS version FROM c""")
 def chain_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the raw events chained per import behind ten that are stored."""
-    rows = audit_rows(spark, sf_dir).where("record_ordinal % 10 = 3").select("import_session_id", "record_ordinal", "raw_event_id", F.sha2("raw_event_id", 256).alias("xml_sha256"))
+    """The raw events chained per import behind ten that are stored."""
+    rows = audit_rows(spark, sf_dir).select("import_session_id", "record_ordinal", "raw_event_id", F.sha2("raw_event_id", 256).alias("xml_sha256"))
     rows = ordering.numbered(rows, ["import_session_id"], "record_ordinal", "record_number").drop("record_ordinal")
     tails = rows.select(F.col("import_session_id").alias("chain")).distinct().select("chain", F.lit(10).cast("long").alias("n"), F.lit("a" * 64).alias("entry_hash"))
     return integrity.chain_raw_events(rows, tails)
