@@ -19,10 +19,12 @@ Lines, paragraphs and texts are the parts counted as matches; where none of them
 the separate stretches of matching windows are counted.
 
 The full texts of further licences, such as the GPL, may be given as a folder of files
-(``read_texts``, or ``spark.ledgerloom.licenses`` for the query); a text of more than
-``LONG`` pairs is not sought again within a match of its own that fits better.
+(``read_texts``, or ``spark.ledgerloom.licenses`` for the query). They are sought by the same
+rule whatever their length; of a document that repeats a licence of ``n`` words ``r`` times,
+some ``r * n`` windows of up to about ``n`` words are walked.
 
-Edge cases: a null text is empty; parts of less than two words match nothing; of equally
+Edge cases: a null text is empty, a very long one is one row's work, other columns are not read and
+an empty table gives no rows; parts of less than two words match nothing; of equally
 good templates the least name wins. Every row of the input gives one row, whatever repeats.
 """
 
@@ -34,13 +36,14 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import inputs
 from ledgerloom.llm.license_templates import FULL_TEXTS, TEMPLATES
 
 DICE = 0.8
-LONG = 400
 TEXTS_CONF = "spark.ledgerloom.licenses"
+TEXTS_BYTES = 64_000_000
 SCANNED = "doc_id long, license string, dice double, n_matches int"
 _WORD = re.compile("[a-z0-9]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -124,10 +127,9 @@ class Templates:
             for n in range(len(places) - 1, -1, -1):
                 rest.add(own[places[n]])
                 left[n] = len(rest)
-            reach = -1
             for n, begin in enumerate(places):
                 bound = 2 * left[n] / (left[n] + size)
-                if bound < self.least or size > LONG and begin < reach and bound <= tops[i][0]:
+                if bound < self.least:
                     continue
                 seen: set[tuple[str, str]] = set()
                 shared, end = 0, 0
@@ -149,7 +151,6 @@ class Templates:
                                 tops[i] = d, begin, end
                 if end:
                     matching.append((begin, end))
-                    reach = max(reach, end)
         return tops, matching
 
     def scan(self, text: str) -> tuple[str | None, float | None, int]:
@@ -172,9 +173,12 @@ class Templates:
 
 
 def read_texts(spark: SparkSession, folder: str) -> dict[str, tuple[str, ...]]:
-    """Licence texts from a folder of small files, each named by its licence; at most 1000 files of 1 MB."""
-    files = spark.read.format("binaryFile").load(folder).where("length <= 1000000").limit(1000).collect()
-    return {f.path.rsplit("/", 1)[-1].removesuffix(".txt"): (bytes(f.content).decode("utf-8", "replace"),) for f in files}
+    """Licence texts from a folder of files, each named by its licence; refuses more than ``TEXTS_BYTES`` together, as every task holds them all."""
+    files = spark.read.format("binaryFile").load(folder)
+    total = files.agg(F.sum("length")).first()[0] or 0
+    if total > TEXTS_BYTES:
+        raise ValueError(f"the licence texts have {total} bytes, more than {TEXTS_BYTES}")
+    return {f.path.rsplit("/", 1)[-1].removesuffix(".txt"): (bytes(f.content).decode("utf-8", "replace"),) for f in files.orderBy("path").collect()}
 
 
 def scan(

@@ -285,6 +285,36 @@ def test_more_licences_spellings_and_given_texts(spark, tmp_path):
     assert out == {1: ("Own-1.0", 1), 2: (None, 0), 3: ("Zlib", 1), 4: ("MIT", 1)}
 
 
+def test_all_given_texts_are_read_or_refused(spark, tmp_path, monkeypatch):
+    for i in range(1100):
+        (tmp_path / f"L{i}.txt").write_text(f"text {i}")
+    assert len(license_scan.read_texts(spark, str(tmp_path))) == 1100
+    monkeypatch.setattr(license_scan, "TEXTS_BYTES", 1000)
+    with pytest.raises(ValueError, match="licence texts"):
+        license_scan.read_texts(spark, str(tmp_path))
+
+
+def test_windows_of_long_templates_lose_nothing():
+    """A licence of more than 400 pairs is walked by the same rule as a short one."""
+    r = random.Random(26)
+    long = [f"w{r.randrange(450)}" for _ in range(520)]
+    own = license_scan.Templates({"L": (" ".join(long),)}, license_scan.DICE)
+    for _ in range(3):
+        w = [x if r.random() > 0.004 else "x" for x in long]
+        w = [f"n{r.randrange(9)}" for _ in range(r.randint(0, 40))] + w[r.randint(0, 20) :] + [f"n{r.randrange(9)}" for _ in range(r.randint(0, 40))]
+        size, _, template = own.all[0]
+        best = 0.0
+        for i in range(len(w)):
+            seen, shared = set(), 0
+            for p in zip(w[i:], w[i + 1 :], strict=False):
+                if p not in seen:
+                    seen.add(p)
+                    shared += p in template
+                    best = max(best, 2 * shared / (len(seen) + size))
+        tops, _ = own.top_windows(list(zip(w, w[1:], strict=False)))
+        assert size > 400 and best >= own.least and tops[0][0] == best
+
+
 def test_license_windows_lose_nothing():
     r = random.Random(19)
     own = license_scan.Templates({"A": ("a b c a d b e a c",), "B": ("b a b c e",), "C": ("c d",)}, license_scan.DICE)
