@@ -14,31 +14,38 @@ stay. Persons are found by a title or a listed given name (a parameter): SQL fun
 no other way to tell a name from a word, so a name with neither is not found.
 
 Equal entities get equal surrogates wherever they stand (coreference), composed and
-decomposed accents being equal. Distinct ones get distinct ones: over the table of distinct
-entities, a surrogate that two of them share, or that is itself an entity of the corpus, is
-drawn again with the next attempt (longer from the fourth on, where the format allows) for
-all but the first. If after ``ATTEMPTS`` draws entities of a fixed format are left, its
-values are nearly used up: all entities of that format then take each other's, in a keyed
-cycle, which keeps them distinct and none its own. Only documents with redrawn entities are
-joined with them; that table is broadcast if it has at most ``BROADCAST_CHARS`` characters
-and otherwise joined by a shuffle.
+decomposed accents being equal. The first surname of a person's mention is sought again, as
+a word of its own, in the rest of that document (spelt as there). Distinct entities get
+distinct surrogates: over the table of distinct entities, a surrogate that two of them share,
+or that is itself an entity of the corpus, is drawn again with the next attempt (longer from
+the fourth on, where the kind allows) for all but the first, until none is left. A draw of a
+fixed format can only go on failing where the format's values run short, so formats with more
+than a quarter of their values in use are not drawn: a keyed permutation of *all* values of the
+format (each character moved within its class by a hash of those before it, the first one
+never by nothing) keeps them distinct and none its own. Only in such formats can a
+surrogate be a value that stands elsewhere in the corpus.
+
+Only documents with redrawn entities are joined with them, by their text's hash (so rows
+without an id, and copies, are many keys or one small map); that table is broadcast if it has at
+most ``BROADCAST_CHARS`` characters and otherwise joined by a shuffle.
 
 The key is the argument or the session's ``spark.ledgerloom.pii.key``; a fixed one serves
 where neither is set, as in tests, and is no secret.
 
-Edge cases: a null text stays null; a text without mentions is returned as it is; rows may
+Edge cases: a secret without any letter or digit is none and stays; a null text stays null; a text without mentions is returned as it is; rows may
 repeat, have null ids, or share ids; mentions do not overlap and are found from the left;
 other columns pass through (``text`` is replaced; ``n_entities`` and ``entity_kinds`` are
-added in place of any of these names; ``_redrawn``, ``_mentions`` and ``_redrawn_in`` are
-dropped). An empty table gives no rows.
+added in place of any of these names; ``_redrawn``, ``_mentions``, ``_surnames``, ``_pieces``,
+``_again`` and ``_redrawn_in`` are dropped). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +55,9 @@ from ledgerloom.plans.scratch import written
 
 KEY, KEY_CONF = "ledgerloom", "spark.ledgerloom.pii.key"
 BROADCAST_CHARS = 4_000_000
-LENGTHEN_FROM, ATTEMPTS = 4, 12
+LENGTHEN_FROM = 4
+#: A format is permuted, not drawn, from one entity per so many of its values.
+CROWDED = 4
 
 GIVEN_NAMES = {
     ("Latin", "female"): "Aisha Alice Amelie Ananya Barbara Carmen Caroline Catherine Charlotte Chiara Claire Elizabeth Emily Emma Fatima Francesca Greta Hannah Ingrid Isabella Jennifer Jessica Johanna Julia Katharina Laura Leila Linda Lucia Margaret Maria Marie Mary Mei Olivia Patricia Priya Sarah Sofia Susan Yuki Zainab".split(),
@@ -116,7 +125,7 @@ def mention_pattern() -> str:
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         r"(?<![\d-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])",
         r"(?<!\d)\d{13,19}(?!\d)",
-        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)",
+        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,8}){1,3}(?!\d)",
         r"\+\d{8,15}(?!\d)",
         r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
         r"(?<![\d.-])\d{3}([.-])\d{3}\2\d{4}(?![\d.-])",
@@ -144,20 +153,20 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-#: The kind of a number as long as a card's whose check digit is wrong: no entity, it stays as it is.
-NUMBER = "number"
+#: The kind of what is no entity and stays: a number as long as a card's with a wrong check digit, a secret of signs alone.
+PLAIN = "plain"
 
 
 def kind_of(m: Column) -> Column:
     return (
-        F.when(m.rlike(f"^{SECRET_NAME}"), "secret")
+        F.when(m.rlike(f"^{SECRET_NAME}"), F.when(m.rlike(f"^{SECRET_NAME}.*[A-Za-z0-9]"), "secret").otherwise(PLAIN))
         .when(m.contains("@"), "email")
         .when(m.rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$"), "access_key")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ipv4")
         .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ipv6")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(m.rlike(r"^\d{13}|^\d{4}[ -]\d{4}[ -]\d{4}"), F.when(_luhn_sum(F.regexp_replace(m, r"\D", ""), 1) % 10 == 0, "card").otherwise(NUMBER))
+        .when(m.rlike(r"^\d{13}|^\d{4}[ -]\d{4}[ -]\d{4}"), F.when(_luhn_sum(F.regexp_replace(m, r"\D", ""), 1) % 10 == 0, "card").otherwise(PLAIN))
         .when(m.rlike(r"^[+(\d]"), "phone")
         .otherwise("person")
     )
@@ -238,7 +247,7 @@ def person_words(m: Column) -> Column:
 
 def mention_parts(m: Column) -> Column:
     """What a mention consists of, as (word, kind, norm): a person's words, of any other kind the mention itself."""
-    whole = lambda kind: F.array(F.struct(m.alias("word"), F.nullif(kind, F.lit(NUMBER)).alias("kind"), normal_form(kind, m).alias("norm")))
+    whole = lambda kind: F.array(F.struct(m.alias("word"), F.nullif(kind, F.lit(PLAIN)).alias("kind"), normal_form(kind, m).alias("norm")))
     return let(kind_of(m), lambda kind: F.when(kind == "person", person_words(m)).otherwise(whole(kind)))
 
 
@@ -354,7 +363,7 @@ def _fixed(kind: Column, norm: Column) -> Column:
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The surrogate's normal form."""
     extra = F.greatest(attempt - (LENGTHEN_FROM - 1), F.lit(0))
-    hexadecimal = (kind == "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+    hexadecimal = _hexadecimal(kind, norm)
     email = kind == "email"
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     label, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
@@ -426,50 +435,116 @@ def render(key: str, m: Column, redrawn: Column) -> Column:
     return F.array_join(F.transform(mention_parts(m), part), " ")
 
 
+#: Characters that are drawn from, by the sign for their class in a format.
+CLASSES = {"h": "0123456789abcdef", "9": "0123456789", "A": LATIN.upper(), "a": LATIN}
+
+
+def _hexadecimal(kind: Column, norm: Column) -> Column:
+    return (kind == "ipv6") | (kind == "secret") & norm.rlike("^[0-9a-f]+$")
+
+
+def _kept(kind: Column, norm: Column) -> Column:
+    """How many characters at its beginning a permuted entity keeps: as drawn ones, and a public IPv4 address its first two numbers."""
+    return F.when((kind == "ipv4") & (_private(norm) == 0), F.length(F.regexp_extract(norm, r"^\d+\.\d+\.", 0))).otherwise(_fixed(kind, norm))
+
+
 def _format(kind: Column, norm: Column) -> Column:
-    """The format that an entity and its surrogates share, where it has a fixed length: what it keeps, and the classes of its other characters."""
+    """The format that an entity and its surrogates share, as (kept, classes); null where surrogates may be longer.
+
+    ``kept`` is what its surrogates begin with, ``classes`` has a sign of ``CLASSES`` for every other
+    character that may change: ``o`` for a number of an IPv4 address, a check digit as itself.
+    """
     kept = _fixed(kind, norm)
     rest = F.substring(norm, kept + 1, F.length(norm))
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "9"), r"\p{Lu}", "A"), r"\p{Ll}", "a")
-    return F.concat_ws("\u001f", kind, F.substring(norm, F.lit(1), kept), F.when(kind == "ipv4", "").when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.length(norm).cast("string"))).otherwise(classes))
+    octets = F.array_join(F.array_repeat(F.lit("o"), F.size(F.split(rest, r"\."))), "")
+    typed = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+    classes = (
+        F.when(kind == "ipv4", octets).when(kind == "card", F.concat(F.substring(typed, F.lit(1), F.length(typed) - 1), F.lit("#")))
+        .when(_hexadecimal(kind, norm), F.regexp_replace(rest, "[0-9a-f]", "h")).otherwise(typed)
+    )
+    # check digits follow from the others
+    begin = F.when(kind == "iban", F.substring(norm, 1, 2)).otherwise(F.substring(norm, F.lit(1), kept))
+    return F.when(~kind.isin("email", *NAMES), F.struct(begin.alias("kept"), classes.alias("classes")))
 
 
-def _in_cycles(entities: DataFrame, formats: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate): all entities of the formats take each other's values, in a keyed order.
+def _bits(classes: Column) -> Column:
+    """The binary logarithm of the number of a format's values."""
+    sizes = {"o": 254} | {c: len(letters) for c, letters in CLASSES.items()}
+    return sum((F.length(F.regexp_replace(classes, f"[^{c}]", "")) * math.log2(n) for c, n in sizes.items()), F.lit(0.0))
 
-    Orders are cut by their hash, so a format with very many entities is many tasks' work.
-    """
-    ordered = entities.withColumn("format", _format(F.col("kind"), F.col("norm"))).join(formats, "format").withColumn("at", F.xxhash64(F.lit(key), "norm"))
-    cut = ordered.withColumn("part", F.shiftright("at", 52))
-    own = Window.partitionBy("format", "part").orderBy("at", "norm")
-    firsts = cut.groupBy("format", "part").agg(F.min_by("norm", F.struct("at", "norm")).alias("first"))
-    by_part = Window.partitionBy("format").orderBy("part")  # 4096 parts at most
-    whole = Window.partitionBy("format").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select("format", "part", F.coalesce(F.lead("first").over(by_part), F.first("first").over(whole)).alias("next_part"))
-    return cut.withColumn("next", F.lead("norm").over(own)).join(after, ["format", "part"]).select("kind", "norm", F.coalesce("next", "next_part").alias("surrogate"))
+
+def permuted(key: str, kind: Column, norm: Column) -> Column:
+    """The entity's partner in a keyed permutation of all values of its format; never itself."""
+    seed = F.sha2(F.concat_ws("\u001f", F.lit(f"{key}|permuted"), kind), 256)
+    table = F.expr(f"map({_literals([x for pair in CLASSES.items() for x in pair])})")
+    last = F.length(norm) - (kind == "card").cast("int")
+
+    def moved(before: Column, at: Column, first: Column, size: Column) -> Column:
+        """``at`` (from 0) moved within ``size`` values by a hash of the original's characters before it."""
+        n = _number(F.sha2(F.concat(seed, before), 256), F.lit(0))
+        return (at + F.when(first, n % (size - 1) + 1).otherwise(n % size)) % size
+
+    def octet(a: Column, o: Column) -> Column:
+        value = moved(a["before"], o.cast("int"), a["first"], F.lit(256)).cast("string")
+        return F.struct(F.concat(a["out"], F.when(a["first"], "").otherwise("."), value).alias("out"), F.concat(a["before"], o, F.lit(".")).alias("before"), F.lit(False).alias("first"))
+
+    def letter(hexadecimal: Column) -> Callable[[Column, Column], Column]:
+        def step(a: Column, c: Column) -> Column:
+            own = F.when(hexadecimal & c.rlike("[0-9a-f]"), "h").when(c.rlike("[0-9]"), "9").when(c.rlike("[A-Z]"), "A").when(c.rlike("[a-z]"), "a")
+            letters = F.try_element_at(table, own)
+            new = F.substring(letters, moved(a["before"], F.instr(letters, c) - 1, a["first"], F.length(letters)) + 1, F.lit(1))
+            return F.struct(F.concat(a["out"], F.coalesce(new, c)).alias("out"), F.concat(a["before"], c).alias("before"), (a["first"] & own.isNull()).alias("first"))
+
+        return step
+
+    def walk(parts: Column, begin: Column, step: Callable[[Column, Column], Column]) -> Column:
+        start = F.struct(F.lit("").alias("out"), begin.alias("before"), F.lit(True).alias("first"))
+        return F.concat(begin, F.aggregate(parts, start, step, lambda a: a["out"]))
+
+    kept = _kept(kind, norm)
+    begin, rest = F.substring(norm, F.lit(1), kept), F.substring(norm, kept + 1, last - kept)
+    # an IBAN's check digits are no part of what the moves depend on
+    hashed = F.when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.lit("00"))).otherwise(begin)
+    new = F.when(kind == "ipv4", walk(F.split(rest, r"\."), begin, octet)).otherwise(walk(F.split(rest, ""), hashed, letter(_hexadecimal(kind, norm))))
+    return F.when(kind == "card", _luhn(F.concat(new, F.lit("0")))).when(kind == "iban", _iban(new)).otherwise(new)
 
 
 def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """Distinct entities (kind, norm) with the attempt that gives each a surrogate of its own, and that surrogate."""
-    draw = lambda: surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
+    """Distinct entities (kind, norm) with the attempt that gives each a surrogate of its own, and that surrogate.
+
+    The attempt of a permuted entity is -1. Each round writes the entities that are still drawn, and
+    ends with fewer: at most every second draw fails, whatever the number of entities.
+    """
+    draw = lambda df: df.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt")))
     entities = written(entities.select("kind", "norm").distinct(), "entities")
-    drawn = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw()), "drawn")
-    originals = entities.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("original"))
-    first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "norm")
-    for _ in range(ATTEMPTS):
-        judged = drawn.join(originals, ["kind", "surrogate"], "left").withColumn(
-            "again", F.col("original").isNotNull() | (F.row_number().over(first) > 1)
-        )
-        redrawn = judged.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "surrogate", "again")
-        redrawn = written(redrawn.withColumn("surrogate", F.when(F.col("again"), draw()).otherwise(F.col("surrogate"))), "drawn")
-        if not redrawn.where("again").limit(1).count():
-            return redrawn.drop("again")
-        drawn = redrawn.drop("again")
-    formats = redrawn.where("again").select(_format(F.col("kind"), F.col("norm")).alias("format")).distinct()
-    cycled = _in_cycles(entities, formats, key).withColumnRenamed("surrogate", "cycled")
-    both = drawn.join(cycled, ["kind", "norm"], "left")
-    chosen = both.select("kind", "norm", F.when(F.col("cycled").isNotNull(), ATTEMPTS + 1).otherwise(F.col("attempt")).alias("attempt"), F.coalesce("cycled", "surrogate").alias("surrogate"))
-    return written(chosen, "drawn")
+    formatted = entities.withColumn("format", _format(F.col("kind"), F.col("norm"))).select("*", "format.*").where("format is not null")
+    count = formatted.groupBy("kind", "kept", "classes").count()
+    crowded = written(count.where(F.log2(F.col("count") * CROWDED) > _bits(F.col("classes"))).drop("count"), "crowded")
+    drawn, settled = entities.withColumn("attempt", F.lit(0)), []
+    if crowded.limit(1).count():
+        full = formatted.join(crowded, ["kind", "kept", "classes"]).select("kind", "norm", F.lit(-1).alias("attempt"), permuted(key, F.col("kind"), F.col("norm")).alias("surrogate"))
+        settled.append(written(full, "permuted"))
+        drawn = drawn.join(settled[0], ["kind", "norm"], "left_anti")
+    originals = entities.select("kind", F.col("norm").alias("surrogate"))
+    first = Window.partitionBy("kind", "surrogate").orderBy("norm")
+    while True:
+        taken = reduce(DataFrame.unionAll, (s.select("kind", "surrogate") for s in settled), originals).distinct().withColumn("taken", F.lit(True))
+        judged = draw(drawn).join(taken, ["kind", "surrogate"], "left")
+        again = F.col("taken").isNotNull() | (F.row_number().over(first) > 1)
+        judged = written(judged.select("kind", "norm", "attempt", "surrogate", again.alias("again")), "drawn")
+        settled.append(judged.where("not again").drop("again"))
+        drawn = judged.where("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        if not drawn.limit(1).count():
+            return reduce(DataFrame.unionAll, settled)
+
+
+def _surnames(mentions: Column) -> Column:
+    """A regular expression for the first surnames of a document's mentions of persons as words of their own; null without any."""
+    first = lambda m: F.filter(person_words(m), lambda w: w["kind"] == "surname")[0]["word"]
+    names = F.array_distinct(F.filter(F.transform(F.filter(mentions, lambda m: kind_of(m) == "person"), first), lambda n: n.isNotNull()))
+    # longer ones first, as one may begin another
+    ordered = F.transform(F.reverse(F.array_sort(F.transform(names, lambda n: F.struct(F.length(n), n.alias("n"))))), lambda s: s["n"])
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}'’-])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")))
 
 
 def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -478,32 +553,40 @@ def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
     text = F.col("text")
     found = _searched(text, lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     # explode_outer: for explode, the optimizer would search every text a second time in a filter on the array's size
-    mentions = docs.select("doc_id", F.explode_outer(F.array_distinct(found)).alias("m")).where("m is not null")
-    of = written(mentions.select("doc_id", F.explode(entities_of(F.col("m"))).alias("e")).select("doc_id", "e.*"), "mentions")
-    redrawn = assign_surrogates(of, key).where("attempt > 0").select("kind", "norm", "surrogate")
-    by_doc = written(
+    mentions = docs.select(F.xxhash64("text").alias("_redrawn_in"), F.explode_outer(F.array_distinct(found)).alias("m")).where("m is not null")
+    of = written(mentions.select("_redrawn_in", F.explode(entities_of(F.col("m"))).alias("e")).select("_redrawn_in", "e.*"), "mentions")
+    redrawn = assign_surrogates(of, key).where("attempt <> 0").select("kind", "norm", "surrogate")
+    # a map has at most the entities of a text; texts of equal hashes share one
+    by_text = written(
         of.distinct()
         .join(redrawn, ["kind", "norm"])
-        .groupBy(F.col("doc_id").alias("_redrawn_in"))
+        .groupBy("_redrawn_in")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "norm"), "surrogate"))).alias("_redrawn")),
         "redrawn",
     )
-    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds", "_redrawn", "_mentions", "_redrawn_in")]
+    kept = [c for c in docs.columns if c not in ("text", "n_entities", "entity_kinds", "_redrawn", "_mentions", "_surnames", "_pieces", "_again", "_redrawn_in")]
     docs = docs.select(*kept, "text")
     chars = F.aggregate(F.map_entries("_redrawn"), F.lit(16).cast("long"), lambda a, e: a + F.length(e["key"]) + F.length(e["value"]))
-    size = by_doc.agg(F.sum(chars)).first()[0]
+    size = by_text.agg(F.sum(chars)).first()[0]
     if size:
-        side = F.broadcast(by_doc) if size <= BROADCAST_CHARS else by_doc
-        docs = docs.join(side, docs["doc_id"].eqNullSafe(side["_redrawn_in"]), "left")
+        side = F.broadcast(by_text) if size <= BROADCAST_CHARS else by_text
+        docs = docs.join(side, F.xxhash64("text") == F.col("_redrawn_in"), "left")
     else:
         docs = docs.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
-    pieces = _searched(text, lambda pattern: F.split(text, pattern, -1))
-    parts = lambda ms: F.zip_with(pieces, F.transform(ms, lambda m: render(key, m, F.col("_redrawn"))), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    kinds = F.filter(F.transform("_mentions", kind_of), lambda k: k != NUMBER)
-    return docs.withColumn("_mentions", F.coalesce(found, F.array().cast("array<string>"))).select(
+    docs = docs.withColumn("_mentions", F.coalesce(found, F.array().cast("array<string>")))
+    docs = docs.withColumn("_surnames", _surnames(F.col("_mentions")))
+    pieces = F.when(F.size("_mentions") > 0, _searched(text, lambda pattern: F.split(text, pattern, -1)))
+    docs = docs.withColumn("_pieces", pieces)
+    again = F.transform("_pieces", lambda p: F.regexp_extract_all(p, F.col("_surnames"), F.lit(0)))
+    docs = docs.withColumn("_again", F.coalesce(F.when(F.col("_surnames").isNotNull(), again), F.array().cast("array<array<string>>")))
+    new = lambda m: render(key, m, F.col("_redrawn"))
+    joined = lambda parts, ms: F.zip_with(parts, F.transform(ms, new), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    between = lambda p, ms: F.when(F.size(ms) > 0, F.array_join(joined(F.split(p, F.col("_surnames"), -1), ms), "")).otherwise(p)
+    kinds = F.filter(F.transform("_mentions", kind_of), lambda k: k != PLAIN)
+    return docs.select(
         *kept,
-        F.when(F.size("_mentions") > 0, F.array_join(parts(F.col("_mentions")), "")).otherwise(text).alias("text"),
-        F.size(kinds).alias("n_entities"),
+        F.when(F.size("_mentions") > 0, F.array_join(joined(F.zip_with("_pieces", "_again", between), F.col("_mentions")), "")).otherwise(text).alias("text"),
+        (F.size(kinds) + F.size(F.flatten("_again"))).alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("entity_kinds"),
     )
 

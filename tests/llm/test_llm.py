@@ -124,13 +124,60 @@ def test_accents_titles_and_russian_forms(spark):
     assert ivanova.split()[1] == ivanov.split()[1] + "а" and ivanov.endswith("ов") and sky.split()[1][:-2] == skaya.split()[1][:-2] and sky.endswith("ский") and skaya.endswith("ская")
 
 
-def test_used_up_formats_take_each_others_values(spark):
+def test_used_up_formats_are_permuted(spark):
     phones = [f"+1{n:03d}" for n in range(1000)]  # every value of the format is an original
-    rows = [("phone", p) for p in phones] + [("ssn", f"{n:09d}") for n in range(50)] + [("surname", w) for w in ("khan", "иванов", "smith")]
-    out = pii_surrogates.assign_surrogates(spark.createDataFrame(rows, "kind string, norm string")).collect()
+    bodies = [f"4{n:014d}" for n in range(30)]
+    locals_ = [f"192.168.{i}.{j}" for i in range(256) for j in range(70)]  # over a quarter of 65,536
+    signs = [f"-------{c}" for c in "bcdefghijk"]
+    short = [f"fe80::{c}" for c in "0123456"]
+    rows = [("phone", p) for p in phones] + [("ipv4", x) for x in locals_] + [("secret", x) for x in signs] + [("ipv6", x) for x in short]
+    few = [("ssn", f"{n:09d}") for n in range(50)] + [("surname", w) for w in ("khan", "иванов", "smith")] + [("ipv4", "8.8.8.8"), ("card", bodies[0])]
+    out = pii_surrogates.assign_surrogates(spark.createDataFrame(rows + few, "kind string, norm string")).collect()
     of = {(r.kind, r.norm): r.surrogate for r in out}
-    assert len(of) == len(rows) == len({(k, s) for (k, _), s in of.items()}) and all(s != n for (_, n), s in of.items())
-    assert sorted(of["phone", p] for p in phones) == phones and all(r.attempt <= pii_surrogates.ATTEMPTS for r in out if r.kind != "phone")
+    assert len(of) == len(rows) + len(few) == len({(k, s) for (k, _), s in of.items()}) and all(s != n for (_, n), s in of.items())
+    assert {(r.kind, r.norm) for r in out if r.attempt < 0} == {*rows}
+    assert sorted(of["phone", p] for p in phones) == phones
+    assert all(of["ipv4", x].startswith("192.168.") and max(map(int, of["ipv4", x].split("."))) < 256 for x in locals_)
+    assert all(re.fullmatch("-------[a-z]", of["secret", x]) for x in signs) and all(re.fullmatch("fe80::[0-9a-f]", of["ipv6", x]) for x in short)
+    assert not {of[x] for x in few} & {n for _, n in few}
+
+
+def test_permutations_keep_formats_and_check_digits(spark):
+    cards = [c for n in range(1000) for c in [f"4{n:011d}"] for c in [c + str(next(d for d in range(10) if luhn(c + str(d))))]]
+    ibans = [f"DE{n % 90 + 10}{n:04d}AB" for n in range(1000)]
+    rows = [("card", c) for c in cards] + [("iban", i) for i in ibans] + [("ipv4", f"93.184.{i}.{j}") for i in range(9) for j in range(9)]
+    df = spark.createDataFrame(rows, "kind string, norm string")
+    out = df.select("*", pii_surrogates.permuted("k", F.col("kind"), F.col("norm")).alias("new")).collect()
+    of = {(r.kind, r.norm): r.new for r in out}
+    assert all(n != new for (_, n), new in of.items())
+    assert len({of["card", c] for c in cards}) == len({of["iban", i][4:] for i in ibans}) == 1000
+    assert all(luhn(of["card", c]) and of["card", c][0] == "4" and len(of["card", c]) == 13 for c in cards)
+    for i in ibans:
+        new = of["iban", i]
+        assert re.fullmatch(r"DE\d{6}[A-Z]{2}", new) and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+    assert all(new.startswith("93.184.") for (k, _), new in of.items() if k == "ipv4")
+
+
+def test_signs_alone_are_no_secret_and_cost_no_round(spark):
+    a, b, c = replaced(spark, "password=-------- and", "secret: ________", "password=--------x")
+    assert (a, b) == ("password=-------- and", "secret: ________") and re.fullmatch("password=--------[a-wyz]", c)
+
+
+def test_surnames_are_found_again_in_their_document(spark):
+    text = "Mr Ahmed Khan met Emma Stone. Stone said hi, KHAN and Stones stayed; O'Khan, Khan-Lee. STONE Stone's +49 30 1234567"
+    first, other = pii_surrogates.replace_entities(docs(spark, [(1, text), (2, "Stone walls, Khan")])).orderBy("doc_id").collect()
+    new = re.match(r"Mr \w+ (\w+) met \w+ (\w+)\. (\w+) said hi, KHAN and Stones stayed; O'Khan, (\w+)-Lee\. STONE (\w+)'s \+4\d \d\d \d{7}$", first.text)
+    assert new and new[3] == new[2] == new[5] != "Stone" and new[4] == new[1] != "Khan" and "1234567" not in first.text
+    assert other.text == "Stone walls, Khan" and (first.n_entities, other.n_entities) == (6, 0)
+
+
+def test_rows_without_an_id_have_maps_of_their_own(spark):
+    r = random.Random(3)
+    mails = [f"{c}@m.example.com" for c in "abcdefghijklmnop"]
+    texts = [" ".join(r.choices(mails, k=3)) for _ in range(40)]
+    out = pii_surrogates.replace_entities(docs(spark, [(None, t) for t in texts])).collect()
+    new = {x for row in out for x in row.text.split()}
+    assert len(new) == len({x for t in texts for x in t.split()}) and not new & {*mails}
 
 
 def test_surrogates_equal_a_walk_in_plain_python(spark):
