@@ -17,7 +17,7 @@ blocks of that size, each against all rows. Nothing of the documents is shuffled
 
 Edge cases: null or empty texts (no words) contain nothing; items without words are never
 found; items of fewer than five words are found through runs of as many words; repeated
-items and documents give a row each; empty tables give no rows. Of the documents only the
+items and documents give a row each, also those without an id; empty tables give no rows. Of the documents only the
 id and text columns are read.
 """
 
@@ -47,8 +47,8 @@ FOUND = "doc_id long, item_id long, item_shingles int, shared int, containment d
 class Items:
     """A block of items as the tasks need it."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int) -> None:
-        self.k, self.ids = k, np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str], k: int) -> None:
+        self.k, self.ids = k, ids
         hashes, begins = wordgrams.words(texts)
         counts = np.diff(begins)
         shingle, at = wordgrams.shingles(hashes, begins, k)
@@ -172,7 +172,7 @@ def _search(docs: DataFrame, items: Broadcast, least: float) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in wordgrams.slices(texts):
-                rows = [(ids[a + d], int(block.ids[i]), n, m, m / n) for d, i, n, m in block.search(texts[a:b], least)]
+                rows = [(ids[a + d], block.ids[i], n, m, m / n) for d, i, n, m in block.search(texts[a:b], least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)],

@@ -384,9 +384,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class, the one that names it; rows with a null id stay."""
     others = _judged(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct()
-    kept = docs.join(others, (F.col("doc_id") == F.col("other_id")) & (F.xxhash64("text") == F.col("other_hash")), "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()  # of the ids alone
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    named = docs.where("doc_id IS NOT NULL")
+    kept = named.join(others, (F.col("doc_id") == F.col("other_id")) & (F.xxhash64("text") == F.col("other_hash")), "left_anti")
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():  # of the ids alone
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionAll(docs.where("doc_id IS NULL"))  # row groups without such rows are not read
 
 
 OP9_SQL = """

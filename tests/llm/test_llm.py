@@ -916,6 +916,17 @@ def test_pipeline_equals_its_operators(spark):
     assert all(set(f(spark, source, SMALL).columns) == set(source.columns) for _, f in corpus_pipeline.STAGES[:4])
 
 
+def test_rows_without_an_id_stay_and_items_without_one_are_found(spark):
+    r = random.Random(31)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, a), (None, None), (3, b), (3, a)]
+    kept = sorted(map(tuple, jaccard_join.near_duplicates_stage(spark, docs(spark, rows), "").collect()), key=str)
+    assert kept == sorted([(1, a), (3, b), (None, a), (None, a), (None, None)], key=str)
+    items = spark.createDataFrame([(None, a), (None, " ".join(a.split()[:3])), (4, b)], "item_id long, text string")
+    found = decontaminate.contained_items(docs(spark, rows), items).collect()
+    assert sorted(((x.doc_id, x.item_id) for x in found), key=str) == sorted([(d, None) for d, t in rows if t == a for _ in range(2)] + [(3, 4)], key=str)
+
+
 def test_stages_and_queries_take_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
