@@ -135,6 +135,14 @@ def match_process_path(deletes: DataFrame, processes: DataFrame, options: Correl
     return _nearest(path_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us), "by_path")
 
 
+def newest_of_guid(processes: DataFrame) -> DataFrame:
+    """Of each computer and GUID the newest process (of equal times the first), all that a match by GUID needs of those before every delete."""
+    own = F.struct(*processes.columns)
+    known = processes.withColumns({"_computer": _known(F.col("computer_name")), "_guid": _known(F.col("process_guid"))}).where("_computer IS NOT NULL AND _guid IS NOT NULL")
+    newest = known.groupBy("_computer", "_guid").agg(F.min_by(own, F.struct(-micros("occurred_ts"), F.col("record_ordinal"))).alias("row"))
+    return newest.select("row.*")
+
+
 def permitted(evidence: DataFrame) -> DataFrame:
     return evidence.where("delete_permission <> 'not_observed'")
 

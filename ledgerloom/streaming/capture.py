@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.columns import delete_permission, micros, parse_int64
-from ledgerloom.operators.correlate import correlate
+from ledgerloom.operators.correlate import correlate, newest_of_guid
 from ledgerloom.operators.parse import parse_events
 from ledgerloom.operators.sessions import KEY, ReceivedFold, with_session_key
 from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
@@ -169,41 +169,82 @@ def complete_sessions(records: DataFrame, existing: DataFrame | None = None, fau
 def correlate_batch(batch: DataFrame, batch_id: int, store: str, out: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None, last: bool = False) -> None:
     """Stores a batch of records and correlates the deletes that are due, by the rules of ``correlate``.
 
-    A delete is due once the newest stored event is later than it by the window and
-    ``GRACE_US`` (or at the ``last`` batch). Partners come from the store, so user, reused
-    process ids, nearest times, paths and evidence count as they do in batch; ``guid_us``
-    bounds how old the processes are that are read. Both writes replace the batch's own
-    folders, so a repeated batch changes nothing.
+    A delete is due once the newest event is later than it by the window and ``GRACE_US`` (or
+    at the ``last`` batch). A batch reads its own rows and what the one before left open
+    (``out`` + ``_open``, a folder per batch): deletes that are not due, processes and evidence
+    that those may still meet, the newest process of every GUID (``guid_us`` bounds how old
+    it may be) and the newest row. The store is read only for deletes that come so late that
+    their partners are no longer open. A delete does not wait for a process of its GUID that
+    comes after it is due. All writes replace the batch's own folders, so a
+    repeated batch changes nothing.
     """
-    spark = batch.sparkSession
     batch.write.mode("overwrite").parquet(f"{store}/{BATCH}={batch_id}")
-    rows = spark.read.parquet(store).drop(BATCH)
-    due = rows.where("outcome = 'delete_fact'")
-    reach = options.window_us + GRACE_US
-    if not last:
-        newest = rows.agg(F.max(micros("occurred_ts"))).first()[0]
-        due = due.where(micros("occurred_ts") < F.lit((newest or 0) - reach))
-    done = stored(spark, out)
-    if done is not None:
-        due = due.join(done.where(F.col(BATCH) != batch_id).select("raw_event_id"), "raw_event_id", "left_anti")
-    due = due.persist()
-    try:
-        oldest = due.agg(F.min(micros("occurred_ts"))).first()[0]
-        if oldest is None:
-            return
-        near = rows.where(micros("occurred_ts") >= F.lit(oldest - max(reach, guid_us or 0))) if guid_us is not None else rows
-        found = correlate(due.drop("command_line"), near.where("outcome = 'process_context'"), near.where("outcome = 'security_evidence'"), options)
-        found.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
-    finally:
-        due.unpersist()
+    _correlate_stored(batch.sparkSession, batch_id, store, out, options, guid_us, last)
+
+
+def _left_open(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left open."""
+    found = stored(spark, f"{out}_open/{BATCH}={batch_id - 1}")
+    every = stored(spark, f"{out}_open") if found is None else None
+    if every is not None:  # batches need not be numbered without gaps
+        before = every.where(F.col(BATCH) < batch_id).agg(F.max(BATCH)).first()[0]
+        found = None if before is None else spark.read.parquet(f"{out}_open/{BATCH}={before}")
+    return found
+
+
+def _correlate_stored(spark: SparkSession, batch_id: int, store: str, out: str, options: CorrelationOptions, guid_us: int | None, last: bool) -> None:
+    us, reach = micros("occurred_ts"), options.window_us + GRACE_US
+    rows = spark.read.parquet(f"{store}/{BATCH}={batch_id}")
+    left = _left_open(spark, out, batch_id)
+    passed = None  # deletes from here on were open, with all partners, before this batch
+    if left is not None:
+        newest = left.agg(F.max(us)).first()[0]
+        passed = None if newest is None else newest - reach
+        rows = left.unionByName(rows)
+    newest = rows.agg(F.max(us)).first()[0]
+    horizon = (newest or 0) - reach
+    due = rows.where("outcome = 'delete_fact'").where(F.lit(last) | (us < horizon) | us.isNull())
+    near = rows
+    if passed is not None:
+        oldest = due.where(us < passed).agg(F.min(us)).first()[0]
+        if oldest is not None:
+            every = spark.read.parquet(store).where(F.col(BATCH) <= batch_id).drop(BATCH)
+            near = every if guid_us is None else every.where(us >= oldest - max(reach, guid_us))
+    processes, evidence = (near.where(F.col("outcome") == o) for o in ("process_context", "security_evidence"))
+    correlate(due.drop("command_line"), processes, evidence, options).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+    is_process, recent = F.col("outcome") == "process_context", us >= horizon - options.window_us
+    pending = (F.col("outcome") == "delete_fact") & (us >= horizon) & F.lit(not last)
+    partner = recent & (is_process | (F.col("outcome") == "security_evidence"))
+    mark = (us == newest) & ~F.col("outcome").isin("delete_fact", "process_context", "security_evidence")
+    old = newest_of_guid(rows.where(is_process & ~recent & (F.lit(True) if guid_us is None else us >= horizon - guid_us)))
+    kept = rows.where(pending | partner | F.coalesce(mark, F.lit(False))).unionByName(old)
+    if last:  # the time that was reached stays known without its delete
+        kept = kept.unionByName(rows.where((F.col("outcome") == "delete_fact") & (us == newest)).limit(1).withColumn("outcome", F.lit("ignored")))
+    kept.write.mode("overwrite").parquet(f"{out}_open/{BATCH}={batch_id}")
+
+
+def flush_correlation(spark: SparkSession, store: str, out: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None) -> None:
+    """Correlates what the newest batch left open, as at the end of a capture; may be repeated, and later batches go on behind it."""
+    every = stored(spark, f"{out}_open")
+    newest = None if every is None else every.agg(F.max(BATCH)).first()[0]
+    if newest is not None:
+        _correlate_stored(spark, newest, store, out, options, guid_us, last=True)
 
 
 def stream_correlate(stream: DataFrame, store: str, out: str, checkpoint: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None):
-    """Starts the query that correlates a stream of classified records batch by batch."""
+    """Starts the query that correlates a stream of classified records batch by batch; the deletes of the last moments wait for ``flush_correlation``."""
     run = lambda batch, n: correlate_batch(batch, n, store, out, options, guid_us)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def correlate_to_end(stream: DataFrame, store: str, out: str, checkpoint: str, options: CorrelationOptions = CorrelationOptions(), guid_us: int | None = None) -> DataFrame:
+    """Correlates all that the stream has now, the last deletes included, and returns every delete with its matches."""
+    stream_correlate(stream, store, out, checkpoint, options, guid_us).awaitTermination()
+    spark = stream.sparkSession
+    flush_correlation(spark, store, out, options, guid_us)
+    return spark.read.parquet(out).drop(BATCH)
+
+
 SESSION_EVENTS = "raw_event_id string, session_no long, count long, opened_us long, last_us long"
 SESSION_STATE = "next_no long, number array<long>, opened array<long>, last array<long>, ids array<array<string>>"
 

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import micros
 from ledgerloom.operators import correlate, mart, parse, projection, sessions
 from ledgerloom.plans import adapter
 from ledgerloom.sources import envelopes, publication, sinks
@@ -192,6 +193,51 @@ def test_streamed_matches_equal_the_batch_when_all_is_stored(spark, tmp_path):
     assert sorted(map(repr, found)) == sorted(map(repr, want.select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()))
 
 
+def test_correlation_to_the_end_equals_the_batch_without_reading_the_store(spark, tmp_path, monkeypatch):
+    rows = adapter.audit_rows(spark, SF).cache()
+    us = micros("occurred_ts")
+    ordered = sorted(r.us for r in rows.select(us.alias("us")).collect())
+    columns = ("raw_event_id", "method", "process_raw_id", "security_raw_id", "reasons")
+    all_of = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    of = lambda outcome, df=rows: df.where(F.col("outcome") == outcome)
+    match = lambda due, seen: correlate.correlate(due.drop("command_line"), of("process_context", seen), of("security_evidence", seen), adapter.CORRELATION)
+    whole = {r.raw_event_id: r for r in match(of("delete_fact"), rows).select(*columns).collect()}
+    reach = adapter.CORRELATION.window_us + capture.GRACE_US
+    read = type(spark.read).parquet
+    for cuts in ((0.2, 0.21, 0.9), (0.999,)):
+        root = tmp_path / str(len(list(tmp_path.iterdir())))
+        path, store, out = str(root / "r"), str(root / "store"), str(root / "out")
+        bounds = [ordered[0] - 1, *(ordered[int(c * len(ordered))] for c in cuts), ordered[-1]]
+        for low, high in zip(bounds, bounds[1:]):
+            rows.where((us > low) & (us <= high)).coalesce(1).write.mode("append").parquet(path)
+        # each delete meets all rows up to the batch at which it is due
+        ends = [bounds[0] - 1, *(b - reach for b in bounds[1:-1]), bounds[-1] + 1]
+        want = sorted(x for low, high, seen in zip(ends, ends[1:], bounds[1:]) for x in all_of(match(of("delete_fact").where((us >= low) & (us < high)), rows.where(us <= seen))))
+        folders = []
+        monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, **k: (folders.extend(p), read(self, *p, **k))[1])
+        found = capture.correlate_to_end(capture.read_live(spark, path, rows.schema), store, out, str(root / "cp"), adapter.CORRELATION)
+        monkeypatch.undo()
+        assert store not in folders and all_of(found) == want and len(want) == len(whole)
+        # against the whole table only a GUID's process that comes after the delete is due may be missed
+        later = [r for r in found.select(*columns).collect() if r != whole[r.raw_event_id]]
+        assert all(whole[r.raw_event_id].method == "process_guid" for r in later)
+        capture.flush_correlation(spark, store, out, adapter.CORRELATION)  # once more changes nothing
+        assert all_of(spark.read.parquet(out)) == want
+        left = spark.read.parquet(f"{out}_open")
+        newest = left.where(f"batch_id = {len(cuts)}")
+        assert newest.where("outcome = 'delete_fact'").count() == 0 and newest.count() < rows.count()
+
+
+def test_late_deletes_meet_partners_from_the_store(spark, tmp_path):
+    rows, store, out = adapter.audit_rows(spark, SF), str(tmp_path / "store"), str(tmp_path / "out")
+    late = rows.where("outcome = 'delete_fact' AND event_id % 7 = 0")
+    capture.correlate_batch(rows.join(late.select("raw_event_id"), "raw_event_id", "left_anti").select(*rows.columns), 0, store, out, adapter.CORRELATION)
+    capture.correlate_batch(late, 4, store, out, adapter.CORRELATION, last=True)
+    found = spark.read.parquet(out).select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()
+    want = correlate.correlate(adapter.deletes(spark, SF), adapter.contexts(spark, SF), adapter.evidence(spark, SF), adapter.CORRELATION)
+    assert sorted(map(repr, found)) == sorted(map(repr, want.select("raw_event_id", "method", "process_raw_id", "security_raw_id").collect()))
+
+
 def test_mart_written_again_replaces_its_import(spark, tmp_path):
     rows = adapter.audit_rows(spark, SF).where("event_id < 60")
     deletes, processes = rows.where("outcome = 'delete_fact'").drop("command_line"), rows.where("outcome = 'process_context'")
