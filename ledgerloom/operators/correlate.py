@@ -1,15 +1,18 @@
-"""The process and the security evidence behind each delete: a ladder of nearest-in-time joins.
-
-Matches within a window are equi-joins on the keys and a time bucket as wide as the window,
-for which each delete is put into three buckets. The match by GUID knows no window, so it
-makes no pairs: both sides are sorted into one order, in which each delete sees the nearest
-process before and after it. All candidates meet in one aggregation with partial minima,
-which carries the partner's fields along; ties go to the earlier record.
+"""The process and the security evidence behind each delete: a ladder of nearest-in-time matches.
+
+No match makes pairs. Every rule is an equality of keys, so a delete and its possible partners
+are given one row per rule with that rule's key and sorted into one order per key and hour, in
+which each delete sees the nearest partner before and after it; a row per hour carries the
+nearest ones across hours. A key that holds a third of all rows is spread over its hours, and
+the rows within one are sorted, not multiplied. The candidates of a delete, at most one a
+rule, meet in one aggregation with partial minima, which carries the partner's fields along;
+ties go to the earlier record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +21,6 @@ from ledgerloom.functions.columns import micros, missing_fields, normalize_path
 from ledgerloom.operators.ordering import following, nearest
 from ledgerloom.options import HOUR, CorrelationOptions
 
-DAY = 24 * HOUR
-
 #: Fields that a process or evidence may fill, with their names in reasons, in order.
 PROCESS_FIELDS = {
     "command_line": "commandLine", "parent_process_id": "parentProcessId", "parent_process_path": "parentProcessPath",
@@ -37,11 +38,12 @@ def _path_key(c: Column) -> Column:
     return F.lower(normalize_path(F.when(F.trim(c) != "", c)))
 
 
-def _same_user(a: str, b: str) -> Column:
-    """Equal SIDs if both sides have one, else equal names."""
-    sids = (_known(F.col(f"{a}_sid")), _known(F.col(f"{b}_sid")))
-    names = _known(F.col(f"{a}_user")) == _known(F.col(f"{b}_user"))
-    return F.coalesce(F.when(sids[0].isNotNull() & sids[1].isNotNull(), sids[0] == sids[1]).otherwise(names), F.lit(False))
+def _user_keys(prefix: str) -> dict[str, Column]:
+    """Keys of which exactly one can be equal if two sides have the same user: equal SIDs if both have one, else equal names."""
+    sid, name = _known(F.col(f"{prefix}_sid")), _known(F.col(f"{prefix}_user"))
+    if prefix == "d":
+        return {"sid": sid, "name_without_sid": F.when(sid.isNotNull(), name), "name": F.when(sid.isNull(), name)}
+    return {"sid": sid, "name_without_sid": F.when(sid.isNull(), name), "name": name}
 
 
 def _side(df: DataFrame, prefix: str, object_path: str | None = None, fields: Sequence[str] = ()) -> DataFrame:
@@ -60,79 +62,79 @@ def _side(df: DataFrame, prefix: str, object_path: str | None = None, fields: Se
     )
 
 
-def _candidates(pairs: DataFrame, prefix: str, kind: str, tier: Column | int) -> DataFrame:
-    """(d_id, kind, tier, delta, ordinal, partner, fields) of pairs; the partner's fields if the side carries them."""
-    fields = [F.col(f"{prefix}_fields").alias("fields")] if f"{prefix}_fields" in pairs.columns else []
-    return pairs.select(
-        "d_id", F.lit(kind).alias("kind"), (F.lit(tier) if isinstance(tier, int) else tier).alias("tier"),
-        F.abs(F.col("d_us") - F.col(f"{prefix}_us")).alias("delta"), F.col(f"{prefix}_ord").alias("ordinal"), F.col(f"{prefix}_id").alias("partner"), *fields,
-    )
-
-
 def _nearest(candidates: DataFrame, name: str) -> DataFrame:
     """(d_id, name: struct of partner id and distance) for the nearest candidate of each delete."""
     best = F.min_by(F.struct(F.col("partner").alias("id"), "delta"), F.struct("delta", "ordinal"))
     return candidates.groupBy("d_id").agg(best.alias(name))
 
 
-def _within(d: DataFrame, other: DataFrame, keys: list[str], prefix: str, window_us: int) -> DataFrame:
-    """Pairs with equal keys whose distance is within the window."""
-    bucket = F.floor(F.col("d_us") / window_us)
-    left = d.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = other.withColumn("bucket", F.floor(F.col(f"{prefix}_us") / window_us))
-    own = [c for c in ("computer", "pid", "guid", "path") if c not in keys]
-    pairs = left.join(right.drop(*own), ["bucket", *keys])
-    return pairs.where(F.abs(F.col("d_us") - F.col(f"{prefix}_us")) <= window_us)
+def _keyed(side: DataFrame, prefix: str, tiers: Sequence[int], security: bool) -> DataFrame:
+    """A row per rule for which the side's row has a whole key: tier, pid, text and user, the rule's parts."""
+
+    def key(tier: int, text: Column, pid: Column | None = None, user: Column | None = None) -> Column:
+        parts = [c for c in (text, pid, user) if c is not None]
+        whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in parts))
+        value = F.struct(F.lit(tier).alias("tier"), text.alias("text"), (F.lit(-1) if pid is None else pid).cast("long").alias("pid"), (F.lit("") if user is None else user).alias("user"))
+        return F.when(whole, value)
+
+    def of_user(text: Column) -> list[Column]:
+        return [key(2, F.concat(F.lit(f"{rule}:"), text), F.col("pid"), user) for rule, user in _user_keys(prefix).items()]
+
+    rules = {1: [key(1, F.col("path"))], 2: of_user(F.col("path") if security else F.lit("")), 3: [key(3, F.col("guid"))]}
+    keys = F.array_compact(F.array(*(k for t in tiers for k in rules[t])))
+    return side.where("computer IS NOT NULL").withColumn("_key", F.explode(keys)).drop("pid").select("*", "_key.*").drop("_key", "guid", "path")
 
 
-def guid_candidates(d: DataFrame, p: DataFrame) -> DataFrame:
-    """The nearest process of the same computer and GUID, at any distance; one row a delete."""
-    fields = ["p_fields"] if "p_fields" in p.columns else []
-    partner = F.struct("p_id", "p_us", "p_ord", *fields)
-    sides = nearest(d.where("guid IS NOT NULL").select("computer", "guid", "d_id", "d_us"), p, ["computer", "guid"], ("d_us", "p_us"), partner, "p_ord", DAY)
-    delta = lambda x: F.struct(F.abs(F.col("d_us") - x["p_us"]).alias("delta"), x["p_ord"].alias("ordinal"))
-    earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (delta(F.col("before")) <= delta(F.col("after"))))
-    found = sides.select("d_id", "d_us", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("p")).where("p IS NOT NULL")
-    return _candidates(found.select("d_id", "d_us", "p.*"), "p", "process", 3)
+def _matched(d: DataFrame, other: DataFrame, prefix: str, kind: str, tiers: Sequence[int], window_us: int) -> DataFrame:
+    """(d_id, kind, tier, delta, ordinal, partner, and fields if the side carries them): the nearest partner by each rule."""
+    extra = [c for c in (f"{prefix}_fields", "next_start") if c in other.columns]
+    value = F.struct(f"{prefix}_id", f"{prefix}_us", f"{prefix}_ord", *extra)
+    left = _keyed(d, "d", tiers, kind == "security").select("computer", "tier", "text", "pid", "user", "d_id", "d_us")
+    right = _keyed(other, prefix, tiers, kind == "security")
+    sides = nearest(left, right, ["computer", "tier", "text", "pid", "user"], ("d_us", f"{prefix}_us"), value, f"{prefix}_ord", HOUR)
 
+    def candidate(side: str) -> Column:
+        x = F.col(side)
+        delta = F.abs(F.col("d_us") - x[f"{prefix}_us"])
+        near = x.isNotNull() & ((F.col("tier") == 3) | (delta <= window_us))
+        if "next_start" in extra:  # the last start before a delete is the only one that can have lived until then
+            near = near & ((F.col("tier") != 2) | x["next_start"].isNull() | (x["next_start"] > F.col("d_us")))
+        fields = [x[f"{prefix}_fields"].alias("fields")] if f"{prefix}_fields" in extra else []
+        return F.when(near, F.struct(delta.alias("delta"), x[f"{prefix}_ord"].alias("ordinal"), x[f"{prefix}_id"].alias("partner"), *fields))
 
-def pid_candidates(d: DataFrame, p: DataFrame, window_us: int) -> DataFrame:
-    """Same computer, process id and known user within the window, unless the id was started anew by then."""
-    pairs = _within(d, with_next_start(p), ["computer", "pid"], "p", window_us)
-    alive = F.col("next_start").isNull() | (F.col("next_start") > F.col("d_us"))
-    return _candidates(pairs.where(_same_user("d", "p") & alive), "p", "process", 2)
+    best = F.array_min(F.array_compact(F.array(candidate("before"), candidate("after"))))
+    return sides.select("d_id", F.lit(kind).alias("kind"), "tier", best.alias("best")).where("best IS NOT NULL").select("d_id", "kind", "tier", "best.*")
 
 
-def path_candidates(d: DataFrame, p: DataFrame, window_us: int) -> DataFrame:
-    """Same computer and process path within the window: a hint only."""
-    return _candidates(_within(d, p, ["computer", "path"], "p", window_us), "p", "process", 1)
+def process_candidates(d: DataFrame, p: DataFrame, window_us: int, tiers: Sequence[int] = (3, 2, 1)) -> DataFrame:
+    """The nearest process by each rule: same computer and GUID at any distance (3); same computer,
+    process id and user within the window, unless the id was started anew by then (2); same
+    computer and path within the window, a hint only (1)."""
+    return _matched(d, with_next_start(p) if 2 in tiers else p, "p", "process", tiers, window_us)
 
 
 def security_candidates(d: DataFrame, s: DataFrame, window_us: int) -> DataFrame:
-    """Same computer and object within the window: reliable (2) if process and user agree, else a hint (1)."""
-    pairs = _within(d, s.withColumn("s_pid", F.col("pid")), ["computer", "path"], "s", window_us)
-    reliable = F.coalesce(_same_user("d", "s") & (F.col("pid") == F.col("s_pid")), F.lit(False))
-    return _candidates(pairs, "s", "security", F.when(reliable, 2).otherwise(1))
+    """The nearest evidence of the same computer and object within the window: of the same process and user (2), of any (1)."""
+    return _matched(d, s, "s", "security", (2, 1), window_us)
 
 
 def match_process_guid(deletes: DataFrame, processes: DataFrame) -> DataFrame:
-    return _nearest(guid_candidates(_side(deletes, "d"), _side(processes, "p")), "by_guid")
+    return _nearest(process_candidates(_side(deletes, "d"), _side(processes, "p"), 0, (3,)), "by_guid")
 
 
 def with_next_start(side: DataFrame) -> DataFrame:
-    """Adds when the same process id was next started, later than this, on the same computer; rows without either are left out."""
+    """Adds when the same process id was next started, later than this, on the same computer; null for rows without either."""
     key = ["computer", "pid"]
-    known = side.where("computer IS NOT NULL AND pid IS NOT NULL")
-    starts = following(known.select(*key, "p_us").distinct(), key, "p_us", "next_start", DAY)
-    return known.join(starts, [*key, "p_us"])
+    known = side.where("computer IS NOT NULL AND pid IS NOT NULL").select(*key, "p_us").distinct()
+    return side.join(following(known, key, "p_us", "next_start", HOUR), [*key, "p_us"], "left")
 
 
 def match_process_pid(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions) -> DataFrame:
-    return _nearest(pid_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us), "by_pid")
+    return _nearest(process_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us, (2,)), "by_pid")
 
 
 def match_process_path(deletes: DataFrame, processes: DataFrame, options: CorrelationOptions) -> DataFrame:
-    return _nearest(path_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us), "by_path")
+    return _nearest(process_candidates(_side(deletes, "d"), _side(processes, "p"), options.window_us, (1,)), "by_path")
 
 
 def newest_of_guid(processes: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def correlate(
     """Each delete with its best match, both matched ids, merged fields, reasons and what is still missing.
 
     With ``allowed`` (d_id, partner) no other partners count, as in the analysis of a live
-    capture; it holds the nearest ones, so the nearest of a GUID is among them or none is.
+    capture; it holds the nearest ones, so the nearest by a rule is among them or none is.
     """
     present = [f for f in PROCESS_FIELDS if f in processes.columns]
     own = deletes
@@ -187,7 +189,7 @@ def correlate(
     window = options.window_us
     d, p = _side(deletes, "d"), _side(processes, "p", fields=present)
     s = _side(permitted(evidence), "s", "full_path", [*SECURITY_FIELDS, "delete_permission"])
-    of_process = guid_candidates(d, p).unionByName(pid_candidates(d, p, window)).unionByName(path_candidates(d, p, window))
+    of_process = process_candidates(d, p, window)
     of_security = security_candidates(_side(deletes, "d", "full_path"), s, window)
     absent = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
     union = of_process.withColumnRenamed("fields", "p_fields").withColumn("s_fields", absent(of_security, "fields")).unionByName(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
 from ledgerloom.operators import analysis, integrity, ordering, quality, sessions, views
-from ledgerloom.options import SECOND, CorrelationOptions, ProtectedRule, RiskOptions
+from ledgerloom.options import HOUR, SECOND, CorrelationOptions, ProtectedRule, RiskOptions
 from ledgerloom.plans import audit_queries
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +89,57 @@ def test_windowed_matches_need_no_nested_loop(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_matches_on_a_hot_key_equal_a_plain_walk_without_pairs(spark):
+    r = random.Random(9)
+    hours = lambda hot: r.randrange(12) * 3_600 + r.randrange(8) if hot else r.randrange(40 * 3_600)
+    make = lambda k, n: [
+        {
+            "id": f"{k}{i}", "n": i, "us": hours(i % 2 == 0) * SECOND, "pc": "HOT" if i % 2 == 0 else r.choice(["a", "b", None]), "pid": r.choice([1, 1, 2, None]), "user": r.choice(["u", "V", " ", None]),
+            "sid": r.choice(["s1", "S2", "", None]), "path": r.choice(["C:\\p", "c:/P", "C:\\q", None]), "guid": r.choice(["{a}", None, None]),
+        }
+        for i in range(n)
+    ]
+    ds, ps = make("d", 600), make("p", 600)
+    to = lambda xs: frame(spark, [event(x["n"], x["us"], raw_event_id=x["id"], computer_name=x["pc"], process_id=x["pid"], user_name=x["user"], user_sid=x["sid"], process_guid=x["guid"], process_path=x["path"], full_path=x["path"], delete_permission="delete_requested") for x in xs])
+    low = lambda v: v.lower().replace("/", "\\") if v and v.strip() else None
+    same = lambda a, b: a is not None and a == b
+    user = lambda d, p: low(d["sid"]) == low(p["sid"]) if low(d["sid"]) and low(p["sid"]) else same(low(d["user"]), low(p["user"]))
+    reused = lambda p, d: any(same(o["pc"], p["pc"]) and o["pid"] == p["pid"] and p["us"] < o["us"] <= d["us"] for o in ps)
+    near = lambda d, xs: min(((abs(d["us"] - p["us"]), p["n"], p["id"]) for p in xs), default=(None, None, None))[2]
+    window = 3 * SECOND
+    within = lambda d: [p for p in ps if same(d["pc"], p["pc"]) and abs(d["us"] - p["us"]) <= window]
+    want = {"guid": {}, "pid": {}, "path": {}, "reliable": {}, "hint": {}}
+    for d in ds:
+        close = within(d)
+        on_path = [p for p in close if same(low(d["path"]), low(p["path"]))]
+        want["guid"][d["id"]] = near(d, [p for p in ps if same(d["pc"], p["pc"]) and same(d["guid"], p["guid"])])
+        want["pid"][d["id"]] = near(d, [p for p in close if same(d["pid"], p["pid"]) and user(d, p) and not reused(p, d)])
+        want["path"][d["id"]] = want["hint"][d["id"]] = near(d, on_path)
+        want["reliable"][d["id"]] = near(d, [p for p in on_path if same(d["pid"], p["pid"]) and user(d, p)])
+    o, d, p = CorrelationOptions(window), to(ds), to(ps)
+    security = K.match_security(d, p, o)
+    frames = {"guid": (K.match_process_guid(d, p), "by_guid"), "pid": (K.match_process_pid(d, p, o), "by_pid"), "path": (K.match_process_path(d, p, o), "by_path"), "reliable": (security, "reliable"), "hint": (security, "hint")}
+    for name, (df, column) in frames.items():
+        got = {x.d_id: x.id for x in df.select("d_id", F.col(f"{column}.id").alias("id")).collect() if x.id is not None}
+        assert got == {k: v for k, v in want[name].items() if v is not None}, name
+        assert len(got) > 20
+
+
+def test_half_of_all_rows_on_one_computer_are_many_even_tasks(spark):
+    rows = lambda k: spark.range(20_000).select(
+        F.concat(F.lit(k), "id").alias("raw_event_id"), F.col("id").alias("record_ordinal"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") * 97) % 500_000)).alias("occurred_ts"),
+        F.when(F.col("id") % 2 == 0, "HOT").otherwise(F.concat(F.lit("pc"), F.col("id") % 500)).alias("computer_name"), F.lit(1).alias("process_id"), F.lit("C:\\p").alias("process_path"), F.lit("u").alias("user_name"), F.lit(None).cast("string").alias("user_sid"),
+    )
+    d, p = (K._side(rows(k), k) for k in "dp")
+    cut = K._keyed(d, "d", (2, 1), False).select("computer", "tier", "text", "pid", "user", "d_us").withColumn("bucket", F.floor(F.col("d_us") / HOUR))
+    tasks = cut.repartition(32, "computer", "tier", "text", "pid", "user", "bucket").groupBy(F.spark_partition_id().alias("t")).count().collect()
+    sizes = sorted(x["count"] for x in tasks)
+    assert len(sizes) == 32 and sizes[-1] < 2 * sizes[16]
+    plan = K.process_candidates(d, p, 3 * SECOND)._jdf.queryExecution().optimizedPlan().toString()
+    assert "d_us" in plan and not [x for x in plan.splitlines() if "Join" in x and "p_us" in x and "d_us" in x]  # sides meet by sorting only
+    assert K.process_candidates(d, p, 3 * SECOND).groupBy("d_id", "tier").count().where("count > 3").count() == 0
+
+
 def test_received_order_fold_equals_a_plain_walk(spark):
     r = random.Random(3)
     rows = [event(i, r.randrange(80) * SECOND, raw_event_id=f"r{r.randrange(35)}") for i in range(40)]
