@@ -84,6 +84,19 @@ def test_files_are_read_stripe_by_stripe_and_pruned_by_metadata(spark, tmp_path)
     assert read_rows[0] <= 2 * 2000 and read_rows[1] <= 2000
 
 
+def test_words_are_encoded_once_whatever_their_case_and_closing_marks():
+    words, marks = ["word", "élan", "straße", "3rd", "don't", "ñ"], [".", ",###", "%%%", "*_~", "$"]
+    own = orc_tokens.Encoder(public_tokenizers.path(orc_tokens.VOCABULARY))
+
+    def check(texts):
+        ids, begins = own.encode(pyarrow.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [plain_ids(t) for t in texts]
+
+    check([" ".join(f"{form}{m}" for w in words for form in (w, w.capitalize()) for m in ("", *marks)), ""])
+    assert set(own.at) == {*words, *marks, ""}
+    check(["Élan''. l'Éa\u0301!! A\u0301? Œuf## ﬁ. x<\u0338 \u0338. İ, ΑΣ. ²$ ª% × ÷, \u212bb.", "'S. 'Ll, É's! (Élan) <|endoftext|>."])
+
+
 def test_tokens_of_an_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     orc_tokens.write_tokens(spark.createDataFrame([], DOC), folder)
