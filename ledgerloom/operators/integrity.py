@@ -34,7 +34,9 @@ def fold_hashes(df: DataFrame, chain: str, order: str, parts: Sequence[str], ste
     rows = df.withColumn("_tail", F.lit(None).cast("string"))
     if tails is not None:
         rows = rows.unionByName(tails.select(chain, F.col("entry_hash").alias("_tail")), allowMissingColumns=True)
-    ordered = rows.repartition(chain).sortWithinPartitions(chain, F.col("_tail").isNull(), order)
+    # by a hash of the chain, as no join or aggregation deals rows by that: a repartition by the chain itself is left out where
+    # both sides of the union seem to lie by it already, and their partitions may still be merged, or split, each for itself
+    ordered = rows.repartition(F.xxhash64(chain)).sortWithinPartitions(chain, F.col("_tail").isNull(), order)
     schema = StructType([*df.schema.fields, StructField("previous_hash", StringType()), StructField("entry_hash", StringType())])
     at, used = columns.index(chain), [columns.index(p) for p in parts]
 

@@ -209,6 +209,26 @@ def test_chains_go_on_from_a_stored_tail(spark):
     assert build(df.where("chain = 'b' OR n > 5"), tails) == {k: v for k, v in whole.items() if k[0] == "b" or k[1] > 5}
 
 
+def test_tails_meet_their_chains_where_both_sides_lie_by_the_chain(spark):
+    merge = "spark.sql.adaptive.coalescePartitions"
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", f"{merge}.minPartitionSize": "16k", f"{merge}.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        chain = lambda n: F.concat(F.lit("c"), (F.col("id") % n).cast("string")).alias("chain")
+        rows = spark.range(20_000).select(chain(400), F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+        accepted = spark.range(400).select(chain(400)).groupBy("chain").agg(F.count("*").alias("k"))
+        tails = spark.range(800).select(chain(400), "id").groupBy("chain").agg(F.max_by(F.concat(F.lit("t-"), "chain"), "id").alias("entry_hash"))
+        # the join and the aggregation deal their rows out by the chain, and partitions are merged on either side by its own sizes
+        folded = integrity.fold_hashes(rows.join(accepted, "chain").drop("k"), "chain", "n", ["content_hash"], lambda previous, own: f"{previous[:6]}|", tails)
+        firsts = folded.groupBy("chain").agg(F.min_by("previous_hash", "n").alias("first"), F.count("*").alias("n")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.chain: (r.first, r.n) for r in firsts} == {f"c{i}": (f"t-c{i}", 50) for i in range(400)}
+
+
 @pytest.mark.parametrize("size", [1, 7, 1000])
 def test_orders_cut_into_buckets_equal_plain_windows(spark, size):
     r = random.Random(size)
