@@ -180,6 +180,14 @@ def test_rows_without_an_id_have_maps_of_their_own(spark):
     assert len(new) == len({x for t in texts for x in t.split()}) and not new & {*mails}
 
 
+def test_mentions_of_listed_names_alone_hold_no_surname(spark):
+    alone, both = replaced(spark, "Dr. Maria met nobody.", "Dr. Maria met Mr Stone today. So Stone left.")
+    title, given, rest = alone.split(" ", 2)
+    assert title == "Dr." and given in pii_surrogates.GIVEN_NAMES["Latin", "female"] and given != "Maria" and rest == "met nobody."
+    words = both.split()
+    assert words[:3] == ["Dr.", given, "met"] and words[4] == words[7] != "Stone"
+
+
 def test_surrogates_equal_a_walk_in_plain_python(spark):
     """Coreference and distinctness by a walk over all mentions: equal entities equal surrogates, others others, none left."""
     r = random.Random(21)
