@@ -98,6 +98,26 @@ def before(df: DataFrame, keys: Sequence[str], order: str, column: str, name: st
     return joined.withColumn(name, F.coalesce("_own", "_earlier")["v"]).drop("_bucket", "_own", "_earlier")
 
 
+def numbered_with_before(df: DataFrame, keys: Sequence[str], order: str, name: str, column: str, before_name: str, size: int = ROWS) -> DataFrame:
+    """``numbered``, and the value of ``column`` in the row before (null for the first), for one shuffle of the rows.
+
+    Rows with equal order stand in the order of ``column``. The key and bucket are one struct, in
+    which nulls are equal, so the rows of a bucket lie where both the window and the join want them.
+    """
+    cut = df.withColumn("_at", F.struct(*keys, F.floor(F.col(order) / size).alias("_bucket")))
+    held = F.struct(F.col(column).alias("v"))
+    borders = cut.groupBy("_at").agg(F.count("*").alias("_n"), F.max_by(held, F.struct(order, column)).alias("_last"))
+    across = Window.partitionBy(*(F.col("_at")[k] for k in keys)).orderBy(F.col("_at")["_bucket"])
+    carried = borders.select(
+        "_at", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.lag("_last").over(across).alias("_earlier")
+    )
+    own = Window.partitionBy("_at").orderBy(order, column)
+    placed = cut.withColumns({"_place": F.row_number().over(own), "_own": F.lag(held).over(own)})
+    return placed.join(carried, "_at").withColumns(
+        {name: (F.col("_place") + F.col("_offset")).cast("long"), before_name: F.coalesce("_own", "_earlier")["v"]}
+    ).drop("_at", "_place", "_own", "_offset", "_earlier")
+
+
 def segmented(df: DataFrame, keys: Sequence[str], at: str, tie: str, gap: int, opening: Column, size: int) -> DataFrame:
     """Adds ``segment_no``, ``running_count`` and ``opened``: runs of rows within the keys between which more than ``gap`` lies.
 

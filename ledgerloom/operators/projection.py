@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import GENESIS, delete_permission, missing_fields, null_if_blank, parse_int64, parse_pid
 from ledgerloom.operators.integrity import encoded, fold_hashes, payload_hash
-from ledgerloom.operators.ordering import before, numbered
+from ledgerloom.operators.ordering import joined_with_nulls, numbered, numbered_with_before
 from ledgerloom.operators.parse import parse_events
 from ledgerloom.plans.scratch import written
 
@@ -48,6 +48,18 @@ def epoch_id(session: str = "live_session_id", channel: str = "channel_name", ma
     return F.concat(F.lit("live-epoch:"), F.upper(F.sha2(encoded(F.lit(EPOCH_V1), F.col(session), F.col(channel), F.col(machine)), 256)))
 
 
+def payload() -> Column:
+    """The digest of a canonical row's fields and of the names of those that are missing."""
+    text = {"event_ts": _instant("event_ts"), "observed_ts": _instant("observed_ts")}
+    return payload_hash([F.lit(PAYLOAD_V1), *(text.get(c, F.col(c)) for c in FIELDS)], F.col("missing"))
+
+
+def packed(text: Column) -> Column:
+    """A text as bytes, its last 64 characters as 32 if they are hexadecimal digits of one case; different texts stay different."""
+    short = lambda sign: F.concat(F.lit(sign), F.unhex(F.substring(text, -64, 64)), F.substring(text, F.lit(1), F.length(text) - 64).cast("binary"))
+    return F.when(text.rlike(r"[0-9a-f]{64}\z"), short(b"\x01")).when(text.rlike(r"[0-9A-F]{64}\z"), short(b"\x02")).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
 def dense_sequence(records: DataFrame) -> DataFrame:
     """Projectable records numbered without gaps per capture, in received order."""
     return numbered(records.where(F.col("outcome").isin(*PROJECTABLE)), ["live_session_id"], "received_sequence", "projected_sequence")
@@ -106,11 +118,9 @@ def canonicalize(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         .when(F.col("stated") == "process_context", names(processId="process_id", processGuid="process_guid", processPath="process_path", commandLine="command_line", parentProcessId="parent_process_id", parentProcessPath="parent_process_path", parentProcessGuid="parent_process_guid", userName="user_name", userSid=None))
         .otherwise(names(objectPath="full_path", **shared, userName="user_name", userSid="user_sid"))
     )
-    text = {"event_ts": _instant("event_ts"), "observed_ts": _instant("observed_ts")}
-    hashed = [F.lit(PAYLOAD_V1), *(text.get(c, F.col(c)) for c in FIELDS)]
     # so does it keep the names from being gathered anew for the digest
     return rows.select("*", F.explode_outer(F.array(F.array_sort(missing))).alias("missing")).select(
-        *SEEN, *keep, "failure", *FIELDS, "missing", "raw_xml_sha256", payload_hash(hashed, F.col("missing")).alias("payload_hash"), epoch_id().alias("epoch_id"),
+        *SEEN, *keep, "failure", *FIELDS, "missing", "raw_xml_sha256", payload().alias("payload_hash"), epoch_id().alias("epoch_id"),
         F.concat(F.lit("live-projection:"), "live_evidence_id").alias("projected_id"),
     )
 
@@ -162,48 +172,64 @@ def verify_continuity(projected: DataFrame, records: DataFrame, epochs: DataFram
     epoch_missing, epoch_identity_mismatch, epoch_first_record_mismatch. For a capture without
     such a row: tail_cut (a completed run had considered more rows) and orphan_epoch. All rows
     are judged in parallel; the least place is the one that a walk would stop at.
+
+    Either side is reduced to digests before it is shuffled. What a reason would compare with the
+    record's values is worked out from the stored ones, where reasons before it have found them equal.
     """
     key = ["live_session_id"]
-    fresh = canonicalize(records)
-    names = [c for c in fresh.columns if c not in ("live_evidence_id",)]
-    fresh = fresh.select("live_evidence_id", *(F.col(c).alias(f"c_{c}") for c in names), F.lit(True).alias("found"))
-    placed = before(numbered(projected, key, "projected_sequence", "place"), key, "place", "entry_hash", "before")
-    firsts = placed.groupBy(*key, "epoch_id").agg(F.min("place").alias("epoch_place"))
-    known = epochs.select(
-        "live_session_id", "epoch_id", F.struct(F.col("channel_name").alias("channel"), F.col("machine_name").alias("machine"), F.col("provider_name").alias("provider"), "first_sequence", "opened_ts").alias("epoch")
-    )
-    rows = placed.join(fresh, "live_evidence_id", "left").join(firsts, [*key, "epoch_id"]).join(known, [*key, "epoch_id"], "left")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    equal = same("missing", "c_missing")
-    for c in FIELDS:
-        equal = equal & same(c, f"c_{c}")
-    previous = F.when(F.col("place") > 1, F.col("before"))
+    # times are compared beside the payload's text, which has no era
+    content = F.sha2(encoded(F.col("own"), F.col("event_ts"), F.col("observed_ts")), 256)
+    fresh = canonicalize(records).withColumn("own", F.col("payload_hash")).select(
+        "live_evidence_id", *(F.col(c).alias(f"c_{c}") for c in ("live_session_id", "received_sequence", "failure", "channel_name", "machine_name")),
+        packed(content).alias("c_content"), F.lit(True).alias("found"),
+    )
     capital = lambda c: F.upper(c)
-    fields = (F.lit(ENTRY_V1), capital(F.coalesce("before", F.lit(GENESIS))), F.col("live_evidence_id"), F.col("epoch_id"), F.col("place"), capital("c_raw_xml_sha256"), capital("c_payload_hash"))
-    opened = F.coalesce("c_event_ts", "c_observed_ts")
-    first_record = (
-        F.col("epoch.provider").eqNullSafe(F.col("c_provider_name")) & (F.col("epoch.first_sequence") == F.col("c_received_sequence")) & F.col("epoch.opened_ts").eqNullSafe(opened)
-    )
+    fields = (F.lit(ENTRY_V1), capital(F.coalesce("previous_hash", F.lit(GENESIS))), F.col("live_evidence_id"), F.col("epoch_id"), F.col("projected_sequence"), capital("raw_xml_sha256"), capital("own"))
+    # names of missing fields are sorted in what a record gives, and hashed as sorted
+    mine = projected.withColumn("own", F.when(F.col("missing") == F.array_sort("missing"), payload())).select(
+        *SEEN, "projected_sequence", packed(F.col("epoch_id")).alias("epoch"), packed(F.when(F.col("own").isNotNull(), content)).alias("content"),
+        packed(F.col("previous_hash")).alias("previous"), packed(F.col("entry_hash")).alias("entry"), "provider_name", F.coalesce("event_ts", "observed_ts").alias("opened"),
+        F.col("projected_id").eqNullSafe(F.concat(F.lit("live-projection:"), "live_evidence_id")).alias("named"),
+        # a record that does not fail has its XML's digest as its parser's id, which is one of the fields
+        (same("payload_hash", "own") & same("raw_xml_sha256", "parser_raw_event_id")).alias("hashed"),
+        F.col("entry_hash").eqNullSafe(F.sha2(encoded(*fields), 256)).alias("follows"),
+    )
+    placed = numbered_with_before(mine, key, "projected_sequence", "place", "entry", "before")
+    chained_to = F.col("previous").eqNullSafe(F.when(F.col("place") > 1, F.col("before")))
+    placed = placed.withColumn("late", F.when(~chained_to, "previous_hash_mismatch").when(~F.col("follows"), "entry_hash_mismatch")).drop("previous", "entry", "before", "follows")
+    first = F.struct("place", "provider_name", "received_sequence", "opened")
+    own_epochs = placed.groupBy(*key, "epoch").agg(F.count("*").alias("rows"), F.min_by(first, "place").alias("first"), F.max(F.struct("place", "live_evidence_id")).alias("last"))
+    rows = placed.drop("provider_name", "opened").join(fresh, "live_evidence_id", "left")
     reason = (
         F.when(F.col("projected_sequence") != F.col("place"), "sequence_not_dense")
         .when(F.col("found").isNull(), "missing_source")
         .when(~(same("live_session_id", "c_live_session_id") & same("received_sequence", "c_received_sequence")), "source_identity_mismatch")
         .when(F.col("c_failure").isNotNull(), F.col("c_failure"))
-        .when(~(same("projected_id", "c_projected_id") & same("epoch_id", "c_epoch_id")), "identity_mismatch")
-        .when(~equal, "payload_mismatch")
-        .when(~(same("payload_hash", "c_payload_hash") & same("raw_xml_sha256", "c_raw_xml_sha256")), "digest_mismatch")
-        .when(~F.col("previous_hash").eqNullSafe(previous), "previous_hash_mismatch")
-        .when(~F.col("entry_hash").eqNullSafe(F.sha2(encoded(*fields), 256)), "entry_hash_mismatch")
-        .when(F.col("epoch").isNull(), "epoch_missing")
-        .when(~(F.col("epoch.channel").eqNullSafe(F.col("c_channel_name")) & F.col("epoch.machine").eqNullSafe(F.col("c_machine_name"))), "epoch_identity_mismatch")
-        .when((F.col("place") == F.col("epoch_place")) & ~first_record, "epoch_first_record_mismatch")
+        .when(~(F.col("named") & F.col("epoch").eqNullSafe(packed(epoch_id("c_live_session_id", "c_channel_name", "c_machine_name")))), "identity_mismatch")
+        .when(~same("content", "c_content"), "payload_mismatch")
+        .when(~F.col("hashed"), "digest_mismatch")
+        .otherwise(F.col("late"))
     )
-    bad = F.when(F.col("reason").isNotNull(), F.col("place"))
-    judged = rows.withColumn("reason", reason).groupBy(*key).agg(
-        F.count("*").alias("rows"), F.min(bad).alias("first_bad"), F.min_by(F.struct("live_evidence_id", "reason"), bad).alias("at"), F.max_by("live_evidence_id", "place").alias("last_id")
+    at = lambda reason: F.struct("place", "live_evidence_id", reason.alias("reason"))
+    found = rows.withColumn("reason", reason).groupBy(*key, "epoch").agg(
+        F.min(F.when(F.col("reason").isNotNull(), at(F.col("reason")))).alias("bad"), F.min(F.when(F.col("reason").isNull(), F.struct("place", "live_evidence_id"))).alias("good")
     )
+    # a sound row's epoch is the digest of its capture, channel and machine, so whether the stored epoch has the same ones shows in its own id
+    known = epochs.select(
+        *key, packed(F.col("epoch_id")).alias("epoch"), F.struct("provider_name", "first_sequence", "opened_ts", F.col("epoch_id").eqNullSafe(epoch_id()).alias("named")).alias("stored")
+    )
+    first_record = F.col("stored.provider_name").eqNullSafe(F.col("first.provider_name")) & (F.col("stored.first_sequence") == F.col("first.received_sequence")) & F.col("stored.opened_ts").eqNullSafe(F.col("first.opened"))
+    epoch_reason = (
+        F.when(F.col("stored").isNull(), "epoch_missing").when(~F.col("stored.named"), "epoch_identity_mismatch")
+        .when((F.col("good.place") == F.col("first.place")) & ~first_record, "epoch_first_record_mismatch")
+    )
+    broken = F.when(F.col("good").isNotNull() & epoch_reason.isNotNull(), F.struct("good.place", "good.live_evidence_id", epoch_reason.alias("reason")))
+    by_epoch = joined_with_nulls(own_epochs, found, [*key, "epoch"]).join(known, [*key, "epoch"], "left")
+    judged = by_epoch.groupBy(*key).agg(F.sum("rows").alias("rows"), F.min(F.least("bad", broken)).alias("at"), F.max("last").alias("last"))
+    judged = judged.select(*key, "rows", F.col("at.place").alias("first_bad"), "at", F.col("last.live_evidence_id").alias("last_id"))
     orphans = epochs.join(projected.select(*key, "epoch_id").distinct(), [*key, "epoch_id"], "left_anti").groupBy(*key).agg(F.count("*").alias("orphans"))
-    every = records.select(*key).unionAll(projected.select(*key)).unionAll(epochs.select(*key)).distinct()
+    every = records.select(*key).distinct().unionAll(projected.select(*key).distinct()).unionAll(epochs.select(*key)).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     state = every.join(judged, key, "left").join(orphans, key, "left").join(projection_high_water(runs), key, "left").withColumns(
         {"rows": zero("rows"), "orphans": zero("orphans"), "high_water": zero("high_water")}

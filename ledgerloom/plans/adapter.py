@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +44,13 @@ DELETES = "SELECT * FROM audit WHERE outcome = 'delete_fact'"
 
 
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return audit_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def audit_of(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The audit rows of events, with the columns in ``keep``."""
     text = _SQL.replace("{", "{{").replace("}", "}}").replace("JSONK", "get_json_object(props, '$.k')")
-    return spark.sql(text.replace("EVENTS", "{events}"), events=events)
+    return events.sparkSession.sql(text.replace("\nFROM EVENTS", "".join(f", {c}" for c in keep) + " FROM {events}"), events=events)
 
 
 def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +105,10 @@ DUCK_CAPTURES = f", written AS (SELECT *, sha256(raw_xml) AS xml_sha256 FROM (SE
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit rows as records of captures."""
-    xml = audit_rows(spark, sf_dir).withColumn("raw_xml", event_xml(F.col("outcome"))).withColumn("xml_sha256", F.sha2("raw_xml", 256))
-    return spark.sql(_CAPTURES.replace("WRITTEN", "{written}"), written=xml)
+    return captures_of(audit_rows(spark, sf_dir))
+
+
+def captures_of(audit: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Audit rows as records of captures, with the columns in ``keep``."""
+    xml = audit.withColumn("raw_xml", event_xml(F.col("outcome"))).withColumn("xml_sha256", F.sha2("raw_xml", 256))
+    return audit.sparkSession.sql(_CAPTURES.replace("\nFROM WRITTEN", "".join(f", {c}" for c in keep) + " FROM {written}"), written=xml)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import correlate as K
-from ledgerloom.operators import analysis, integrity, ordering, quality, sessions, views
+from ledgerloom.operators import analysis, integrity, ordering, projection, quality, sessions, views
 from ledgerloom.options import HOUR, SECOND, CorrelationOptions, ProtectedRule, RiskOptions
-from ledgerloom.plans import audit_queries
+from ledgerloom.plans import adapter, audit_queries
+from ledgerloom.plans.scratch import written
 
 SF = "/root/testdata/sf0.001"
 T0 = dt.datetime(2026, 1, 1)
@@ -315,6 +316,78 @@ def test_payload_hash_tells_null_from_empty(spark):
     assert len(set(row)) == 3
 
 
+def _stored_projection(spark):
+    records = adapter.captures(spark, SF).where("session_no < 2")
+    rows = written(projection.chained(projection.canonical_rows(records).drop("failure")), "projected")
+    return written(records, "records"), rows, projection.channel_epochs(rows).drop("records")
+
+
+def test_continuity_finds_each_kind_of_change(spark):
+    records, rows, epochs = _stored_projection(spark)
+    n = {r.live_session_id: r["count"] for r in rows.groupBy("live_session_id").count().collect()}
+    runs = spark.createDataFrame([(s, True, c) for s, c in n.items()], "live_session_id string, completed boolean, considered long")
+    mine = F.col("live_session_id") == "cap-0"
+    third = rows.where(mine & (F.col("projected_sequence") == 3)).first()
+    here = F.col("live_evidence_id") == third.live_evidence_id
+    check = lambda rows=rows, records=records, epochs=epochs: {r.live_session_id: r[1:] for r in projection.verify_continuity(rows, records, epochs, runs).collect()}
+    at3 = lambda c, v: rows.withColumn(c, F.when(here, v).otherwise(F.col(c)))
+    source = lambda c, v: records.withColumn(c, F.when(here, v).otherwise(F.col(c)))
+    sound = {s: (c, None, None, None) for s, c in n.items()}
+    assert check() == sound
+    broken = lambda reason, place=3, evidence=third.live_evidence_id: sound | {"cap-0": (place - 1, place, evidence, reason)}
+    assert check(at3("received_sequence", 99)) == broken("source_identity_mismatch")
+    assert check(records=records.where(~here)) == broken("missing_source")
+    assert check(records=source("raw_xml_sha256", "0" * 64)) == broken("source_digest_mismatch")
+    assert check(at3("projected_id", "x")) == broken("identity_mismatch") == check(at3("epoch_id", F.lit(None).cast("string")))
+    for c, v in (("process_path", "x"), ("event_ts", F.col("event_ts") + F.expr("INTERVAL 1 MICROSECOND")), ("missing", F.array_union(F.array(F.lit("zz")), "missing")), ("missing", F.lit(None).cast("array<string>")), ("parser_raw_event_id", "0" * 64)):
+        assert check(at3(c, v)) == broken("payload_mismatch"), c
+    for c, v in (("payload_hash", F.upper("payload_hash")), ("raw_xml_sha256", "0" * 64), ("raw_xml_sha256", F.lit(None).cast("string"))):
+        assert check(at3(c, v)) == broken("digest_mismatch"), c
+    assert check(at3("previous_hash", F.upper("previous_hash"))) == broken("previous_hash_mismatch")
+    fourth = rows.where(mine & (F.col("projected_sequence") == 4)).first().live_evidence_id
+    assert check(at3("entry_hash", "0" * 64)) == broken("entry_hash_mismatch") and check(rows.where(~here)) == broken("sequence_not_dense", 3, fourth)
+    own = F.col("epoch_id") == third.epoch_id
+    opened = rows.where(own).orderBy("projected_sequence").first()
+    of_epoch = lambda reason: broken(reason, opened.projected_sequence, opened.live_evidence_id)
+    assert check(epochs=epochs.where(~own)) == of_epoch("epoch_missing")
+    assert check(epochs=epochs.withColumn("channel_name", F.when(own, "zz").otherwise(F.col("channel_name")))) == of_epoch("epoch_identity_mismatch")
+    for c, v in (("provider_name", "zz"), ("first_sequence", 99), ("opened_ts", F.lit(None).cast("timestamp_ntz"))):
+        assert check(epochs=epochs.withColumn(c, F.when(own, v).otherwise(F.col(c)))) == of_epoch("epoch_first_record_mismatch")
+    last = rows.where(mine & (F.col("projected_sequence") == n["cap-0"] - 1)).first().live_evidence_id
+    assert check(rows.where(~(mine & (F.col("projected_sequence") == n["cap-0"])))) == sound | {"cap-0": (n["cap-0"] - 1, n["cap-0"], last, "tail_cut")}
+
+
+def test_continuity_shuffles_digests_and_not_whole_rows(spark):
+    records, rows, epochs = _stored_projection(spark)
+    runs = spark.createDataFrame([("cap-0", True, 1)], "live_session_id string, completed boolean, considered long")
+    listed = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan is none yet
+    try:
+        steps, moved = [projection.verify_continuity(rows, records, epochs, runs)._jdf.queryExecution().executedPlan()], []
+        while steps:
+            step = steps.pop()
+            steps += listed(step.children())
+            if step.nodeName() == "Exchange":
+                moved.append({c.name() for c in listed(step.output())})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(moved) > 4 and not [m for m in moved if m & {"raw_xml", "full_path", "process_path", "command_line", "missing", "payload_hash", "c_payload_hash"}]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_numbers_with_the_value_before_equal_a_walk(spark, size):
+    rnd = random.Random(5)
+    rows = [(k, n, f"v{rnd.randrange(99)}" if rnd.random() < 0.8 else None) for k in ("a", "b", None) for n in rnd.sample(range(60), 25)]
+    rows += [("c", 4, "y"), ("c", 4, "x"), ("c", 9, "z")]  # equal orders stand in the order of the value
+    out = ordering.numbered_with_before(spark.createDataFrame(rows, "k string, n long, v string"), ["k"], "n", "no", "v", "was", size).collect()
+    want = []
+    for key in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] or ""))
+        want += [(*r, i + 1, own[i - 1][2] if i else None) for i, r in enumerate(own)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
 def test_columns(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(C.parse_int64(F.lit("0x1092"))) == 4242 and one(C.parse_int64(F.lit("zz"))) is None and one(C.parse_pid(F.lit("-1"))) is None
